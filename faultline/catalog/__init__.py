@@ -25,6 +25,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     from faultline.catalog import (  # noqa: F401
+        q_alerts,
         q_audit,
         q_cleaning,
+        q_model,
+        q_text,
     )

@@ -7,16 +7,17 @@ inside every `contains` would be evaluated once per term.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def any_match(lowered: Column, terms: Sequence[str]) -> Column:
-    """True when any term occurs in the text; null text matches nothing."""
-    hits = reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(term)) for term in terms])
-    return F.coalesce(hits, F.lit(False))
+    """True when any term occurs in the text; null text matches nothing.
+
+    A loop over a literal array: a chain of `contains` per term outgrows what the JVM compiles.
+    """
+    return F.coalesce(F.exists(F.lit(list(terms)), lambda term: F.contains(lowered, term)), F.lit(False))
 
 
 def matching_names(lowered: Column, groups: Mapping[str, Sequence[str]]) -> Column:

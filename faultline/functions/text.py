@@ -6,6 +6,8 @@ mean the same in Java and RE2 expressions (no look-around).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,11 +99,8 @@ def clean_lines(text: Column, min_chars: int = 40, banner_chars: int = 60) -> Co
     )
 
     def keep(line: Column) -> Column:
-        low = F.lower(line)
-        furniture = F.lit(False)
-        for term in lexicon.REPORT_NOISE:
-            furniture = furniture | F.contains(low, F.lit(term))
-        banner = (F.length(line) > banner_chars) & (F.upper(line) == line) & (low != line)
+        furniture = F.lower(line).rlike("|".join(re.escape(term) for term in lexicon.REPORT_NOISE))
+        banner = (F.length(line) > banner_chars) & (F.upper(line) == line) & (F.lower(line) != line)
         return (F.length(line) >= min_chars) & ~furniture & ~line.rlike(r"^\p{Nd}+$") & ~banner
 
     return F.filter(lines, keep)
