@@ -11,6 +11,7 @@ from faultline.functions import lexicon
 from faultline.functions.matching import any_match, with_lowered
 from faultline.functions.risk import label_risk
 from faultline.operators import classifier, evaluation, features, retrieval, split
+from faultline.session import materialise
 
 _SPLIT = """
     select incident_id, narrative, label, domain,
@@ -57,6 +58,11 @@ def class_weights(spark, sf_dir):
     return weights.withColumn("weight", F.round("weight", 6))
 
 
+def prepared(spark, sf_dir):
+    """The clean table with normalised text, written once: every step below reads it again."""
+    return materialise(features.add_processed(views.clean(spark, sf_dir)), "prepared")
+
+
 _CORPUS = "select incident_id as id, narrative from clean"
 
 
@@ -70,7 +76,7 @@ _CORPUS = "select incident_id as id, narrative from clean"
     ),
 )
 def vocabulary(spark, sf_dir):
-    docs = features.add_processed(views.clean(spark, sf_dir))
+    docs = prepared(spark, sf_dir)
     counted = features.vocabulary(features.with_terms(docs))
     return features.with_idf(counted, docs.count()).withColumn("idf", F.round("idf", 6))
 
@@ -85,7 +91,7 @@ def vocabulary(spark, sf_dir):
     ),
 )
 def term_weights(spark, sf_dir):
-    docs = features.add_processed(views.clean(spark, sf_dir)).select("incident_id", "processed_text")
+    docs = prepared(spark, sf_dir).select("incident_id", "processed_text")
     model = features.fit_tfidf(docs)
     return features.term_weights(docs, model).withColumn("weight", F.round("weight", 6))
 
@@ -101,7 +107,7 @@ def term_weights(spark, sf_dir):
     ),
 )
 def ngrams(spark, sf_dir):
-    docs = features.with_terms(features.add_processed(views.clean(spark, sf_dir)))
+    docs = features.with_terms(prepared(spark, sf_dir))
     return docs.filter(F.size("terms") > 0).select(
         "incident_id",
         F.size("terms").cast("bigint").alias("n"),
@@ -120,7 +126,7 @@ def ngrams(spark, sf_dir):
     ),
 )
 def small_vocabulary(spark, sf_dir):
-    docs = features.add_processed(views.clean(spark, sf_dir))
+    docs = prepared(spark, sf_dir)
     return features.vocabulary(features.with_terms(docs), schema.LEGACY_MAX_FEATURES)
 
 
@@ -180,7 +186,7 @@ _EVIDENCE_COLUMNS = "select query_id, rank, round(sim, 6) as similarity, inciden
     ),
 )
 def evidence(spark, sf_dir):
-    corpus = features.add_processed(views.clean(spark, sf_dir))
+    corpus = prepared(spark, sf_dir)
     model = features.fit_tfidf(corpus)
     index = retrieval.build_index(corpus, model)
     asked = views.table(spark, sf_dir, "benchmark").select(
@@ -210,8 +216,8 @@ def evidence(spark, sf_dir):
     ),
 )
 def batch_explanation(spark, sf_dir):
-    parts = split.train_test(views.clean(spark, sf_dir))
-    train = features.add_processed(parts.filter("split = 'train'"))
+    parts = split.train_test(prepared(spark, sf_dir))
+    train = parts.filter("split = 'train'")
     model = features.fit_tfidf(train)
     index = retrieval.build_index(train, model)
     sample = split.hash_sample(parts.filter("split = 'test'"), schema.EXPLAIN_SAMPLES)
@@ -244,7 +250,7 @@ def batch_explanation(spark, sf_dir):
     ),
 )
 def full_narrative_evidence(spark, sf_dir):
-    corpus = features.add_processed(views.clean(spark, sf_dir))
+    corpus = prepared(spark, sf_dir)
     model = features.fit_tfidf(corpus)
     index = retrieval.build_index(corpus, model, snippet_chars=None)
     asked = views.table(spark, sf_dir, "benchmark").select(
@@ -410,7 +416,7 @@ def metrics(spark, sf_dir):
 
 
 def _trained(spark, sf_dir):
-    parts = features.add_processed(split.train_test(views.clean(spark, sf_dir)))
+    parts = split.train_test(prepared(spark, sf_dir))
     train, test = parts.filter("split = 'train'"), parts.filter("split = 'test'")
     return classifier.fit_classifier(train, alpha=1e-4, max_iter=50), train, test
 
@@ -423,7 +429,7 @@ def predictions(spark, sf_dir):
 
 @query("ml6_grid_search")
 def grid_search(spark, sf_dir):
-    train = features.add_processed(split.train_test(views.clean(spark, sf_dir)).filter("split = 'train'"))
+    train = split.train_test(prepared(spark, sf_dir)).filter("split = 'train'")
     results = classifier.cross_validate(train, alphas=[1e-4], max_iter=30)
     rows = [(r["fold"], r["alpha"], r["class_weight"] or "none", r["f1_weighted"]) for r in results]
     return spark.createDataFrame(rows, "fold int, alpha double, class_weight string, f1_weighted double")

@@ -40,10 +40,10 @@ def api_normalised(spark, sf_dir):
     """,
 )
 def lemmas(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents")
+    docs = views.documents(spark, sf_dir)
     tokens = docs.select(F.explode(text.core_tokens(F.col("text"))).alias("token"))
     counted = tokens.groupBy("token").agg(F.count("*").alias("n"))
-    return counted.withColumn("lemma", text.lemma(F.col("token")))
+    return counted.withColumn("lemma", F.expr(text.lemma_sql("token")))
 
 
 @query(
@@ -177,7 +177,7 @@ def safe_file_ids(spark, sf_dir):
 
 @query("txt17_content_keys", "select doc_id, left(sha1(text), 16) as key from documents")
 def content_keys(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents")
+    docs = views.documents(spark, sf_dir)
     return docs.select("doc_id", text.content_key(F.col("text")).alias("key"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline import schema
+from faultline.session import spread
 
 PHRASES = [
     "engine fire at FL350, declared emergency",
@@ -74,6 +75,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def _item(items: list[str], index: Column) -> Column:
     return F.element_at(F.lit(items), index.cast("int") + 1)
 
@@ -95,7 +100,7 @@ def seed_incidents(documents: DataFrame) -> DataFrame:
 
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seed_incidents(table(spark, sf_dir, "documents"))
+    return seed_incidents(documents(spark, sf_dir))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +139,7 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("report_id"), F.col("source").alias("label"), "text"
     )
 

@@ -12,12 +12,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def strings(items: Sequence[str]) -> Column:
+    """A literal array of strings, parsed in one call: a literal per word costs a call each."""
+    return F.expr("array(" + ", ".join(quoted(item) for item in items) + ")")
+
+
+def in_words(name: str, items: Sequence[str]) -> str:
+    """SQL text of a set test; Catalyst turns it into a hash look-up."""
+    return f"{name} IN (" + ", ".join(quoted(item) for item in items) + ")"
+
+
 def any_match(lowered: Column, terms: Sequence[str]) -> Column:
     """True when any term occurs in the text; null text matches nothing.
 
     A loop over a literal array: a chain of `contains` per term outgrows what the JVM compiles.
     """
-    return F.coalesce(F.exists(F.lit(list(terms)), lambda term: F.contains(lowered, term)), F.lit(False))
+    return F.coalesce(F.exists(strings(terms), lambda term: F.contains(lowered, term)), F.lit(False))
 
 
 def matching_names(lowered: Column, groups: Mapping[str, Sequence[str]]) -> Column:

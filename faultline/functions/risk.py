@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline import schema
 from faultline.functions import lexicon
-from faultline.functions.matching import any_match, with_lowered
+from faultline.functions.matching import any_match, strings, with_lowered
 
 
 def label_risk(low_label: Column) -> Column:
@@ -30,7 +30,7 @@ def incident_risk(low_text: Column, low_label: Column) -> Column:
 
 
 def risk_rank(level: Column) -> Column:
-    return F.array_position(F.lit(list(lexicon.RISK_ORDER)), level)
+    return F.array_position(strings(lexicon.RISK_ORDER), level)
 
 
 def raise_to_floor(level: Column, floor: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import lexicon
-from faultline.functions.matching import any_match, matching_names, with_lowered
+from faultline.functions.matching import matching_names, strings, with_lowered
 
 
 def risk_factors(low_text: Column, low_label: Column) -> Column:
@@ -20,7 +20,7 @@ def label_actions(low_label: Column, limit: int = 3) -> Column:
     """The first distinct actions of every action list whose key occurs in the label."""
     nothing = F.lit([]).cast("array<string>")
     lists = [
-        F.when(any_match(low_label, [key]), F.lit(actions)).otherwise(nothing)
+        F.when(F.contains(low_label, F.lit(key)), strings(actions)).otherwise(nothing)
         for key, actions in lexicon.LABEL_ACTIONS.items()
     ]
     return F.slice(F.array_distinct(F.flatten(F.array(*lists))), 1, limit)

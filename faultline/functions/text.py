@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from faultline.functions import lexicon
+from faultline.functions.matching import in_words, quoted
 
 SPACES = r"[\p{Z}\s]+"
 SEPARATORS = r'[;@#$%&?!\[\](){}<>"«»“”„‘’…`]|--|\.\.\.'
@@ -33,18 +34,22 @@ def snippet(text: Column, limit: int) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit("..."))).otherwise(text)
 
 
-def lemma(word: Column) -> Column:
-    """Singular form of an English noun by suffix rules, irregular nouns first."""
-    irregular = F.create_map(*[F.lit(x) for pair in lexicon.IRREGULAR_NOUNS.items() for x in pair])
-    size = F.length(word)
-    return (
-        F.when(word.isin(list(lexicon.IRREGULAR_NOUNS)), F.element_at(irregular, word))
-        .when(word.endswith("ies") & (size >= 5), F.concat(F.left(word, size - 3), F.lit("y")))
-        .when(word.rlike(r"(?:ss|x|z|ch|sh)es$"), F.left(word, size - 2))
-        .when(word.endswith("men") & (size >= 5), F.concat(F.left(word, size - 3), F.lit("man")))
-        .when((size >= 4) & word.rlike(r"[^siu]s$"), F.left(word, size - 1))
-        .otherwise(word)
-    )
+def lemma_sql(word: str) -> str:
+    """SQL text: singular form of an English noun by suffix rules, irregular nouns first."""
+    pairs = ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in lexicon.IRREGULAR_NOUNS.items())
+    return f"""
+        CASE WHEN {in_words(word, list(lexicon.IRREGULAR_NOUNS))} THEN element_at(map({pairs}), {word})
+             WHEN endswith({word}, 'ies') AND length({word}) >= 5 THEN left({word}, length({word}) - 3) || 'y'
+             WHEN {word} RLIKE '(?:ss|x|z|ch|sh)es$' THEN left({word}, length({word}) - 2)
+             WHEN endswith({word}, 'men') AND length({word}) >= 5 THEN left({word}, length({word}) - 3) || 'man'
+             WHEN length({word}) >= 4 AND {word} RLIKE '[^siu]s$' THEN left({word}, length({word}) - 1)
+             ELSE {word} END
+    """
+
+
+def _each(function: str, array: Column, body: str) -> Column:
+    """A higher-order function with its lambda `w -> body` given as SQL text."""
+    return F.call_function(function, array, F.expr(f"w -> {body}"))
 
 
 def core_tokens(text: Column) -> Column:
@@ -54,20 +59,15 @@ def core_tokens(text: Column) -> Column:
     spaced = F.regexp_replace(spaced, SPACES, " ")
     spaced = F.regexp_replace(spaced, CLOSING, "$1")
     spaced = F.regexp_replace(spaced, JOINED_WORDS, "$1 $2")
-    return F.filter(
-        F.split(spaced, " "),
-        lambda word: word.rlike(WORD) & ~word.isin(lexicon.STOPWORDS),
-    )
+    wanted = f"w RLIKE {quoted(WORD)} AND NOT {in_words('w', lexicon.STOPWORDS)}"
+    return _each("filter", F.split(spaced, " "), wanted)
 
 
 def api_tokens(text: Column) -> Column:
     """Words for interactive look-ups: ASCII letters only, more than two of them."""
     letters = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+", " ")
     letters = F.regexp_replace(letters, JOINED_WORDS, "$1 $2")
-    return F.filter(
-        F.split(letters, " "),
-        lambda word: (F.length(word) > 2) & ~word.isin(lexicon.STOPWORDS),
-    )
+    return _each("filter", F.split(letters, " "), f"length(w) > 2 AND NOT {in_words('w', lexicon.STOPWORDS)}")
 
 
 PROFILES = {"core": core_tokens, "api": api_tokens}
@@ -75,13 +75,13 @@ PROFILES = {"core": core_tokens, "api": api_tokens}
 
 def normalise(text: Column, profile: str = "core") -> Column:
     """Normalised text of one profile: lower-case words, stopwords out, nouns singular."""
-    return F.array_join(F.transform(PROFILES[profile](text), lemma), " ")
+    return F.array_join(_each("transform", PROFILES[profile](text), lemma_sql("w")), " ")
 
 
 def vector_words(processed: Column) -> Column:
     """Words the term vectors are built of: two characters or more, vectoriser stopwords out."""
     ignored = lexicon.STOPWORDS + lexicon.VECTOR_STOPWORDS
-    return F.filter(F.split(processed, " "), lambda word: (F.length(word) >= 2) & ~word.isin(ignored))
+    return _each("filter", F.split(processed, " "), f"length(w) >= 2 AND NOT {in_words('w', ignored)}")
 
 
 def with_bigrams(words: Column) -> Column:

@@ -88,14 +88,14 @@ def cross_validate(
 
     `train` has incident_id, processed_text and label. One result per (fold, setting) returns.
     """
-    spread = materialise(folds(train, count).select("incident_id", "processed_text", "label", "fold"), "folds")
+    spread_rows = materialise(folds(train, count).select("incident_id", "processed_text", "label", "fold"), "folds")
     results = []
     for fold in range(count):
-        fit_rows = with_class_weights(spread.filter(F.col("fold") != fold))
+        fit_rows = with_class_weights(spread_rows.filter(F.col("fold") != fold))
         indexer = _indexer(fit_rows)
         vectoriser = fit_tfidf(fit_rows, max_features=max_features)
         fit_features = indexer.transform(vectoriser.transform(fit_rows)).select("features", "_label_no", "weight").persist()
-        held_out = vectoriser.transform(spread.filter(F.col("fold") == fold)).select("label", "features").persist()
+        held_out = vectoriser.transform(spread_rows.filter(F.col("fold") == fold)).select("label", "features").persist()
         for alpha in alphas:
             for weighting in weightings:
                 model = _fit(fit_features, alpha, weighting == "balanced", max_iter)
@@ -125,7 +125,8 @@ def fit_classifier(
     max_iter: int = schema.MAX_ITER,
 ) -> TrainedModel:
     """Fit one setting on (processed_text, label) rows."""
-    rows = with_class_weights(train.filter("label is not null"))
+    kept = train.filter("label is not null").select("processed_text", "label")
+    rows = materialise(with_class_weights(kept), "training-rows")
     indexer = _indexer(rows)
     vectoriser = fit_tfidf(rows, max_features=max_features)
     features = indexer.transform(vectoriser.transform(rows)).select("features", "_label_no", "weight").persist()

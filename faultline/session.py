@@ -37,6 +37,18 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df: DataFrame, key: str, small_bytes: int = 1 << 30) -> DataFrame:
+    """Spread a small table over all cores by a unique key before costly per-row work.
+
+    A small file is often a single row group, which one task reads whole. A big table has row
+    groups enough, so it is left as it is scanned and nothing is shuffled.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > small_bytes:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: later stages start from the files."""
     spark = df.sparkSession
