@@ -29,5 +29,6 @@ def load_all() -> None:
         q_audit,
         q_cleaning,
         q_model,
+        q_stream,
         q_text,
     )
