@@ -141,8 +141,21 @@ def minimum_length(spark, sf_dir):
     """,
 )
 def first_of_each_text(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return cleaning.keep_first(docs, "text", ["doc_id"])
+    docs = views.documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
+    return cleaning.first_of_each_text(docs, ["doc_id"], "text")
+
+
+@query(
+    "win2_first_page_per_url",
+    """
+    select page_id, url from (
+        select page_id, url, row_number() over (partition by url order by page_id) rn from pages) t
+    where rn = 1
+    """,
+)
+def first_page_per_url(spark, sf_dir):
+    pages = views.table(spark, sf_dir, "pages").select("page_id", "url")
+    return cleaning.keep_first(pages, "url", ["page_id"])
 
 
 @query(

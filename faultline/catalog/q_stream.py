@@ -243,10 +243,10 @@ def appended_rows(spark, sf_dir):
     path = f"{root}/table"
     feed = monitor.table_feed(path, rows.schema)
     rows.filter(F.col("domain") == schema.AVIATION).write.parquet(path)
-    monitor.scan_once(spark, [feed], monitor.unlabelled_scorer, root)
+    monitor.set_baseline(spark, feed, root)
     rows.filter(F.col("domain") == schema.POWER).write.mode("append").parquet(path)
     monitor.scan_once(spark, [feed], monitor.unlabelled_scorer, root)
-    return monitor.read_seen(spark, root).select("key")
+    return monitor.read_seen(spark, root).filter("risk_level is not null").select("key")
 
 
 @query(

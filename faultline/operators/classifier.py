@@ -17,7 +17,7 @@ from faultline.operators.cleaning import label_counts
 from faultline.operators.evaluation import pair_counts, weighted_f1
 from faultline.operators.features import TfidfModel, fit_tfidf, with_terms
 from faultline.operators.split import folds
-from faultline.session import materialise
+from faultline.session import materialise, small_side
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
@@ -29,9 +29,9 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    """Add `weight`; the table of weights is written out so that its size is known when joined."""
-    weights = materialise(class_weights(df, label).select(label, "weight"), "class-weights")
-    return df.join(weights, label)
+    """Add `weight`."""
+    weights = class_weights(df, label).select(label, "weight")
+    return df.join(small_side(weights, "class-weights"), label)
 
 
 @dataclass

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline import schema
 from faultline.functions.text import snippet, strip
+from faultline.session import small_side
 
 MAX_KEPT_LABELS = 10_000
 
@@ -62,8 +63,8 @@ def drop_short(df: DataFrame, min_chars: int = schema.MIN_NARRATIVE_CHARS) -> Da
 def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """One row per key, the first by `order`, which must be unique within a key.
 
-    A partial aggregate keeps one row per key and task before the shuffle, so a text copied into
-    a third of all rows costs no more than any other. The hash makes the sort keys short.
+    For short keys. A partial aggregate keeps one row per key and task before the shuffle, so a
+    key that a third of all rows share costs no more than any other. The hash shortens the sort.
     """
     others = [name for name in df.columns if name != key and name not in order]
     first = F.min(F.struct(*order, *others)).alias("_first")
@@ -73,6 +74,25 @@ def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     )
 
 
+def first_of_each_text(df: DataFrame, order: list[str], text: str = "narrative") -> DataFrame:
+    """One row per text, the first by `order`, without shuffling the texts.
+
+    Digests are counted instead, and only those that occur more than once come back, each with
+    the row to keep. However many copies a text has, it is one row there.
+    """
+    digest = F.unhex(F.sha2(F.col(text), 256))
+    place = F.struct(*order)
+    repeated = (
+        df.select(digest.alias("_digest"), place.alias("_place"))
+        .groupBy("_digest")
+        .agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+        .filter("_n > 1")
+        .select("_digest", "_first")
+    )
+    marked = df.withColumn("_digest", digest).join(small_side(repeated, "repeated-texts"), "_digest", "left")
+    return marked.filter(F.col("_first").isNull() | (F.col("_first") == place)).select(*df.columns)
+
+
 def merge_domains(
     aviation: DataFrame | None,
     power: DataFrame | None,
@@ -94,7 +114,7 @@ def merge_domains(
         raise RuntimeError("no source to merge")
     merged = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
     kept = drop_short(drop_incomplete(merged), min_chars)
-    return keep_first(kept, "narrative", ["_rank", "incident_id"]).drop("_rank")
+    return first_of_each_text(kept, ["_rank", "incident_id"]).drop("_rank")
 
 
 def domain_counts_row(df: DataFrame) -> DataFrame:

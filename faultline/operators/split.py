@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline import schema
-from faultline.session import materialise
+from faultline.session import small_side
 
 PREFIX_CHARS = 4
 
@@ -53,8 +53,7 @@ def stratified_parts(
         .filter("_rank > _before and _rank <= _upto")
         .select(label, "_prefix", "_cut", (F.col("_rank") - F.col("_before")).alias("_within"))
     )
-    # Written out, the handful of cut rows is a table of known size that Catalyst can broadcast.
-    at_cut = materialise(at_cut, "split-cuts")
+    at_cut = small_side(at_cut, "split-cuts")
     order = Window.partitionBy(label, "_cut").orderBy("_h")
     ranked = hashed.join(at_cut, [label, "_prefix"]).withColumn("_rn", F.row_number().over(order))
     thresholds = (
@@ -62,7 +61,7 @@ def stratified_parts(
         .groupBy(label)
         .agg(*[F.max(F.when(F.col("_cut") == i, F.col("_h"))).alias(f"_t{i}") for i in range(len(cuts))])
     )
-    thresholds = materialise(thresholds, "split-thresholds")
+    thresholds = small_side(thresholds, "split-thresholds")
     key = hash_key(id_col, seed)
     passed = [F.when(key > F.coalesce(f"_t{i}", F.lit("")), 1).otherwise(0) for i in range(len(cuts))]
     part = sum(passed[1:], passed[0])

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+# A hint to broadcast is given only to a written table of at most this many rows.
+BROADCAST_ROWS = 1_000_000
+
+_scratch: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch", default=None)
 
 
 def build_session(master: str | None = None, name: str = "faultline", **conf: str) -> SparkSession:
@@ -28,7 +36,7 @@ def build_session(master: str | None = None, name: str = "faultline", **conf: st
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the one the cluster names; a temporary one only in local mode."""
-    root = spark.conf.get(CHECKPOINT_KEY, None)
+    root = _scratch.get() or spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
@@ -37,6 +45,19 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Folder for the tables of one unit of work, removed when the work has written its results."""
+    folder = shared_folder(spark, "scratch")
+    token = _scratch.set(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.reset(token)
+        fs, hadoop_path = _file_system(spark, folder)
+        fs.delete(hadoop_path, True)
+
+
 def spread(df: DataFrame, key: str, small_bytes: int = 1 << 30) -> DataFrame:
     """Spread a small table over all cores by a unique key before costly per-row work.
 
@@ -57,6 +78,12 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, purpose: str) -> DataFrame:
+    """A join side written out and counted: broadcast when small, left to Catalyst otherwise."""
+    written = materialise(df, purpose)
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
 def _file_system(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.text import strip
-from faultline.session import materialise
+from faultline.session import materialise, small_side
 
 CSV_GLOB = "*.[cC][sS][vV]"
 TXT_GLOB = "*.[tT][xX][tT]"
@@ -52,7 +52,7 @@ def number_lines(lines: DataFrame) -> DataFrame:
     marked = materialise(lines.withColumn("_at", F.monotonically_increasing_id()), "drop-lines")
     blocks = marked.groupBy("file_path", "block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     in_file = Window.partitionBy("file_path").orderBy("block")
-    offsets = materialise(
+    offsets = small_side(
         blocks.select(
             "file_path", "block", "_first", (F.sum("_n").over(in_file) - F.col("_n")).alias("_offset")
         ),
@@ -93,7 +93,8 @@ def parse_lines(numbered: DataFrame) -> DataFrame:
             F.array_position("_names", "id").alias("_id_at"),
         )
     )
-    rows = numbered.filter("pos > 0").withColumn("_fields", csv_fields(F.col("line"))).join(headers, "file_path")
+    rows = numbered.filter("pos > 0").withColumn("_fields", csv_fields(F.col("line")))
+    rows = rows.join(small_side(headers, "drop-headers"), "file_path")
     tail = F.slice("_fields", F.col("_text_at").cast("int"), F.size("_fields") + 1)
     stem = F.regexp_replace("file_name", r"\.[^.]*$", "")
     given = F.when(F.col("_id_at") > 0, F.get("_fields", F.col("_id_at").cast("int") - 1))

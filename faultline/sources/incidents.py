@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from faultline import schema
 from faultline.functions.text import strip
-from faultline.session import read_latest, write_version
+from faultline.session import read_latest, small_side, write_version
 
 
 def normalise_columns(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -62,7 +62,7 @@ def with_fallback(fresh: DataFrame | None, cached: DataFrame | None) -> DataFram
         return cached
     if cached is None:
         return fresh
-    delivered = fresh.select("domain").distinct()
+    delivered = small_side(fresh.select("domain").distinct(), "delivered-domains")
     return fresh.unionByName(cached.join(delivered, "domain", "left_anti"))
 
 

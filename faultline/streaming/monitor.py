@@ -26,7 +26,7 @@ from faultline.operators.classifier import TrainedModel
 from faultline.operators.cleaning import keep_first
 from faultline.operators.features import add_processed
 from faultline.operators.retrieval import explain, load_index
-from faultline.session import materialise, path_exists
+from faultline.session import materialise, path_exists, scratch
 from faultline.sources import dropfiles, feeds
 from faultline.sources.alerts import to_log_rows
 
@@ -69,7 +69,7 @@ def fault_feed(path: str, name: str = "faults") -> Feed:
 
 
 def table_feed(path: str, layout, name: str = "dataset", id_col: str = "incident_id") -> Feed:
-    """Rows appended to the incident table; what is there at the first run only sets the baseline."""
+    """Rows added to the incident table; those there at the first run only set the baseline."""
 
     def to_incidents(rows: DataFrame) -> DataFrame:
         key = F.concat(F.lit("ds-row-"), F.col(id_col).cast("string"))
@@ -157,44 +157,65 @@ def score_incidents(new: DataFrame, scorer: Scorer) -> DataFrame:
 
 
 def handle_batch(batch: DataFrame, batch_id: int, feed: Feed, scorer: Scorer, root: str) -> None:
+    """Score the new incidents of one batch, log the alerts, enter all of them in the ledger."""
     spark = batch.sparkSession
-    first = materialise(first_of_each_key(feed.to_incidents(batch)), "new-incidents")
-    earlier = read_seen(spark, root).filter((F.col("feed") != feed.name) | (F.col("batch") < batch_id))
-    new = materialise(unseen(first, earlier), "unseen-incidents")
-    scored = materialise(score_incidents(new, scorer), "scored-incidents")
     place = f"feed={feed.name}/batch={batch_id}"
-    to_log_rows(scored.filter("is_alert")).write.mode("overwrite").parquet(f"{root}/alerts/{place}")
-    scored.select("key", "risk_level", "is_alert").write.mode("overwrite").parquet(f"{root}/seen/{place}")
+    with scratch(spark):
+        first = materialise(first_of_each_key(feed.to_incidents(batch)), "new-incidents")
+        earlier = read_seen(spark, root).filter((F.col("feed") != feed.name) | (F.col("batch") < batch_id))
+        new = materialise(unseen(first, earlier), "unseen-incidents")
+        scored = materialise(score_incidents(new, scorer), "scored-incidents")
+        to_log_rows(scored.filter("is_alert")).write.mode("overwrite").parquet(f"{root}/alerts/{place}")
+        scored.select("key", "risk_level", "is_alert").write.mode("overwrite").parquet(f"{root}/seen/{place}")
 
 
-def start(spark: SparkSession, feed: Feed, scorer: Scorer, root: str, once: bool = False) -> StreamingQuery:
-    """Start one feed's query; `once` works off what is there and stops."""
-    checkpoint = f"{root}/checkpoints/{feed.name}"
-    if feed.baseline and not path_exists(spark, checkpoint):
-        (
-            feed.stream(spark)
-            .writeStream.foreachBatch(lambda batch, batch_id: None)
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
-            .start()
-            .awaitTermination()
-        )
-    writer = (
+def note_batch(batch: DataFrame, batch_id: int, feed: Feed, root: str) -> None:
+    """Enter the incidents of a baseline batch in the ledger, unscored."""
+    keys = first_of_each_key(feed.to_incidents(batch)).select("key")
+    noted = keys.withColumns({"risk_level": F.lit(None).cast("string"), "is_alert": F.lit(False)})
+    noted.write.mode("overwrite").parquet(f"{root}/seen/feed={feed.name}/batch={batch_id}")
+
+
+def _writer(spark: SparkSession, feed: Feed, root: str, handle: Callable[[DataFrame, int], None]):
+    return (
         feed.stream(spark)
         .writeStream.queryName(f"monitor-{feed.name}")
-        .foreachBatch(lambda batch, batch_id: handle_batch(batch, batch_id, feed, scorer, root))
-        .option("checkpointLocation", checkpoint)
+        .foreachBatch(handle)
+        .option("checkpointLocation", f"{root}/checkpoints/{feed.name}")
     )
+
+
+def set_baseline(spark: SparkSession, feed: Feed, root: str) -> None:
+    """Take note of everything a feed holds now; done once, and again if it did not complete."""
+    done = f"{root}/baselines/{feed.name}"
+    if path_exists(spark, f"{done}/_SUCCESS"):
+        return
+    noting = _writer(spark, feed, root, lambda batch, batch_id: note_batch(batch, batch_id, feed, root))
+    noting.trigger(availableNow=True).start().awaitTermination()
+    spark.range(1).write.mode("overwrite").parquet(done)
+
+
+def start(spark: SparkSession, feed: Feed, scorer: Scorer, root: str, once: bool = False) -> StreamingQuery:
+    """Start one feed's query; `once` works off what is there and stops."""
+    if feed.baseline:
+        set_baseline(spark, feed, root)
     trigger = {"availableNow": True} if once else {"processingTime": f"{feed.seconds} seconds"}
+    writer = _writer(
+        spark, feed, root, lambda batch, batch_id: handle_batch(batch, batch_id, feed, scorer, root)
+    )
     return writer.trigger(**trigger).start()
 
 
+def handled_count(spark: SparkSession, root: str) -> int:
+    return read_seen(spark, root).filter("risk_level is not null").count()
+
+
 def scan_once(spark: SparkSession, sources: list[Feed], scorer: Scorer, root: str) -> int:
     """One pass over all sources; the number of incidents that were new."""
-    before = read_seen(spark, root).count()
+    before = handled_count(spark, root)
     for feed in sources:
         start(spark, feed, scorer, root, once=True).awaitTermination()
-    return read_seen(spark, root).count() - before
+    return handled_count(spark, root) - before
 
 
 def run(spark: SparkSession, sources: list[Feed], scorer: Scorer, root: str) -> list[StreamingQuery]:
