@@ -11,7 +11,8 @@ from faultline.functions import lexicon
 from faultline.functions.matching import any_match, with_lowered
 from faultline.functions.risk import label_risk
 from faultline.operators import classifier, evaluation, features, retrieval, split
-from faultline.session import materialise
+from faultline.plans.batch import report_tables
+from faultline.session import materialise, shared_folder
 
 _SPLIT = """
     select incident_id, narrative, label, domain,
@@ -157,14 +158,18 @@ _BOTH = """
 _FIT = "select 'd' || incident_id as id, narrative from corpus_rows"
 
 
-def _evidence_sql(asked: str, corpus: str, k: int, shown: str) -> dict[str, str]:
+def _evidence_sql(asked: str, corpus: str, k: int, shown: str, profile: str = "core") -> dict[str, str]:
     return {
         "asked": asked,
         "corpus_rows": corpus,
         "both_rows": _BOTH,
         "fit_rows": _FIT,
         **_ranked_sql(
-            "asked", "corpus_rows", sqltext.term_views("both_rows", schema.MAX_FEATURES, "fit_rows"), shown, k
+            "asked",
+            "corpus_rows",
+            sqltext.term_views("both_rows", schema.MAX_FEATURES, "fit_rows", profile),
+            shown,
+            k,
         ),
     }
 
@@ -196,6 +201,74 @@ def evidence(spark, sf_dir):
     return ranked.withColumn("similarity", F.round("similarity", 6))
 
 
+@query(
+    "ret2_api_evidence",
+    with_views(
+        _EVIDENCE_COLUMNS,
+        "clean",
+        **_evidence_sql(
+            "select item_id as query_id, text as narrative from benchmark",
+            "select * from clean",
+            5,
+            sql_snippet("c.narrative", schema.EVIDENCE_CHARS),
+            "api",
+        ),
+    ),
+)
+def api_evidence(spark, sf_dir):
+    """The interactive look-up: vocabulary of the core profile, index and queries of the api one."""
+    corpus = prepared(spark, sf_dir)
+    model = features.fit_tfidf(corpus)
+    index = retrieval.build_index(corpus, model, profile="api")
+    asked = views.table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("narrative")
+    )
+    ranked = retrieval.top_evidence(retrieval.query_vectors(asked, model, profile="api"), index, 5)
+    return ranked.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(
+    "ret1_index",
+    with_views(
+        f"""
+        select c.incident_id, c.label, c.domain, {sql_snippet("c.narrative", schema.EVIDENCE_CHARS)} as snippet,
+               coalesce(w.terms, 0) as terms, round(coalesce(w.total, 0), 6) as total
+        from clean c left join (select id, count(*) as terms, sum(weight) as total from weights group by id) w
+          on w.id = c.incident_id
+        """,
+        "clean",
+        corpus=_CORPUS,
+        **sqltext.term_views("corpus", schema.MAX_FEATURES),
+    ),
+)
+def index_rows(spark, sf_dir):
+    corpus = prepared(spark, sf_dir)
+    index = retrieval.build_index(corpus, features.fit_tfidf(corpus))
+    total = F.aggregate("values", F.lit(0.0), lambda a, b: a + b)
+    return index.select(
+        "incident_id",
+        "label",
+        "domain",
+        "snippet",
+        F.size("indices").cast("bigint").alias("terms"),
+        F.round(total, 6).alias("total"),
+    )
+
+
+@query(
+    "ret3_sample",
+    with_views(
+        f"select incident_id, label from splits where split = 'test' "
+        f"order by md5('42:' || incident_id) limit {schema.EXPLAIN_SAMPLES}",
+        "clean",
+        splits=_SPLIT,
+    ),
+)
+def sample(spark, sf_dir):
+    test = split.train_test(views.clean(spark, sf_dir)).filter("split = 'test'")
+    return split.hash_sample(test, schema.EXPLAIN_SAMPLES).select("incident_id", "label")
+
+
 @query(
     "ret3_batch_explanation",
     with_views(
@@ -415,6 +488,59 @@ def metrics(spark, sf_dir):
     return evaluation.metrics(_ruled_pairs(spark, sf_dir))
 
 
+def _report(spark, sf_dir):
+    rows = views.clean(spark, sf_dir)
+    record = spark.createDataFrame([("seed", str(schema.SEED))], "setting string, value string")
+    return report_tables(rows, _ruled_pairs(spark, sf_dir), record, None)
+
+
+@query(
+    "agg13_report_totals",
+    with_views(
+        """
+        select (select count(*) from clean) as total_reports, (select count(distinct label) from clean)
+               as anomaly_classes, (select round(sum(tp) / sum(support), 6) from class_rows) as accuracy
+        """,
+        "clean",
+        ruled=_RULED,
+        pairs=_PAIRS,
+        class_rows=_CLASS_ROWS,
+    ),
+)
+def report_totals(spark, sf_dir):
+    return _report(spark, sf_dir)["totals"]
+
+
+@query(
+    "agg13_report_top_classes",
+    with_views(
+        """
+        select label, n, round(n / sum(n) over (), 6) as share from (
+            select label, count(*) as n from clean group by label) t
+        order by n desc, label limit 15
+        """,
+        "clean",
+    ),
+)
+def report_top_classes(spark, sf_dir):
+    return _report(spark, sf_dir)["top_classes"]
+
+
+@query(
+    "agg13_report_class_rows",
+    with_views(
+        "select class, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1, support "
+        "from class_rows",
+        "clean",
+        ruled=_RULED,
+        pairs=_PAIRS,
+        class_rows=_CLASS_ROWS,
+    ),
+)
+def report_class_rows(spark, sf_dir):
+    return _report(spark, sf_dir)["class_rows"]
+
+
 def _trained(spark, sf_dir):
     parts = split.train_test(prepared(spark, sf_dir))
     train, test = parts.filter("split = 'train'"), parts.filter("split = 'test'")
@@ -427,6 +553,15 @@ def predictions(spark, sf_dir):
     return trained.predict(test).select("incident_id", "label", "predicted_label")
 
 
+@query("snk3_training_record")
+def training_record(spark, sf_dir):
+    """The classifier saved and loaded again; its record as rows."""
+    trained, _, _ = _trained(spark, sf_dir)
+    path = shared_folder(spark, "model")
+    classifier.save_model(trained, spark, path)
+    return classifier.training_record(classifier.load_model(spark, path), spark)
+
+
 @query("ml6_grid_search")
 def grid_search(spark, sf_dir):
     train = split.train_test(prepared(spark, sf_dir)).filter("split = 'train'")

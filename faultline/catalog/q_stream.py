@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from faultline import schema
 from faultline.catalog import query, views
-from faultline.catalog.q_alerts import _FAULT_ROWS
+from faultline.catalog.q_alerts import _ACCIDENT_ROWS, _FAULT_ROWS
 from faultline.catalog.q_model import _evidence_sql, prepared
 from faultline.catalog.views import (
     quoted,
@@ -147,6 +147,57 @@ def fault_stream_alerts(spark, sf_dir):
     return monitor.read_alerts(spark, root).select("incident_id", "risk_level", "narrative", "source")
 
 
+@query(
+    "str5_accident_stream_alerts",
+    with_views(
+        f"""
+        select incident_id, risk_level, {sql_snippet("narrative", schema.ALERT_CHARS)} as narrative, source from (
+            select *, {sql_incident_risk("lower(narrative)", "''")} as risk_level from accident_rows) t
+        where risk_level in ('critical', 'high')
+        """,
+        "accidents",
+        accident_rows=_ACCIDENT_ROWS,
+    ),
+)
+def accident_stream_alerts(spark, sf_dir):
+    """Parts streamed in as accident records."""
+    root = shared_folder(spark, "accidents")
+    layout = views.table(spark, sf_dir, "part").schema
+    nation = views.table(spark, sf_dir, "nation")
+    feed = monitor.Feed(
+        "accidents",
+        lambda session: session.readStream.schema(layout).option("pathGlobFilter", "part.parquet").parquet(sf_dir),
+        lambda batch: feeds.accident_incidents(views.seed_accidents(batch, nation)),
+    )
+    monitor.scan_once(spark, [feed], monitor.unlabelled_scorer, root)
+    return monitor.read_alerts(spark, root).select("incident_id", "risk_level", "narrative", "source")
+
+
+@query(
+    "str8_scan_counts",
+    with_views(
+        """
+        select 1 as scan, count(*) as new_incidents from fault_rows
+        union all select 2, 0
+        """,
+        "faults",
+        fault_rows=_FAULT_ROWS,
+    ),
+)
+def scan_counts(spark, sf_dir):
+    """New incidents of two passes over the same feed: a second pass finds none."""
+    root = shared_folder(spark, "scans")
+    layout = views.table(spark, sf_dir, "orders").schema
+    customer = views.table(spark, sf_dir, "customer")
+    feed = monitor.Feed(
+        "faults",
+        lambda session: session.readStream.schema(layout).option("pathGlobFilter", "orders.parquet").parquet(sf_dir),
+        lambda batch: feeds.fault_incidents(views.seed_faults(batch, customer)),
+    )
+    found = [monitor.scan_once(spark, [feed], monitor.unlabelled_scorer, root) for _ in range(2)]
+    return spark.createDataFrame(list(enumerate(found, 1)), "scan int, new_incidents bigint")
+
+
 @query(
     "str7_scored_stream_alerts",
     with_views(

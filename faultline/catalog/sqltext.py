@@ -56,23 +56,26 @@ def vector_words(processed: str) -> str:
     )
 
 
-def term_views(source: str, features: int, corpus: str | None = None) -> dict[str, str]:
-    """Views from a (id, narrative) source: terms, tf, vocab with idf, unit weights.
+def term_views(
+    source: str, features: int, corpus: str | None = None, profile: str = "core"
+) -> dict[str, str]:
+    """Views from a (id, narrative) source: terms, vocab with idf, unit weights.
 
-    `corpus` names a (id, narrative) view the vocabulary is counted on, the source by default.
+    `corpus` names a (id, narrative) view the vocabulary is counted on, the source by default;
+    the vocabulary is always one of core-normalised text, `profile` is that of the source.
     """
 
-    def term_rows(name: str) -> str:
+    def term_rows(name: str, profile: str) -> str:
         return f"""
             select id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as term
             from (select id, {vector_words("p")} as w
-                  from (select id, coalesce({normalise("narrative")}, '') as p from {name}) a) b
+                  from (select id, coalesce({normalise("narrative", profile)}, '') as p from {name}) a) b
         """
 
     fitted = corpus or source
     views = {
-        "terms": term_rows(source),
-        "fit_terms": term_rows(fitted),
+        "terms": term_rows(source, profile),
+        "fit_terms": term_rows(fitted, "core"),
         "vocab": f"""
             select term, cf, df, ln((1.0 + (select count(*) from {fitted})) / (1.0 + df)) + 1.0 as idf
             from (select term, count(*) as cf, count(distinct id) as df from fit_terms

@@ -164,8 +164,10 @@ def seed_faults(orders: DataFrame, customer: DataFrame) -> DataFrame:
 
 
 def accidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    nation = table(spark, sf_dir, "nation")
+    return seed_accidents(table(spark, sf_dir, "part"), table(spark, sf_dir, "nation"))
+
+
+def seed_accidents(part: DataFrame, nation: DataFrame) -> DataFrame:
     return part.join(nation, F.col("n_nationkey") == F.col("p_partkey") % 25).select(
         F.col("p_partkey").cast("string").alias("ev_id"),
         F.col("p_brand").alias("acft_make"),
