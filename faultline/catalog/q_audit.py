@@ -354,5 +354,5 @@ def domain_relevance(spark, sf_dir):
     ),
 )
 def risk_phrases(spark, sf_dir):
-    scanned = routing.with_risk_phrases(views.incidents(spark, sf_dir))
+    scanned = routing.with_risk_phrases(views.incidents(spark, sf_dir, wide=True))
     return scanned.select("incident_id", F.array_join("phrases", " | ").alias("phrases"))

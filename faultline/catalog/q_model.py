@@ -61,7 +61,7 @@ def class_weights(spark, sf_dir):
 
 def prepared(spark, sf_dir):
     """The clean table with normalised text, written once: every step below reads it again."""
-    return materialise(features.add_processed(views.clean(spark, sf_dir)), "prepared")
+    return materialise(features.add_processed(views.clean(spark, sf_dir, wide=True)), "prepared")
 
 
 _CORPUS = "select incident_id as id, narrative from clean"
@@ -364,7 +364,7 @@ _PAIRS = "select label as t, predicted_label as p, count(*) as n from ruled grou
 
 
 def _ruled_pairs(spark, sf_dir):
-    low = with_lowered(views.clean(spark, sf_dir), low_text="narrative", low_label="label")
+    low = with_lowered(views.clean(spark, sf_dir, wide=True), low_text="narrative", low_label="label")
     text_level = (
         F.when(any_match(F.col("low_text"), lexicon.TEXT_CRITICAL), "critical")
         .when(any_match(F.col("low_text"), lexicon.TEXT_HIGH), "high")

@@ -8,7 +8,7 @@ from faultline.catalog import query, sqltext, views
 from faultline.catalog.views import quoted, sql_any, sql_categories, sql_list, with_views
 from faultline.functions import lexicon, risk, suggest, text
 from faultline.functions.matching import any_match, with_lowered
-from faultline.operators.features import add_processed
+from faultline.operators.features import add_processed, lemmatise_by_table
 
 
 @query(
@@ -18,7 +18,7 @@ from faultline.operators.features import add_processed
     ),
 )
 def core_normalised(spark, sf_dir):
-    return add_processed(views.incidents(spark, sf_dir)).select("incident_id", "processed_text")
+    return add_processed(views.incidents(spark, sf_dir, wide=True)).select("incident_id", "processed_text")
 
 
 @query(
@@ -28,7 +28,7 @@ def core_normalised(spark, sf_dir):
     ),
 )
 def api_normalised(spark, sf_dir):
-    return add_processed(views.incidents(spark, sf_dir), profile="api").select("incident_id", "processed_text")
+    return add_processed(views.incidents(spark, sf_dir, wide=True), profile="api").select("incident_id", "processed_text")
 
 
 @query(
@@ -46,6 +46,23 @@ def lemmas(spark, sf_dir):
     return counted.withColumn("lemma", F.expr(text.lemma_sql("token")))
 
 
+@query(
+    "txt6_lemma_table",
+    with_views(
+        f"select incident_id, {sqltext.normalise('narrative')} as processed_text from incidents "
+        "where narrative is not null",
+        "incidents",
+    ),
+)
+def lemma_table(spark, sf_dir):
+    """The same texts with the lemmas looked up in a table of every word and its lemma."""
+    rows = views.incidents(spark, sf_dir, wide=True).filter("narrative is not null")
+    words = rows.select("incident_id", text.normalise(F.col("narrative"), lemmas=False).alias("words"))
+    vocabulary = words.select(F.explode(F.split("words", " ")).alias("word")).distinct()
+    lemmas = vocabulary.withColumn("lemma", F.expr(text.lemma_sql("word")))
+    return lemmatise_by_table(words, lemmas, "incident_id")
+
+
 @query(
     "txt8_trigger_matches",
     with_views(
@@ -58,7 +75,7 @@ def lemmas(spark, sf_dir):
     ),
 )
 def trigger_matches(spark, sf_dir):
-    low = with_lowered(views.incidents(spark, sf_dir), low="narrative")
+    low = with_lowered(views.incidents(spark, sf_dir, wide=True), low="narrative")
     return low.select(
         "incident_id",
         any_match(F.col("low"), lexicon.TEXT_CRITICAL).alias("critical_trigger"),
@@ -98,7 +115,7 @@ _LOWERED = """
     ),
 )
 def risk_factors(spark, sf_dir):
-    low = with_lowered(views.labelled(spark, sf_dir), low_text="narrative", low_label="label")
+    low = with_lowered(views.labelled(spark, sf_dir, wide=True), low_text="narrative", low_label="label")
     factors = suggest.risk_factors(F.col("low_text"), F.col("low_label"))
     return low.select("incident_id", F.array_join(factors, " | ").alias("factors"))
 
@@ -135,7 +152,7 @@ def sql_suggestion(low_text: str, low_label: str, level: str) -> str:
     ),
 )
 def suggestions(spark, sf_dir):
-    scored = risk.with_incident_risk(views.labelled(spark, sf_dir))
+    scored = risk.with_incident_risk(views.labelled(spark, sf_dir, wide=True))
     return suggest.with_suggestion(scored, label="label").select("incident_id", "suggestion")
 
 
@@ -193,7 +210,7 @@ def label_risk(spark, sf_dir):
 
 @query("rsk2_incident_risk", with_views("select incident_id, risk_level from scored", "scored"))
 def incident_risk(spark, sf_dir):
-    return risk.with_incident_risk(views.labelled(spark, sf_dir)).select("incident_id", "risk_level")
+    return risk.with_incident_risk(views.labelled(spark, sf_dir, wide=True)).select("incident_id", "risk_level")
 
 
 @query(
@@ -209,7 +226,7 @@ def incident_risk(spark, sf_dir):
     ),
 )
 def risk_floor(spark, sf_dir):
-    rows = views.labelled(spark, sf_dir).withColumn("floor", F.when(F.length("narrative") > 1000, "high"))
+    rows = views.labelled(spark, sf_dir, wide=True).withColumn("floor", F.when(F.length("narrative") > 1000, "high"))
     return risk.with_incident_risk(rows, floor="floor").select("incident_id", "risk_level", "is_alert")
 
 
@@ -235,5 +252,5 @@ def customer_floor(spark, sf_dir):
     ),
 )
 def alert_flags(spark, sf_dir):
-    scored = risk.with_incident_risk(views.labelled(spark, sf_dir))
+    scored = risk.with_incident_risk(views.labelled(spark, sf_dir, wide=True))
     return scored.groupBy("risk_level", "is_alert").agg(F.count("*").alias("n"))

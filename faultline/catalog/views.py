@@ -99,24 +99,25 @@ def seed_incidents(documents: DataFrame) -> DataFrame:
     )
 
 
-def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seed_incidents(documents(spark, sf_dir))
+def incidents(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    """`wide` is for queries that work on every word of the texts: a small file is spread first."""
+    return seed_incidents(documents(spark, sf_dir) if wide else table(spark, sf_dir, "documents"))
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
     """Incidents with their primary label as `label`."""
     from faultline.operators.cleaning import primary_label
 
-    return incidents(spark, sf_dir).select(
+    return incidents(spark, sf_dir, wide).select(
         "incident_id", "narrative", primary_label(F.col("label_raw")).alias("label"), "domain"
     )
 
 
-def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clean(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
     """The clean incident table: bucketing, row filters and narrative dedupe over both domains."""
     from faultline.operators.cleaning import merge_domains, primary_label
 
-    rows = incidents(spark, sf_dir).withColumnRenamed("label_raw", "label")
+    rows = incidents(spark, sf_dir, wide).withColumnRenamed("label_raw", "label")
     power = rows.filter(F.col("domain") == schema.POWER)
     return merge_domains(
         rows.filter(F.col("domain") == schema.AVIATION),
@@ -134,7 +135,7 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("alert_ts"),
         F.col("event_type").alias("source"),
     )
-    scored = with_incident_risk(labelled(spark, sf_dir)).withColumnRenamed("label", "predicted_label")
+    scored = with_incident_risk(labelled(spark, sf_dir, wide=True)).withColumnRenamed("label", "predicted_label")
     return scored.join(events, "incident_id")
 
 

@@ -73,8 +73,10 @@ def api_tokens(text: Column) -> Column:
 PROFILES = {"core": core_tokens, "api": api_tokens}
 
 
-def normalise(text: Column, profile: str = "core") -> Column:
+def normalise(text: Column, profile: str = "core", lemmas: bool = True) -> Column:
     """Normalised text of one profile: lower-case words, stopwords out, nouns singular."""
+    if not lemmas:
+        return F.array_join(PROFILES[profile](text), " ")
     return F.array_join(_each("transform", PROFILES[profile](text), lemma_sql("w")), " ")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from faultline import schema
 from faultline.functions.text import normalise, vector_words, with_bigrams
+from faultline.session import small_side
 
 # The vocabulary lives on the driver and in every task, so its size is a checked parameter.
 MAX_VOCABULARY = 20_000
@@ -25,6 +26,19 @@ def add_processed(df: DataFrame, text: str = "narrative", profile: str = "core")
     return df.withColumn("processed_text", normalise(F.col(text), profile))
 
 
+def lemmatise_by_table(words: DataFrame, lemmas: DataFrame, id_col: str, text: str = "words") -> DataFrame:
+    """(id, processed_text) with the nouns of a (word, lemma) dictionary, one row per word.
+
+    For dictionaries too big for an expression. The words of one row meet again by its id, so a
+    group is never larger than one text.
+    """
+    placed = words.select(id_col, F.posexplode(F.split(text, " ")).alias("_at", "word"))
+    known = placed.join(small_side(lemmas.select("word", "lemma"), "lemmas"), "word", "left")
+    entry = F.struct("_at", F.coalesce("lemma", "word").alias("lemma"))
+    ordered = known.groupBy(id_col).agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
+    return ordered.select(id_col, F.array_join("_entries.lemma", " ").alias("processed_text"))
+
+
 def with_terms(df: DataFrame, text: str = "processed_text", out: str = "terms") -> DataFrame:
     """Words and neighbouring pairs of a normalised text."""
     words = df.withColumn("_words", vector_words(F.coalesce(F.col(text), F.lit(""))))
@@ -39,7 +53,7 @@ def vocabulary(with_term_arrays: DataFrame, max_features: int = schema.MAX_FEATU
     """
     if max_features > MAX_VOCABULARY:
         raise ValueError(f"a vocabulary may hold at most {MAX_VOCABULARY} terms")
-    ordered = with_term_arrays.select(F.array_sort(terms).alias("_sorted"))
+    ordered = with_term_arrays.select(F.sort_array(terms).alias("_sorted"))
     flagged = F.transform(
         "_sorted",
         lambda term, i: F.struct(

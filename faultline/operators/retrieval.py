@@ -15,7 +15,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,12 @@ ROW_BLOCK = 1024
 RANK_DIGITS = 9
 
 
+def _normalised(df: DataFrame, text: str, profile: str) -> Column:
+    if profile == "core" and "processed_text" in df.columns:
+        return F.col("processed_text")
+    return normalise(F.col(text), profile)
+
+
 def build_index(
     corpus: DataFrame,
     model: TfidfModel,
@@ -39,12 +45,13 @@ def build_index(
 ) -> DataFrame:
     """One row per incident: its vector as two arrays and what an evidence entry shows.
 
-    Build one index per text profile. `snippet_chars=None` keeps the whole narrative.
+    Build one index per text profile. `snippet_chars=None` keeps the whole narrative. A corpus that
+    carries `processed_text` has it used for the core profile.
     """
     shown = F.col("narrative") if snippet_chars is None else snippet(F.col("narrative"), snippet_chars)
     rows = corpus.select(
         F.col(id_col).alias("incident_id"),
-        normalise(F.col("narrative"), profile).alias("processed_text"),
+        _normalised(corpus, "narrative", profile).alias("processed_text"),
         F.col("label"),
         F.coalesce("domain", F.lit("")).alias("domain"),
         shown.alias("snippet"),
@@ -66,7 +73,8 @@ def load_index(spark, path: str) -> DataFrame:
 def query_vectors(
     queries: DataFrame, model: TfidfModel, profile: str = "core", id_col: str = "query_id", text: str = "narrative"
 ) -> DataFrame:
-    rows = queries.select(F.col(id_col).alias("query_id"), normalise(F.col(text), profile).alias("processed_text"))
+    normalised = _normalised(queries, text, profile).alias("processed_text")
+    rows = queries.select(F.col(id_col).alias("query_id"), normalised)
     return sparse_parts(model.transform(rows).drop("processed_text"))
 
 

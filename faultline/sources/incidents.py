@@ -25,11 +25,17 @@ def normalise_columns(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*chosen)
 
 
-def load_incidents(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Read an incident table; raises FileNotFoundError when there is none."""
+def load_incidents(
+    spark: SparkSession, path: str, fmt: str = "parquet", multiline: bool = True
+) -> DataFrame:
+    """Read an incident table; raises FileNotFoundError when there is none.
+
+    A CSV whose narratives hold line breaks is read one task per file; without such breaks
+    `multiline=False` lets big files be split.
+    """
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.options(header=True, multiLine=True, quote='"', escape='"')
+        reader = reader.options(header=True, multiLine=multiline, quote='"', escape='"')
     try:
         return normalise_columns(reader.load(path))
     except AnalysisException as exc:
