@@ -20,6 +20,9 @@ from faultline.operators.split import folds
 from faultline.session import materialise, small_side
 
 
+ROWS_PER_GRADIENT = 5_000
+
+
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Balanced weight per class: rows / (classes * rows of the class)."""
     counts = label_counts(df, label)
@@ -65,6 +68,15 @@ def _fit(features: DataFrame, alpha: float, weighted: bool, max_iter: int):
     return model.fit(features)
 
 
+def _gathered(features: DataFrame, documents: int) -> DataFrame:
+    """Features in memory, in partitions of some thousand rows.
+
+    Every iteration each partition returns a dense gradient of classes x terms; partitions of a
+    few rows would spend their time on that.
+    """
+    return features.coalesce(max(1, -(-documents // ROWS_PER_GRADIENT))).persist()
+
+
 def _indexer(df: DataFrame):
     return StringIndexer(
         inputCol="label", outputCol="_label_no", stringOrderType="alphabetAsc", handleInvalid="keep"
@@ -94,7 +106,8 @@ def cross_validate(
         fit_rows = with_class_weights(spread_rows.filter(F.col("fold") != fold))
         indexer = _indexer(fit_rows)
         vectoriser = fit_tfidf(fit_rows, max_features=max_features)
-        fit_features = indexer.transform(vectoriser.transform(fit_rows)).select("features", "_label_no", "weight").persist()
+        vectors = indexer.transform(vectoriser.transform(fit_rows)).select("features", "_label_no", "weight")
+        fit_features = _gathered(vectors, vectoriser.documents)
         held_out = vectoriser.transform(spread_rows.filter(F.col("fold") == fold)).select("label", "features").persist()
         for alpha in alphas:
             for weighting in weightings:
@@ -129,7 +142,8 @@ def fit_classifier(
     rows = materialise(with_class_weights(kept), "training-rows")
     indexer = _indexer(rows)
     vectoriser = fit_tfidf(rows, max_features=max_features)
-    features = indexer.transform(vectoriser.transform(rows)).select("features", "_label_no", "weight").persist()
+    vectors = indexer.transform(vectoriser.transform(rows)).select("features", "_label_no", "weight")
+    features = _gathered(vectors, vectoriser.documents)
     model = _fit(features, alpha, class_weight == "balanced", max_iter)
     features.unpersist()
     to_name = IndexToString(inputCol="_predicted_no", outputCol="predicted_label", labels=list(indexer.labels))
