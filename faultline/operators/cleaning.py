@@ -23,6 +23,8 @@ def label_counts(df: DataFrame, label: str = "label") -> DataFrame:
 
 def top_labels(df: DataFrame, k: int = schema.TOP_LABELS, label: str = "label") -> DataFrame:
     """The k most frequent labels; the bucket label itself is no candidate."""
+    if k > MAX_KEPT_LABELS:
+        raise ValueError(f"at most {MAX_KEPT_LABELS} labels can be kept")
     return (
         label_counts(df.filter(F.col(label) != schema.OTHER), label)
         .orderBy(F.desc("n"), label)
@@ -35,17 +37,22 @@ def rare_labels(df: DataFrame, k: int = schema.TOP_LABELS, label: str = "label")
     return label_counts(df, label).join(top_labels(df, k, label).select(label), label, "left_anti")
 
 
+def replace_rare(df: DataFrame, kept: DataFrame, label: str = "label", domain: str | None = None) -> DataFrame:
+    """Replace labels that are not in `kept` by the bucket label, in one domain or everywhere.
+
+    `kept` comes from `top_labels`, so its size is bounded by a checked k.
+    """
+    names = F.broadcast(kept.select(F.col(label).alias("_kept")))
+    rare = F.col(label).isNotNull() & F.col("_kept").isNull()
+    if domain is not None:
+        rare = rare & (F.col("domain") == domain)
+    replaced = F.when(rare, schema.OTHER).otherwise(F.col(label))
+    return df.join(names, F.col(label) == F.col("_kept"), "left").withColumn(label, replaced).drop("_kept")
+
+
 def bucket_rare_labels(df: DataFrame, k: int = schema.TOP_LABELS, label: str = "label") -> DataFrame:
     """Replace every label outside the top k by the bucket label."""
-    if k > MAX_KEPT_LABELS:
-        raise ValueError(f"at most {MAX_KEPT_LABELS} labels can be kept")
-    kept = F.broadcast(top_labels(df, k, label).select(F.col(label).alias("_kept")))
-    bucketed = F.when(F.col(label).isNotNull(), F.coalesce("_kept", F.lit(schema.OTHER)))
-    return (
-        df.join(kept, F.col(label) == F.col("_kept"), "left")
-        .withColumn(label, bucketed)
-        .drop("_kept")
-    )
+    return replace_rare(df, top_labels(df, k, label), label)
 
 
 def tag_domain(df: DataFrame, domain: str) -> DataFrame:
@@ -101,20 +108,23 @@ def merge_domains(
 ) -> DataFrame:
     """The clean incident table of (incident_id, narrative, label) frames of both domains.
 
-    Aviation labels are reduced to their primary one and bucketed before any row is dropped; on
+    Aviation labels are reduced to their primary one. Which of them are rare is decided before any
+    row is dropped; they are replaced last, so finding copies has no need of the label counts. On
     equal narratives the aviation row, then the lowest id, stays.
     """
-    frames = []
+    frames, kept_labels = [], None
     if aviation is not None:
         primary = aviation.withColumn("label", primary_label(F.col("label")))
-        frames.append(tag_domain(bucket_rare_labels(primary, k), schema.AVIATION).withColumn("_rank", F.lit(0)))
+        kept_labels = top_labels(primary, k)
+        frames.append(tag_domain(primary, schema.AVIATION).withColumn("_rank", F.lit(0)))
     if power is not None:
         frames.append(tag_domain(power, schema.POWER).withColumn("_rank", F.lit(1)))
     if not frames:
         raise RuntimeError("no source to merge")
     merged = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
-    kept = drop_short(drop_incomplete(merged), min_chars)
-    return first_of_each_text(kept, ["_rank", "incident_id"]).drop("_rank")
+    complete = drop_short(drop_incomplete(merged), min_chars)
+    unique = first_of_each_text(complete, ["_rank", "incident_id"]).drop("_rank")
+    return unique if kept_labels is None else replace_rare(unique, kept_labels, domain=schema.AVIATION)
 
 
 def domain_counts_row(df: DataFrame) -> DataFrame:
