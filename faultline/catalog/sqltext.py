@@ -11,9 +11,9 @@ def _in(items) -> str:
 
 
 def core_tokens(column: str) -> str:
-    spaced = f"regexp_replace(lower({column}), {quoted(text.SEPARATORS)}, ' ', 'g')"
+    spaced = f"translate(lower({column}), {quoted(text.SEPARATORS)}, {quoted(' ' * len(text.SEPARATORS))})"
+    spaced = f"replace(replace({spaced}, '--', ' '), '...', ' ')"
     spaced = f"regexp_replace({spaced}, {quoted(text.COMMA_OR_COLON)}, ' \\2', 'g')"
-    spaced = f"regexp_replace({spaced}, {quoted(text.SPACES)}, ' ', 'g')"
     spaced = f"regexp_replace({spaced}, {quoted(text.CLOSING)}, '\\1', 'g')"
     spaced = f"regexp_replace({spaced}, {quoted(text.JOINED_WORDS)}, '\\1 \\2', 'g')"
     return (

@@ -15,9 +15,14 @@ from faultline.functions import lexicon
 from faultline.functions.matching import in_words, quoted
 
 SPACES = r"[\p{Z}\s]+"
-SEPARATORS = r'[;@#$%&?!\[\](){}<>"«»“”„‘’…`]|--|\.\.\.'
+# Characters that stand alone between words, white space of every kind among them.
+SEPARATORS = (
+    ";@#$%&?![](){}<>\"«»“”„‘’…`"
+    "\t\n\r\f\x0b\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 COMMA_OR_COLON = r"([:,])([^0-9])"
-CLOSING = r"(?:n't|'s|'m|'d|'ll|'re|'ve|'|\.|:|,)+( |$)"
+CLOSING = r"(?:'(?:s|m|d|ll|re|ve)?|n't|[.:,])+( |$)"
 WORD = r"^[\p{L}\p{N}]+$"
 JOINED_WORDS = r"\b(can|gim|gon|got|lem|wan)(not|me|na|ta)\b"
 LINE_BREAK = r"\r\n|[\n\r\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
@@ -37,12 +42,16 @@ def snippet(text: Column, limit: int) -> Column:
 def lemma_sql(word: str) -> str:
     """SQL text: singular form of an English noun by suffix rules, irregular nouns first."""
     pairs = ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in lexicon.IRREGULAR_NOUNS.items())
+    es_plural = " OR ".join(f"endswith({word}, '{end}')" for end in ("sses", "xes", "zes", "ches", "shes"))
+    no_plural = " OR ".join(f"endswith({word}, '{end}')" for end in ("ss", "is", "us"))
     return f"""
         CASE WHEN {in_words(word, list(lexicon.IRREGULAR_NOUNS))} THEN element_at(map({pairs}), {word})
-             WHEN endswith({word}, 'ies') AND length({word}) >= 5 THEN left({word}, length({word}) - 3) || 'y'
-             WHEN {word} RLIKE '(?:ss|x|z|ch|sh)es$' THEN left({word}, length({word}) - 2)
+             WHEN endswith({word}, 's') THEN
+                 CASE WHEN endswith({word}, 'ies') AND length({word}) >= 5 THEN left({word}, length({word}) - 3) || 'y'
+                      WHEN {es_plural} THEN left({word}, length({word}) - 2)
+                      WHEN length({word}) >= 4 AND NOT ({no_plural}) THEN left({word}, length({word}) - 1)
+                      ELSE {word} END
              WHEN endswith({word}, 'men') AND length({word}) >= 5 THEN left({word}, length({word}) - 3) || 'man'
-             WHEN length({word}) >= 4 AND {word} RLIKE '[^siu]s$' THEN left({word}, length({word}) - 1)
              ELSE {word} END
     """
 
@@ -54,9 +63,10 @@ def _each(function: str, array: Column, body: str) -> Column:
 
 def core_tokens(text: Column) -> Column:
     """Words of a narrative: punctuation split off, purely alphanumeric tokens kept."""
-    spaced = F.regexp_replace(F.lower(text), SEPARATORS, " ")
+    spaced = F.translate(F.lower(text), SEPARATORS, " " * len(SEPARATORS))
+    for run in ("--", "..."):
+        spaced = F.replace(spaced, F.lit(run), F.lit(" "))
     spaced = F.regexp_replace(spaced, COMMA_OR_COLON, " $2")
-    spaced = F.regexp_replace(spaced, SPACES, " ")
     spaced = F.regexp_replace(spaced, CLOSING, "$1")
     spaced = F.regexp_replace(spaced, JOINED_WORDS, "$1 $2")
     wanted = f"w RLIKE {quoted(WORD)} AND NOT {in_words('w', lexicon.STOPWORDS)}"
