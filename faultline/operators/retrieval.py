@@ -10,24 +10,19 @@ Ties go to the lower id. A query without any known term gets the lowest ids at s
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from functools import partial
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline import schema
 from faultline.functions.text import normalise, snippet
+from faultline.operators import scoring
 from faultline.operators.features import TfidfModel, sparse_parts
 from faultline.operators.requests import check_parameters
 from faultline.session import read_latest, shared_folder, write_version
 
 QUERY_BLOCK = 1024
 ROW_BLOCK = 1024
-RANK_DIGITS = 9
 
 
 def _normalised(df: DataFrame, text: str, profile: str) -> Column:
@@ -78,80 +73,6 @@ def query_vectors(
     return sparse_parts(model.transform(rows).drop("processed_text"))
 
 
-def _sparse_rows(part: pd.DataFrame, lookup: np.ndarray, width: int) -> np.ndarray:
-    """Dense rows over the columns the query block uses."""
-    sizes = part["indices"].map(len).to_numpy()
-    rows = np.repeat(np.arange(len(part)), sizes)
-    terms = np.concatenate(part["indices"].to_list() or [np.empty(0, int)]).astype(int)
-    values = np.concatenate(part["values"].to_list() or [np.empty(0)])
-    columns = lookup[terms]
-    used = columns >= 0
-    dense = np.zeros((len(part), width))
-    dense[rows[used], columns[used]] = values[used]
-    return dense
-
-
-def _dense_rows(part: pd.DataFrame) -> np.ndarray:
-    """Unit rows of an array column."""
-    rows = np.stack(part["embedding"].to_list()).astype(float)
-    norms = np.linalg.norm(rows, axis=1, keepdims=True)
-    return rows / np.where(norms == 0, 1.0, norms)
-
-
-def _local_top_k(
-    batches: Iterable[pd.DataFrame], block, k: int, shown: list[str]
-) -> Iterator[pd.DataFrame]:
-    """The best k rows of one partition for each query of the block."""
-    query_ids, matrix, to_rows = block.value
-    best_sim = best_id = None
-    entries: dict = {}
-    for batch in batches:
-        for start in range(0, len(batch), ROW_BLOCK):
-            part = batch.iloc[start : start + ROW_BLOCK].sort_values("incident_id")
-            ids = np.array(part["incident_id"].to_list())
-            sims = np.round(to_rows(part) @ matrix, RANK_DIGITS) + 0.0
-            top = np.argsort(-sims, axis=0, kind="stable")[:k]
-            sim, found = np.take_along_axis(sims, top, axis=0), ids[top]
-            if best_sim is not None:
-                sim, found = np.vstack([best_sim, sim]), np.vstack([best_id, found])
-                order = np.lexsort((found, -sim), axis=0)[:k]
-                sim, found = np.take_along_axis(sim, order, axis=0), np.take_along_axis(found, order, axis=0)
-            best_sim, best_id = sim, found
-            winners = set(np.unique(found).tolist())
-            entries = {i: entry for i, entry in entries.items() if i in winners}
-            won = part.loc[np.isin(ids, list(winners)), ["incident_id", *shown]]
-            entries.update((entry[0], entry) for entry in won.itertuples(index=False, name=None))
-    if best_sim is None:
-        return
-    depth = best_sim.shape[0]
-    rows = [entries[i] for i in best_id.T.ravel().tolist()]
-    out = pd.DataFrame(rows, columns=["incident_id", *shown])
-    out.insert(0, "query_id", np.repeat(np.array(query_ids, dtype=object), depth))
-    out["similarity"] = best_sim.T.ravel()
-    yield out
-
-
-def _query_matrix(rows: list) -> tuple:
-    """(query ids, columns x queries, row builder) of a block of sparse query vectors."""
-    used = sorted({int(i) for row in rows for i in row["indices"]})
-    size = (used[-1] + 1) if used else 1
-    position = {term: column for column, term in enumerate(used)}
-    matrix = np.zeros((max(len(used), 1), len(rows)))
-    for q, row in enumerate(rows):
-        for i, value in zip(row["indices"], row["values"]):
-            matrix[position[int(i)], q] = value
-    lookup = np.full(max(size, schema.MAX_FEATURES * 4), -1)
-    for term, column in position.items():
-        lookup[term] = column
-    builder = partial(_sparse_rows, lookup=lookup, width=matrix.shape[0])
-    return [row["query_id"] for row in rows], matrix, builder
-
-
-def _dense_matrix(rows: list) -> tuple:
-    frame = pd.DataFrame({"embedding": [np.asarray(row["embedding"], dtype=float) for row in rows]})
-    return [row["query_id"] for row in rows], _dense_rows(frame).T, _dense_rows
-
-
 def _rank(local: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "incident_id")
     return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -159,6 +80,7 @@ def _rank(local: DataFrame, k: int) -> DataFrame:
 
 def _top_k(queries: DataFrame, index: DataFrame, k: int, vector_cols: list[str], to_block) -> DataFrame:
     spark = index.sparkSession
+    scoring.travel_with_tasks()
     shown = [name for name in index.columns if name not in ("incident_id", *vector_cols)]
     out_schema = T.StructType(
         [T.StructField("query_id", queries.schema["query_id"].dataType)]
@@ -167,9 +89,10 @@ def _top_k(queries: DataFrame, index: DataFrame, k: int, vector_cols: list[str],
     )
 
     def scored(rows: list) -> DataFrame:
-        block = spark.sparkContext.broadcast(to_block(rows))
+        block = spark.sparkContext.broadcast(([row["query_id"] for row in rows], *to_block(rows)))
+        row_block, score = ROW_BLOCK, scoring.local_top_k
         local = index.select("incident_id", *vector_cols, *shown).mapInPandas(
-            lambda batches: _local_top_k(batches, block, k, shown), out_schema
+            lambda batches: score(batches, *block.value, k, shown, row_block), out_schema
         )
         return _rank(local, k)
 
@@ -189,19 +112,27 @@ def _top_k(queries: DataFrame, index: DataFrame, k: int, vector_cols: list[str],
     return spark.read.parquet(path)
 
 
+def _sparse_block(rows: list) -> tuple:
+    return scoring.sparse_matrix([(row["indices"], row["values"]) for row in rows])
+
+
+def _dense_block(rows: list) -> tuple:
+    return None, scoring.unit_rows(row["embedding"] for row in rows).T
+
+
 def top_evidence(queries: DataFrame, index: DataFrame, k: int = schema.EVIDENCE_TOP_K) -> DataFrame:
     """(query_id, rank, similarity, incident_id, label, domain, snippet) of the k nearest incidents.
 
     `queries` has one row per query id with the vector of `query_vectors`.
     """
     check_parameters(top_k=k)
-    return _top_k(queries, index, k, ["indices", "values"], _query_matrix)
+    return _top_k(queries, index, k, ["indices", "values"], _sparse_block)
 
 
 def top_dense(queries: DataFrame, vectors: DataFrame, k: int = schema.EVIDENCE_TOP_K) -> DataFrame:
     """The same over an `embedding` array column instead of term vectors."""
     check_parameters(top_k=k)
-    return _top_k(queries, vectors, k, ["embedding"], _dense_matrix)
+    return _top_k(queries, vectors, k, ["embedding"], _dense_block)
 
 
 def evidence_arrays(ranked: DataFrame) -> DataFrame:

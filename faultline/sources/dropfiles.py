@@ -26,9 +26,17 @@ def _wanted(df: DataFrame) -> DataFrame:
     return df.filter(~F.lower("file_name").startswith("readme") & ~F.col("file_name").startswith("."))
 
 
-def read_lines(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
+def _reader(spark: SparkSession, stream: bool, max_files: int | None):
+    if not stream:
+        return spark.read
+    return spark.readStream if max_files is None else spark.readStream.option("maxFilesPerTrigger", max_files)
+
+
+def read_lines(
+    spark: SparkSession, folder: str, stream: bool = False, max_files: int | None = None
+) -> DataFrame:
     """Lines of the CSV files of a folder with the file and block they come from."""
-    reader = spark.readStream if stream else spark.read
+    reader = _reader(spark, stream, max_files)
     lines = reader.format("text").option("pathGlobFilter", CSV_GLOB).load(folder)
     return _wanted(
         lines.select(
@@ -40,9 +48,11 @@ def read_lines(spark: SparkSession, folder: str, stream: bool = False) -> DataFr
     )
 
 
-def read_texts(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
+def read_texts(
+    spark: SparkSession, folder: str, stream: bool = False, max_files: int | None = None
+) -> DataFrame:
     """Whole TXT files, one report each."""
-    reader = spark.readStream if stream else spark.read
+    reader = _reader(spark, stream, max_files)
     texts = reader.format("text").option("wholetext", True).option("pathGlobFilter", TXT_GLOB).load(folder)
     return _wanted(texts.select("value", F.col("_metadata.file_name").alias("file_name")))
 
@@ -130,10 +140,10 @@ def txt_incidents(texts: DataFrame) -> DataFrame:
     return _as_incident(rows.filter("narrative <> ''"), F.col("file_name"))
 
 
-def mixed_stream(spark: SparkSession, folder: str) -> DataFrame:
+def mixed_stream(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
     """CSV lines and TXT files of a watched folder as one stream."""
-    lines = read_lines(spark, folder, stream=True).withColumn("value", F.lit(None).cast("string"))
-    texts = read_texts(spark, folder, stream=True).withColumns(
+    lines = read_lines(spark, folder, True, max_files).withColumn("value", F.lit(None).cast("string"))
+    texts = read_texts(spark, folder, True, max_files).withColumns(
         {
             "line": F.lit(None).cast("string"),
             "file_path": F.lit(None).cast("string"),

@@ -45,9 +45,12 @@ class Feed:
     baseline: bool = False
 
 
-def watch_feed(folder: str, name: str = "watch") -> Feed:
-    """CSV and TXT files dropped into a folder. A file is read once, under the name it came with."""
-    return Feed(name, lambda spark: dropfiles.mixed_stream(spark, folder), dropfiles.mixed_incidents)
+def watch_feed(folder: str, name: str = "watch", max_files: int | None = None) -> Feed:
+    """CSV and TXT files dropped into a folder. A file is read once, under the name it came with.
+
+    `max_files` bounds a batch when a large backlog is waiting.
+    """
+    return Feed(name, lambda spark: dropfiles.mixed_stream(spark, folder, max_files), dropfiles.mixed_incidents)
 
 
 def accident_feed(path: str, name: str = "accidents") -> Feed:

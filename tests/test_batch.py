@@ -2,9 +2,12 @@ from pyspark.sql import functions as F
 
 from faultline import schema
 from faultline.catalog import views
+from faultline.operators.classifier import load_model
 from faultline.plans import batch
 from faultline.session import read_latest
+from faultline.sources.alerts import parse_alert_log
 from faultline.sources.incidents import normalise_columns
+from faultline.streaming import monitor
 
 
 def test_batch_job(spark, tmp_path):
@@ -30,6 +33,16 @@ def test_batch_job(spark, tmp_path):
     assert not trained_on & {r["incident_id"] for r in explained.collect()}
     record = {r["setting"]: r["value"] for r in tables["training"].collect()}
     assert record["cv_folds"] == "2" and int(record["n_train"]) > int(record["n_test"]) > 0
+    drop = tmp_path / "drop"
+    drop.mkdir()
+    (drop / "a.csv").write_text("id,narrative\nA,engine fire after takeoff\nB,paperwork completed today\n")
+    (drop / "b.txt").write_text("smoke odor in cockpit")
+    scorer = monitor.model_scorer(spark, load_model(spark, f"{root}/model"), f"{root}/index")
+    feed = monitor.watch_feed(str(drop), max_files=1)
+    assert monitor.scan_once(spark, [feed], scorer, f"{root}/monitor") == 3
+    alerts = parse_alert_log(monitor.read_alerts(spark, f"{root}/monitor")).collect()
+    assert {"A", "b.txt"} <= {r["incident_id"] for r in alerts}
+    assert all(len(r["evidence"]) == 3 and r["predicted_label"] for r in alerts)
     # Unforced, the stored table is used; a domain whose source is silent keeps its stored rows.
     again = batch.build_incidents(spark, root, None, None)
     assert again.count() == totals["total_reports"]
