@@ -79,7 +79,7 @@ def _gathered(features: DataFrame, documents: int) -> DataFrame:
 
 def _indexer(df: DataFrame):
     return StringIndexer(
-        inputCol="label", outputCol="_label_no", stringOrderType="alphabetAsc", handleInvalid="keep"
+        inputCol="label", outputCol="_label_no", stringOrderType="alphabetAsc"
     ).fit(df)
 
 

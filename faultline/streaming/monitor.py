@@ -115,7 +115,11 @@ def first_of_each_key(incidents: DataFrame) -> DataFrame:
 
 
 def drop_seen(stream: DataFrame, key: str = "key", time_col: str | None = None, within: str | None = None) -> DataFrame:
-    """Duplicates dropped inside a stream by Spark's own state: for ever, or within a time bound."""
+    """Duplicates dropped inside a stream by Spark's own state: for ever, or within a time bound.
+
+    For streams that end elsewhere than in the alert log. Every row travels to the task that holds
+    its key's state; the monitor itself reduces a batch to one row per key before it shuffles.
+    """
     if within is None:
         return stream.dropDuplicates([key])
     return stream.withWatermark(time_col, within).dropDuplicatesWithinWatermark([key])

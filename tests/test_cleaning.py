@@ -41,6 +41,31 @@ def test_one_text_in_a_third_of_all_rows(spark):
     assert cleaning.keep_first(frame, "narrative", ["incident_id"]).count() == 20_001
 
 
+def test_join_sides_too_big_to_broadcast_give_the_same_rows(spark, monkeypatch):
+    from faultline import session
+    from faultline.operators import split
+
+    frame = spark.range(5000).select(
+        F.col("id").alias("incident_id"),
+        F.when(F.col("id") % 3 == 0, "copy").otherwise((F.col("id") % 1700).cast("string")).alias("narrative"),
+        (F.col("id") % 5).cast("string").alias("label"),
+    )
+
+    def rows():
+        kept = {r["incident_id"] for r in cleaning.first_of_each_text(frame, ["incident_id"]).collect()}
+        test = {r["incident_id"] for r in split.train_test(frame).filter("split = 'test'").collect()}
+        return kept, test
+
+    small = rows()
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert rows() == small
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(small[1]) == 1000
+
+
 def test_repeated_texts_do_not_shuffle_the_table(spark, tmp_path):
     spark.range(1000).selectExpr("id as incident_id", "cast(id % 900 as string) as narrative").write.parquet(str(tmp_path / "t"))
     kept = cleaning.first_of_each_text(spark.read.parquet(str(tmp_path / "t")), ["incident_id"])
