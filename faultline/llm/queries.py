@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import mixing, packing, sharding
+from faultline.llm import mixing, packing, quality, rules, sharding
 from faultline.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,14 @@ def op9_packing(spark, sf_dir):
 @query("op10_sharding")
 def op10_sharding(spark, sf_dir):
     return sharding.assign(table(spark, sf_dir, "documents"), shared_folder(spark, "slot-map"))
+
+
+@query("op3_quality_classifier")
+def op3_quality_classifier(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_quality_rules")
+def op4_quality_rules(spark, sf_dir):
+    judged = rules.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *rules.COUNTS, "base_failed", "kept")
