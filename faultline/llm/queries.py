@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from faultline.llm import mixing, packing, quality, rules, sharding
+from faultline.llm import mixing, packing, quality, rules, sharding, simhash
 from faultline.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +94,10 @@ def op3_quality_classifier(spark, sf_dir):
 def op4_quality_rules(spark, sf_dir):
     judged = rules.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *rules.COUNTS, "base_failed", "kept")
+
+
+@query("op5_simhash")
+def op5_simhash(spark, sf_dir):
+    return simhash.classes(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
