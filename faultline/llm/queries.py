@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import mixing, packing, quality, rules, sharding, simhash
+from faultline.llm import mixing, packing, pii, quality, rules, sharding, simhash
 from faultline.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,8 @@ def op5_simhash(spark, sf_dir):
     return simhash.classes(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+@query("op7_pii")
+def op7_pii(spark, sf_dir):
+    return pii.scan(table(spark, sf_dir, "documents"))
