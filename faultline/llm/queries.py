@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import mixing, packing, pii, quality, rules, sharding, simhash
+from faultline.llm import mixing, packing, pii, quality, rules, sharding, simhash, suffixes
 from faultline.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,8 @@ def op5_simhash(spark, sf_dir):
 @query("op7_pii")
 def op7_pii(spark, sf_dir):
     return pii.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark, sf_dir):
+    return suffixes.dedup(table(spark, sf_dir, "documents"))
