@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import mixing, packing, pii, quality, rules, sharding, simhash, suffixes
+from faultline.llm import ann, mixing, packing, pii, quality, rules, sharding, simhash, suffixes
 from faultline.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ def op7_pii(spark, sf_dir):
 @query("op6_suffix_dedup")
 def op6_suffix_dedup(spark, sf_dir):
     return suffixes.dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op1_nearest")
+def op1_nearest(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
