@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import ann, mixing, packing, pii, quality, rules, sharding, simhash, suffixes
+from faultline.llm import ann, mixing, packing, pii, quality, rules, sharding, simhash, suffixes, tokencounts
 from faultline.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ def op6_suffix_dedup(spark, sf_dir):
 @query("op1_nearest")
 def op1_nearest(spark, sf_dir):
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark, sf_dir):
+    return tokencounts.counted(table(spark, sf_dir, "documents"))

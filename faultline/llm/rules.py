@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultline.llm import textstats
 from faultline.session import materialise
@@ -35,12 +36,8 @@ ERROR = 0.05
 LEAST_WORDS = 20
 MOST_REPEATS = 30
 
-STATISTICS = (
-    "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, " + ", ".join(f"{rule} int" for rule in RULES)
-)
-FIELDS = [part.split()[0] for part in STATISTICS.split(", ")]
-COUNTS = FIELDS[2:7]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+FIELDS = ["doc_id", "lang", *COUNTS, *RULES]
 
 
 def grid(part: int, whole: int, steps: int = STEPS) -> int:
@@ -62,19 +59,34 @@ def document_statistics(text: str | None) -> list[int]:
     return [n, chars, symbols, copied, repeats, *shares]
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """One row of statistics for each row of `docs`."""
+def statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """One row of statistics for each row of `docs`; with `carry`, its columns too, as _in0, _in1, ..."""
+    columns = docs.columns
+    text, lang, doc_id = (columns.index(c) for c in ("text", "lang", "doc_id"))
+    held = docs.toDF(*[f"_in{i}" for i in range(len(columns))])
+    wanted = list(range(len(columns))) if carry else [text, lang, doc_id]
+    held = held.select(*[f"_in{i}" for i in wanted])
+    counted = T.StructType(list(held.schema.fields[0 if carry else 1 :]))
+    for name in FIELDS[2:]:
+        counted = counted.add(name, T.LongType() if name in COUNTS else T.IntegerType())
+    place = held.columns.index(f"_in{text}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [document_statistics(text) for text in batch.column("text").to_pylist()]
-            columns = list(zip(*rows, strict=True)) or [()] * (len(FIELDS) - 2)
+            rows = [document_statistics(t) for t in batch.column(place).to_pylist()]
+            found = list(zip(*rows, strict=True)) or [()] * (len(FIELDS) - 2)
             kinds = [pa.int64()] * len(COUNTS) + [pa.int32()] * len(RULES)
-            arrays = [pa.array(c, type=kind) for c, kind in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *arrays], names=FIELDS)
+            new = [pa.array(c, type=kind) for c, kind in zip(found, kinds, strict=True)]
+            old = batch.columns if carry else batch.columns[1:]
+            names = batch.schema.names if carry else batch.schema.names[1:]
+            yield pa.RecordBatch.from_arrays([*old, *new], names=[*names, *FIELDS[2:]])
 
-    columns = ("cast(doc_id as long) doc_id", "cast(text as string) text", "cast(lang as string) lang")
-    return docs.selectExpr(*columns).mapInArrow(run, STATISTICS)
+    out = held.mapInArrow(run, counted)
+    keys = [
+        F.col(f"_in{doc_id}").cast("long").alias("doc_id"), F.col(f"_in{lang}").cast("string").alias("lang")
+    ]
+    carried = [f"_in{i}" for i in wanted] if carry else []
+    return out.select(*keys, *FIELDS[2:], *carried)
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -149,7 +161,7 @@ def cutoffs(
 
 def judge(stats: DataFrame, limits: DataFrame) -> DataFrame:
     """Statistics with `base_failed` and `kept`. `limits` has one row per stratum; its plan decides how it is joined."""
-    limits = limits.withColumnRenamed("lang", "stratum")
+    limits = limits.withColumnRenamed("lang", "stratum").select("stratum", *[f"{rule}_cutoff" for rule in RULES])
     judged = stats.join(limits, F.col("lang").eqNullSafe(F.col("stratum")), "left")
     broken = F.lit(False)
     for rule in RULES:
@@ -162,3 +174,11 @@ def verdicts(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, the rules' statistics and cutoffs of every row."""
     stats = materialise(statistics(docs), "rule-statistics")
     return judge(stats, materialise(cutoffs(stats, labels, **options), "rule-cutoffs")).drop("stratum")
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` that pass, with the columns they came with."""
+    stats = materialise(statistics(docs, carry=True), "rule-documents")
+    limits = materialise(cutoffs(stats, labels, **options), "rule-cutoffs")
+    passed = judge(stats, limits).filter("kept")
+    return passed.select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(docs.columns)])

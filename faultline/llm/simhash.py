@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from faultline.session import materialise
 
@@ -64,16 +65,17 @@ def signed(value: int) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, fp (the fingerprint as a signed long) and digest (of the text) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [signed(fingerprint(text)) for text in batch.column("text").to_pylist()]
-            arrays = [batch.column("doc_id"), pa.array(found, type=pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "fp"])
+            arrays = [batch.column("doc_id"), pa.array(found, type=pa.int64()), batch.column("digest")]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "fp", "digest"])
 
     columns = ("cast(doc_id as long) doc_id", "cast(text as string) text")
-    return docs.selectExpr(*columns).mapInArrow(run, "doc_id long, fp long")
+    held = docs.selectExpr(*columns).withColumn("digest", F.xxhash64("text"))
+    return held.mapInArrow(run, "doc_id long, fp long, digest long")
 
 
 # ---- bit-sliced comparison
@@ -353,7 +355,7 @@ def _mark(edges: DataFrame):
 
 
 def classes(docs: DataFrame, most: int = MOST_IN_BUCKET) -> DataFrame:
-    """doc_id, fp and component_id (least doc_id reachable) of every row."""
+    """doc_id, fp, digest, component_id (least doc_id reachable) and component (its node) of every row."""
     rows = materialise(fingerprints(docs), "simhash-rows")
     # Equal fingerprints are one node, so a text copied into a third of all rows is one node.
     nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
@@ -363,5 +365,18 @@ def classes(docs: DataFrame, most: int = MOST_IN_BUCKET) -> DataFrame:
     star = components(edges, nodes.select("fp", rank.alias("rank")))
     named = nodes.select("fp", rank.alias("rank")).join(star.toDF("rank", "top"), "rank", "left")
     top = F.coalesce("top", "rank")
-    labels = named.select("fp", F.when(~top["unnamed"], top["id"]).alias("component_id"))
-    return rows.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = named.select("fp", F.when(~top["unnamed"], top["id"]).alias("component_id"), top["fp"].alias("component"))
+    return rows.join(labels, "fp").select("doc_id", "fp", "digest", "component_id", "component")
+
+
+def one_of_each(docs: DataFrame, most: int = MOST_IN_BUCKET) -> DataFrame:
+    """The rows of `docs` with the least id of their component; of rows equal in id and text, one."""
+    columns = docs.columns
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("first")
+    keepers = classes(docs, most).groupBy("component").agg(first)
+    keepers = materialise(keepers.select("first.doc_id", "first.digest").toDF("_kept_id", "_kept_digest"), "simhash-kept")
+    keyed = docs.withColumn("_digest", F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest"))
+    left = keyed.join(keepers, same, "left_semi")
+    rank = F.row_number().over(Window.partitionBy("doc_id", "_digest").orderBy("source"))
+    return left.withColumn("_rank", rank).filter("_rank = 1").select(*columns)
