@@ -43,6 +43,7 @@ MOST_IN_BUCKET = 2000
 LAST_ID = (1 << 63) - 1
 BASE = 0x9E3779B97F4A7C15
 INDEX_BITS = 23
+SENT = pa.schema([("bucket", pa.int32()), ("covered", pa.bool_()), ("records", pa.binary())])
 RECORD = np.dtype(
     [("gram", "<u8"), ("stretch", "<u8"), ("did", "<i8"), ("dig", "<u4"), ("lo", "<u4"), ("more", "u1")]
 )
@@ -178,8 +179,7 @@ def _reach(rec: np.ndarray) -> np.ndarray:
 
 def first_pass(texts: DataFrame, most: int) -> DataFrame:
     """Ranges known to be covered, and the stretches whose bytes must be looked at (requests)."""
-    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * partitions
+    buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in enumerate(batches):
@@ -190,49 +190,43 @@ def first_pass(texts: DataFrame, most: int) -> DataFrame:
             bucket = (kept["gram"] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             kept, cuts = kept[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-            names, blobs = [], []
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                names.append(b)
-                blobs.append(kept[cuts[b] : cuts[b + 1]].tobytes())
+            # one row of packed records for each partition they go to
+            names = np.flatnonzero(np.diff(cuts)).tolist()
+            blobs = [kept[cuts[b] : cuts[b + 1]].tobytes() for b in names]
+            covered = [False] * len(names)
             if len(later):
-                names.append(-1 - number % buckets)
+                names.append(number % buckets)
                 blobs.append(later.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, type=pa.int32()), pa.array(blobs, type=pa.binary())], names=["bucket", "records"]
-            )
+                covered.append(True)
+            arrays = [pa.array(names, type=pa.int32()), pa.array(covered), pa.array(blobs, type=pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, schema=SENT)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rec in _by_bucket(batches):
-            if bucket < 0:
-                yield _marks(rec["did"], rec["dig"], rec["lo"], _reach(rec))
-                continue
-            kept, later = earliest(rec)
-            if len(later):
-                yield _marks(later["did"], later["dig"], later["lo"], _reach(later))
-            gram = kept["gram"]
-            starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
-            sizes = np.diff(np.append(starts, len(kept)))
-            each = np.repeat(sizes, sizes)
-            asked = kept[each > 1]
-            if len(asked):
-                dig, lo = asked["dig"].astype(np.int64), asked["lo"].astype(np.int64)
-                yield _found(True, each[each > 1] > most, asked["gram"].copy(), asked["did"], dig, lo, _reach(asked))
-
-    sent = texts.select("did", "dig", "text").mapInArrow(send, "bucket int, records binary")
-    return sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, FOUND)
-
-
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
-    bucket, blobs = None, []
-    for batch in batches:
-        for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("records").to_pylist(), strict=True):
-            if b != bucket and blobs:
-                yield bucket, np.frombuffer(b"".join(blobs), dtype=RECORD)
-                blobs = []
-            bucket = b
-            blobs.append(blob)
-    if blobs:
-        yield bucket, np.frombuffer(b"".join(blobs), dtype=RECORD)
+        blobs: list[bytes] = []
+        for batch in batches:
+            for covered, blob in zip(batch.column("covered").to_pylist(), batch.column("records").to_pylist(), strict=True):
+                if covered:
+                    rec = np.frombuffer(blob, dtype=RECORD)
+                    yield _marks(rec["did"], rec["dig"], rec["lo"], _reach(rec))
+                else:
+                    blobs.append(blob)
+        rec = np.frombuffer(b"".join(blobs), dtype=RECORD)
+        del blobs
+        kept, later = earliest(rec)
+        if len(later):
+            yield _marks(later["did"], later["dig"], later["lo"], _reach(later))
+        gram = kept["gram"]
+        starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
+        sizes = np.diff(np.append(starts, len(kept)))
+        each = np.repeat(sizes, sizes)
+        asked = kept[each > 1]
+        if len(asked):
+            dig, lo = asked["dig"].astype(np.int64), asked["lo"].astype(np.int64)
+            yield _found(True, each[each > 1] > most, asked["gram"].copy(), asked["did"], dig, lo, _reach(asked))
+
+    sent = texts.select("did", "dig", "text").mapInArrow(send, "bucket int, covered boolean, records binary")
+    # a bucket is a partition: what a task holds is its share of all records, some MB at a time
+    return sent.repartitionById(buckets, "bucket").mapInArrow(settle, FOUND)
 
 
 def buckets_at_depth(raw: np.ndarray, starts: np.ndarray, depth: int = LENGTH) -> np.ndarray:
