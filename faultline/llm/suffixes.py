@@ -239,19 +239,20 @@ def buckets_at_depth(raw: np.ndarray, starts: np.ndarray, depth: int = LENGTH) -
     padded = np.zeros(n + 8, dtype=np.uint8)
     padded[:n] = raw
     eight = np.lib.stride_tricks.as_strided(padded, shape=(n, 8), strides=(1, 1)).copy().view("<u8")[:, 0]
-    _, number = np.unique(eight, return_inverse=True)
+    words, number = np.unique(eight, return_inverse=True)
     number = number.astype(np.int64)
-    done = 8
+    base, done = len(words), 8
+    open_ = np.arange(n)
     while done < depth:
         step = min(done, depth - done)
-        counts = np.bincount(number)
-        open_ = np.flatnonzero(counts[number] > 1)
-        open_ = open_[open_ + step < n]
-        _, fresh = np.unique(number[open_] * (len(counts) + 1) + number[open_ + step], return_inverse=True)
-        number = number.copy()
-        number[open_] = len(counts) + fresh
-        # numbers stay below twice the number of places
-        _, number = np.unique(number, return_inverse=True)
+        # places alone in their bucket keep their number and are looked at no more
+        counts = np.bincount(number[open_], minlength=base)
+        open_ = open_[(counts[number[open_]] > 1) & (open_ + step < n)]
+        _, fresh = np.unique(number[open_] * base + number[open_ + step], return_inverse=True)
+        changed = number.copy()
+        changed[open_] = base + fresh
+        base += len(open_)
+        number = changed
         done += step
     return number[starts]
 
