@@ -93,7 +93,7 @@ _AUDIT = """
            (select round(max(n) / greatest(1, min(n)), 6) from classes) as imbalance,
            (select count(distinct word) from (
                select unnest(string_split_regex(lower(narrative), '\\s+')) as word from (
-                   select narrative from bucketed where narrative is not null order by incident_id limit 200) f
+                   select narrative from bucketed where narrative is not null) f
            ) w) as vocabulary
 """
 _CLASSES = "select label, count(*) as n from bucketed where label is not null group by label"
@@ -101,7 +101,7 @@ _CLASSES = "select label, count(*) as n from bucketed where label is not null gr
 
 @query("agg3_quality_audit", with_views(_AUDIT, "bucketed", classes=_CLASSES))
 def quality_audit(spark, sf_dir):
-    return audit.quality_audit(_bucketed(spark, sf_dir), "incident_id")
+    return audit.quality_audit(_bucketed(spark, sf_dir))
 
 
 @query(
@@ -132,7 +132,7 @@ def quality_audit(spark, sf_dir):
 )
 def graded_audit(spark, sf_dir):
     rows = _bucketed(spark, sf_dir).select("incident_id", "narrative", "label", "domain")
-    return audit.graded_audit(rows, "incident_id")
+    return audit.graded_audit(rows)
 
 
 _LEVELS = f"""
@@ -216,13 +216,13 @@ def dominant_domains(spark, sf_dir):
         select ratio, case when ratio > 100 then 'High' when ratio > 10 then 'Moderate' else 'Balanced' end as grade
         from (select round(case when count(*) > 1 then max(n) / min(n) else 1.0 end, 6) as ratio from (
             select count(*) as n from labelled where label is not null group by label
-            order by n desc, label limit 20) t) r
+            ) t) r
         """,
         "labelled",
     ),
 )
 def imbalance_grade(spark, sf_dir):
-    return audit.imbalance_grade(views.labelled(spark, sf_dir), 20)
+    return audit.imbalance_grade(views.labelled(spark, sf_dir))
 
 
 @query(
@@ -277,34 +277,39 @@ def last_column(spark, sf_dir):
         """
         select count(distinct word) as vocabulary from (
             select unnest(string_split_regex(lower(narrative), '\\s+')) as word from (
-                select narrative from labelled where narrative is not null order by incident_id limit 200) f) w
+                select narrative from labelled where narrative is not null) f) w
         """,
         "labelled",
     ),
 )
 def vocabulary_size(spark, sf_dir):
-    return audit.vocabulary_size(views.labelled(spark, sf_dir), "incident_id")
+    return audit.vocabulary_size(views.labelled(spark, sf_dir))
+
+
+def _sql_route(q: str) -> str:
+    return f"""
+               case when {q} = '' then 'empty'
+                    when {sql_any(q, lexicon.QUALITY_WORDS)} then 'quality'
+                    when {sql_any(q, lexicon.SAFETY_WORDS)} then 'safety'
+                    when {sql_any(q, lexicon.CLASS_WORDS)} then 'classes'
+                    when starts_with({q}, 'analyze') then 'analyze'
+                    when starts_with({q}, 'summary') then 'summary'
+                    else 'help' end"""
 
 
 @query(
     "rte1_question_routes",
     with_views(
         f"""
-        select conv_id, turn, query,
-               case when q = '' then 'empty'
-                    when {sql_any("q", lexicon.QUALITY_WORDS)} then 'quality'
-                    when {sql_any("q", lexicon.SAFETY_WORDS)} then 'safety'
-                    when {sql_any("q", lexicon.CLASS_WORDS)} then 'classes'
-                    when starts_with(q, 'analyze') then 'analyze'
-                    when starts_with(q, 'summary') then 'summary'
-                    else 'help' end as route
-        from (select *, {sql_strip("lower(query)")} as q from questions) t
+        select conv_id, turn, query, {_sql_route("q")} as query_route, {_sql_route("t")} as text_route
+        from (select *, {sql_strip("lower(query)")} as q, {sql_strip("lower(coalesce(text, ''))")} as t from questions) u
         """,
         "questions",
     ),
 )
 def question_routes(spark, sf_dir):
-    return routing.with_route(views.questions(spark, sf_dir)).drop("text")
+    routed = routing.with_route(views.questions(spark, sf_dir)).withColumnRenamed("route", "query_route")
+    return routing.with_route(routed, "text").withColumnRenamed("route", "text_route").drop("text")
 
 
 @query(
@@ -322,7 +327,7 @@ def question_routes(spark, sf_dir):
 )
 def summary(spark, sf_dir):
     rows = _bucketed(spark, sf_dir).select("incident_id", "narrative", "label", "domain")
-    return routing.summary(rows, "incident_id")
+    return routing.summary(rows)
 
 
 @query(
@@ -354,5 +359,5 @@ def domain_relevance(spark, sf_dir):
     ),
 )
 def risk_phrases(spark, sf_dir):
-    scanned = routing.with_risk_phrases(views.incidents(spark, sf_dir, wide=True))
+    scanned = routing.with_risk_phrases(views.incidents(spark, sf_dir))
     return scanned.select("incident_id", F.array_join("phrases", " | ").alias("phrases"))

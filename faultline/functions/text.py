@@ -24,7 +24,8 @@ SEPARATORS = (
 COMMA_OR_COLON = r"([:,])([^0-9])"
 CLOSING = r"(?:'(?:s|m|d|ll|re|ve)?|n't|[.:,])+( |$)"
 WORD = r"^[\p{L}\p{N}]+$"
-JOINED_WORDS = r"\b(can|gim|gon|got|lem|wan)(not|me|na|ta)\b"
+# Words written as one that the tokeniser takes apart, as (first, second).
+JOINED = (("can", "not"), ("gim", "me"), ("gon", "na"), ("got", "ta"), ("lem", "me"), ("wan", "na"))
 LINE_BREAK = r"\r\n|[\n\r\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 SENTENCE_END = r"([.!?])\s+"
 SENTENCE_MARK = "\u0001"
@@ -61,6 +62,12 @@ def _each(function: str, array: Column, body: str) -> Column:
     return F.call_function(function, array, F.expr(f"w -> {body}"))
 
 
+def split_joined(text: Column) -> Column:
+    for first, second in JOINED:
+        text = F.regexp_replace(text, rf"\b({first})({second})\b", "$1 $2")
+    return text
+
+
 def core_tokens(text: Column) -> Column:
     """Words of a narrative: punctuation split off, purely alphanumeric tokens kept."""
     spaced = F.translate(F.lower(text), SEPARATORS, " " * len(SEPARATORS))
@@ -68,7 +75,7 @@ def core_tokens(text: Column) -> Column:
         spaced = F.replace(spaced, F.lit(run), F.lit(" "))
     spaced = F.regexp_replace(spaced, COMMA_OR_COLON, " $2")
     spaced = F.regexp_replace(spaced, CLOSING, "$1")
-    spaced = F.regexp_replace(spaced, JOINED_WORDS, "$1 $2")
+    spaced = split_joined(spaced)
     wanted = f"w RLIKE {quoted(WORD)} AND NOT {in_words('w', lexicon.STOPWORDS)}"
     return _each("filter", F.split(spaced, " "), wanted)
 
@@ -76,7 +83,7 @@ def core_tokens(text: Column) -> Column:
 def api_tokens(text: Column) -> Column:
     """Words for interactive look-ups: ASCII letters only, more than two of them."""
     letters = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+", " ")
-    letters = F.regexp_replace(letters, JOINED_WORDS, "$1 $2")
+    letters = split_joined(letters)
     return _each("filter", F.split(letters, " "), f"length(w) > 2 AND NOT {in_words('w', lexicon.STOPWORDS)}")
 
 
@@ -139,8 +146,12 @@ def redact_paths(line: Column) -> Column:
 
 def redact_paths_for_display(line: Column) -> Column:
     """The stricter form used on screen: the rest of a line after a private path is hidden."""
+    # What counts as a path on screen and what is shown instead.
     line = F.regexp_replace(line, r"[A-Za-z]:\\[\\/A-Za-z0-9_. -]+", "[system-path]")
-    line = F.regexp_replace(line, r"\\[\\/A-Za-z0-9_. -]*/([\\A-Za-z0-9_. -]+)", "$1")
+    # a run with a slash shows what follows the last one; one that ends with a slash is hidden
+    run = r"\\[\\/A-Za-z0-9_. -]*/"
+    line = F.regexp_replace(line, run + r"([^\\/A-Za-z0-9_. -]|$)", "[system-path]$1")
+    line = F.regexp_replace(line, run + r"([\\A-Za-z0-9_. -]+)", "$1")
     line = F.regexp_replace(line, r"(?i)/Users/[^\n]+", "[user-path]")
     line = F.regexp_replace(line, r"(?i)/home/[^\n]+", "[home-path]")
     return F.regexp_replace(line, r"(?i)/workspace/[^\n]+", "[workspace-path]")

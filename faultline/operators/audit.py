@@ -16,7 +16,6 @@ from faultline.functions import lexicon
 from faultline.functions.risk import with_label_risk
 from faultline.operators.cleaning import label_counts
 
-VOCABULARY_ROWS = 200
 SHORT_CHARS = 20
 
 
@@ -68,14 +67,14 @@ def class_distribution(df: DataFrame, top: int = 16) -> DataFrame:
     return class_shares(df).orderBy(F.desc("n"), "label").limit(top)
 
 
-def vocabulary_size(df: DataFrame, order_by: str, rows: int = VOCABULARY_ROWS) -> DataFrame:
-    """Distinct space-separated words of the first narratives."""
-    first = df.filter("narrative is not null").orderBy(order_by).limit(rows)
-    words = first.select(F.explode(F.split(F.lower("narrative"), r"\s+")).alias("word"))
+def vocabulary_size(df: DataFrame) -> DataFrame:
+    """Distinct space-separated words of all narratives; equal words of a row are sent on once."""
+    words = df.select(F.explode(F.array_distinct(F.split(F.lower("narrative"), r"\s+"))).alias("word"))
     return words.agg(F.count_distinct("word").alias("vocabulary"))
 
 
-def quality_audit(df: DataFrame, order_by: str) -> DataFrame:
+def row_audit(df: DataFrame) -> DataFrame:
+    """The audit's figures on rows and classes, without the word count."""
     length = F.length("narrative")
     # Repeats of a text beyond the first; a digest stands in for the text in the shuffle.
     repeats = F.count("narrative") - F.count_distinct(F.unhex(F.sha2("narrative", 256)))
@@ -104,10 +103,14 @@ def quality_audit(df: DataFrame, order_by: str) -> DataFrame:
         (-F.col("last.n")).alias("minority_rows"),
         F.round(-F.col("first.n") / F.greatest(F.lit(1), -F.col("last.n")), 6).alias("imbalance"),
     )
-    return one_row(rows, extremes, vocabulary_size(df, order_by))
+    return one_row(rows, extremes)
 
 
-def graded_audit(df: DataFrame, order_by: str) -> DataFrame:
+def quality_audit(df: DataFrame) -> DataFrame:
+    return one_row(row_audit(df), vocabulary_size(df))
+
+
+def graded_audit(df: DataFrame) -> DataFrame:
     """The audit as (metric, value, status) rows."""
 
     def text(value: Column) -> Column:
@@ -144,7 +147,7 @@ def graded_audit(df: DataFrame, order_by: str) -> DataFrame:
         ),
         graded("Distinct classes", text(F.col("classes")), fine),
     ]
-    return quality_audit(df, order_by).select(F.inline(F.array(*rows)))
+    return row_audit(df).select(F.inline(F.array(*rows)))
 
 
 def label_risk_counts(df: DataFrame) -> DataFrame:
@@ -200,9 +203,10 @@ def dominant_domains(df: DataFrame, top: int = 10) -> DataFrame:
     )
 
 
-def imbalance_grade(df: DataFrame, top: int = 20) -> DataFrame:
+def imbalance_grade(df: DataFrame) -> DataFrame:
+    """Largest over smallest class, over all labels."""
     ratio = F.when(F.count("*") > 1, F.max("n") / F.min("n")).otherwise(F.lit(1.0))
-    graded = top_classes(df, top).agg(F.round(ratio, 6).alias("ratio"))
+    graded = label_counts(df).agg(F.round(ratio, 6).alias("ratio"))
     return graded.withColumn(
         "grade",
         F.when(F.col("ratio") > 100, "High").when(F.col("ratio") > 10, "Moderate").otherwise("Balanced"),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -17,10 +19,11 @@ from faultline.operators.cleaning import label_counts
 from faultline.operators.evaluation import pair_counts, weighted_f1
 from faultline.operators.features import TfidfModel, fit_tfidf, with_terms
 from faultline.operators.split import folds
-from faultline.session import materialise, small_side
+from faultline.session import materialise
 
 
-ROWS_PER_GRADIENT = 5_000
+# Fits of one fold that run side by side; each is a chain of small jobs.
+PARALLEL_FITS = 3
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
@@ -34,7 +37,7 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 def with_class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Add `weight`."""
     weights = class_weights(df, label).select(label, "weight")
-    return df.join(small_side(weights, "class-weights"), label)
+    return df.join(materialise(weights, "class-weights"), label)
 
 
 @dataclass
@@ -62,21 +65,13 @@ def _fit(features: DataFrame, alpha: float, weighted: bool, max_iter: int):
         elasticNetParam=0.0,
         maxIter=max_iter,
         standardization=False,
+        tol=schema.TOLERANCE,
     )
     if weighted:
         model = model.setWeightCol("weight")
     return model.fit(features)
 
 
-def _gathered(features: DataFrame, documents: int) -> DataFrame:
-    """Features in memory, in partitions of some thousand rows.
-
-    Every iteration each partition returns a dense gradient of classes x terms; partitions of a
-    few rows would spend their time on that.
-    """
-    return features.coalesce(max(1, -(-documents // ROWS_PER_GRADIENT))).persist()
-
-
 def _indexer(df: DataFrame):
     return StringIndexer(
         inputCol="label", outputCol="_label_no", stringOrderType="alphabetAsc"
@@ -107,15 +102,18 @@ def cross_validate(
         indexer = _indexer(fit_rows)
         vectoriser = fit_tfidf(fit_rows, max_features=max_features)
         vectors = indexer.transform(vectoriser.transform(fit_rows)).select("features", "_label_no", "weight")
-        fit_features = _gathered(vectors, vectoriser.documents)
+        fit_features = vectors.persist()
         held_out = vectoriser.transform(spread_rows.filter(F.col("fold") == fold)).select("label", "features").persist()
-        for alpha in alphas:
-            for weighting in weightings:
-                model = _fit(fit_features, alpha, weighting == "balanced", max_iter)
-                pairs = pair_counts(_predictions(model, indexer.labels, held_out))
-                results.append(
-                    {"fold": fold, "alpha": alpha, "class_weight": weighting, "f1_weighted": weighted_f1(pairs)}
-                )
+
+        def score(setting: tuple, fold=fold, features=fit_features, rows=held_out, names=indexer.labels) -> dict:
+            alpha, weighting = setting
+            model = _fit(features, alpha, weighting == "balanced", max_iter)
+            pairs = pair_counts(_predictions(model, names, rows))
+            return {"fold": fold, "alpha": alpha, "class_weight": weighting, "f1_weighted": weighted_f1(pairs)}
+
+        fit_features.count()  # one pass fills the cache before fits run side by side
+        with ThreadPool(PARALLEL_FITS) as pool:
+            results += pool.map(score, itertools.product(alphas, weightings))
         fit_features.unpersist()
         held_out.unpersist()
     return results
@@ -143,7 +141,7 @@ def fit_classifier(
     indexer = _indexer(rows)
     vectoriser = fit_tfidf(rows, max_features=max_features)
     vectors = indexer.transform(vectoriser.transform(rows)).select("features", "_label_no", "weight")
-    features = _gathered(vectors, vectoriser.documents)
+    features = vectors.persist()
     model = _fit(features, alpha, class_weight == "balanced", max_iter)
     features.unpersist()
     to_name = IndexToString(inputCol="_predicted_no", outputCol="predicted_label", labels=list(indexer.labels))

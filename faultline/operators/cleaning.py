@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline import schema
 from faultline.functions.text import snippet, strip
-from faultline.session import small_side
+from faultline.session import materialise
 
 MAX_KEPT_LABELS = 10_000
 
@@ -82,12 +82,14 @@ def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def first_of_each_text(df: DataFrame, order: list[str], text: str = "narrative") -> DataFrame:
-    """One row per text, the first by `order`, without shuffling the texts.
+    """One row per text, the first by `order`; null texts are one text.
 
-    Digests are counted instead, and only those that occur more than once come back, each with
-    the row to keep. However many copies a text has, it is one row there.
+    Digests are grouped, not texts: a partial minimum per task sends each digest on once, however
+    many copies there are. What comes back is the row to keep of each text that occurs more than
+    once, written out; rows are tested against that list. Its bytes are then known, and by
+    them Catalyst chooses the join: up to its threshold the texts are not shuffled.
     """
-    digest = F.unhex(F.sha2(F.col(text), 256))
+    digest = F.coalesce(F.unhex(F.sha2(F.col(text), 256)), F.lit(b""))
     place = F.struct(*order)
     repeated = (
         df.select(digest.alias("_digest"), place.alias("_place"))
@@ -96,7 +98,7 @@ def first_of_each_text(df: DataFrame, order: list[str], text: str = "narrative")
         .filter("_n > 1")
         .select("_digest", "_first")
     )
-    marked = df.withColumn("_digest", digest).join(small_side(repeated, "repeated-texts"), "_digest", "left")
+    marked = df.withColumn("_digest", digest).join(materialise(repeated, "repeated-texts"), "_digest", "left")
     return marked.filter(F.col("_first").isNull() | (F.col("_first") == place)).select(*df.columns)
 
 

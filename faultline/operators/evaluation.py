@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from faultline.operators.audit import one_row
 
-MAX_DENSE_CLASSES = 2_000
-
 
 def pair_counts(df: DataFrame, true: str = "label", predicted: str = "predicted_label") -> DataFrame:
     return (
@@ -86,19 +84,16 @@ def confusion_shares(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("share", F.round(F.col("n") / total, 6))
 
 
-def confusion_matrix(pairs: DataFrame) -> DataFrame:
+def confusion_matrix(pairs: DataFrame, groups: int = 16) -> DataFrame:
     """Every pair of classes, zero cells included.
 
-    The grid is spread from one array of class names, whose length is checked.
+    The predicted classes lie in hash groups and every true class is sent to each group, so the
+    grid is made by an equi-join in as many tasks as there are groups.
     """
     names = pairs.select(F.explode(F.array("true_label", "predicted_label")).alias("c")).distinct()
-    gathered = names.agg(F.array_sort(F.collect_list("c")).alias("classes"))
-    sized = gathered.filter(
-        F.assert_true(F.size("classes") <= MAX_DENSE_CLASSES, "too many classes for a dense matrix").isNull()
-    )
-    grid = sized.select(F.explode("classes").alias("true_label"), "classes").select(
-        "true_label", F.explode("classes").alias("predicted_label")
-    )
+    rows = names.select(F.col("c").alias("true_label"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_group"))
+    columns = names.select(F.col("c").alias("predicted_label"), F.pmod(F.hash("c"), F.lit(groups)).alias("_group"))
+    grid = rows.join(columns, "_group").drop("_group")
     dense = grid.join(pairs, ["true_label", "predicted_label"], "left")
     return confusion_shares(dense.withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint")))
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from faultline import schema
 from faultline.functions.text import normalise, vector_words, with_bigrams
-from faultline.session import small_side
+from faultline.session import materialise
 
 # The vocabulary lives on the driver and in every task, so its size is a checked parameter.
 MAX_VOCABULARY = 20_000
@@ -33,7 +33,7 @@ def lemmatise_by_table(words: DataFrame, lemmas: DataFrame, id_col: str, text: s
     group is never larger than one text.
     """
     placed = words.select(id_col, F.posexplode(F.split(text, " ")).alias("_at", "word"))
-    known = placed.join(small_side(lemmas.select("word", "lemma"), "lemmas"), "word", "left")
+    known = placed.join(materialise(lemmas.select("word", "lemma"), "lemmas"), "word", "left")
     entry = F.struct("_at", F.coalesce("lemma", "word").alias("lemma"))
     ordered = known.groupBy(id_col).agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
     return ordered.select(id_col, F.array_join("_entries.lemma", " ").alias("processed_text"))

@@ -1,9 +1,8 @@
 """Evidence: the most similar past incidents of each query, by cosine of unit vectors.
 
-The corpus is the big side and is never shuffled. A bounded block of queries goes to every task as
-one matrix; a task scores its rows in sub-blocks and lets only its own best k per query out. The
-few rows left per task are ranked in a final window. More queries than one block holds are worked
-off block by block.
+Queries and corpus meet in a grid of query groups and corpus blocks, in one plan for any number of
+queries. A task scores its cells' rows in pieces and lets only the best k per query out; the few
+rows left per cell are ranked in a final window.
 
 Ties go to the lower id. A query without any known term gets the lowest ids at similarity 0.
 """
@@ -19,9 +18,10 @@ from faultline.functions.text import normalise, snippet
 from faultline.operators import scoring
 from faultline.operators.features import TfidfModel, sparse_parts
 from faultline.operators.requests import check_parameters
-from faultline.session import read_latest, shared_folder, write_version
+from faultline.session import materialise, read_latest, write_version
 
-QUERY_BLOCK = 1024
+# Queries a task scores at a time, as one matrix over the terms they use.
+QUERIES_IN_GROUP = 1024
 ROW_BLOCK = 1024
 
 
@@ -78,46 +78,43 @@ def _rank(local: DataFrame, k: int) -> DataFrame:
     return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _top_k(queries: DataFrame, index: DataFrame, k: int, vector_cols: list[str], to_block) -> DataFrame:
+def _top_k(queries: DataFrame, index: DataFrame, k: int, vector_cols: list[str]) -> DataFrame:
+    """Ranked rows of the index for every query, with what the index shows of them.
+
+    Queries lie in hash groups and index rows in hash blocks; a cell is a group against a block.
+    Only ids and vectors are dealt out to the cells. Each passes on its best k per query, and the
+    rows to show are joined to the winners.
+    """
     spark = index.sparkSession
     scoring.travel_with_tasks()
     shown = [name for name in index.columns if name not in ("incident_id", *vector_cols)]
-    out_schema = T.StructType(
-        [T.StructField("query_id", queries.schema["query_id"].dataType)]
-        + [index.schema[name] for name in ("incident_id", *shown)]
-        + [T.StructField("similarity", T.DoubleType())]
-    )
-
-    def scored(rows: list) -> DataFrame:
-        block = spark.sparkContext.broadcast(([row["query_id"] for row in rows], *to_block(rows)))
-        row_block, score = ROW_BLOCK, scoring.local_top_k
-        local = index.select("incident_id", *vector_cols, *shown).mapInPandas(
-            lambda batches: score(batches, *block.value, k, shown, row_block), out_schema
+    asked = materialise(queries.select("query_id", *vector_cols), "evidence-queries")
+    groups = max(1, -(-asked.count() // QUERIES_IN_GROUP))
+    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def placed(frame: DataFrame, side: int, id_col: str, own: str, parts: int, other: str, others: int) -> DataFrame:
+        other_id = "incident_id" if id_col == "query_id" else "query_id"
+        kind = (index if other_id == "incident_id" else asked).schema[other_id].dataType
+        return frame.select(
+            F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other),
+            F.lit(side).alias("side"),
+            id_col,
+            F.lit(None).cast(kind).alias(other_id),
+            *vector_cols,
         )
-        return _rank(local, k)
-
-    total = queries.count()
-    if total == 0:
-        return spark.createDataFrame([], out_schema).withColumn("rank", F.lit(0))
-    if total <= QUERY_BLOCK:
-        return scored(queries.collect())
-    # Hash groups of about half a block each; a group that turns out larger is cut again.
-    groups = -(-2 * total // QUERY_BLOCK)
-    path = shared_folder(spark, "evidence")
-    grouped = queries.withColumn("_group", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
-    for number in range(groups):
-        rows = grouped.filter(F.col("_group") == number).drop("_group").collect()
-        for start in range(0, len(rows), QUERY_BLOCK):
-            scored(rows[start : start + QUERY_BLOCK]).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
 
-
-def _sparse_block(rows: list) -> tuple:
-    return scoring.sparse_matrix([(row["indices"], row["values"]) for row in rows])
-
-
-def _dense_block(rows: list) -> tuple:
-    return None, scoring.unit_rows(row["embedding"] for row in rows).T
+    both = placed(asked, 0, "query_id", "group", groups, "block", blocks).unionByName(
+        placed(index.select("incident_id", *vector_cols), 1, "incident_id", "block", blocks, "group", groups)
+    )
+    cells = both.withColumn("cell", F.col("group").cast("bigint") * blocks + F.col("block")).drop("group", "block")
+    dealt = cells.repartition(blocks, "cell").sortWithinPartitions("cell", "side")
+    out_schema = T.StructType(
+        [asked.schema["query_id"], index.schema["incident_id"], T.StructField("similarity", T.DoubleType())]
+    )
+    dense, row_block, score = vector_cols == ["embedding"], ROW_BLOCK, scoring.cells_top_k
+    found = _rank(dealt.mapInPandas(lambda batches: score(batches, k, dense, row_block), out_schema), k)
+    return found.join(index.select("incident_id", *shown), "incident_id")
 
 
 def top_evidence(queries: DataFrame, index: DataFrame, k: int = schema.EVIDENCE_TOP_K) -> DataFrame:
@@ -126,13 +123,13 @@ def top_evidence(queries: DataFrame, index: DataFrame, k: int = schema.EVIDENCE_
     `queries` has one row per query id with the vector of `query_vectors`.
     """
     check_parameters(top_k=k)
-    return _top_k(queries, index, k, ["indices", "values"], _sparse_block)
+    return _top_k(queries, index, k, ["indices", "values"])
 
 
 def top_dense(queries: DataFrame, vectors: DataFrame, k: int = schema.EVIDENCE_TOP_K) -> DataFrame:
     """The same over an `embedding` array column instead of term vectors."""
     check_parameters(top_k=k)
-    return _top_k(queries, vectors, k, ["embedding"], _dense_block)
+    return _top_k(queries, vectors, k, ["embedding"])
 
 
 def evidence_arrays(ranked: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Scoring of one partition of vectors against a block of queries; runs inside tasks.
+"""Scoring of vectors against a group of queries; runs inside tasks.
 
 Only numpy and pandas are used, and the module travels with the task, so executors need no copy
 of this package.
@@ -44,45 +44,61 @@ def unit_rows(vectors: Iterable) -> np.ndarray:
     return rows / np.where(norms == 0, 1.0, norms)
 
 
-def local_top_k(
-    batches: Iterable[pd.DataFrame],
-    query_ids: list,
-    used: np.ndarray | None,
-    matrix: np.ndarray,
-    k: int,
-    shown: list[str],
-    row_block: int,
-) -> Iterator[pd.DataFrame]:
-    """The best k rows of one partition for each query; ties go to the lower id.
-
-    `used` is None for dense vectors. Rows are scored in sub-blocks, and only the current best
-    of each query is kept between them.
+class Cell:
+    """A group of queries and the best rows found for each so far; rows come in pieces."""
+
+    def __init__(self, queries: pd.DataFrame, k: int, dense: bool) -> None:
+        self.ids, self.k, self.dense = queries["query_id"].to_list(), k, dense
+        if dense:
+            self.used, self.matrix = None, unit_rows(queries["embedding"]).T
+        else:
+            self.used, self.matrix = sparse_matrix(list(zip(queries["indices"], queries["values"])))
+        self.best_sim = self.best_id = None
+
+    def add(self, part: pd.DataFrame) -> None:
+        """Score some rows; ties go to the lower id."""
+        part = part.sort_values("incident_id")
+        ids = np.array(part["incident_id"].to_list())
+        rows = unit_rows(part["embedding"]) if self.dense else sparse_rows(part, self.used)
+        sims = np.round(rows @ self.matrix, RANK_DIGITS) + 0.0
+        top = np.argsort(-sims, axis=0, kind="stable")[: self.k]
+        sim, found = np.take_along_axis(sims, top, axis=0), ids[top]
+        if self.best_sim is not None:
+            sim, found = np.vstack([self.best_sim, sim]), np.vstack([self.best_id, found])
+            order = np.lexsort((found, -sim), axis=0)[: self.k]
+            sim, found = np.take_along_axis(sim, order, axis=0), np.take_along_axis(found, order, axis=0)
+        self.best_sim, self.best_id = sim, found
+
+    def rows(self) -> pd.DataFrame | None:
+        if self.best_sim is None:
+            return None
+        query_ids = [q for q in self.ids for _ in range(self.best_sim.shape[0])]
+        return pd.DataFrame(
+            {"query_id": query_ids, "incident_id": self.best_id.T.ravel().tolist(), "similarity": self.best_sim.T.ravel()}
+        )
+
+
+def cells_top_k(batches: Iterable[pd.DataFrame], k: int, dense: bool, row_block: int) -> Iterator[pd.DataFrame]:
+    """The best k rows of every query of every cell, from rows sorted by (cell, side): queries, side 0, first.
+
+    A task holds one cell's queries and one piece of its rows at a time.
     """
-    best_sim = best_id = None
-    entries: dict = {}
+    number, asked, cell = None, [], None
     for batch in batches:
-        for start in range(0, len(batch), row_block):
-            part = batch.iloc[start : start + row_block].sort_values("incident_id")
-            ids = np.array(part["incident_id"].to_list())
-            rows = unit_rows(part["embedding"]) if used is None else sparse_rows(part, used)
-            sims = np.round(rows @ matrix, RANK_DIGITS) + 0.0
-            top = np.argsort(-sims, axis=0, kind="stable")[:k]
-            sim, found = np.take_along_axis(sims, top, axis=0), ids[top]
-            if best_sim is not None:
-                sim, found = np.vstack([best_sim, sim]), np.vstack([best_id, found])
-                order = np.lexsort((found, -sim), axis=0)[:k]
-                sim, found = np.take_along_axis(sim, order, axis=0), np.take_along_axis(found, order, axis=0)
-            best_sim, best_id = sim, found
-            winners = set(np.unique(found).tolist())
-            entries = {i: entry for i, entry in entries.items() if i in winners}
-            won = part.loc[np.isin(ids, list(winners)), ["incident_id", *shown]]
-            entries.update((entry[0], entry) for entry in won.itertuples(index=False, name=None))
-    if best_sim is None:
-        return
-    out = pd.DataFrame([entries[i] for i in best_id.T.ravel().tolist()], columns=["incident_id", *shown])
-    out.insert(0, "query_id", np.repeat(np.array(query_ids, dtype=object), best_sim.shape[0]))
-    out["similarity"] = best_sim.T.ravel()
-    yield out
+        for at, part in batch.groupby("cell", sort=False):
+            if at != number:
+                if cell is not None and (out := cell.rows()) is not None:
+                    yield out
+                number, asked, cell = at, [], None
+            queries, rows = part[part["side"] == 0], part[part["side"] == 1]
+            if len(queries):
+                asked.append(queries)
+            if len(rows) and asked:
+                cell = cell or Cell(pd.concat(asked), k, dense)
+                for start in range(0, len(rows), row_block):
+                    cell.add(rows.iloc[start : start + row_block])
+    if cell is not None and (out := cell.rows()) is not None:
+        yield out
 
 
 def travel_with_tasks() -> None:

@@ -25,7 +25,7 @@ from faultline.sources.reports import report_narratives
 from faultline.streaming import monitor
 
 
-def aviation_rows(rows: DataFrame, order_by: str = "row_idx", cap: int | None = schema.AVIATION_ROW_CAP) -> DataFrame:
+def aviation_rows(rows: DataFrame, order_by: str = "row_idx", cap: int | None = None) -> DataFrame:
     picked = source_rows(rows, order_by, cap=cap)
     return picked.select(F.concat(F.lit("asrs-"), F.col(order_by).cast("string")).alias("incident_id"), "narrative", "label")
 
@@ -132,7 +132,7 @@ def report_tables(
         "totals": audit.one_row(stats, evaluation.accuracy(pairs).select("accuracy")),
         "training": record,
         "domains": audit.domain_counts(incidents),
-        "quality": audit.graded_audit(incidents, "incident_id"),
+        "quality": audit.graded_audit(incidents),
         "top_classes": audit.class_distribution(incidents, 15),
         "class_rows": evaluation.classification_report(pairs).filter(
             ~F.col("class").isin("accuracy", "macro avg", "weighted avg")
@@ -175,7 +175,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--root", required=True, help="folder all executors reach")
     parser.add_argument("--aviation", help="landed source rows (Parquet with row_idx)")
     parser.add_argument("--reports", help="event report texts (Parquet: report_id, label, text)")
-    parser.add_argument("--nrows", type=int, default=schema.AVIATION_ROW_CAP, help="source rows to take, 0 for all")
+    parser.add_argument("--nrows", type=int, default=0, help="source rows to take at most, 0 for all")
     parser.add_argument("--force-refresh", action="store_true", help="rebuild the incident table")
     parser.add_argument("--no-fetch", action="store_true", help="use the stored incident table only")
     parser.add_argument("--no-rag", action="store_true", help="skip the evidence stage")

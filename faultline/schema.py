@@ -22,7 +22,6 @@ COLUMN_ALIASES = {
 CANONICAL = ("narrative", "label", "domain")
 
 # Default settings of the batch job and the monitor.
-AVIATION_ROW_CAP = 2000
 TOP_LABELS = 15
 MIN_NARRATIVE_CHARS = 20
 MAX_FEATURES = 5000
@@ -31,6 +30,7 @@ TEST_SHARE = 0.2
 SEED = 42
 CV_FOLDS = 3
 MAX_ITER = 1000
+TOLERANCE = 1e-3
 GRID_ALPHAS = (1e-5, 1e-4, 1e-3)
 GRID_CLASS_WEIGHTS = (None, "balanced")
 EVIDENCE_TOP_K = 3
@@ -45,15 +45,6 @@ LOOP_SECONDS = 60
 ACCIDENT_FEED_SECONDS = 3600
 FAULT_FEED_SECONDS = 60
 
-INCIDENT = T.StructType(
-    [
-        T.StructField("narrative", T.StringType()),
-        T.StructField("label", T.StringType()),
-        T.StructField("domain", T.StringType()),
-        T.StructField("processed_text", T.StringType()),
-    ]
-)
-
 EVIDENCE_ITEM = T.StructType(
     [
         T.StructField("rank", T.IntegerType()),
@@ -113,14 +104,3 @@ FAULT_RECORD = T.StructType(
         T.StructField("record", T.StructType(FAULT_FIELDS.fields + [T.StructField("fields", FAULT_FIELDS)])),
     ]
 )
-
-# What every monitor source is reduced to before scoring.
-NEW_INCIDENT = T.StructType(
-    [
-        T.StructField("key", T.StringType()),
-        T.StructField("incident_id", T.StringType()),
-        T.StructField("source", T.StringType()),
-        T.StructField("narrative", T.StringType()),
-        T.StructField("risk_floor", T.StringType()),
-    ]
-)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,8 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-# A hint to broadcast is given only to a written table of at most this many rows.
-BROADCAST_ROWS = 1_000_000
+WAREHOUSE_KEY = "spark.sql.warehouse.dir"
 
 _scratch: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch", default=None)
 
@@ -35,13 +33,8 @@ def build_session(master: str | None = None, name: str = "faultline", **conf: st
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the one the cluster names; a temporary one only in local mode."""
-    root = _scratch.get() or spark.conf.get(CHECKPOINT_KEY, None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="faultline-")
-        spark.conf.set(CHECKPOINT_KEY, root)
+    """A fresh folder below the one the cluster names, or below its warehouse where it names none."""
+    root = _scratch.get() or spark.conf.get(CHECKPOINT_KEY, None) or f"{spark.conf.get(WAREHOUSE_KEY)}/scratch"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
@@ -58,18 +51,6 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         fs.delete(hadoop_path, True)
 
 
-def spread(df: DataFrame, key: str, small_bytes: int = 1 << 30) -> DataFrame:
-    """Spread a small table over all cores by a unique key before costly per-row work.
-
-    A small file is often a single row group, which one task reads whole. A big table has row
-    groups enough, so it is left as it is scanned and nothing is shuffled.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > small_bytes:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
-
-
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: later stages start from the files."""
     spark = df.sparkSession
@@ -78,12 +59,6 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, purpose: str) -> DataFrame:
-    """A join side written out and counted: broadcast when small, left to Catalyst otherwise."""
-    written = materialise(df, purpose)
-    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
-
-
 def _file_system(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path

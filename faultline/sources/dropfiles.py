@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.text import strip
-from faultline.session import materialise, small_side
+from faultline.session import materialise
 
 CSV_GLOB = "*.[cC][sS][vV]"
 TXT_GLOB = "*.[tT][xX][tT]"
@@ -18,6 +18,8 @@ NARRATIVE_HEADERS = ("narrative", "text", "report")
 # Every field is preceded by a comma (one is put in front of the line): a quoted field and what
 # follows it up to the next comma, or anything without a comma.
 FIELD = r',("[^"]*(?:""[^"]*)*"[^,]*|[^,]*)'
+# A quoted part that is closed on its line; doubled quotes are never taken for the closing one.
+CLOSED = r'"[^"]*+(?:""[^"]*+)*+"'
 QUOTED_FIELD = r'^"([^"]*(?:""[^"]*)*)"(.*)$'
 
 
@@ -58,21 +60,95 @@ def read_texts(
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
-    """(file_path, file_name, pos, line) with `pos` counting the lines of a file from 0."""
+    """(file_path, file_name, block, pos, line) with `pos` counting the lines of a file from 0."""
     marked = materialise(lines.withColumn("_at", F.monotonically_increasing_id()), "drop-lines")
     blocks = marked.groupBy("file_path", "block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     in_file = Window.partitionBy("file_path").orderBy("block")
-    offsets = small_side(
+    offsets = materialise(
         blocks.select(
             "file_path", "block", "_first", (F.sum("_n").over(in_file) - F.col("_n")).alias("_offset")
         ),
         "drop-blocks",
     )
     return marked.join(offsets, ["file_path", "block"]).select(
-        "file_path", "file_name", (F.col("_at") - F.col("_first") + F.col("_offset")).alias("pos"), "line"
+        "file_path", "file_name", "block", (F.col("_at") - F.col("_first") + F.col("_offset")).alias("pos"), "line"
     )
 
 
+def _ends_inside(line: Column) -> Column:
+    """Whether a line that starts outside a quoted field ends inside one."""
+    fields = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(f",({CLOSED}[^,]*|[^,]*)"), 1)
+    return F.exists(fields, lambda f: f.startswith('"') & ~f.rlike(f"^{CLOSED}"))
+
+
+def join_records(numbered: DataFrame) -> DataFrame:
+    """(file_path, file_name, pos, line) of whole records: a line break inside quotes does not end one.
+
+    A line either leaves the state as it is, flips it, or ends in one state whatever came before.
+    So the state before a line is that of the last such ending and the flips since. This is found
+    within each block of a file first, then over the blocks, and only lines of records with breaks
+    are brought together.
+    """
+    opened, closed = _ends_inside(F.col("line")), _ends_inside(F.concat(F.lit('"'), "line"))
+    marked = numbered.withColumns(
+        {
+            "_flip": (opened & ~closed).cast("int"),
+            "_set": F.when(opened == closed, opened.cast("int")),
+        }
+    )
+    blocks = marked.groupBy("file_path", "block").agg(
+        F.sum("_flip").alias("_flips"),
+        F.max(F.when(F.col("_set").isNotNull(), F.struct("pos", "_set"))).alias("_last"),
+    )
+    flips_after = (
+        marked.join(blocks.select("file_path", "block", "_last"), ["file_path", "block"])
+        .filter(F.col("_last").isNull() | (F.col("pos") > F.col("_last.pos")))
+        .groupBy("file_path", "block")
+        .agg(F.sum("_flip").alias("_flips"))
+    )
+    ends = blocks.drop("_flips").join(flips_after, ["file_path", "block"], "left").select(
+        "file_path", "block", F.col("_last._set").alias("_set"), F.coalesce("_flips", F.lit(0)).alias("_flip")
+    )
+    by_block = Window.partitionBy("file_path").orderBy("block")
+    entry = _before(ends, by_block, F.lit(0), "_entry", set_first=True).select("file_path", "block", "_entry")
+    in_block = Window.partitionBy("file_path", "block").orderBy("pos")
+    states = _before(marked.join(entry, ["file_path", "block"]), in_block, F.col("_entry"), "_inside")
+    starts = states.withColumn("_start", 1 - F.col("_inside"))
+    counts = starts.groupBy("file_path", "block").agg(F.sum("_start").alias("_starts"))
+    earlier = counts.select(
+        "file_path", "block", (F.sum("_starts").over(by_block) - F.col("_starts")).alias("_earlier")
+    )
+    record = F.col("_earlier") + F.sum("_start").over(in_block.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    placed = starts.join(earlier, ["file_path", "block"]).withColumn("_record", record)
+    goes_on = F.when(F.col("_inside") == 1, closed).otherwise(opened)
+    parts = (F.col("_inside") == 1) | goes_on
+    single = placed.filter(~parts).select("file_path", "file_name", F.col("_record").alias("pos"), "line")
+    entry_ = F.array_sort(F.collect_list(F.struct("pos", "line")))
+    joined = (
+        placed.filter(parts)
+        .groupBy("file_path", "file_name", "_record")
+        .agg(F.array_join(F.transform(entry_, lambda e: e["line"]), "\n").alias("line"))
+        .select("file_path", "file_name", F.col("_record").alias("pos"), "line")
+    )
+    return single.unionByName(joined)
+
+
+def _before(rows: DataFrame, order, initial: Column, out: str, set_first: bool = False) -> DataFrame:
+    """State before each row (0 outside, 1 inside a quoted field) from `_set` and `_flip` of the rows before.
+
+    With `set_first` a row's flips come after its setting, else a row has only one of them.
+    """
+    up_to = order.rowsBetween(Window.unboundedPreceding, 0)
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    flips = rows.withColumn("_sum", F.sum("_flip").over(up_to))
+    at_setting = F.col("_sum") - (F.col("_flip") if set_first else F.lit(0))
+    marks = flips.withColumn("_mark", F.when(F.col("_set").isNotNull(), F.struct("_set", at_setting.alias("_at"))))
+    last = F.last("_mark", ignorenulls=True).over(past)
+    found = marks.withColumns({"_last_mark": last, "_past": F.coalesce(F.sum("_flip").over(past), F.lit(0))})
+    state = F.coalesce(F.col("_last_mark._set"), initial) + F.col("_past") - F.coalesce("_last_mark._at", F.lit(0))
+    return found.withColumn(out, F.pmod(state, F.lit(2)).cast("int")).drop("_sum", "_mark", "_last_mark", "_past")
+
+
 def csv_fields(line: Column) -> Column:
     """Fields of a CSV line, trimmed; a field may be quoted, doubled quotes inside it."""
     raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(FIELD), 1)
@@ -104,7 +180,7 @@ def parse_lines(numbered: DataFrame) -> DataFrame:
         )
     )
     rows = numbered.filter("pos > 0").withColumn("_fields", csv_fields(F.col("line")))
-    rows = rows.join(small_side(headers, "drop-headers"), "file_path")
+    rows = rows.join(materialise(headers, "drop-headers"), "file_path")
     tail = F.slice("_fields", F.col("_text_at").cast("int"), F.size("_fields") + 1)
     stem = F.regexp_replace("file_name", r"\.[^.]*$", "")
     given = F.when(F.col("_id_at") > 0, F.get("_fields", F.col("_id_at").cast("int") - 1))
@@ -132,7 +208,7 @@ def _as_incident(df: DataFrame, arrival: Column) -> DataFrame:
 
 def csv_incidents(lines: DataFrame) -> DataFrame:
     arrival = F.concat_ws("|", "file_name", F.lpad(F.col("pos").cast("string"), 19, "0"))
-    return _as_incident(parse_lines(number_lines(lines)), arrival)
+    return _as_incident(parse_lines(join_records(number_lines(lines))), arrival)
 
 
 def txt_incidents(texts: DataFrame) -> DataFrame:

@@ -90,19 +90,22 @@ def flatten_faults(records: DataFrame) -> DataFrame:
     def struct_fields(dtype) -> list[str]:
         return dtype.fieldNames() if hasattr(dtype, "fieldNames") else []
 
+    # The innermost container that is there is the record; its nulls are not filled from outside.
+    containers = []
+    record = present.get("record")
+    if record is not None:
+        if "fields" in struct_fields(record):
+            containers.append(("record.fields", struct_fields(record["fields"].dataType)))
+        containers.append(("record", struct_fields(record)))
+    if struct_fields(present.get("fields")):
+        containers.append(("fields", struct_fields(present["fields"])))
+
     def value(name: str) -> Column:
-        options = []
-        record = present.get("record")
-        if record is not None:
-            if "fields" in struct_fields(record) and name in struct_fields(record["fields"].dataType):
-                options.append(F.col(f"record.fields.{name}"))
-            if name in struct_fields(record):
-                options.append(F.col(f"record.{name}"))
-        if name in struct_fields(present.get("fields")):
-            options.append(F.col(f"fields.{name}"))
-        if name in present:
-            options.append(F.col(name))
-        return F.coalesce(*[option.cast("string") for option in options], F.lit(None).cast("string"))
+        out = F.col(name).cast("string") if name in present else F.lit(None).cast("string")
+        for path, names in reversed(containers):
+            inner = F.col(f"{path}.{name}").cast("string") if name in names else F.lit(None).cast("string")
+            out = F.when(F.col(path).isNotNull(), inner).otherwise(out)
+        return out
 
     fields = {name: value(name).alias(name) for name in schema.FAULT_FIELDS.fieldNames()}
     flat = records.select(*fields.values())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from faultline import schema
 from faultline.functions.text import strip
-from faultline.session import read_latest, small_side, write_version
+from faultline.session import materialise, read_latest, write_version
 
 
 def normalise_columns(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -49,9 +49,9 @@ def source_rows(
     order_by: str,
     narrative: str = "Report 1_Narrative",
     label: str = "Events_Anomaly",
-    cap: int | None = schema.AVIATION_ROW_CAP,
+    cap: int | None = None,
 ) -> DataFrame:
-    """Landed source rows with both fields filled, at most `cap` of them in source order."""
+    """Landed source rows with both fields filled; all of them, or the first `cap` in source order."""
     both = rows.select(
         F.col(order_by),
         strip(F.col(f"`{narrative}`")).alias("narrative"),
@@ -68,8 +68,10 @@ def with_fallback(fresh: DataFrame | None, cached: DataFrame | None) -> DataFram
         return cached
     if cached is None:
         return fresh
-    delivered = small_side(fresh.select("domain").distinct(), "delivered-domains")
-    return fresh.unionByName(cached.join(delivered, "domain", "left_anti"))
+    fresh = materialise(fresh, "fresh-rows")
+    delivered = fresh.select(F.col("domain").alias("_delivered")).distinct()
+    missing = cached.join(delivered, F.col("domain").eqNullSafe(F.col("_delivered")), "left_anti")
+    return fresh.unionByName(missing)
 
 
 def refresh(

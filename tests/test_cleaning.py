@@ -41,8 +41,7 @@ def test_one_text_in_a_third_of_all_rows(spark):
     assert cleaning.keep_first(frame, "narrative", ["incident_id"]).count() == 20_001
 
 
-def test_join_sides_too_big_to_broadcast_give_the_same_rows(spark, monkeypatch):
-    from faultline import session
+def test_join_sides_too_big_to_broadcast_give_the_same_rows(spark):
     from faultline.operators import split
 
     frame = spark.range(5000).select(
@@ -57,7 +56,6 @@ def test_join_sides_too_big_to_broadcast_give_the_same_rows(spark, monkeypatch):
         return kept, test
 
     small = rows()
-    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         assert rows() == small
@@ -82,6 +80,24 @@ def test_fallback_is_per_domain(spark):
     assert src.with_fallback(fresh, None).count() == 1
     with pytest.raises(RuntimeError):
         src.with_fallback(None, None)
+    layout = "incident_id long, narrative string, label string, domain string"
+    one, two = (spark.createDataFrame([(i, "n", "l", None)], layout) for i in (1, 2))
+    assert [r["incident_id"] for r in src.with_fallback(one, two).collect()] == [1]
+
+
+def test_null_texts_are_one_text(spark):
+    rows = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, "a"), (5, "b")], "incident_id long, narrative string")
+    kept = cleaning.first_of_each_text(rows, ["incident_id"]).collect()
+    assert sorted(r["incident_id"] for r in kept) == [1, 3, 5]
+
+
+def test_every_source_row_is_taken(spark):
+    from faultline.catalog import QUERIES, load_all, views
+
+    sf = "/root/testdata/sf0.1"
+    load_all()
+    want = views.incidents(spark, sf).filter("domain = 'Aviation' and trim(narrative) <> '' and trim(label_raw) <> ''")
+    assert QUERIES["src2_source_rows"](spark, sf).count() == want.count() > 2000
 
 
 def test_refresh_builds_once_and_may_read_what_it_replaces(spark, tmp_path):
@@ -122,12 +138,12 @@ def test_source_rows_need_both_fields_and_keep_order(spark):
 def test_audit_counts(spark):
     rows = [(0, "a" * 30, "A"), (1, "a" * 30, "A"), (2, "tiny", "B"), (3, None, None), (4, "b" * 40, "Other")]
     frame = spark.createDataFrame(rows, ROWS).withColumn("domain", F.lit("Aviation"))
-    got = audit.quality_audit(frame, "incident_id").first().asDict()
+    got = audit.quality_audit(frame).first().asDict()
     assert (got["rows"], got["missing_labels"], got["missing_narratives"]) == (5, 1, 1)
     assert (got["duplicate_narratives"], got["short_narratives"], got["classes"]) == (1, 1, 3)
     assert (got["majority_class"], got["minority_class"], got["imbalance"]) == ("A", "Other", 2.0)
     assert got["other_share"] == 0.2 and got["vocabulary"] == 3
-    status = {r["metric"]: r["status"] for r in audit.graded_audit(frame, "incident_id").collect()}
+    status = {r["metric"]: r["status"] for r in audit.graded_audit(frame).collect()}
     assert status["Missing labels"] == "WARN" and status["Class imbalance (majority/minority ratio)"] == "OK"
 
 

@@ -60,7 +60,7 @@ def test_weights_and_evidence_against_brute_force(spark, corpus, monkeypatch):
     frame = spark.createDataFrame(list(queries.items()), "query_id long, narrative string")
     asked_frame = retrieval.query_vectors(frame, model)
     for block in (1024, 7):
-        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+        monkeypatch.setattr(retrieval, "QUERIES_IN_GROUP", block)
         monkeypatch.setattr(retrieval, "ROW_BLOCK", 16)
         found = {}
         for r in retrieval.top_evidence(asked_frame, index, 5).orderBy("query_id", "rank").collect():

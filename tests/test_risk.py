@@ -75,4 +75,4 @@ def test_answers(spark):
     assert routing.answer(frame, "classes").first()["n"] == 20
     assert [r["phrase"] for r in routing.answer(frame, "analyze Smoke in cabin").collect()] == ["Fire / smoke"]
     assert routing.answer(frame, "summary").first()["total_reports"] == 30
-    assert routing.answer(frame, "hello").count() == 5
+    assert routing.answer(frame, "hello").count() == 6

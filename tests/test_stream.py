@@ -1,4 +1,6 @@
+import csv
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +66,28 @@ def test_more_files_and_duplicates(spark, folders):
     assert len(alerts) == 6
 
 
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    """The csv module writes and reads the same files; blocks of two kilobytes cut records anywhere."""
+    folder = tmp_path / "breaks"
+    folder.mkdir()
+    rng, want = random.Random(4), {}
+    parts = ["fire", 'a "quoted" word', "x, y", "line\nbreak", "two\n\nbreaks", "calm", '5" pipe']
+    for f in range(2):
+        rows = [(f"f{f}r{i}", " ".join(rng.choice(parts) for _ in range(rng.randint(1, 8)))) for i in range(120)]
+        with open(folder / f"f{f}.csv", "w", newline="") as out:
+            quoting = csv.QUOTE_ALL if f else csv.QUOTE_MINIMAL
+            csv.writer(out, lineterminator="\n", quoting=quoting).writerows([("id", "narrative"), *rows])
+        want |= dict(rows)
+    (folder / "odd.csv").write_text('id,narrative\nA,"calm first line\nfire on the second"\n\nB,5" pipe burst\n,"no id\nhere"\n')
+    want |= {"A": "calm first line\nfire on the second", "B": '5" pipe burst', "odd-row4": "no id\nhere"}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 2000)
+    try:
+        rows = dropfiles.csv_incidents(dropfiles.read_lines(spark, str(folder)))
+        assert {r["incident_id"]: r["narrative"] for r in rows.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_line_numbers_over_many_blocks(spark, tmp_path):
     folder = tmp_path / "big"
     folder.mkdir()
@@ -201,3 +225,10 @@ def test_scratch_is_removed(spark, tmp_path):
         assert materialise(spark.range(3), "x").count() == 3
         assert path_exists(spark, folder)
     assert not path_exists(spark, folder)
+
+
+def test_fault_record_is_read_from_one_container(spark):
+    layout = "mainmessage string, nocustomeraffected string, fields struct<incidentreference:string, powercuttype:string, mainmessage:string, nocustomeraffected:string>"
+    rows = [("outer", "500", ("R1", "Unplanned", None, None))]
+    flat = feeds.flatten_faults(spark.createDataFrame(rows, layout)).first()
+    assert (flat["incidentreference"], flat["mainmessage"], flat["nocustomeraffected"]) == ("R1", None, 0)

@@ -18,6 +18,12 @@ def test_core_tokens_follow_the_word_rules(spark):
     assert core(spark, "cannot climb") == "climb"
 
 
+def test_only_real_contractions_are_taken_apart(spark):
+    both = lambda value: (core(spark, value), one(spark, value, lambda c: text.normalise(c, "api", lemmas=False)))
+    assert both("lemna canna wanta gotme") == ("lemna canna wanta gotme", "lemna canna wanta gotme")
+    assert both("gonna land, gotta climb, lemme see")[0] == core(spark, "gon na land got ta climb lem me see")
+
+
 def test_core_keeps_accented_words_and_numbers(spark):
     assert core(spark, "Störung im Netz 42") == "störung im netz 42"
 
@@ -83,6 +89,10 @@ def test_redaction(spark):
     assert one(spark, r"in /Users/me and \var\log", text.redact_paths) == "in [user]/me and [var]/log"
     assert one(spark, r"at D:\work\a.py", text.redact_paths_for_display) == "at [system-path]"
     assert one(spark, "see /home/me/file now", text.redact_paths_for_display) == "see [home-path]"
+    assert one(spark, r"\srv/secret/", text.redact_paths_for_display) == "[system-path]"
+    assert one(spark, r"in \srv/secret/, then", text.redact_paths_for_display) == "in [system-path], then"
+    assert one(spark, r"in \srv\a/b/shown.txt", text.redact_paths_for_display) == "in shown.txt"
+    assert one(spark, r"only \srv\name", text.redact_paths_for_display) == r"only \srv\name"
 
 
 def test_ids(spark):
