@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from faultline.llm import textstats
 from faultline.session import materialise
 
-# The trees are fitted on at most this many labelled rows, the first by a hash of the id.
+# The trees are fitted on at most this many labelled rows, drawn by a hash of the id.
 SAMPLE_ROWS = 20_000
 TREES = 80
 DEPTH = 4
@@ -180,14 +180,16 @@ def learn(rows: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         .groupBy(F.col("doc_id").cast("long").alias("labelled_id"))
         .agg(F.min("quality").cast("int").alias("quality"))
     )
-    sample = (
-        rows.filter(~in_holdout(F.col("doc_id")))
-        .join(marked, F.col("doc_id") == F.col("labelled_id"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "features")
-        .limit(sample_rows)
-        .select("features", "quality")
-        .collect()
+    known = rows.filter(~in_holdout(F.col("doc_id"))).join(marked, F.col("doc_id") == F.col("labelled_id"))
+    # A share of the hash range that holds a little under `sample_rows` rows; all of them where there are
+    # fewer. A top-n would send n rows from every partition.
+    total = known.count()
+    share = min(1.0, 0.95 * sample_rows / max(total, 1))
+    drawn = known if total <= sample_rows else known.filter(
+        F.shiftrightunsigned(F.xxhash64("doc_id"), 11) < int(share * (1 << 53))
     )
+    sample = drawn.select("doc_id", "features", "quality").limit(sample_rows).collect()
+    sample.sort(key=lambda r: (r["doc_id"], r["features"]))
     x = np.array([r["features"] for r in sample], dtype=np.float32).reshape(-1, len(NAMES))
     return fit(x, np.array([r["quality"] for r in sample], dtype=float))
 
