@@ -23,7 +23,7 @@ from faultline.session import materialise
 
 
 # Fits of one fold that run side by side; each is a chain of small jobs.
-PARALLEL_FITS = 3
+PARALLEL_FITS = 6
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:

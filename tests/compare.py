@@ -10,6 +10,7 @@ import datetime
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -34,6 +35,7 @@ def spark_session():
             "spark.sql.streaming.ui.enabled": "false",
             "spark.driver.host": "127.0.0.1",
             "spark.driver.bindAddress": "127.0.0.1",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-"),
         },
     )
 
