@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -369,7 +369,9 @@ def classes(docs: DataFrame, most: int = MOST_IN_BUCKET) -> DataFrame:
     return rows.join(labels, "fp").select("doc_id", "fp", "digest", "component_id", "component")
 
 
-def one_of_each(docs: DataFrame, most: int = MOST_IN_BUCKET) -> DataFrame:
+def one_of_each(
+    docs: DataFrame, most: int = MOST_IN_BUCKET, classes: Callable[[DataFrame, int], DataFrame] = classes
+) -> DataFrame:
     """The rows of `docs` with the least id of their component; of rows equal in id and text, one."""
     columns = docs.columns
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("first")
