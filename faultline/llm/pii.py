@@ -171,10 +171,9 @@ DOT_WORDS = r"dot|punkt|point|punto"
 
 _digit = r"(?<!\w)(?:" + "|".join(sorted(DIGIT_OF, key=lambda w: (-len(w), w))) + r")(?!\w)"
 _gap = r"[\x20,\-]{1,3}"
-# Three or more spelled digits in a row, or one after "plus"; separators between them go.
+# Spelled digits, also after "plus"; separators between them go.
 SPELLED = re.compile(rf"(?:(?<!\w)plus{_gap})?{_digit}(?:{_gap}{_digit})*", re.I)
 SPELLED_WORD = re.compile(_digit, re.I)
-SPELLED_RUN = re.compile(rf"{_digit}(?:{_gap}(?:{_digit}|(?:{DOT_WORDS})(?!\w)|[0-9]+(?!\w))){{2}}|(?<!\w)plus{_gap}{_digit}", re.I)
 PLUS = re.compile(r"(?<!\w)plus\x20?(?=[0-9])", re.I)
 MIXED = re.compile(r"(?<![A-Za-z0-9])[0-9OolI]*(?:[0-9][OolI]|[OolI][0-9])[0-9OolI]*(?![A-Za-z0-9])")
 MIXED_DIGITS = str.maketrans("OolI", "0011")
@@ -192,39 +191,33 @@ HIDDEN_DOMAIN = re.compile(rf"[A-Za-z0-9-]+(?:[.{DOT}][A-Za-z0-9-]+)+")
 # Cheap looks on the lower-case text; each starts with a set of characters that is rare or one step to test.
 _bracketed = re.compile(rf"[\[({{<]\s{{0,3}}(?:{AT_WORDS}|{DOT_WORDS}|@|\.)\s{{0,3}}[\])}}>]")
 _beside_digit = re.compile(r"[0-9](?:(?<=[OolI][0-9])|(?=[OolI]))")
-
-
-def _by_letter(words: list[str]) -> str:
-    """An alternation that is entered by the first letter only."""
-    first: dict[str, list[str]] = {}
-    for w in sorted(words, key=lambda w: (-len(w), w)):
-        first.setdefault(w[0], []).append(w[1:])
-    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(first.items()))
-
-
-_two_digits = re.compile(
-    rf"[\x20,\-](?:{_by_letter(list(DIGIT_OF))}){_gap}(?:{_by_letter(list(DIGIT_OF))}|{DOT_WORDS}|[0-9])"
-)
+_word = re.compile(r"\w+")
+# Letters that patterns without case take for i and s, and lower() does not.
+_folded = re.compile("[İıſ]")
+_unfolded = str.maketrans("İıſ", "iis")
 
 
 def disguised(text: str) -> bool:
-    """Whether any transducer may have something to do: a linear look that most texts end with."""
-    if not text.isascii() and ODD.search(text):
+    """Whether any transducer may have something to do: a linear look that most texts end with.
+
+    It holds wherever one of their patterns matches, so leaving the others out changes no result.
+    """
+    if not text.isascii() and (ODD.search(text) or _folded.search(text)):
         return True
     low = text.lower()
     if _bracketed.search(low) or ("@" in text and WIDE_AT.search(text)):
         return True
     if any(w in low for w in DOT_WORDS.split("|")) and HAS_DOT_WORD.search(low):
         return True
-    if "plus" in low and SPELLED_RUN.search(low):
+    if "plus" in low and PLUS.search(text):
         return True
-    return bool(_beside_digit.search(text) or (_two_digits.search(low) and SPELLED_RUN.search(low)))
+    return bool(_beside_digit.search(text)) or not DIGIT_OF.keys().isdisjoint(_word.findall(low))
 
 
 def _spelled_digits(match: re.Match) -> str | None:
     words = SPELLED_WORD.findall(match.group())
     plus = match.group()[:4].lower() == "plus"
-    return "+" * plus + "".join(DIGIT_OF[w.lower()] for w in words)
+    return "+" * plus + "".join(DIGIT_OF[w.translate(_unfolded).lower()] for w in words)
 
 
 def normalised(text: str) -> Mapped:
@@ -232,7 +225,9 @@ def normalised(text: str) -> Mapped:
     mapped = mapped.rewrite(ODD, lambda m: ascii_of(m.group()))
     mapped = mapped.rewrite(BRACKET_AT, lambda m: "@")
     mapped = mapped.rewrite(BRACKET_DOT, lambda m: DOT)
-    mapped = mapped.rewrite(BARE_AT, lambda m: AT)
+    # without a spelled dot it never counts
+    if DOT in mapped.text or BARE_DOT.search(mapped.text):
+        mapped = mapped.rewrite(BARE_AT, lambda m: AT)
     mapped = mapped.rewrite(BARE_DOT, lambda m: DOT)
     mapped = mapped.rewrite(SPELLED, _spelled_digits)
     mapped = mapped.rewrite(PLUS, lambda m: "+")

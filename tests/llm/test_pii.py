@@ -106,3 +106,22 @@ def test_odd_rows(spark, odd_documents):
         "a row without an id but with a mail <EMAIL>"
     ]
     assert pii.scan(odd_documents.limit(0)).collect() == []
+
+
+def test_plus_before_digits():
+    for text, phone in (("call plus 49 170 1234567 now", (5, 24)), ("ring Plus 1 555 123 4567", (5, 24))):
+        assert pii.find(text)[1]["phone"] == [phone]
+        assert pii.masked(text) == text[: phone[0]] + "<PHONE>" + text[phone[1] :]
+
+
+def test_the_cheap_look_changes_no_result(monkeypatch):
+    rng = random.Random(11)
+    parts = ["plus ", "Plus", "+", "one ", "deux-", "ſix ", "zwei", "at", " at ", "_at_", "[at]", "@", " @ ", "dot", " punkt ", "_dot_"]
+    parts += ["[.]", ".", "jane", "mail", "org ", "4111 ", "1", "49 170 ", "555 123 ", "l", "O", "é", "٣", "о", " ", "-", "SİX ", "_"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    short = [pii.find(t) for t in texts]
+    seen = sum(map(pii.disguised, texts))
+    monkeypatch.setattr(pii, "disguised", lambda text: True)
+    for text, found in zip(texts, short, strict=True):
+        assert pii.find(text) == found, text
+    assert 0 < seen < len(texts)
