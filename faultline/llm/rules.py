@@ -134,7 +134,8 @@ def cutoffs(
     values = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(rule).alias("value")) for rule in RULES]))
     # Counts per (stratum, rule, grid value, label): a few hundred rows for a stratum of any size.
     counts = (
-        held.join(marked, F.col("doc_id") == F.col("labelled_id"))
+        held.select(*FIELDS).join(marked, F.col("doc_id") == F.col("labelled_id"))
+        .dropDuplicates(FIELDS)  # repeats of a row are one trial of the test
         .select(F.coalesce("lang", F.lit("")).alias("stratum"), F.col("lang").isNull().alias("none"), "quality", values)
         .groupBy("stratum", "none", "col.rule", "col.value", "quality")
         .agg(F.count("*").alias("n"))

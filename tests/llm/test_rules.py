@@ -88,3 +88,19 @@ def test_odd_rows(spark, odd_documents, labels):
     assert kept.count() == sum(r["kept"] for r in got)
     assert rules.verdicts(odd_documents, labels.limit(0)).count() == 11
     assert rules.verdicts(odd_documents.limit(0), labels).collect() == []
+
+
+def test_repeats_of_a_labelled_row_count_once(spark):
+    """One good document repeated many times certifies nothing; as many different ones do."""
+    text = " ".join(f"word{i}" for i in range(40))
+    shout = [" ".join(["LOUD"] * 8 + [f"w{i}x{n}" for n in range(40)]) for i in range(30)]
+    cutoffs = []
+    for copies, ids in ((5000, 1), (1, 5000)):
+        rows = [(i, text + " extra" * (i % 7), "en") for i in range(ids) for _ in range(copies)]
+        rows += [(100_000 + i, t, "en") for i, t in enumerate(shout)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        marks = spark.createDataFrame([(i, int(i < 100_000)) for i in {r[0] for r in rows}], "doc_id long, quality int")
+        limit = rules.cutoffs(rules.statistics(docs), marks).first()
+        cutoffs.append([limit[f"{rule}_cutoff"] for rule in rules.RULES])
+    assert cutoffs[0] == [None] * 4
+    assert any(c is not None for c in cutoffs[1])
