@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; every stage's result
 is written as Parquet and read again as the next one's documents. All but the last return the
 columns of `documents`.
+
+Defined results: nulls, empty and long texts, ties and repeated rows are treated as the operator of
+each stage says, a null text counting as an empty one; an empty table gives no rows; further columns,
+whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import mixing, neardup, packing, pii, rules
+from faultline.llm import mixing, packing, pii, rules, simhash
 from faultline.session import materialise
 
 
@@ -20,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by at least 0.8 of their five-word shingles: the one with the least id."""
-    return neardup.one_of_each(docs)
+    """One document of each group that SimHash fingerprints link: the one with the least id."""
+    return simhash.one_of_each(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
