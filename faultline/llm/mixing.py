@@ -6,12 +6,16 @@ over its size is first taken whole as often as it fits; the rest is the head of
 whose sizes come nearest to what is left. DataFrame functions only.
 
 Defined results: a null text has size 0 and is never a fraction of the mix; a null source is a
-source of its own and the last; a null doc_id has the key of the text "null"; repeated rows are
-drawn one by one; an empty table gives no rows; other columns are ignored.
+source of its own and the last; a null doc_id counts as the text "null"; rows of one id draw apart
+where their texts differ; repeated rows have one key and are drawn one by one; an empty table gives no
+rows; other columns, whatever their names, are ignored or passed through.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +28,8 @@ MOST_EPOCHS = 3
 WEIGHTS = (1.0, 2.0, 3.0)
 # Key order is cut into this many equal bands per source; only the band a cut lies in is ranked.
 BANDS = 8192
+# Equal rows are dealt into this many parts, so that no task ranks all copies of one document.
+SALTS = 1024
 
 
 def quality_weight(text: Column) -> Column:
@@ -32,9 +38,10 @@ def quality_weight(text: Column) -> Column:
     return F.lit(1.0) - F.least(share * 3.75, F.lit(0.75))
 
 
-def uniform(doc_id: Column) -> Column:
-    """A number inside (0, 1) from the id alone: 52 bits of its MD5."""
-    bits = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null"))), 1, 13), 16, 10).cast("double")
+def uniform(doc_id: Column, text: Column) -> Column:
+    """A number inside (0, 1) from the id and the text alone: 52 bits of an MD5."""
+    name = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), F.md5(text))
+    bits = F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double")
     return (bits + 0.5) / F.lit(float(1 << 52))
 
 
@@ -62,22 +69,25 @@ def targets(sources: DataFrame, most: int = MOST_EPOCHS, weights: tuple[float, .
     )
 
 
-def draw(
-    docs: DataFrame, most: int = MOST_EPOCHS, weights: tuple[float, ...] = WEIGHTS, bands: int = BANDS
-) -> DataFrame:
-    """doc_id, size, source, source_size, target, times (whole takes) and taken of every row."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = -F.log(uniform(F.col("doc_id"))) / quality_weight(text)
-    rows = materialise(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.col("source").cast("string").alias("source"),
-            F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-            F.xxhash64(F.col("text").cast("string")).alias("_digest"),
-            key.alias("key"),
-        ).withColumn("band", F.floor((1 - F.exp(-F.col("key"))) * bands).cast("int")),
-        "mix-rows",
+def _drawn(docs: DataFrame, most: int, weights: tuple[float, ...], bands: int, weight: Callable, carry: bool) -> DataFrame:
+    """Every row with its source's target and its takes; with `carry` the columns of `docs` as _in0, _in1, ..."""
+    columns = docs.columns
+    names = [f"_in{i}" for i in range(len(columns))]
+    place = dict(zip(columns, names, strict=True))
+    held = docs.toDF(*names)
+    plain, doc_id = F.col(place["text"]).cast("string"), F.col(place["doc_id"]).cast("long")
+    text = F.coalesce(plain, F.lit(""))
+    key = -F.log(uniform(doc_id, text)) / weight(text)
+    rows = held.select(
+        doc_id.alias("doc_id"),
+        F.col(place["source"]).cast("string").alias("source"),
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+        F.xxhash64(plain).alias("digest"),
+        key.alias("key"),
+        F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"),
+        *(names if carry else []),
     )
+    rows = materialise(rows.withColumn("band", F.floor((1 - F.exp(-F.col("key"))) * bands).cast("int")), "mix-rows")
     # Sizes per (source, band) come first; a source never meets in one task.
     sums = rows.groupBy("source", "band").agg(F.sum("size").alias("band_size"))
     goals = targets(sums.groupBy("source").agg(F.sum("band_size").alias("source_size")), most, weights)
@@ -99,41 +109,49 @@ def draw(
     )
     cuts = materialise(cuts, "mix-cuts")
     joined = rows.join(cuts, F.col("source").eqNullSafe(F.col("s")) & (F.col("band") == F.col("b")))
-    running = (
-        Window.partitionBy("source", "band").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    head = F.col("before") + F.coalesce(F.sum("size").over(running), F.lit(0))
-    ranked = (
-        joined.filter(F.col("state") == 2)
-        .withColumn("head", head)
-        # the document a cut falls into is taken if more than half of it lies before the cut
-        .withColumn("extra", (F.col("size") < 2 * (F.col("rest") - F.col("head"))).cast("long"))
-        .drop("head")
-    )
-    plain = joined.filter(F.col("state") != 2).withColumn("extra", F.col("state").cast("long"))
-    drawn = plain.unionByName(ranked).withColumn(
+    cut = joined.filter("state = 2")
+    # Equal rows of the cut band are counted per salt and only the counts are put in order.
+    same = ["source", "band", "key", "doc_id", "size", "digest", "salt"]
+    running = Window.partitionBy("source", "band").orderBy(*same[2:]).rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut.groupBy(*same, "before").agg(F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum(F.col("n") * F.col("size")).over(running), F.lit(0))
+    parts = materialise(parts.select(*same, (F.col("before") + ahead).alias("ahead")), "mix-parts")
+    parts = parts.toDF(*[f"p_{name}" for name in same], "ahead")
+    met = functools.reduce(Column.__and__, [F.col(name).eqNullSafe(F.col(f"p_{name}")) for name in same])
+    number = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0))) - 1
+    # the document a cut falls into is taken if more than half of it lies before the cut
+    extra = F.col("size") < 2 * (F.col("rest") - F.col("ahead") - number * F.col("size"))
+    ranked = cut.join(parts, met).withColumn("extra", extra.cast("long")).select(*joined.columns, "extra")
+    whole = joined.filter("state <> 2").withColumn("extra", F.col("state").cast("long"))
+    return whole.unionByName(ranked).withColumn(
         "times", F.col("epochs") + F.when(F.col("size") > 0, F.col("extra")).otherwise(0)
     )
-    return drawn.select(
-        "doc_id", "size", "source", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"), "_digest"
-    )
 
 
-def mix_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs`, each as often as the mix takes it.
+def draw(
+    docs: DataFrame,
+    most: int = MOST_EPOCHS,
+    weights: tuple[float, ...] = WEIGHTS,
+    bands: int = BANDS,
+    weight: Callable[[Column], Column] = quality_weight,
+) -> DataFrame:
+    """doc_id, size, source, source_size, target, times (whole takes) and taken of every row.
 
-    Takes find their row by id and text digest; rows equal in both share theirs out by rank.
+    `weight` gives the positive quality weight of a text column.
     """
-    columns = docs.columns
-    same = [F.col("doc_id").cast("string"), F.xxhash64(F.col("text").cast("string"))]
-    keyed = docs.withColumns({"_id": F.coalesce(same[0], F.lit("null")), "_digest": same[1]})
-    takes = draw(docs, **options).select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), "_digest", F.col("times").alias("_times")
-    )
-    takes = takes.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_digest").orderBy("_times")))
-    keyed = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_digest").orderBy("source")))
-    return (
-        keyed.join(takes.filter(F.col("_times") > 0), ["_id", "_digest", "_n"])
-        .withColumn("_take", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
-        .select(*columns)
-    )
+    found = _drawn(docs, most, weights, bands, weight, carry=False)
+    taken = (F.col("times") * F.col("size")).alias("taken")
+    return found.select("doc_id", "size", "source", "source_size", "target", "times", taken)
+
+
+def mix_rows(
+    docs: DataFrame,
+    most: int = MOST_EPOCHS,
+    weights: tuple[float, ...] = WEIGHTS,
+    bands: int = BANDS,
+    weight: Callable[[Column], Column] = quality_weight,
+) -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it. Rows carry their columns along: nothing is joined back."""
+    taken = _drawn(docs, most, weights, bands, weight, carry=True).filter("times > 0")
+    copies = taken.withColumn("take", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return copies.select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -35,7 +35,7 @@ with docs as (
   from documents),
 keyed as (
   select doc_id, source, size,
-         -ln((cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null')), 1, 13) as bigint) + 0.5::double)
+         -ln((cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null') || ':' || md5(text)), 1, 13) as bigint) + 0.5::double)
              / 4503599627370496.0::double)
          / (1.0::double - least(len(regexp_extract_all(text, '[#*$%&|<>!]'))::double / greatest(length(text), 1) * 3.75::double,
                                 0.75::double)) as k

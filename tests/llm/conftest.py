@@ -6,7 +6,10 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 # Column names the operators use themselves, on top of those of the table.
-CLASHING = "size long, key double, band int, rank int, copy long, digest string, fp string, score string"
+CLASHING = (
+    "size long, key double, band int, rank int, copy long, digest string, fp string, score string, "
+    "_id long, _n int, _digest string, _times long, _rank int, _kept_id long"
+)
 
 
 @pytest.fixture
@@ -26,7 +29,7 @@ def odd_documents(spark):
         (None, "a row without an id but with a mail me@example.org", "en", "c"),
         (None, None, None, None),
     ]
-    extra = (1, 0.5, 2, 3, 4, "x", "y", "z")
+    extra = (1, 0.5, 2, 3, 4, "x", "y", "z", 5, 6, "q", 7, 8, 9)
     return spark.createDataFrame(
         [(*r, len(r[1] or ""), *extra) for r in rows],
         f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}",

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from faultline.llm import mixing
 
@@ -69,3 +70,39 @@ def test_odd_rows(spark, odd_documents):
 def test_nothing_but_empty_texts(spark):
     docs = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert [(r["target"], r["taken"]) for r in mixing.draw(docs).collect()] == [(0.0, 0), (0.0, 0)]
+
+
+def test_takes_stay_with_their_source(spark):
+    text = "one text of six words only"
+    rows = [(1, text, "b", "x"), (1, text, "a", "y")] + [(i, text + f" {i}", "b", "x") for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _times string")
+    want = {}
+    for r in mixing.draw(docs).collect():
+        if r["times"]:
+            want[r["doc_id"], r["source"]] = r["times"]
+    got = {}
+    for r in mixing.mix_rows(docs).collect():
+        assert r["_times"] == ("y" if r["source"] == "a" else "x")
+        got[r["doc_id"], r["source"]] = got.get((r["doc_id"], r["source"]), 0) + 1
+    assert got == want
+
+
+def test_rows_without_id_and_repeated_rows(spark):
+    rows = [(None, "a text without an id", "a")] * 3000 + [(None, f"text {i} without an id", "a") for i in range(2000)]
+    rows += [(i, "some longer text for the other source of the mix " * 3, "b") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.draw(docs, weights=(1.0, 4.0)).collect()
+    for source in ("a", "b"):
+        mine = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 30
+    again = mixing.draw(docs.repartition(3), weights=(1.0, 4.0)).collect()
+    key = lambda rows: sorted((r["doc_id"] or -1, r["size"], r["source"], r["taken"]) for r in rows)
+    assert key(again) == key(got)
+
+
+def test_another_weight(spark):
+    rows = [(i, ("new " if i % 2 else "old ") * 10, "a") for i in range(3000)] + [(-1, "x " * 60_000, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.draw(docs, weights=(1.0, 4.0), weight=lambda text: F.when(text.contains("new"), 4.0).otherwise(1.0)).collect()
+    new, old = (sum(r["times"] for r in got if r["source"] == "a" and r["doc_id"] % 2 == odd) for odd in (1, 0))
+    assert new > 1.5 * old > 0
