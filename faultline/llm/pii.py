@@ -16,12 +16,16 @@ import functools
 import hashlib
 import re
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from faultline.llm.textstats import in_slices
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
 
@@ -104,28 +108,50 @@ def plain_spans(text: str) -> dict[str, list[Span]]:
 
 @dataclass
 class Mapped:
-    """A text and, for each of its characters, the source span it stands for."""
+    """A text and, for each of its characters, the source span it stands for: two int32 per character."""
 
     text: str
-    starts: list[int]
-    ends: list[int]
+    starts: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def plain(cls, text: str) -> Mapped:
+        starts = np.arange(len(text), dtype=np.int32)
+        return cls(text, starts, starts + np.int32(1))
 
     def rewrite(self, pattern: re.Pattern, change: Callable[[re.Match], str | None]) -> Mapped:
         """Replace matches; each new character stands for its whole match. None leaves a match as it is."""
-        text, starts, ends, at = [], [], [], 0
+        text, at = [], 0
+        # runs of the new text: where each starts in the old one, its last old place, its length
+        first, last, length = array("i"), array("i"), array("i")
         for match in pattern.finditer(self.text):
             new = change(match)
             if new is None or match.start() == match.end():
                 continue
             a, b = match.span()
             text += [self.text[at:a], new]
-            starts += self.starts[at:a] + [self.starts[a]] * len(new)
-            ends += self.ends[at:a] + [self.ends[b - 1]] * len(new)
+            first.extend((at, a))
+            last.extend((-1, b - 1))
+            length.extend((a - at, len(new)))
             at = b
         if not at:
             return self
         text.append(self.text[at:])
-        return Mapped("".join(text), starts + self.starts[at:], ends + self.ends[at:])
+        first.append(at)
+        last.append(-1)
+        length.append(len(self.text) - at)
+        first, last, length = (np.frombuffer(x, dtype=np.int32) for x in (first, last, length))
+        kept = last < 0
+        # a kept run counts on from its first place, a new one stays at it
+        step = np.repeat(kept, length)
+        run = np.cumsum(length, dtype=np.int32) - length
+        place = np.repeat(first, length)
+        on = np.arange(len(place), dtype=np.int32) - np.repeat(run, length)
+        place[step] += on[step]
+        starts = self.starts[place]
+        stays = ~step
+        place[stays] = np.repeat(last, length)[stays]
+        return Mapped("".join(text), starts, self.ends[place])
 
 
 # Letters of other scripts that look like ASCII ones.
@@ -221,8 +247,7 @@ def _spelled_digits(match: re.Match) -> str | None:
 
 
 def normalised(text: str) -> Mapped:
-    mapped = Mapped(text, list(range(len(text))), list(range(1, len(text) + 1)))
-    mapped = mapped.rewrite(ODD, lambda m: ascii_of(m.group()))
+    mapped = Mapped.plain(text).rewrite(ODD, lambda m: ascii_of(m.group()))
     mapped = mapped.rewrite(BRACKET_AT, lambda m: "@")
     mapped = mapped.rewrite(BRACKET_DOT, lambda m: DOT)
     # without a spelled dot it never counts
@@ -246,7 +271,7 @@ def hidden_spans(text: str) -> dict[str, list[Span]]:
         if AT not in mapped.text[a:b] or DOT in mapped.text[mapped.text.index(AT, a) : b]
     ]
     found = {"email": mail, "ip": addresses(plain), "card": cards(plain), "phone": phones(plain)}
-    return {kind: [(mapped.starts[a], mapped.ends[b - 1]) for a, b in spans] for kind, spans in found.items()}
+    return {kind: [(int(mapped.starts[a]), int(mapped.ends[b - 1])) for a, b in spans] for kind, spans in found.items()}
 
 
 def find(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
@@ -302,7 +327,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """Counts of plain identifiers, the digest of their spans and all spans, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = []
             for text in batch.column("text").to_pylist():
                 base, every = find(text)
@@ -322,7 +347,7 @@ def mask(docs: DataFrame, column: str = "text") -> DataFrame:
     """The rows of `docs` with the identifiers of a text column masked; nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             place = batch.schema.get_field_index(column)
             new = pa.array([masked(t) for t in batch.column(place).to_pylist()], type=batch.schema.field(place).type)
             arrays = [new if i == place else batch.column(i) for i in range(batch.num_columns)]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 # What a word and a symbol are.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -12,6 +14,13 @@ SYMBOL = re.compile(r"[#*$%&|<>]")
 WINDOW = 8
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that what a task makes of them in Python stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def words_in_repeats(words: list[str], window: int = WINDOW) -> int:
     """Words that lie in a window of `window` (a power of two) words found twice or more, the first included.
 

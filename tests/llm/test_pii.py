@@ -125,3 +125,12 @@ def test_the_cheap_look_changes_no_result(monkeypatch):
     for text, found in zip(texts, short, strict=True):
         assert pii.find(text) == found, text
     assert 0 < seen < len(texts)
+
+
+def test_offsets_of_a_very_long_disguised_text():
+    filler = "а word of filler, number one, then "  # the first letter is Cyrillic
+    text = filler * 40_000 + "call plus four nine one seven zero one two three four five six seven now"
+    base, every = pii.find(text)
+    assert base["phone"] == []
+    (start, end) = every["phone"][-1]
+    assert text[start:end].startswith("plus four nine") and text[start:end].endswith("seven")
