@@ -72,7 +72,7 @@ def statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
     place = held.columns.index(f"_in{text}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textstats.in_slices(batches):
             rows = [document_statistics(t) for t in batch.column(place).to_pylist()]
             found = list(zip(*rows, strict=True)) or [()] * (len(FIELDS) - 2)
             kinds = [pa.int64()] * len(COUNTS) + [pa.int32()] * len(RULES)

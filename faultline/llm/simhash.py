@@ -15,15 +15,15 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from faultline.llm.textstats import in_slices
 from faultline.session import materialise
 
 SEED = 42
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) and digest (of the text) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [signed(fingerprint(text)) for text in batch.column("text").to_pylist()]
             arrays = [batch.column("doc_id"), pa.array(found, type=pa.int64()), batch.column("digest")]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "fp", "digest"])
@@ -369,16 +369,34 @@ def classes(docs: DataFrame, most: int = MOST_IN_BUCKET) -> DataFrame:
     return rows.join(labels, "fp").select("doc_id", "fp", "digest", "component_id", "component")
 
 
-def one_of_each(
-    docs: DataFrame, most: int = MOST_IN_BUCKET, classes: Callable[[DataFrame, int], DataFrame] = classes
-) -> DataFrame:
-    """The rows of `docs` with the least id of their component; of rows equal in id and text, one."""
+def one_of_each(docs: DataFrame, most: int = MOST_IN_BUCKET) -> DataFrame:
+    """The rows of `docs` with the least id of their component; of rows equal in id and text, one.
+
+    That one is the first by source. Columns of any name pass through.
+    """
     columns = docs.columns
+    names = [f"_in{i}" for i in range(len(columns))]
+    place = dict(zip(columns, names, strict=True))
+    held = docs.toDF(*names)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("first")
-    keepers = classes(docs, most).groupBy("component").agg(first)
-    keepers = materialise(keepers.select("first.doc_id", "first.digest").toDF("_kept_id", "_kept_digest"), "simhash-kept")
-    keyed = docs.withColumn("_digest", F.xxhash64(F.col("text").cast("string")))
-    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest"))
-    left = keyed.join(keepers, same, "left_semi")
-    rank = F.row_number().over(Window.partitionBy("doc_id", "_digest").orderBy("source"))
-    return left.withColumn("_rank", rank).filter("_rank = 1").select(*columns)
+    members = classes(docs, most).select("doc_id", "digest", "component")
+    # Equal rows are counted before anything is joined.
+    members = materialise(members.groupBy("component", "doc_id", "digest").agg(F.count("*").alias("n")), "simhash-members")
+    firsts = members.groupBy("component").agg(first).select("component", "first.doc_id", "first.digest")
+    keepers = members.alias("m").join(
+        firsts.alias("f"),
+        (F.col("m.component") == F.col("f.component"))
+        & F.col("m.doc_id").eqNullSafe(F.col("f.doc_id"))
+        & (F.col("m.digest") == F.col("f.digest")),
+    )
+    keepers = materialise(keepers.select("m.doc_id", "m.digest", "n").toDF("kept_id", "kept_digest", "n"), "simhash-kept")
+    doc_id, text = F.col(place["doc_id"]).cast("long"), F.col(place["text"]).cast("string")
+    keyed = held.withColumn("digest", F.xxhash64(text))
+    left = keyed.join(keepers, doc_id.eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")))
+    single = left.filter("n = 1").select(*names)
+    # Partial aggregation leaves one row per task of however many equal ones.
+    comparable = [n for n, f in zip(names, held.schema.fields, strict=True) if "map<" not in f.dataType.simpleString()]
+    order = F.struct(F.col(place["source"]).cast("string"), *comparable) if "source" in place else F.struct(*comparable)
+    best = F.min_by(F.struct(*names), order).alias("row")
+    repeated = left.filter("n > 1").groupBy("kept_id", "kept_digest").agg(best)
+    return single.unionByName(repeated.select(*[F.col(f"row.{n}").alias(n) for n in names])).toDF(*columns)

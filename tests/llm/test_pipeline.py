@@ -59,3 +59,25 @@ def test_stages(spark, sf):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_odd_rows_pass_through_all_stages(spark, sf, odd_documents):
+    docs = odd_documents
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+        assert name == "pack_sequences" or docs.columns == odd_documents.columns
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    empty = odd_documents.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, sf)
+        assert empty.collect() == []
+
+
+def test_stages_but_the_rules_on_odd_rows(spark, sf, odd_documents):
+    docs = odd_documents
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = stage(spark, docs, sf)
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    ids = [r["doc_id"] for r in docs.collect()]
+    assert docs.columns == odd_documents.columns and set(ids) <= {1, 5, 6, 7, None} and 5 in ids
+    assert all(r["_kept_id"] == 9 and r["_id"] == 5 for r in docs.collect())
