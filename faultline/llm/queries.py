@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import ann, mixing, packing, pii, quality, rules, sharding, simhash, suffixes, tokencounts
+from faultline.llm import ann, filteraudit, mixing, packing, pii, quality, rules, sharding, simhash, suffixes, tokencounts
 from faultline.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,49 @@ def op1_nearest(spark, sf_dir):
 @query("op8_token_counts")
 def op8_token_counts(spark, sf_dir):
     return tokencounts.counted(table(spark, sf_dir, "documents"))
+
+
+AUDIT_SQL = r"""
+with docs as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+  from documents),
+judged as (
+  select doc_id, part,
+         (len(w) < 100)::int + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::int
+         + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::int
+         + 8 * regexp_matches(t, '[#$%&*|]')::int
+         + 16 * coalesce(doc_id > min(doc_id) over (partition by t), false)::int as mask
+  from docs),
+marks as (
+  select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+counts as (
+  select part, mask, count(*) as n, sum(coalesce(good, 0)) as n_good, sum(coalesce(toxic, 0)) as n_toxic
+  from judged left join marks using (doc_id) group by part, mask),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x, unnest([1, 2, 4, 8, 16]) as b),
+orders as (
+  select p.x || q.x || r.x || s.x || t.x as filter_order, [p.b, q.b, r.b, s.b, t.b] as bits
+  from letters p, letters q, letters r, letters s, letters t
+  where p.b + q.b + r.b + s.b + t.b = 31 and p.b | q.b | r.b | s.b | t.b = 31),
+places as (
+  select filter_order, step::int as step, bits[step] as own,
+         coalesce(list_sum(bits[1:step - 1]), 0)::int as earlier
+  from orders, range(1, 6) as steps(step)),
+found as (
+  select part, filter_order, step, own,
+         sum(case when mask & (own | earlier) = 0 then n else 0 end)::bigint as kept,
+         sum(case when mask & own > 0 and mask & earlier = 0 then n else 0 end)::bigint as removed,
+         sum(case when mask & own > 0 and mask & earlier > 0 then n else 0 end)::bigint as redundant,
+         sum(case when mask = own then n else 0 end)::bigint as unique_fails,
+         sum(case when mask & own > 0 and mask & earlier = 0 then n_good else 0 end)::bigint as good_lost,
+         sum(case when mask & own > 0 and mask & earlier = 0 then n_toxic else 0 end)::bigint as toxic_lost
+  from counts, places group by part, filter_order, step, own)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) over (partition by part, own))::bigint as shapley
+from found
+"""
+
+
+@query("op12_filter_audit", AUDIT_SQL)
+def op12_filter_audit(spark, sf_dir):
+    return filteraudit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
