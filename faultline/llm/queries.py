@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import ann, filteraudit, mixing, packing, pii, quality, rules, sharding, simhash, suffixes, tokencounts
+from faultline.llm import (
+    ann,
+    filteraudit,
+    mixing,
+    packing,
+    pii,
+    quality,
+    rules,
+    sharding,
+    simhash,
+    suffixes,
+    tokencounts,
+    variants,
+)
 from faultline.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +180,9 @@ from found
 @query("op12_filter_audit", AUDIT_SQL)
 def op12_filter_audit(spark, sf_dir):
     return filteraudit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_spelling_variants")
+def op11_spelling_variants(spark, sf_dir):
+    found = variants.groups(table(spark, sf_dir, "documents"), drop_every=97)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
