@@ -185,6 +185,16 @@ def encoder(json_path: str, ranks_path: str, pattern: str):
     return encode
 
 
+def decoder(json_path: str, ranks_path: str, pattern: str):
+    """Ids to the text they stand for."""
+    _, fast = _encoders(json_path, ranks_path, pattern)
+
+    def decode(ids: np.ndarray) -> str:
+        return fast.decode_bytes(ids.tolist()).decode()
+
+    return decode
+
+
 def tokenizer_files() -> tuple[str, str, str]:
     """(tokenizer file, its ranks, its pattern) of the public byte-level vocabulary; every node has them."""
     import public_tokenizers

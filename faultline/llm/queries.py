@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm import (
     ann,
+    chatformat,
     filteraudit,
     mixing,
     packing,
@@ -186,3 +187,14 @@ def op12_filter_audit(spark, sf_dir):
 def op11_spelling_variants(spark, sf_dir):
     found = variants.groups(table(spark, sf_dir, "documents"), drop_every=97)
     return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+@query("op13_chat_format")
+def op13_chat_format(spark, sf_dir):
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = [(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)]
+    extra = spark.createDataFrame(extra, "conv_id long, turn long, role string, text string")
+    return chatformat.read_back(chatformat.format_chats(given.unionByName(extra)))

@@ -20,7 +20,7 @@ def test_query(spark, con, sf, name):
 def test_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert [int(name[2:].split("_")[0]) for name in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == list(
-        range(1, 13)
+        range(1, 14)
     )
 
 
