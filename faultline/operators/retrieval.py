@@ -1,14 +1,18 @@
 """Evidence: the most similar past incidents of each query, by cosine of unit vectors.
 
-Queries and corpus meet in a grid of query groups and corpus blocks, in one plan for any number of
-queries. A task scores its cells' rows in pieces and lets only the best k per query out; the few
-rows left per cell are ranked in a final window.
+Term vectors are looked up in an inverted index (`postings`), stored in buckets beside the vectors. Dense
+vectors meet in a grid of query groups and corpus blocks, in one plan for any number of queries: a task
+scores its cells' rows in pieces and lets only the best k per query out, and the few rows left per cell
+are ranked in a final window.
 
 Ties go to the lower id. A query without any known term gets the lowest ids at similarity 0.
 """
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,8 +21,9 @@ from faultline import schema
 from faultline.functions.text import normalise, snippet
 from faultline.operators import scoring
 from faultline.operators.features import TfidfModel, sparse_parts
+from faultline.operators.postings import Postings, build_postings, candidates, nearest
 from faultline.operators.requests import check_parameters
-from faultline.session import materialise, read_latest, write_version
+from faultline.session import committed_versions, mark_complete, materialise, read_buckets, write_buckets
 
 # Queries a task scores at a time, as one matrix over the terms they use.
 QUERIES_IN_GROUP = 1024
@@ -54,15 +59,54 @@ def build_index(
     return sparse_parts(model.transform(rows).drop("processed_text"))
 
 
-def save_index(index: DataFrame, path: str) -> str:
-    return write_version(index, path)
+@dataclass
+class EvidenceIndex:
+    """Vectors with what an entry shows, and the inverted index over them."""
+
+    rows: DataFrame
+    postings: Postings
+
 
+def indexed(index: DataFrame | EvidenceIndex) -> EvidenceIndex:
+    """The inverted index of an index frame, for one use; `save_index` keeps one."""
+    if isinstance(index, EvidenceIndex):
+        return index
+    rows = materialise(index, "evidence-rows")
+    found = build_postings(rows)
+    return EvidenceIndex(rows, Postings(materialise(found.lists, "evidence-lists"), found.terms))
 
-def load_index(spark, path: str) -> DataFrame:
-    index = read_latest(spark, path)
-    if index is None:
+
+def save_index(index: DataFrame, path: str, buckets: int | None = None) -> str:
+    """Write the next version: vectors in buckets of the incident, lists in buckets of the list, the terms, the layout."""
+    spark = index.sparkSession
+    versions = committed_versions(spark, path)
+    target = f"{path}/version={versions[-1] + 1 if versions else 1}"
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    write_buckets(index, f"{target}/rows", "incident_id", buckets)
+    rows = read_buckets(spark, f"{target}/rows", index.schema, "incident_id", buckets)
+    found = build_postings(rows)
+    write_buckets(found.lists, f"{target}/lists", "list_no", buckets, ("block",))
+    found.terms.write.parquet(f"{target}/terms")
+    layout = [(buckets, rows.schema.json(), found.lists.schema.json())]
+    spark.createDataFrame(layout, "buckets int, rows string, lists string").write.json(f"{target}/layout")
+    mark_complete(spark, target)
+    return target
+
+
+def load_index(spark, path: str) -> EvidenceIndex:
+    versions = committed_versions(spark, path)
+    if not versions:
         raise FileNotFoundError(f"no evidence index at {path}")
-    return index
+    target = f"{path}/version={versions[-1]}"
+    layout = spark.read.schema("buckets int, rows string, lists string").json(f"{target}/layout").first()
+    rows, lists = (T.StructType.fromJson(json.loads(layout[name])) for name in ("rows", "lists"))
+    return EvidenceIndex(
+        read_buckets(spark, f"{target}/rows", rows, "incident_id", layout["buckets"]),
+        Postings(
+            read_buckets(spark, f"{target}/lists", lists, "list_no", layout["buckets"]),
+            spark.read.parquet(f"{target}/terms"),
+        ),
+    )
 
 
 def query_vectors(
@@ -78,7 +122,7 @@ def _rank(local: DataFrame, k: int) -> DataFrame:
     return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _top_k(queries: DataFrame, index: DataFrame, k: int, vector_cols: list[str]) -> DataFrame:
+def _dense_top_k(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """Ranked rows of the index for every query, with what the index shows of them.
 
     Queries lie in hash groups and index rows in hash blocks; a cell is a group against a block.
@@ -87,6 +131,7 @@ def _top_k(queries: DataFrame, index: DataFrame, k: int, vector_cols: list[str])
     """
     spark = index.sparkSession
     scoring.travel_with_tasks()
+    vector_cols = ["embedding"]
     shown = [name for name in index.columns if name not in ("incident_id", *vector_cols)]
     asked = materialise(queries.select("query_id", *vector_cols), "evidence-queries")
     groups = max(1, -(-asked.count() // QUERIES_IN_GROUP))
@@ -112,24 +157,39 @@ def _top_k(queries: DataFrame, index: DataFrame, k: int, vector_cols: list[str])
     out_schema = T.StructType(
         [asked.schema["query_id"], index.schema["incident_id"], T.StructField("similarity", T.DoubleType())]
     )
-    dense, row_block, score = vector_cols == ["embedding"], ROW_BLOCK, scoring.cells_top_k
-    found = _rank(dealt.mapInPandas(lambda batches: score(batches, k, dense, row_block), out_schema), k)
+    row_block, score = ROW_BLOCK, scoring.cells_top_k
+    found = _rank(dealt.mapInPandas(lambda batches: score(batches, k, row_block), out_schema), k)
     return found.join(index.select("incident_id", *shown), "incident_id")
 
 
-def top_evidence(queries: DataFrame, index: DataFrame, k: int = schema.EVIDENCE_TOP_K) -> DataFrame:
+def top_evidence(
+    queries: DataFrame, index: DataFrame | EvidenceIndex, k: int = schema.EVIDENCE_TOP_K
+) -> DataFrame:
     """(query_id, rank, similarity, incident_id, label, domain, snippet) of the k nearest incidents.
 
     `queries` has one row per query id with the vector of `query_vectors`.
     """
     check_parameters(top_k=k)
-    return _top_k(queries, index, k, ["indices", "values"])
+    held = indexed(index)
+    asked = materialise(queries.select("query_id", "indices", "values"), "evidence-queries")
+    found = nearest(asked, held.rows, held.postings, k)
+    return found.join(held.rows.drop("indices", "values"), "incident_id")
+
+
+def documents_scored(
+    queries: DataFrame, index: DataFrame | EvidenceIndex, k: int = schema.EVIDENCE_TOP_K
+) -> DataFrame:
+    """(query_id, scored): how many documents a look-up scores on their whole vectors, besides a few per wanted one."""
+    held = indexed(index)
+    asked = materialise(queries.select("query_id", "indices", "values"), "evidence-queries")
+    counted = candidates(asked, held.rows, held.postings, k).groupBy("query_id").agg(F.count("*").alias("scored"))
+    return asked.select("query_id").join(counted, "query_id", "left").fillna(0, ["scored"])
 
 
 def top_dense(queries: DataFrame, vectors: DataFrame, k: int = schema.EVIDENCE_TOP_K) -> DataFrame:
     """The same over an `embedding` array column instead of term vectors."""
     check_parameters(top_k=k)
-    return _top_k(queries, vectors, k, ["embedding"])
+    return _dense_top_k(queries, vectors, k)
 
 
 def evidence_arrays(ranked: DataFrame) -> DataFrame:
@@ -140,7 +200,7 @@ def evidence_arrays(ranked: DataFrame) -> DataFrame:
 
 def explain(
     incidents: DataFrame,
-    index: DataFrame,
+    index: DataFrame | EvidenceIndex,
     model: TfidfModel,
     profile: str = "core",
     k: int = schema.EVIDENCE_TOP_K,

@@ -15,29 +15,6 @@ from pyspark import cloudpickle
 RANK_DIGITS = 9
 
 
-def sparse_matrix(vectors: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """(terms used, terms x queries) of a block of (indices, values) query vectors."""
-    used = np.array(sorted({int(i) for indices, _ in vectors for i in indices}), dtype=int)
-    matrix = np.zeros((len(used), len(vectors)))
-    for q, (indices, values) in enumerate(vectors):
-        matrix[np.searchsorted(used, np.asarray(indices, dtype=int)), q] = values
-    return used, matrix
-
-
-def sparse_rows(part: pd.DataFrame, used: np.ndarray) -> np.ndarray:
-    """Dense rows over the terms the query block uses."""
-    dense = np.zeros((len(part), len(used)))
-    if len(used):
-        sizes = part["indices"].map(len).to_numpy()
-        rows = np.repeat(np.arange(len(part)), sizes)
-        terms = np.concatenate(part["indices"].to_list()).astype(int)
-        values = np.concatenate(part["values"].to_list())
-        columns = np.minimum(np.searchsorted(used, terms), len(used) - 1)
-        hit = used[columns] == terms
-        dense[rows[hit], columns[hit]] = values[hit]
-    return dense
-
-
 def unit_rows(vectors: Iterable) -> np.ndarray:
     rows = np.stack([np.asarray(vector, dtype=float) for vector in vectors])
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
@@ -47,20 +24,16 @@ def unit_rows(vectors: Iterable) -> np.ndarray:
 class Cell:
     """A group of queries and the best rows found for each so far; rows come in pieces."""
 
-    def __init__(self, queries: pd.DataFrame, k: int, dense: bool) -> None:
-        self.ids, self.k, self.dense = queries["query_id"].to_list(), k, dense
-        if dense:
-            self.used, self.matrix = None, unit_rows(queries["embedding"]).T
-        else:
-            self.used, self.matrix = sparse_matrix(list(zip(queries["indices"], queries["values"])))
+    def __init__(self, queries: pd.DataFrame, k: int) -> None:
+        self.ids, self.k = queries["query_id"].to_list(), k
+        self.matrix = unit_rows(queries["embedding"]).T
         self.best_sim = self.best_id = None
 
     def add(self, part: pd.DataFrame) -> None:
         """Score some rows; ties go to the lower id."""
         part = part.sort_values("incident_id")
         ids = np.array(part["incident_id"].to_list())
-        rows = unit_rows(part["embedding"]) if self.dense else sparse_rows(part, self.used)
-        sims = np.round(rows @ self.matrix, RANK_DIGITS) + 0.0
+        sims = np.round(unit_rows(part["embedding"]) @ self.matrix, RANK_DIGITS) + 0.0
         top = np.argsort(-sims, axis=0, kind="stable")[: self.k]
         sim, found = np.take_along_axis(sims, top, axis=0), ids[top]
         if self.best_sim is not None:
@@ -78,7 +51,7 @@ class Cell:
         )
 
 
-def cells_top_k(batches: Iterable[pd.DataFrame], k: int, dense: bool, row_block: int) -> Iterator[pd.DataFrame]:
+def cells_top_k(batches: Iterable[pd.DataFrame], k: int, row_block: int) -> Iterator[pd.DataFrame]:
     """The best k rows of every query of every cell, from rows sorted by (cell, side): queries, side 0, first.
 
     A task holds one cell's queries and one piece of its rows at a time.
@@ -94,13 +67,45 @@ def cells_top_k(batches: Iterable[pd.DataFrame], k: int, dense: bool, row_block:
             if len(queries):
                 asked.append(queries)
             if len(rows) and asked:
-                cell = cell or Cell(pd.concat(asked), k, dense)
+                cell = cell or Cell(pd.concat(asked), k)
                 for start in range(0, len(rows), row_block):
                     cell.add(rows.iloc[start : start + row_block])
     if cell is not None and (out := cell.rows()) is not None:
         yield out
 
 
+def flat(vectors: pd.Series, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each element, elements) of a column of arrays."""
+    sizes = np.fromiter(map(len, vectors), dtype=np.int64, count=len(vectors))
+    return np.repeat(rows, sizes), np.concatenate([np.asarray(v) for v in vectors]) if len(vectors) else np.zeros(0)
+
+
+def pair_scores(batches: Iterable[pd.DataFrame], at_once: int = 2048) -> Iterator[pd.DataFrame]:
+    """(query_id, incident_id, similarity) of rows that hold a query's and a document's sparse unit vectors."""
+    for batch in batches:
+        for start in range(0, len(batch), at_once):
+            part = batch.iloc[start : start + at_once]
+            rows = np.arange(len(part))
+            row, term = flat(part["q_indices"], rows)
+            _, weight = flat(part["q_values"], rows)
+            row_d, term_d = flat(part["d_indices"], rows)
+            _, weight_d = flat(part["d_values"], rows)
+            width = int(max(term.max(initial=0), term_d.max(initial=0))) + 1
+            keys, keys_d = row * width + term.astype(np.int64), row_d * width + term_d.astype(np.int64)
+            sims = np.zeros(len(part))
+            if len(keys) and len(keys_d):
+                at = np.minimum(np.searchsorted(keys, keys_d), len(keys) - 1)
+                hit = keys[at] == keys_d
+                sims = np.bincount(row_d[hit], weights=weight[at[hit]] * weight_d[hit], minlength=len(part))
+            yield pd.DataFrame(
+                {
+                    "query_id": part["query_id"].to_numpy(),
+                    "incident_id": part["incident_id"].to_numpy(),
+                    "similarity": np.round(sims, RANK_DIGITS) + 0.0,
+                }
+            )
+
+
 def travel_with_tasks() -> None:
     import sys
 

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 WAREHOUSE_KEY = "spark.sql.warehouse.dir"
@@ -99,3 +100,30 @@ def read_latest(spark: SparkSession, path: str) -> DataFrame | None:
     if not versions:
         return None
     return spark.read.parquet(f"{path}/version={versions[-1]}")
+
+
+def mark_complete(spark: SparkSession, folder: str) -> None:
+    """Success marker of a version made of several tables."""
+    fs, marker = _file_system(spark, f"{folder}/_SUCCESS")
+    fs.create(marker, True).close()
+
+
+def write_buckets(df: DataFrame, path: str, by: str, buckets: int, sort: tuple[str, ...] = ()) -> None:
+    """Write a table in hash buckets of a column, a file each, rows in order; the catalogue keeps no entry."""
+    name = f"bucketed_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, by).write.format("parquet").bucketBy(buckets, by).sortBy(by, *sort)
+    writer.option("path", path).saveAsTable(name)
+    df.sparkSession.sql(f"drop table {name}")
+
+
+def read_buckets(spark: SparkSession, path: str, layout: T.StructType, by: str, buckets: int) -> DataFrame:
+    """A table of `write_buckets`: joins on its column leave it where it lies, a filter on it opens only its bucket."""
+    name = f"bucketed_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in layout.fields)
+    spark.sql(
+        f"create table {name} ({columns}) using parquet clustered by (`{by}`) sorted by (`{by}`) "
+        f"into {buckets} buckets location '{path}'"
+    )
+    found = spark.table(name)
+    spark.sql(f"drop table {name}")
+    return found
