@@ -11,9 +11,10 @@ cell with its own sorted arrays, and only the best rows of a cell go on. Rows ar
 query group and queries per block; every row is indexed, nothing is sampled.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no
-part, nor do rows without an id; of rows that share an id the least vector counts; vectors are compared with
-vectors of their own length only; ties go to the smaller id; an empty table gives no rows; other
-columns are ignored.
+part, nor do rows without an id; of rows that share an id every different vector counts, and an id
+scores what its best vector does; rows with the query's id are the query's own; vectors are compared with
+vectors of their own length only, however large or small; ties go to the smaller id; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,6 +50,12 @@ def directions(dimension: int, count: int = DIRECTIONS) -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((dimension, count))
 
 
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component near 1: no square over- or underflows."""
+    _, exponent = np.frexp(np.abs(rows).max(axis=1))
+    return np.ldexp(rows, -exponent[:, None])
+
+
 def cosine(query: np.ndarray, norm: float, rows: np.ndarray, norms: np.ndarray) -> np.ndarray:
     """Cosine of one vector with each row, in double precision, the same for a row wherever it lies."""
     return (rows * query).sum(axis=1) / (norms * norm)
@@ -59,7 +66,7 @@ class SortedArrays:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, count: int = DIRECTIONS) -> None:
         order = np.argsort(ids, kind="stable")
-        self.ids, self.rows = ids[order], rows[order]
+        self.ids, self.rows = ids[order], scaled(rows[order])
         self.norms = np.sqrt((self.rows * self.rows).sum(axis=1))
         values = ((self.rows / self.norms[:, None]) @ directions(rows.shape[1], count)).T
         self.order = np.argsort(values, axis=1, kind="stable")
@@ -71,11 +78,13 @@ class SortedArrays:
     ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query id, ids, scores) of the nearest rows found for each query, nearest first."""
         n, least = len(self.ids), int(np.ceil(THRESHOLD * self.count))
+        queries = scaled(queries)
         norms = np.sqrt((queries * queries).sum(axis=1))
         centres = ((queries / norms[:, None]) @ directions(queries.shape[1], self.count)).T
         low = np.stack([np.searchsorted(v, c) for v, c in zip(self.values, centres, strict=True)], axis=1)
         high = low.copy()
-        state = [_Search(n, self.ids == q, nearest) for q in query_ids]
+        different = len(np.unique(self.ids))
+        state = [_Search(self.ids, q, nearest, different) for q in query_ids]
         active = np.array([q for q, s in enumerate(state) if s.wanted], dtype=np.int64)
         radius = FIRST_RADIUS
         while len(active):
@@ -95,11 +104,15 @@ class SortedArrays:
                 new = np.flatnonzero((s.counts >= least) & ~s.done)
                 if len(new):
                     s.add(new, (self.rows[new] @ queries[q]) / (self.norms[new] * norms[q]))
-                if s.done.all() or (s.scores >= near).sum() >= s.wanted:
-                    best = s.contenders(nearest)
+                if s.done.all() or s.ids_from(near) >= s.wanted:
+                    best = s.contenders()
                     exact = cosine(queries[q], norms[q], self.rows[best], self.norms[best])
-                    order = np.lexsort((best, -exact))[:nearest]
-                    yield int(query_ids[q]), self.ids[best[order]], exact[order]
+                    best = best[np.lexsort((best, -exact))]
+                    exact = -np.sort(-exact, kind="stable")
+                    # an id counts once, with its best vector
+                    _, first = np.unique(self.ids[best], return_index=True)
+                    first = np.sort(first)[:nearest]
+                    yield int(query_ids[q]), self.ids[best[first]], exact[first]
                     state[q] = None
                 else:
                     going.append(q)
@@ -111,10 +124,11 @@ class SortedArrays:
 class _Search:
     """Where one query stands: collisions so far, rows verified and their cosines."""
 
-    def __init__(self, n: int, own: np.ndarray, nearest: int) -> None:
-        self.counts = np.zeros(n, dtype=np.int32)
-        self.done = own
-        self.wanted = min(nearest, n - int(own.sum()))
+    def __init__(self, ids: np.ndarray, query_id: int, nearest: int, different: int) -> None:
+        self.ids = ids
+        self.counts = np.zeros(len(ids), dtype=np.int32)
+        self.done = ids == query_id
+        self.wanted = min(nearest, different - int(self.done.any()))
         self.found, self.scores = np.empty(0, dtype=np.int64), np.empty(0)
 
     def add(self, new: np.ndarray, scores: np.ndarray) -> None:
@@ -122,11 +136,15 @@ class _Search:
         self.found = np.concatenate((self.found, new))
         self.scores = np.concatenate((self.scores, scores))
 
-    def contenders(self, nearest: int) -> np.ndarray:
-        """Verified rows that are among the nearest, with all that rounding could put there."""
-        if len(self.found) <= nearest:
-            return np.sort(self.found)
-        last = np.partition(self.scores, -nearest)[-nearest]
+    def ids_from(self, score: float) -> int:
+        """Different ids verified with at least this score."""
+        return len(np.unique(self.ids[self.found[self.scores >= score]]))
+
+    def contenders(self) -> np.ndarray:
+        """Verified rows that are among the nearest ids, with all that rounding could put there."""
+        order = np.argsort(-self.scores, kind="stable")
+        _, first = np.unique(self.ids[self.found[order]], return_index=True)
+        last = self.scores[order[np.sort(first)[self.wanted - 1]]]
         return np.sort(self.found[self.scores >= last - 1e-9])
 
 
@@ -154,15 +172,15 @@ def search(
     sound = vectors.filter(F.col("vec_id").isNotNull()).select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")
     )
-    sound = sound.filter(usable(F.col("v"))).groupBy("vec_id").agg(F.min("v").alias("v"))
+    sound = sound.filter(usable(F.col("v"))).distinct()
     rows = materialise(
         sound.withColumns({"asked": F.coalesce(is_query, F.lit(False)), "dimension": F.size("v")}), "ann-rows"
     )
     sizes = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("asked"), 1)).alias("q")).first()
     blocks = max(1, -(-sizes["n"] // rows_in_cell))
     groups = max(1, -(-sizes["q"] // queries_in_cell))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    group = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int")
+    block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")
+    group = F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(groups)).cast("int")
     every_group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
     every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     index = rows.select("vec_id", "v", "dimension", block.alias("block"), every_group.alias("group"))
@@ -183,8 +201,10 @@ def search(
     cell = ["dimension", "block", "group"]
     found = index.groupBy(cell).cogroup(queries.groupBy(cell)).applyInArrow(run, SCHEMA)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # cells share ids only where an id has several vectors; partial aggregation comes first
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return (
-        found.withColumn("rank", F.row_number().over(order))
+        best.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= nearest)
         .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
     )

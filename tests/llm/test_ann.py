@@ -63,3 +63,24 @@ def test_many_copies_are_ranked_by_id(spark):
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.search(docs, F.col("vec_id") % 50 == 0).collect() == []
+
+
+def test_very_large_and_very_small_components(spark):
+    rows = [(0, [1e-200, 0.0]), (1, [1e200, 1e200]), (2, [3e-300, 4e-300]), (3, [-1e-200, 1e-320]), (50, [1e308, -1e308])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(ann.search(docs, F.col("vec_id") % 50 == 0))
+    half = 0.5**0.5
+    assert sorted(i for i, _ in got[0]) == [1, 2, 3, 50] and len(got[50]) == 4
+    assert dict(got[0]) == pytest.approx({1: half, 50: half, 2: 0.6, 3: -1.0})
+
+
+@pytest.mark.parametrize("rows_in_cell", [ann.ROWS_IN_CELL, 40])
+def test_ids_with_several_vectors(spark, rows_in_cell):
+    rows = [(0, [1.0, 0.0])] + [(1, [float(i), 100.0 - i]) for i in range(100)]
+    rows += [(i, [1.0, float(i)]) for i in range(2, 9)] + [(0, [0.0, 1.0])] * 2
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(ann.search(docs, F.col("vec_id") == 0, rows_in_cell=rows_in_cell))
+    # the query has two vectors; each id counts with its best one for either
+    best = {1: 1.0, **{i: i / (1 + i * i) ** 0.5 for i in range(2, 9)}}
+    assert [i for i, _ in got[0]] == [1, 8, 7, 6, 5]
+    assert [s for _, s in got[0]] == pytest.approx([best[i] for i in (1, 8, 7, 6, 5)], abs=1e-12)
