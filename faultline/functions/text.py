@@ -6,6 +6,7 @@ mean the same in Java and RE2 expressions (no look-around).
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column
@@ -63,9 +64,19 @@ def _each(function: str, array: Column, body: str) -> Column:
 
 
 def split_joined(text: Column) -> Column:
-    for first, second in JOINED:
-        text = F.regexp_replace(text, rf"\b({first})({second})\b", "$1 $2")
-    return text
+    """Joined words taken apart in one pass; texts that hold none of them are passed on as they are.
+
+    A group that took no part in a match is replaced by nothing, so first halves and second halves of
+    all words stand in one replacement. The lambda names the text, which is computed once.
+    """
+    pattern = r"\b(?:" + "|".join(f"({first})({second})" for first, second in JOINED) + r")\b"
+    halves = ["".join(f"${2 * i + n}" for i in range(len(JOINED))) for n in (1, 2)]
+
+    def apart(t: Column) -> Column:
+        any_of = functools.reduce(Column.__or__, [F.contains(t, F.lit(a + b)) for a, b in JOINED])
+        return F.when(any_of, F.regexp_replace(t, pattern, " ".join(halves))).otherwise(t)
+
+    return F.get(F.transform(F.array(text), apart), F.lit(0))
 
 
 def core_tokens(text: Column) -> Column:
