@@ -95,21 +95,18 @@ def _drawn(docs: DataFrame, most: int, weights: tuple[float, ...], bands: int, w
         "epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     ).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     earlier = Window.partitionBy("source").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = (
+    placed = (
         sums.withColumn("before", F.coalesce(F.sum("band_size").over(earlier), F.lit(0)))
         .withColumnRenamed("source", "s")
         .join(goals, F.col("s").eqNullSafe(F.col("source")))
-        .withColumn(
-            "state",
-            F.when(F.col("before") + F.col("band_size") <= F.col("rest"), 1)
-            .when(F.col("before") >= F.col("rest"), 0)
-            .otherwise(2),
-        )
-        .select("s", F.col("band").alias("b"), "before", "state", "source_size", "target", "epochs", "rest")
     )
-    cuts = materialise(cuts, "mix-cuts")
-    joined = rows.join(cuts, F.col("source").eqNullSafe(F.col("s")) & (F.col("band") == F.col("b")))
-    cut = joined.filter("state = 2")
+    # One row per source: the band its cut lies in. Bands before it are in the mix, later ones are not.
+    beyond = F.col("before") + F.col("band_size") > F.col("rest")
+    per_source = ["source_size", "target", "epochs", "rest"]
+    cuts = placed.groupBy("s", *per_source).agg(F.min(F.when(beyond, F.struct("band", "before"))).alias("cut"))
+    cuts = materialise(cuts.select("s", *per_source, F.col("cut.band").alias("cut_band"), F.col("cut.before").alias("before")), "mix-cuts")
+    joined = rows.join(cuts, F.col("source").eqNullSafe(F.col("s")))
+    cut = joined.filter(F.col("band") == F.col("cut_band"))
     # Equal rows of the cut band are counted per salt and only the counts are put in order.
     same = ["source", "band", "key", "doc_id", "size", "digest", "salt"]
     running = Window.partitionBy("source", "band").orderBy(*same[2:]).rowsBetween(Window.unboundedPreceding, -1)
@@ -122,7 +119,8 @@ def _drawn(docs: DataFrame, most: int, weights: tuple[float, ...], bands: int, w
     # the document a cut falls into is taken if more than half of it lies before the cut
     extra = F.col("size") < 2 * (F.col("rest") - F.col("ahead") - number * F.col("size"))
     ranked = cut.join(parts, met).withColumn("extra", extra.cast("long")).select(*joined.columns, "extra")
-    whole = joined.filter("state <> 2").withColumn("extra", F.col("state").cast("long"))
+    whole = joined.filter(~F.col("band").eqNullSafe(F.col("cut_band")))
+    whole = whole.withColumn("extra", F.coalesce(F.col("band") < F.col("cut_band"), F.lit(True)).cast("long"))
     return whole.unionByName(ranked).withColumn(
         "times", F.col("epochs") + F.when(F.col("size") > 0, F.col("extra")).otherwise(0)
     )
