@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from faultline import schema
@@ -16,7 +18,7 @@ from faultline.catalog.views import (
     with_views,
 )
 from faultline.operators import features, retrieval
-from faultline.session import shared_folder
+from faultline.session import files_in, materialise, replace_file, shared_folder
 from faultline.sources import dropfiles, feeds
 from faultline.streaming import monitor
 
@@ -117,6 +119,43 @@ def watched_folder_alerts(spark, sf_dir):
     return monitor.read_alerts(spark, root).select("incident_id", "risk_level", "narrative")
 
 
+@query(
+    "str1_changed_files",
+    with_views(
+        f"""
+        select 'INC-' || incident_id as incident_id, risk_level, {sql_snippet("narrative", schema.ALERT_CHARS)} as narrative,
+               case when incident_id % 3 = 0 then 1 else 2 end as scan
+        from (select *, {sql_incident_risk("lower(narrative)", "''")} as risk_level
+              from (select incident_id, {sql_strip("narrative")} as narrative from incidents where narrative is not null) i) t
+        where risk_level in ('critical', 'high')
+        """,
+        "incidents",
+    ),
+)
+def changed_files(spark, sf_dir):
+    """A third of the incidents first, then the same files with all of them: each row alerts once.
+
+    Documentation and a hidden file lie in the folder too and give nothing.
+    """
+    root = shared_folder(spark, "grown")
+    rows = views.incidents(spark, sf_dir).select(F.concat(F.lit("INC-"), "incident_id").alias("id"), "narrative", "incident_id")
+    rows = materialise(rows.repartition(4, "incident_id"), "grown-rows")
+    noise = rows.limit(1).select(F.lit("INC-noise").alias("id"), F.lit("engine fire and collision").alias("narrative"))
+    feed = monitor.watch_feed(f"{root}/drop", changed_files=True)
+
+    def drop(part, names):
+        part.write.options(header=True, quote='"', escape='"', emptyValue="").csv(f"{root}/landed/{names}")
+        for i, file in enumerate(files_in(spark, f"{root}/landed/{names}", ".csv")):
+            replace_file(spark, file, f"{root}/drop/{names.split('-')[0]}{i or ''}.csv")
+
+    drop(noise, "readme"), drop(noise, ".hidden")
+    for scan, part in enumerate((rows.filter("incident_id % 3 = 0"), rows), 1):
+        drop(part.select("id", "narrative"), f"reports-{scan}")
+        monitor.scan_once(spark, [feed], monitor.unlabelled_scorer, root)
+    alerts = monitor.read_alerts(spark, root)
+    return alerts.select("incident_id", "risk_level", "narrative", (F.col("batch") + 1).cast("int").alias("scan"))
+
+
 @query(
     "str6_fault_stream_alerts",
     with_views(
@@ -195,6 +234,56 @@ def scan_counts(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(found, 1)), "scan int, new_incidents bigint")
 
 
+@query(
+    "str10_feed_cadence",
+    with_views(
+        f"""
+        select 'accidents' as feed, {schema.ACCIDENT_FEED_SECONDS} as seconds, count(distinct incident_id) as new_incidents
+        from accident_rows
+        union all select 'faults', {schema.FAULT_FEED_SECONDS}, count(distinct incident_id) from fault_rows
+        """,
+        "accidents",
+        "faults",
+        accident_rows=_ACCIDENT_ROWS,
+        fault_rows=_FAULT_ROWS,
+    ),
+)
+def feed_cadence(spark, sf_dir):
+    """Both feeds side by side, each on its own trigger, until what is there has been handled."""
+    root = shared_folder(spark, "cadence")
+    parts, orders = (views.table(spark, sf_dir, name).schema for name in ("part", "orders"))
+    nation, customer = (views.table(spark, sf_dir, name) for name in ("nation", "customer"))
+
+    def stream(layout, name):
+        return lambda session: session.readStream.schema(layout).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+    accidents = monitor.Feed(
+        "accidents",
+        stream(parts, "part"),
+        lambda batch: feeds.accident_incidents(views.seed_accidents(batch, nation)),
+        schema.ACCIDENT_FEED_SECONDS,
+    )
+    faults = monitor.Feed(
+        "faults",
+        stream(orders, "orders"),
+        lambda batch: feeds.fault_incidents(views.seed_faults(batch, customer)),
+        schema.FAULT_FEED_SECONDS,
+    )
+    found = []
+    running = monitor.run(
+        spark, [accidents, faults], monitor.unlabelled_scorer, root, lambda feed, batch, n: found.append((feed, n))
+    )
+    for one in running:
+        # the first trigger takes all there is; the next one is a pace away
+        while one.isActive and one.lastProgress is None:
+            time.sleep(0.2)
+        one.stop()
+    paces = [(feed.name, feed.seconds) for feed in (accidents, faults)]
+    paces = spark.createDataFrame(paces, "feed string, seconds int")
+    counts = spark.createDataFrame(found, "feed string, n bigint").groupBy("feed").agg(F.sum("n").alias("new_incidents"))
+    return paces.join(counts, "feed")
+
+
 @query(
     "str7_scored_stream_alerts",
     with_views(

@@ -70,6 +70,35 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
+def replace_file(spark: SparkSession, source: str, target: str) -> None:
+    """Move a file, over another one if there is one."""
+    fs, source_path = _file_system(spark, source)
+    _, target_path = _file_system(spark, target)
+    fs.mkdirs(target_path.getParent())
+    fs.delete(target_path, False)
+    if not fs.rename(source_path, target_path):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def files_in(spark: SparkSession, folder: str, ending: str) -> list[str]:
+    fs, hadoop_path = _file_system(spark, folder)
+    return sorted(p for p in (s.getPath().toString() for s in fs.listStatus(hadoop_path)) if p.endswith(ending))
+
+
+def subfolders(spark: SparkSession, folder: str, prefix: str) -> list[str]:
+    """Folders of a folder whose names start with a prefix."""
+    fs, hadoop_path = _file_system(spark, folder)
+    if not fs.exists(hadoop_path):
+        return []
+    paths = [status.getPath() for status in fs.listStatus(hadoop_path) if status.isDirectory()]
+    return sorted(path.toString() for path in paths if path.getName().startswith(prefix))
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    fs, hadoop_path = _file_system(spark, folder)
+    fs.delete(hadoop_path, True)
+
+
 def committed_versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the complete versions of a table; a half-written one has no success marker."""
     fs, hadoop_path = _file_system(spark, path)

@@ -3,6 +3,7 @@
 Layout below a root folder that all executors reach:
 
     checkpoints/<feed>            progress of the feed's query
+    claims, ledger                keys handled so far, see `ledger`
     seen/feed=<feed>/batch=<n>    key, risk level and alert flag of every incident handled
     alerts/feed=<feed>/batch=<n>  the alert log
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,8 +28,9 @@ from faultline.operators.cleaning import keep_first
 from faultline.operators.features import add_processed
 from faultline.operators.retrieval import explain, load_index
 from faultline.session import materialise, path_exists, scratch
-from faultline.sources import dropfiles, feeds
+from faultline.sources import dropfiles, feeds, watchfolder
 from faultline.sources.alerts import to_log_rows
+from faultline.streaming import ledger
 
 Scorer = Callable[[DataFrame], DataFrame]
 SEEN_LAYOUT = "key string, risk_level string, is_alert boolean, feed string, batch bigint"
@@ -45,11 +47,16 @@ class Feed:
     baseline: bool = False
 
 
-def watch_feed(folder: str, name: str = "watch", max_files: int | None = None) -> Feed:
+def watch_feed(
+    folder: str, name: str = "watch", max_files: int | None = None, changed_files: bool = False
+) -> Feed:
     """CSV and TXT files dropped into a folder. A file is read once, under the name it came with.
 
-    `max_files` bounds a batch when a large backlog is waiting.
+    With `changed_files` a file that has grown or was replaced is read again and its new rows are handled.
+    `max_files` bounds a batch of the other form when a large backlog is waiting.
     """
+    if changed_files:
+        return Feed(name, lambda spark: watchfolder.watched_stream(spark, folder), dropfiles.mixed_incidents)
     return Feed(name, lambda spark: dropfiles.mixed_stream(spark, folder, max_files), dropfiles.mixed_incidents)
 
 
@@ -140,16 +147,6 @@ def read_alerts(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(layout).parquet(folder)
 
 
-def unseen(incidents: DataFrame, seen: DataFrame) -> DataFrame:
-    """Incidents whose key is not in the ledger.
-
-    The ledger outgrows a batch, so it is reduced to the batch's keys first; the batch is a
-    written table, small ones Catalyst broadcasts.
-    """
-    known = seen.select("key").join(incidents.select("key"), "key", "left_semi").distinct()
-    return incidents.join(known, "key", "left_anti")
-
-
 def score_incidents(new: DataFrame, scorer: Scorer) -> DataFrame:
     """Predicted label, evidence, risk with floor, snippet and alert flag of new incidents."""
     scored = with_incident_risk(scorer(new), label="predicted_label", floor="risk_floor")
@@ -163,24 +160,28 @@ def score_incidents(new: DataFrame, scorer: Scorer) -> DataFrame:
     )
 
 
-def handle_batch(batch: DataFrame, batch_id: int, feed: Feed, scorer: Scorer, root: str) -> None:
-    """Score the new incidents of one batch, log the alerts, enter all of them in the ledger."""
+def handle_batch(batch: DataFrame, batch_id: int, feed: Feed, scorer: Scorer, root: str) -> int:
+    """Take on the new incidents of one batch, score them, log the alerts; the number of new ones."""
     spark = batch.sparkSession
     place = f"feed={feed.name}/batch={batch_id}"
+    counted = Observation()
     with scratch(spark):
         first = materialise(first_of_each_key(feed.to_incidents(batch)), "new-incidents")
-        earlier = read_seen(spark, root).filter((F.col("feed") != feed.name) | (F.col("batch") < batch_id))
-        new = materialise(unseen(first, earlier), "unseen-incidents")
-        scored = materialise(score_incidents(new, scorer), "scored-incidents")
+        new = ledger.claim(first, root, feed.name, batch_id)
+        scored = materialise(score_incidents(new, scorer).observe(counted, F.count(F.lit(1)).alias("n")), "scored-incidents")
         to_log_rows(scored.filter("is_alert")).write.mode("overwrite").parquet(f"{root}/alerts/{place}")
         scored.select("key", "risk_level", "is_alert").write.mode("overwrite").parquet(f"{root}/seen/{place}")
+    ledger.compact(spark, root)
+    return counted.get.get("n", 0)
 
 
 def note_batch(batch: DataFrame, batch_id: int, feed: Feed, root: str) -> None:
     """Enter the incidents of a baseline batch in the ledger, unscored."""
-    keys = first_of_each_key(feed.to_incidents(batch)).select("key")
-    noted = keys.withColumns({"risk_level": F.lit(None).cast("string"), "is_alert": F.lit(False)})
-    noted.write.mode("overwrite").parquet(f"{root}/seen/feed={feed.name}/batch={batch_id}")
+    with scratch(batch.sparkSession):
+        keys = materialise(first_of_each_key(feed.to_incidents(batch)).select("key"), "baseline-keys")
+        ledger.claim(keys, root, f"{feed.name}-baseline", batch_id)
+        noted = keys.withColumns({"risk_level": F.lit(None).cast("string"), "is_alert": F.lit(False)})
+        noted.write.mode("overwrite").parquet(f"{root}/seen/feed={feed.name}-baseline/batch={batch_id}")
 
 
 def _writer(spark: SparkSession, feed: Feed, root: str, handle: Callable[[DataFrame, int], None]):
@@ -202,32 +203,47 @@ def set_baseline(spark: SparkSession, feed: Feed, root: str) -> None:
     spark.range(1).write.mode("overwrite").parquet(done)
 
 
-def start(spark: SparkSession, feed: Feed, scorer: Scorer, root: str, once: bool = False) -> StreamingQuery:
-    """Start one feed's query; `once` works off what is there and stops."""
+def start(
+    spark: SparkSession,
+    feed: Feed,
+    scorer: Scorer,
+    root: str,
+    once: bool = False,
+    report: Callable[[str, int, int], None] | None = None,
+) -> StreamingQuery:
+    """Start one feed's query; `once` works off what is there and stops.
+
+    `report` is told feed, batch and number of new incidents of every batch handled.
+    """
     if feed.baseline:
         set_baseline(spark, feed, root)
     trigger = {"availableNow": True} if once else {"processingTime": f"{feed.seconds} seconds"}
-    writer = _writer(
-        spark, feed, root, lambda batch, batch_id: handle_batch(batch, batch_id, feed, scorer, root)
-    )
-    return writer.trigger(**trigger).start()
 
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        found = handle_batch(batch, batch_id, feed, scorer, root)
+        if report is not None:
+            report(feed.name, batch_id, found)
 
-def handled_count(spark: SparkSession, root: str) -> int:
-    return read_seen(spark, root).filter("risk_level is not null").count()
+    return _writer(spark, feed, root, handle).trigger(**trigger).start()
 
 
 def scan_once(spark: SparkSession, sources: list[Feed], scorer: Scorer, root: str) -> int:
-    """One pass over all sources; the number of incidents that were new."""
-    before = handled_count(spark, root)
+    """One pass over all sources; the number of incidents that were new, as the batches observed it."""
+    found: list[int] = []
     for feed in sources:
-        start(spark, feed, scorer, root, once=True).awaitTermination()
-    return handled_count(spark, root) - before
+        start(spark, feed, scorer, root, True, lambda _, __, n: found.append(n)).awaitTermination()
+    return sum(found)
 
 
-def run(spark: SparkSession, sources: list[Feed], scorer: Scorer, root: str) -> list[StreamingQuery]:
+def run(
+    spark: SparkSession,
+    sources: list[Feed],
+    scorer: Scorer,
+    root: str,
+    report: Callable[[str, int, int], None] | None = None,
+) -> list[StreamingQuery]:
     """All sources side by side, each at its own pace, until stopped."""
-    return [start(spark, feed, scorer, root) for feed in sources]
+    return [start(spark, feed, scorer, root, report=report) for feed in sources]
 
 
 def hourly_counts(alerts: DataFrame, time_col: str, level: str, late: str = "10 minutes") -> DataFrame:

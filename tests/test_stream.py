@@ -1,14 +1,16 @@
 import csv
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from faultline.operators import features, retrieval
+from faultline.session import subfolders
 from faultline.sources import alerts as log
 from faultline.sources import dropfiles, feeds
-from faultline.streaming import monitor
+from faultline.streaming import ledger, monitor
 
 DEMO = (
     "id,narrative\n"
@@ -232,3 +234,67 @@ def test_fault_record_is_read_from_one_container(spark):
     rows = [("outer", "500", ("R1", "Unplanned", None, None))]
     flat = feeds.flatten_faults(spark.createDataFrame(rows, layout)).first()
     assert (flat["incidentreference"], flat["mainmessage"], flat["nocustomeraffected"]) == ("R1", None, 0)
+
+
+def test_changed_files_are_read_again(spark, folders):
+    drop, root = folders
+    feed = monitor.watch_feed(str(drop), changed_files=True)
+    scan_all = lambda: monitor.scan_once(spark, [feed], monitor.unlabelled_scorer, root)
+    (drop / "README.csv").write_text("id,narrative\nX,explosion\n")
+    (drop / ".hidden.csv").write_text("id,narrative\nY,explosion\n")
+    (drop / "a.csv").write_text(DEMO)
+    assert scan_all() == 3 and scan_all() == 0
+    (drop / "a.csv").write_text(DEMO + "NEW-1,smoke in the cabin\nNEW-2,calm\n")
+    (drop / "b.txt").write_text("mayday, mayday")
+    assert scan_all() == 3 and scan_all() == 0
+    (drop / "b.txt").write_text("another explosion")  # the same report by its name
+    assert scan_all() == 0
+    alerts = {r["incident_id"] for r in monitor.read_alerts(spark, root).collect()}
+    assert {"NEW-1", "b.txt", "DEMO-001", "DEMO-002"} == alerts
+
+
+def test_blocks_of_a_watched_file(spark, tmp_path):
+    from faultline.sources import watchfolder
+
+    folder, root = tmp_path / "big", str(tmp_path / "root")
+    folder.mkdir()
+    lines = ["narrative"] + [f"line {i} of the file, smoke" for i in range(1, 3001)]
+    (folder / "big.csv").write_text("\n".join(lines))
+    feed = monitor.Feed("big", lambda s: watchfolder.watched_stream(s, f"file:{folder}", 5000), dropfiles.mixed_incidents)
+    assert monitor.scan_once(spark, [feed], monitor.unlabelled_scorer, root) == 3000
+    alerts = {r["incident_id"]: r["narrative"] for r in monitor.read_alerts(spark, root).collect()}
+    assert alerts == {f"big-row{i}": f"line {i} of the file smoke" for i in range(1, 3001)}
+
+
+def test_two_feeds_with_one_key_alert_once(spark, folders):
+    import threading
+
+    drop, root = folders
+    layout = "key string, incident_id string, source string, narrative string, risk_floor string"
+    batch = spark.createDataFrame([(f"k{i}", f"k{i}", "s", "explosion", None) for i in range(50)], layout)
+    found = []
+
+    def handle(name):
+        feed = monitor.Feed(name, lambda s: None, lambda b: b)
+        found.append(monitor.handle_batch(batch, 0, feed, monitor.unlabelled_scorer, root))
+
+    threads = [threading.Thread(target=handle, args=(f"f{i}",)) for i in range(3)]
+    [t.start() for t in threads], [t.join() for t in threads]
+    assert sorted(found) == [0, 0, 50]
+    assert monitor.read_alerts(spark, root).count() == 50
+
+
+def test_ledger_opens_its_slots_and_is_merged(spark, folders):
+    _, root = folders
+    for n in range(9):
+        rows = spark.createDataFrame([(f"k{n}-{i}",) for i in range(40)] + [("again",)], "key string")
+        assert ledger.claim(rows, root, "f", n).count() == 41 - (n > 0)
+        ledger.compact(spark, root, merge_after=3)
+    assert len(subfolders(spark, f"{root}/claims/feed=f", "batch=")) <= 3
+    assert len(subfolders(spark, f"{root}/ledger", "segment=")) < 3
+    rows = spark.createDataFrame([(f"k{n}-{i}",) for n in range(9) for i in range(40)], "key string")
+    assert ledger.claim(rows, root, "g", 0).count() == 0
+    # run again, the newest batch finds its own keys new
+    assert ledger.claim(spark.createDataFrame([("k8-1",), ("k7-1",)], "key string"), root, "f", 8).count() == 1
+    plan = ledger.known_keys(spark, root, [3, 5], "f", 9)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"PartitionFilters: \[[^\]]*slot#\d+ IN", plan)) == 2
