@@ -213,6 +213,28 @@ def evidence(spark, sf_dir):
     return ranked.withColumn("similarity", F.round("similarity", 6))
 
 
+@query(
+    "ret2_documents_scored",
+    with_views(
+        "select (select count(*) from benchmark) as queries, count(*) as corpus, true as below_a_fifth from clean",
+        "clean",
+    ),
+)
+def documents_scored(spark, sf_dir):
+    """Whether look-ups score less than a fifth of the corpus on whole vectors, on average."""
+    corpus = prepared(spark, sf_dir)
+    model = features.fit_tfidf(corpus)
+    asked = views.table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("narrative")
+    )
+    scored = retrieval.documents_scored(
+        retrieval.query_vectors(asked, model), retrieval.build_index(corpus, model)
+    )
+    counts = scored.agg(F.count("*").alias("queries"), F.avg("scored").alias("mean"))
+    size = corpus.agg(F.count("*").alias("corpus"))
+    return counts.join(size).select("queries", "corpus", (F.col("mean") < 0.2 * F.col("corpus")).alias("below_a_fifth"))
+
+
 @query(
     "ret2_api_evidence",
     with_views(

@@ -5,9 +5,9 @@ blocks by falling weight, each with its largest. A look-up works in three steps:
 
 1. The highest blocks of a query's strongest terms give a few documents, scored on their whole vectors. The
    k-th best of them is a bound no worse document can pass.
-2. Terms are taken from the rarest on. What is left of the query after a term limits what a document found
-   in none of them can still score; terms beyond the point where that falls under the bound are not opened.
-   For every document found, products so far and the masses not yet matched limit its whole score.
+2. Terms are taken from the rarest on. What is left of the query after a term limits what the others can add
+   to any document; terms beyond the point where that falls under a share of the bound are not opened. For
+   every document found, products so far and the masses not yet matched limit its whole score.
 3. Only documents that can still reach the bound are scored on their whole vectors.
 
 Nothing is lost by the limits: the result is that of scoring every document.
@@ -30,6 +30,9 @@ LIST_DOCUMENTS = 65_536
 # Terms whose highest block gives the first documents, and how many of those are scored per wanted one.
 SEED_TERMS = 12
 SEEDS_PER_RESULT = 4
+# Terms are opened until those left can add less than this share of the bound: the lower, the more lists are
+# read and the fewer documents are scored.
+OPEN_SHARE = 0.25
 # Scores are ranked by 9 digits; a bound gives way by more than they round.
 SLACK = 1e-8
 
@@ -113,8 +116,8 @@ def opened(terms: DataFrame, lists: DataFrame, first_only: bool = False) -> Data
     met = asked.join(lists, F.col("asked_list") == F.col("list_no"))
     if first_only:
         return met.filter("block = 0")
-    # Behind the last term that matters, blocks too low for a document first found here are left closed.
-    return met.filter(F.col("q") * F.col("top") + F.col("after") >= F.col("bound"))
+    # Of the last term, blocks too low for a document found in nothing before are left closed.
+    return met.filter(~F.col("last") | (F.col("q") * F.col("top") + F.col("after") >= F.col("bound")))
 
 
 def exact_scores(pairs: DataFrame, asked: DataFrame, index: DataFrame) -> DataFrame:
@@ -147,11 +150,11 @@ def candidates(asked: DataFrame, index: DataFrame, postings: Postings, k: int) -
     bounds = materialise(bounds, "evidence-bounds")
     # Without k documents yet there is no bound, and every document that shares a term stays in.
     bounded = terms.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
-    # The last term opened is the one after which nothing unseen reaches the bound. It may be opened in part, so
-    # it counts as unmatched for every document.
-    needed = bounded.filter(F.col("onwards") >= F.col("bound"))
+    # The last term opened may be opened in part, so it counts as unmatched for every document.
+    needed = bounded.filter(F.col("onwards") >= OPEN_SHARE * F.col("bound"))
     of_query = Window.partitionBy("query_id")
     needed = needed.withColumns({"open_norm": F.min("norm").over(of_query), "open_most": F.min("most").over(of_query)})
+    needed = needed.withColumn("last", F.col("norm") == F.col("open_norm"))
     limits = ["open_norm", "open_most", "bound"]
     found = opened(needed, postings.lists).select("query_id", "q", *limits, F.inline("entries"))
     products = found.groupBy("query_id", "incident_id", *limits).agg(

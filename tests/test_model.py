@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from faultline.catalog import q_model, views
 from faultline.functions import lexicon
-from faultline.operators import classifier, evaluation, features, retrieval, split
+from faultline.operators import classifier, evaluation, features, postings, retrieval, split
 
 WORDS = "valve pump rotor blade relay feeder breaker gauge rudder flap".split()
 
@@ -59,16 +59,59 @@ def test_weights_and_evidence_against_brute_force(spark, corpus, monkeypatch):
     index = retrieval.build_index(corpus.repartition(5), model)
     frame = spark.createDataFrame(list(queries.items()), "query_id long, narrative string")
     asked_frame = retrieval.query_vectors(frame, model)
-    for block in (1024, 7):
-        monkeypatch.setattr(retrieval, "QUERIES_IN_GROUP", block)
-        monkeypatch.setattr(retrieval, "ROW_BLOCK", 16)
+    rows = retrieval.indexed(index).rows
+    for list_documents, block, share in ((65_536, 128, 0.25), (10, 2, 0.25), (10, 2, 1.0), (40, 5, 0.0)):
+        monkeypatch.setattr(postings, "OPEN_SHARE", share)
+        held = retrieval.EvidenceIndex(rows, postings.build_postings(rows, list_documents, block))
         found = {}
-        for r in retrieval.top_evidence(asked_frame, index, 5).orderBy("query_id", "rank").collect():
+        for r in retrieval.top_evidence(asked_frame, held, 5).orderBy("query_id", "rank").collect():
             found.setdefault(r["query_id"], []).append(r["incident_id"])
         assert found == {q: best(q) for q in queries}
     assert found[99] == [0, 1, 2, 3, 4]
 
 
+def test_lists_and_blocks(spark, corpus):
+    model = features.fit_tfidf(features.add_processed(corpus))
+    rows = retrieval.indexed(retrieval.build_index(corpus, model)).rows
+    made = postings.build_postings(rows, list_documents=10, block=4)
+    terms = {r["term_no"]: r for r in made.terms.collect()}
+    want = {(r["term_no"], r["incident_id"], r["weight"]) for r in postings.entries_of(rows).collect()}
+    of_list = {n: t for t, r in terms.items() for n in range(r["first_list"], r["first_list"] + r["n_lists"])}
+    got, tops = set(), {}
+    for r in made.lists.orderBy("list_no", "block").collect():
+        weights = [e["weight"] for e in r["entries"]]
+        assert r["top"] == weights[0] and weights == sorted(weights, reverse=True) and len(weights) <= 4
+        assert r["top"] <= tops.get(r["list_no"], 2.0)
+        tops[r["list_no"]] = weights[-1]
+        got |= {(of_list[r["list_no"]], e["incident_id"], e["weight"]) for e in r["entries"]}
+    assert got == want and max(r["n_lists"] for r in terms.values()) > 3
+
+
+def test_stored_index_is_joined_where_it_lies(spark, corpus, tmp_path):
+    model = features.fit_tfidf(features.add_processed(corpus))
+    path = str(tmp_path / "index")
+    with pytest.raises(FileNotFoundError):
+        retrieval.load_index(spark, path)
+    retrieval.save_index(retrieval.build_index(corpus.limit(30), model), path)
+    retrieval.save_index(retrieval.build_index(corpus, model), path, buckets=8)
+    held = retrieval.load_index(spark, path)
+    assert held.rows.count() == corpus.count()
+    asked = retrieval.query_vectors(corpus.select(F.col("incident_id").alias("query_id"), "narrative"), model)
+    key = lambda frame: sorted(map(str, frame.collect()))
+    assert key(retrieval.top_evidence(asked, held)) == key(retrieval.top_evidence(asked, retrieval.build_index(corpus, model)))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wanted = spark.range(100).selectExpr("id as list_no", "id as incident_id").repartition(3)
+        for side, by in ((held.postings.lists, "list_no"), (held.rows, "incident_id")):
+            plan = wanted.select(by).join(side, by)._jdf.queryExecution().executedPlan().toString()
+            # the one exchange by key is that of the other side
+            assert plan.count("hashpartitioning") == 1 and "Bucketed: true" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_evidence_shape(spark, corpus):
     model = features.fit_tfidf(features.add_processed(corpus))
     asked = spark.createDataFrame([("q", "valve pump"), ("r", "")], "incident_id string, narrative string")
