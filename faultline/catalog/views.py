@@ -44,6 +44,7 @@ LABELS = [
     "Inflight Event Bird / Animal",
     "Inflight Event Weather / Turbulence",
     "Inflight Event Fuel Issue",
+    # Names of the published grid event reports, as their labels have them.
     "Power Grid - Northeast Blackout 2003",
     "Power Grid - Hurricane Sandy",
     "Power Grid - San Fernando Disturbance",
