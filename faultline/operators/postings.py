@@ -155,14 +155,16 @@ def candidates(asked: DataFrame, index: DataFrame, postings: Postings, k: int) -
     of_query = Window.partitionBy("query_id")
     needed = needed.withColumns({"open_norm": F.min("norm").over(of_query), "open_most": F.min("most").over(of_query)})
     needed = needed.withColumn("last", F.col("norm") == F.col("open_norm"))
-    limits = ["open_norm", "open_most", "bound"]
-    found = opened(needed, postings.lists).select("query_id", "q", *limits, F.inline("entries"))
-    products = found.groupBy("query_id", "incident_id", *limits).agg(
+    needed = materialise(needed, "evidence-needed")
+    found = opened(needed, postings.lists).select("query_id", "q", F.inline("entries"))
+    products = found.groupBy("query_id", "incident_id").agg(
         F.sum(F.col("q") * F.col("weight")).alias("product"), F.sum(F.col("weight") * F.col("weight")).alias("matched")
     )
+    limits = materialise(needed.filter("last").select("query_id", "open_norm", "open_most", "bound").distinct(), "evidence-limits")
     unmatched = F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("matched")))
     rest = F.least(F.col("open_norm") * unmatched, F.col("open_most"))
-    return products.filter(F.col("product") + rest >= F.col("bound")).select("query_id", "incident_id")
+    limited = products.join(limits, "query_id")
+    return limited.filter(F.col("product") + rest >= F.col("bound")).select("query_id", "incident_id")
 
 
 def padded(asked: DataFrame, ranked: DataFrame, index: DataFrame, k: int) -> DataFrame:
