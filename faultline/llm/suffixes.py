@@ -10,13 +10,20 @@ All suffixes are compared to a depth of LENGTH bytes by bucket refinement:
    in a third of all documents leaves a batch once. Buckets left with one stretch are finished.
 3. The rest is refined on its bytes: buckets of 8 bytes are split by the bucket numbers found 8, 16,
    32, ... bytes further on, each round using the numbers of the one before, until LENGTH bytes are
-   told apart. Suffixes alone in their bucket are left out of later rounds. A bucket of very many
-   stretches is dealt out by the hash of each of its strings first.
+   told apart. Suffixes alone in their bucket are left out of later rounds.
+
+A hot anchor, that is one in very many different surroundings, never meets in one task. A batch that
+holds many of its stretches deals them out by stretch and tells the anchor's own bucket that it is
+hot; all its stretches are then compared string by string. Of equal strings a task sends on the
+earliest only, once per window; these are refined per (string, salt), and what is left per string.
+
+Equal stretches are told by two 64-bit hashes, of the anchor gram and of all bytes; two different
+stretches of n agree in both with a chance below n * n / 2**129.
 
 Order is (doc_id, start). Defined results: a null or empty text has no bytes and nothing removed; a
-null doc_id comes after all others; rows equal in id and text are one document and get the same
-row; rows of one id and different texts are ordered by their checksum; an empty table gives no
-rows; other columns are ignored.
+null doc_id comes after all others; rows equal in id and text (by its XXH64) are one document and get
+the same row; rows of one id and different texts, those without an id included, are ordered by that
+hash; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +35,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from faultline.session import materialise, shared_folder
@@ -40,12 +48,21 @@ GRAM = 32
 BLOCK = 1 << 20
 # Stretches of one gram beyond this are dealt out by string.
 MOST_IN_BUCKET = 2000
+# A gram with more stretches than this, and than a 64th of the rows, in one batch is hot.
+MOST_IN_BATCH = 64
+# Bytes of text whose stretches meet in one task; the number of tasks follows the table.
+BUCKET_BYTES = 64 << 20
+# Different strings of hot anchors a task holds before it sends them on, and the parts one string is dealt into.
+WINDOW = 100_000
+SALTS = 64
 LAST_ID = (1 << 63) - 1
 BASE = 0x9E3779B97F4A7C15
 INDEX_BITS = 23
-SENT = pa.schema([("bucket", pa.int32()), ("covered", pa.bool_()), ("records", pa.binary())])
+# What a packed row holds: stretches, ranges known to be covered, stretches of hot grams, hot grams.
+PLAIN, COVERED, HOT, NOTICE = range(4)
+SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("records", pa.binary())])
 RECORD = np.dtype(
-    [("gram", "<u8"), ("stretch", "<u8"), ("did", "<i8"), ("dig", "<u4"), ("lo", "<u4"), ("more", "u1")]
+    [("gram", "<u8"), ("stretch", "<u8"), ("did", "<i8"), ("dig", "<i8"), ("lo", "<u4"), ("more", "u1")]
 )
 
 
@@ -177,9 +194,15 @@ def _reach(rec: np.ndarray) -> np.ndarray:
     return rec["lo"].astype(np.int64) + rec["more"] + LENGTH
 
 
-def first_pass(texts: DataFrame, most: int) -> DataFrame:
+def per_gram(rec: np.ndarray) -> np.ndarray:
+    """How many records sorted by gram share each one's gram."""
+    starts = np.flatnonzero(np.append(True, rec["gram"][1:] != rec["gram"][:-1])[: len(rec)])
+    sizes = np.diff(np.append(starts, len(rec)))
+    return np.repeat(sizes, sizes)
+
+
+def first_pass(texts: DataFrame, buckets: int, most: int, most_in_batch: int) -> DataFrame:
     """Ranges known to be covered, and the stretches whose bytes must be looked at (requests)."""
-    buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in enumerate(batches):
@@ -187,45 +210,54 @@ def first_pass(texts: DataFrame, most: int) -> DataFrame:
             dids, digs = (batch.column(c).to_numpy() for c in ("did", "dig"))
             kept, later = earliest(records(raw, dids, digs))
             del raw
-            bucket = (kept["gram"] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            kept, cuts = kept[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+            hot = per_gram(kept) > max(most_in_batch, batch.num_rows // 64)
+            notices = np.unique(kept["gram"][hot])
+            names: list[int] = []
+            kinds: list[int] = []
+            blobs: list[bytes] = []
             # one row of packed records for each partition they go to
-            names = np.flatnonzero(np.diff(cuts)).tolist()
-            blobs = [kept[cuts[b] : cuts[b + 1]].tobytes() for b in names]
-            covered = [False] * len(names)
+            for kind, what, by in (
+                (PLAIN, kept[~hot], kept["gram"][~hot]),
+                (HOT, kept[hot], kept["stretch"][hot]),
+                (NOTICE, notices, notices),
+            ):
+                bucket = (by % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                what, cuts = what[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+                found = np.flatnonzero(np.diff(cuts)).tolist()
+                names += found
+                kinds += [kind] * len(found)
+                blobs += [what[cuts[b] : cuts[b + 1]].tobytes() for b in found]
             if len(later):
                 names.append(number % buckets)
+                kinds.append(COVERED)
                 blobs.append(later.tobytes())
-                covered.append(True)
-            arrays = [pa.array(names, type=pa.int32()), pa.array(covered), pa.array(blobs, type=pa.binary())]
+            arrays = [pa.array(names, type=pa.int32()), pa.array(kinds, type=pa.int32()), pa.array(blobs, type=pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, schema=SENT)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs: list[bytes] = []
+        blobs: dict[int, list[bytes]] = {PLAIN: [], HOT: [], NOTICE: []}
         for batch in batches:
-            for covered, blob in zip(batch.column("covered").to_pylist(), batch.column("records").to_pylist(), strict=True):
-                if covered:
+            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("records").to_pylist(), strict=True):
+                if kind == COVERED:
                     rec = np.frombuffer(blob, dtype=RECORD)
                     yield _marks(rec["did"], rec["dig"], rec["lo"], _reach(rec))
                 else:
-                    blobs.append(blob)
-        rec = np.frombuffer(b"".join(blobs), dtype=RECORD)
-        del blobs
-        kept, later = earliest(rec)
-        if len(later):
-            yield _marks(later["did"], later["dig"], later["lo"], _reach(later))
-        gram = kept["gram"]
-        starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
-        sizes = np.diff(np.append(starts, len(kept)))
-        each = np.repeat(sizes, sizes)
-        asked = kept[each > 1]
-        if len(asked):
-            dig, lo = asked["dig"].astype(np.int64), asked["lo"].astype(np.int64)
-            yield _found(True, each[each > 1] > most, asked["gram"].copy(), asked["did"], dig, lo, _reach(asked))
-
-    sent = texts.select("did", "dig", "text").mapInArrow(send, "bucket int, covered boolean, records binary")
-    # a bucket is a partition: what a task holds is its share of all records, some MB at a time
+                    blobs[kind].append(blob)
+        notices = np.unique(np.frombuffer(b"".join(blobs[NOTICE]), dtype=np.uint64))
+        for kind in (PLAIN, HOT):
+            rec = np.frombuffer(b"".join(blobs.pop(kind)), dtype=RECORD)
+            kept, later = earliest(rec)
+            if len(later):
+                yield _marks(later["did"], later["dig"], later["lo"], _reach(later))
+            each = per_gram(kept)
+            split = np.ones(len(kept), dtype=bool) if kind == HOT else (each > most) | np.isin(kept["gram"], notices)
+            wanted = split | (each > 1)
+            asked = kept[wanted]
+            if len(asked):
+                yield _found(True, split[wanted], asked["gram"].copy(), asked["did"], asked["dig"], asked["lo"], _reach(asked))
+
+    sent = texts.select("did", "dig", "text").mapInArrow(send, "bucket int, kind int, records binary")
     return sent.repartitionById(buckets, "bucket").mapInArrow(settle, FOUND)
 
 
@@ -257,11 +289,40 @@ def buckets_at_depth(raw: np.ndarray, starts: np.ndarray, depth: int = LENGTH) -
     return number[starts]
 
 
-def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Covered ranges among stretches sorted by `bucket`."""
+PIECES = "bucket long, salt int, did long, dig long, lo long, end long, piece binary"
+PIECE = pa.schema(
+    [(name, pa.binary() if kind == "binary" else pa.int32() if kind == "int" else pa.int64())
+     for name, kind in (part.split() for part in PIECES.split(", "))]
+)
+
+
+def _ranges(did, dig, lo, end) -> pa.RecordBatch:
+    """Covered ranges as rows without a piece."""
+    did, dig, lo, end = marked_runs(did, dig, lo, end)
+    n = len(did)
+    columns = [did, np.full(n, -1), did, dig, lo, end, [None] * n]
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, PIECE, strict=True)], schema=PIECE)
+
+
+def _strings(found: dict[bytes, tuple[int, int, int]]) -> pa.RecordBatch:
+    """Pieces of one string each."""
+    places = np.array(list(found.values()), dtype=np.int64).reshape(-1, 3)
+    did, dig, lo = places.T
+    bucket = [xxhash.xxh64_intdigest(string) >> 1 for string in found]
+    columns = [bucket, (dig & (SALTS - 1)).astype(np.int32), did, dig, lo, lo + LENGTH, list(found)]
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, PIECE, strict=True)], schema=PIECE)
+
+
+def _compared(batches: Iterator[pa.RecordBatch], keys: list[str], keep: bool) -> Iterator[pa.RecordBatch]:
+    """Covered ranges among pieces sorted by `keys`, and, if `keep`, the earliest of each string; ranges pass."""
     from faultline.llm.simhash import whole_runs
 
-    for rows in whole_runs(batches, ["bucket"]):
+    for run in whole_runs(batches, keys):
+        passed = run.filter(pc.is_null(run.column("piece")))
+        yield from passed.to_batches()
+        rows = run.filter(pc.is_valid(run.column("piece")))
+        if not rows.num_rows:
+            continue
         did, dig, lo = (rows.column(c).to_numpy() for c in ("did", "dig", "lo"))
         pieces = rows.column("piece").to_pylist()
         sizes = np.array([len(p) for p in pieces], dtype=np.int64)
@@ -276,45 +337,80 @@ def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.append(True, number[1:] != number[:-1])[: len(number)])
         leader = np.repeat(starts, np.diff(np.append(starts, len(number))))
         later = (did[owner] != did[owner[leader]]) | (dig[owner] != dig[owner[leader]]) | (at != at[leader])
+        if keep:  # pieces are one string each
+            yield from rows.take(pa.array(owner[starts])).to_batches()
         if later.any():
             owner, at = owner[later], at[later]
-            yield _marks(did[owner], dig[owner], at, at + LENGTH)
+            yield _ranges(did[owner], dig[owner], at, at + LENGTH)
 
 
 def second_pass(texts: DataFrame, requests: DataFrame) -> DataFrame:
-    """Covered ranges of the stretches asked for, from their bytes."""
+    """Covered ranges (did, dig, lo, end) of the stretches asked for, from their bytes."""
     partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # at most one entry per anchor of a document
-    asked = requests.groupBy("did", "dig").agg(F.collect_list(F.struct("split", "gram", "lo", "end")).alias("asked"))
-    one_each = texts.join(asked, ["did", "dig"])
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                yield _pieces(batch.slice(i, 64))
-
-    schema = "bucket long, did long, dig long, lo long, piece binary"
-    pieces = one_each.select("did", "dig", "text", "asked").mapInArrow(send, schema)
-    return pieces.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(refine, FOUND)
-
-
-def _pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
-    out: list[tuple] = []
-    for did, dig, text, asked in zip(*(batch.column(c).to_pylist() for c in ("did", "dig", "text", "asked")), strict=True):
-        raw = text.encode("utf-8", "surrogatepass")
-        for a in asked:
-            lo, end = a["lo"], a["end"]
-            if not a["split"]:
-                out.append((a["gram"], did, dig, lo, raw[lo:end]))
-                continue
-            for at in range(lo, end - LENGTH + 1):
-                string = raw[at : at + LENGTH]
-                bucket = xxhash.xxh64_intdigest(string) >> 1
-                out.append((bucket, did, dig, at, string))
-    columns = list(zip(*out, strict=True)) or [()] * 5
-    kinds = [pa.int64()] * 4 + [pa.binary()]
-    arrays = [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, names=["bucket", "did", "dig", "lo", "piece"])
+    def of(split: bool) -> DataFrame:
+        # at most one entry per anchor of a document, in an order that a rerun keeps
+        entries = F.sort_array(F.collect_list(F.struct("gram", "lo", "end"))).alias("asked")
+        asked = requests.filter(F.col("split") == split).groupBy("did", "dig").agg(entries)
+        return texts.join(asked, ["did", "dig"]).select("did", "dig", "text", "asked")
+
+    def compared(pieces: DataFrame, keys: list[str], keep: bool) -> DataFrame:
+        dealt = pieces.repartition(partitions, *keys).sortWithinPartitions(*keys)
+        return dealt.mapInArrow(lambda batches: _compared(batches, keys, keep), PIECES)
+
+    whole = compared(of(False).mapInArrow(_whole_pieces, PIECES), ["bucket"], False)
+    earliest_of_part = compared(of(True).mapInArrow(_split_pieces, PIECES), ["bucket", "salt"], True)
+    split = compared(earliest_of_part, ["bucket"], False)
+    return whole.unionByName(split).select("did", "dig", "lo", "end")
+
+
+def _whole_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each stretch asked for once, under its gram."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 64):
+            out: dict[tuple, bytes] = {}
+            for did, dig, text, asked in _documents(batch.slice(i, 64)):
+                raw = text.encode("utf-8", "surrogatepass")
+                for a in asked:
+                    out[a["gram"], -1, did, dig, a["lo"], a["end"]] = raw[a["lo"] : a["end"]]
+            columns = [*zip(*out, strict=True), list(out.values())] if out else [()] * 7
+            arrays = [pa.array(c, type=f.type) for c, f in zip(columns, PIECE, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=PIECE)
+
+
+def _split_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The earliest place of each string within a window, and the later places as covered ranges."""
+    found: dict[bytes, tuple[int, int, int]] = {}
+    later: list[tuple[int, int, int]] = []
+    for batch in batches:
+        for did, dig, text, asked in _documents(batch):
+            raw = text.encode("utf-8", "surrogatepass")
+            for a in asked:
+                for at in range(a["lo"], a["end"] - LENGTH + 1):
+                    string, place = raw[at : at + LENGTH], (did, dig, at)
+                    first = found.setdefault(string, place)
+                    if place < first:
+                        found[string] = place
+                        later.append(first)
+                    elif place > first:
+                        later.append(place)
+                if len(found) + len(later) >= WINDOW:
+                    yield from _sent_on(found, later)
+                    found, later = {}, []
+    yield from _sent_on(found, later)
+
+
+def _sent_on(found: dict[bytes, tuple[int, int, int]], later: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+    if found:
+        yield _strings(found)
+    if later:
+        did, dig, at = np.array(later, dtype=np.int64).T
+        yield _ranges(did, dig, at, at + LENGTH)
+
+
+def _documents(batch: pa.RecordBatch) -> Iterator[tuple]:
+    for i in range(batch.num_rows):
+        yield tuple(batch.column(c)[i].as_py() for c in ("did", "dig", "text", "asked"))
 
 
 def runs_of(ranges: list[dict] | None) -> list[tuple[int, int]]:
@@ -332,11 +428,11 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 FIELDS = [part.split()[0] for part in SCHEMA.split(", ")]
 
 
-def covered(docs: DataFrame, most: int = MOST_IN_BUCKET) -> DataFrame:
+def covered(docs: DataFrame, most: int = MOST_IN_BUCKET, most_in_batch: int = MOST_IN_BATCH) -> DataFrame:
     """doc_id, text and the covered byte `ranges` (unordered, may overlap) of every row.
 
-    The texts are written once, in buckets by document, so that they are joined twice without
-    being shuffled; what is joined to them is a list of ranges per document.
+    The texts are written once, in buckets by document, so that they are joined without being
+    shuffled; what is joined to them is a list of ranges per document.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -345,19 +441,22 @@ def covered(docs: DataFrame, most: int = MOST_IN_BUCKET) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("did"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).withColumn("dig", F.crc32(F.col("text").cast("binary")))
+    ).withColumn("dig", F.xxhash64("text"))
+    written = Observation(name)
+    counted = keyed.observe(written, F.sum(F.octet_length("text")).alias("bytes"))
     path = shared_folder(spark, "substring-texts")
-    keyed.write.bucketBy(partitions, "did", "dig").option("path", path).saveAsTable(name)
+    counted.write.bucketBy(partitions, "did", "dig").option("path", path).saveAsTable(name)
     texts = spark.table(name)
-    found = materialise(first_pass(texts, most), "substring-first")
+    spark.sql(f"drop table {name}")  # the catalogue keeps no entry; the files stay
+    buckets = max(partitions, -(-(written.get["bytes"] or 0) // BUCKET_BYTES))
+    found = materialise(first_pass(texts, buckets, most, most_in_batch), "substring-first")
     more = materialise(second_pass(texts, found.filter("request")), "substring-second")
-    ranges = found.filter("not request").unionByName(more).groupBy("did", "dig").agg(
-        F.collect_list(F.struct("lo", "end")).alias("ranges")
-    )
+    known = found.filter("not request").select("did", "dig", "lo", "end").unionByName(more)
+    ranges = known.groupBy("did", "dig").agg(F.collect_list(F.struct("lo", "end")).alias("ranges"))
     return texts.join(ranges, ["did", "dig"], "left").select("doc_id", "text", "ranges")
 
 
-def dedup(docs: DataFrame, most: int = MOST_IN_BUCKET) -> DataFrame:
+def dedup(docs: DataFrame, most: int = MOST_IN_BUCKET, most_in_batch: int = MOST_IN_BATCH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,4 +476,4 @@ def dedup(docs: DataFrame, most: int = MOST_IN_BUCKET) -> DataFrame:
             arrays = [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=FIELDS)
 
-    return covered(docs, most).mapInArrow(run, SCHEMA)
+    return covered(docs, most, most_in_batch).mapInArrow(run, SCHEMA)
