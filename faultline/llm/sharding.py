@@ -109,21 +109,25 @@ def read_map(spark: SparkSession, path: str) -> DataFrame | None:
     return read_latest(spark, path)
 
 
-def assign(docs: DataFrame, map_path: str, slots: int = SLOTS, shards: int = SHARDS) -> DataFrame:
+def assign(
+    docs: DataFrame, map_path: str, slots: int = SLOTS, shards: int = SHARDS, grown_from: int | None = None
+) -> DataFrame:
     """Every row with its shard and its place there (`slot`, gapless from 0).
 
     The stored map is used and, where its shards have grown uneven or their number has changed,
-    edited; without one a balanced map is made and stored as the first version.
+    edited; without one a balanced map is made and stored as the first version. `grown_from` makes
+    that first map for another number of shards, so that the one used is an edit of it.
     """
     spark = docs.sparkSession
     rows = materialise(with_slots(docs, slots), "slotted")
     sizes = slot_sizes(rows)
-    stored = read_map(spark, map_path)
-    if stored is None:
-        shard_of = balanced_map(sizes, slots, shards)
-        store_map(spark, map_path, shard_of)
+    if read_map(spark, map_path) is None:
+        store_map(spark, map_path, balanced_map(sizes, slots, grown_from or shards))
+        edit = grown_from not in (None, shards)
     else:
-        before = [r["shard"] for r in stored.orderBy("virtual_slot").collect()]
+        edit = True
+    if edit:
+        before = [r["shard"] for r in read_map(spark, map_path).orderBy("virtual_slot").collect()]
         shard_of = edited_map(before, sizes, shards)
         if shard_of != before:
             store_map(spark, map_path, shard_of)

@@ -46,6 +46,22 @@ def test_map_is_edited_and_versioned(spark, tmp_path, sf):
     assert 16 in grown.values() and len(moved) < len(first) / 4
 
 
+def test_first_map_for_fewer_shards_is_edited(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    got = sharding.assign(docs, str(tmp_path / "map"), grown_from=15).collect()
+    sizes = check(got, digests(rows))
+    assert len(sizes) == 16 and max(sizes.values()) <= 1.01 * sum(sizes.values()) / 16
+    first, second = (
+        {r["virtual_slot"]: r["shard"] for r in spark.read.parquet(str(tmp_path / "map" / f"version={v}")).collect()}
+        for v in (1, 2)
+    )
+    assert set(first.values()) == set(range(15)) and set(second.values()) == set(range(16))
+    moved = [s for s in first if first[s] != second[s]]
+    assert len(moved) < len(first) / 8
+    assert {(r["virtual_slot"], r["shard"]) for r in got} <= set(second.items())
+
+
 def test_edits_move_little():
     sizes = {s: 10 + s % 7 for s in range(4096)}
     before = sharding.balanced_map(sizes, 4096, 16)
