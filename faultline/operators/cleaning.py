@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from faultline import schema
 from faultline.functions.text import snippet, strip
-from faultline.session import materialise
+from faultline.session import can_broadcast, materialise
 
 MAX_KEPT_LABELS = 10_000
+# Bits that mark which texts may be repeated: 4,096 rows of 4 KB, 16 MB for any table.
+MARK_BITS = 1 << 27
 
 
 def primary_label(label: Column) -> Column:
@@ -86,8 +88,9 @@ def first_of_each_text(df: DataFrame, order: list[str], text: str = "narrative")
 
     Digests are grouped, not texts: a partial minimum per task sends each digest on once, however
     many copies there are. What comes back is the row to keep of each text that occurs more than
-    once, written out; rows are tested against that list. Its bytes are then known, and by
-    them Catalyst chooses the join: up to its threshold the texts are not shuffled.
+    once, written out; rows are tested against that list. Up to the broadcast threshold the list
+    goes to the rows. Beyond it a bitmap of fixed size does, and only rows it marks as possible
+    copies are shuffled to the list; the rows are the same.
     """
     digest = F.coalesce(F.unhex(F.sha2(F.col(text), 256)), F.lit(b""))
     place = F.struct(*order)
@@ -98,8 +101,38 @@ def first_of_each_text(df: DataFrame, order: list[str], text: str = "narrative")
         .filter("_n > 1")
         .select("_digest", "_first")
     )
-    marked = df.withColumn("_digest", digest).join(materialise(repeated, "repeated-texts"), "_digest", "left")
-    return marked.filter(F.col("_first").isNull() | (F.col("_first") == place)).select(*df.columns)
+    listed = materialise(repeated, "repeated-texts")
+    marked = df.withColumn("_digest", digest)
+    if can_broadcast(listed):
+        single, copies = None, marked
+    else:
+        flagged = with_mark(marked, mark_bitmap(listed))
+        single, copies = flagged.filter(~F.col("_marked")).select(*df.columns), flagged.filter("_marked")
+    tested = copies.join(listed, "_digest", "left")
+    firsts = tested.filter(F.col("_first").isNull() | (F.col("_first") == place)).select(*df.columns)
+    return firsts if single is None else single.unionByName(firsts)
+
+
+def _mark_place(digest: str) -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(MARK_BITS)) + 1
+
+
+def mark_bitmap(listed: DataFrame, digest: str = "_digest") -> DataFrame:
+    """(bitmap_no, bits): a bit for each digest; at most MARK_BITS / 32,768 rows."""
+    at = _mark_place(digest)
+    placed = listed.select(F.bitmap_bucket_number(at).alias("bitmap_no"), F.bitmap_bit_position(at).alias("_bit"))
+    bits = placed.groupBy("bitmap_no").agg(F.bitmap_construct_agg("_bit").alias("bits"))
+    return materialise(bits, "repeated-marks")
+
+
+def with_mark(df: DataFrame, bitmap: DataFrame, digest: str = "_digest") -> DataFrame:
+    """Add `_marked`: whether the bitmap has the row's bit. Some rows that are not listed have it, all listed do."""
+    at = _mark_place(digest)
+    bit = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = (F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2) == 1
+    joined = df.join(F.broadcast(bitmap), F.bitmap_bucket_number(at) == F.col("bitmap_no"), "left")
+    return joined.withColumn("_marked", F.coalesce(hit, F.lit(False))).drop("bitmap_no", "bits")
 
 
 def merge_domains(

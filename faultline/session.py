@@ -60,6 +60,13 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def can_broadcast(written: DataFrame) -> bool:
+    """Whether a written table lies within Spark's own broadcast threshold, by the bytes of its files."""
+    spark = written.sparkSession
+    threshold = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= threshold
+
+
 def _file_system(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path

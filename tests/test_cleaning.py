@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +73,45 @@ def test_repeated_texts_do_not_shuffle_the_table(spark, tmp_path):
     assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
 
 
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_first_of_each_text_whatever_the_list_weighs(spark, threshold):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, "", f"text {rng.randint(0, 400)}", f"alone {i}"])) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "incident_id long, narrative string")
+    wanted = {}
+    for i, text in rows:
+        wanted.setdefault((text is None, text), i)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        kept = sorted(r["incident_id"] for r in cleaning.first_of_each_text(frame, ["incident_id"]).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert kept == sorted(wanted.values())
+
+
+def test_only_possible_copies_are_shuffled(spark, tmp_path):
+    rows = [(i, f"text {i if i % 10 else 0}") for i in range(20_000)]
+    spark.createDataFrame(rows, "incident_id long, narrative string").write.parquet(str(tmp_path / "t"))
+    frame = spark.read.parquet(str(tmp_path / "t"))
+    listed = frame.select(F.sha2("narrative", 256).alias("_digest")).groupBy("_digest").count().filter("count > 1")
+    bitmap = cleaning.mark_bitmap(listed.select("_digest"))
+    flagged = cleaning.with_mark(frame.withColumn("_digest", F.sha2("narrative", 256)), bitmap)
+    assert {r["_marked"] for r in flagged.filter("incident_id % 10 = 0").select("_marked").collect()} == {True}
+    assert flagged.filter("_marked and incident_id % 10 <> 0").count() <= 2
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = cleaning.first_of_each_text(frame, ["incident_id"])
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # every exchange that carries the narrative takes rows of the bitmap's join only
+    shuffled = [at for at, line in enumerate(plan.split("\n")) if "Exchange hashpartitioning(_digest" in line]
+    below = [plan.split("\n")[at + 1 : at + 5] for at in shuffled]
+    carrying = [part for part in below if any("narrative" in line for line in part[:2])]
+    assert carrying and all(any("BroadcastHashJoin" in line for line in part) for part in carrying)
+    assert kept.count() == 18_001
+
+
 def test_fallback_is_per_domain(spark):
     layout = ROWS + ", domain string"
     cached = spark.createDataFrame([(1, "old a", "A", "Aviation"), (2, "old p", "P", "Power Grid")], layout)
