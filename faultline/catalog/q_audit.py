@@ -75,7 +75,7 @@ def class_distribution(spark, sf_dir):
     return audit.class_distribution(_bucketed(spark, sf_dir), 16)
 
 
-_AUDIT = """
+AUDIT = """
     select (select count(*) from bucketed) as rows,
            (select count(*) from bucketed where label is null) as missing_labels,
            (select count(*) from bucketed where narrative is null) as missing_narratives,
@@ -96,38 +96,41 @@ _AUDIT = """
                    select narrative from bucketed where narrative is not null) f
            ) w) as vocabulary
 """
-_CLASSES = "select label, count(*) as n from bucketed where label is not null group by label"
+CLASSES = "select label, count(*) as n from bucketed where label is not null group by label"
 
 
-@query("agg3_quality_audit", with_views(_AUDIT, "bucketed", classes=_CLASSES))
+@query("agg3_quality_audit", with_views(AUDIT, "bucketed", classes=CLASSES))
 def quality_audit(spark, sf_dir):
     return audit.quality_audit(_bucketed(spark, sf_dir))
 
 
+GRADED = """
+    select 'Total rows' as metric, cast(rows as varchar) as value, 'OK' as status from audited
+    union all select 'Columns', 'incident_id, narrative, label, domain', 'OK' from audited
+    union all select 'Missing labels', cast(missing_labels as varchar),
+                     case when missing_labels > 0 then 'WARN' else 'OK' end from audited
+    union all select 'Missing narratives', cast(missing_narratives as varchar),
+                     case when missing_narratives > 0 then 'WARN' else 'OK' end from audited
+    union all select 'Duplicate narratives', cast(duplicate_narratives as varchar),
+                     case when duplicate_narratives > 0 then 'WARN' else 'OK' end from audited
+    union all select 'Very short narratives (<20 chars)', cast(short_narratives as varchar),
+                     case when short_narratives > 0 then 'WARN' else 'OK' end from audited
+    union all select 'Class imbalance (majority/minority ratio)',
+                     cast(round(imbalance, 1) as varchar) || 'x',
+                     case when imbalance > 10 then 'WARN' else 'OK' end from audited
+    union all select '''Other'' bucket coverage', cast(round(other_share * 100, 1) as varchar) || '%',
+                     case when other_share > 0.5 then 'WARN' else 'OK' end from audited
+    union all select 'Distinct classes', cast(classes as varchar), 'OK' from audited
+"""
+
+
 @query(
     "agg4_graded_audit",
     with_views(
-        """
-        select 'Total rows' as metric, cast(rows as varchar) as value, 'OK' as status from audited
-        union all select 'Columns', 'incident_id, narrative, label, domain', 'OK' from audited
-        union all select 'Missing labels', cast(missing_labels as varchar),
-                         case when missing_labels > 0 then 'WARN' else 'OK' end from audited
-        union all select 'Missing narratives', cast(missing_narratives as varchar),
-                         case when missing_narratives > 0 then 'WARN' else 'OK' end from audited
-        union all select 'Duplicate narratives', cast(duplicate_narratives as varchar),
-                         case when duplicate_narratives > 0 then 'WARN' else 'OK' end from audited
-        union all select 'Very short narratives (<20 chars)', cast(short_narratives as varchar),
-                         case when short_narratives > 0 then 'WARN' else 'OK' end from audited
-        union all select 'Class imbalance (majority/minority ratio)',
-                         cast(round(imbalance, 1) as varchar) || 'x',
-                         case when imbalance > 10 then 'WARN' else 'OK' end from audited
-        union all select '''Other'' bucket coverage', cast(round(other_share * 100, 1) as varchar) || '%',
-                         case when other_share > 0.5 then 'WARN' else 'OK' end from audited
-        union all select 'Distinct classes', cast(classes as varchar), 'OK' from audited
-        """,
+        GRADED,
         "bucketed",
-        classes=_CLASSES,
-        audited=_AUDIT,
+        classes=CLASSES,
+        audited=AUDIT,
     ),
 )
 def graded_audit(spark, sf_dir):
@@ -321,8 +324,8 @@ def question_routes(spark, sf_dir):
         from audited
         """,
         "bucketed",
-        classes=_CLASSES,
-        audited=_AUDIT,
+        classes=CLASSES,
+        audited=AUDIT,
     ),
 )
 def summary(spark, sf_dir):

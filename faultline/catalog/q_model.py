@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from faultline import schema
-from faultline.catalog import query, sqltext, views
+from faultline.catalog import q_audit, query, sqltext, views
 from faultline.catalog.views import sql_any, sql_label_risk, sql_snippet, with_views
 from faultline.functions import lexicon
 from faultline.functions.matching import any_match, with_lowered
@@ -575,6 +575,80 @@ def report_class_rows(spark, sf_dir):
     return _report(spark, sf_dir)["class_rows"]
 
 
+@query(
+    "agg13_report_domains",
+    with_views("select domain, count(*) as n from clean where domain is not null group by domain", "clean"),
+)
+def report_domains(spark, sf_dir):
+    return _report(spark, sf_dir)["domains"]
+
+
+_ON_CLEAN = {
+    "classes": q_audit.CLASSES.replace("bucketed", "clean"),
+    "audited": q_audit.AUDIT.replace("bucketed", "clean"),
+}
+
+
+@query("agg13_report_quality", with_views(q_audit.GRADED, "clean", **_ON_CLEAN))
+def report_quality(spark, sf_dir):
+    return _report(spark, sf_dir)["quality"]
+
+
+@query(
+    "agg13_report_training",
+    with_views(
+        f"""
+        select 'n_classes' as setting, cast(count(distinct label) as varchar) as value from splits where split = 'train'
+        union all select 'max_features', '{schema.MAX_FEATURES}'
+        union all select 'ngram_range', '[1, 2]'
+        union all select 'random_state', '{schema.SEED}'
+        union all select 'best_params', '{{"alpha": 0.0001, "class_weight": "balanced"}}'
+        """,
+        "clean",
+        splits=_SPLIT,
+    ),
+)
+def report_training(spark, sf_dir):
+    """The training section, from the record of a fitted classifier."""
+    trained, train, _ = _trained(spark, sf_dir)
+    record = classifier.training_record(trained, spark)
+    return report_tables(train, _ruled_pairs(spark, sf_dir), record, None)["training"]
+
+
+REPORT_EXAMPLES = 10
+
+
+@query(
+    "agg13_report_examples",
+    with_views(
+        f"""
+        select query_id as incident_id, a.true_label, rank, round(sim, 6) as similarity, r.label, r.domain, r.snippet
+        from ranked r join asked a using (query_id)
+        where query_id in (select query_id from asked order by query_id limit {REPORT_EXAMPLES})
+        """,
+        "clean",
+        splits=_SPLIT,
+        **_evidence_sql(
+            f"select incident_id as query_id, narrative, label as true_label from splits where split = 'test' "
+            f"order by md5('42:' || incident_id) limit {schema.EXPLAIN_SAMPLES}",
+            "select * from splits where split = 'train'",
+            schema.EVIDENCE_TOP_K,
+            sql_snippet("c.narrative", schema.EVIDENCE_CHARS),
+        ),
+    ),
+)
+def report_examples(spark, sf_dir):
+    """The examples of the report: its first explained test rows, an evidence entry per row."""
+    train, test = _split_parts(spark, sf_dir)
+    model = features.fit_tfidf(train)
+    sample = split.hash_sample(test, schema.EXPLAIN_SAMPLES)
+    explained = retrieval.explain(sample, retrieval.build_index(train, model), model)
+    record = spark.createDataFrame([], "setting string, value string")
+    shown = report_tables(train, _ruled_pairs(spark, sf_dir), record, explained, REPORT_EXAMPLES)["examples"]
+    entries = shown.select("incident_id", F.col("label").alias("true_label"), F.inline("evidence"))
+    return entries.withColumn("similarity", F.round("similarity", 6))
+
+
 def _split_parts(spark, sf_dir):
     parts = split.train_test(prepared(spark, sf_dir))
     return parts.filter("split = 'train'"), parts.filter("split = 'test'")
