@@ -20,6 +20,8 @@ from faultline.session import materialise, shared_folder
 
 # The phrase of an incident tells its label, so a fit that learns anything is well above this.
 LEAST_ACCURACY = 0.8
+# Measured at sf0.01: mean weighted F1 from 0.74 (strongest penalty, no weights) to 0.89.
+LEAST_F1 = 0.7
 
 _SPLIT = """
     select incident_id, narrative, label, domain,
@@ -679,8 +681,8 @@ def _trained(spark, sf_dir):
 def fitted_shape(spark, sf_dir):
     """Classes and features of the fitted model, and whether each row's chances add up to one."""
     trained, _, test = _trained(spark, sf_dir)
-    model = next(stage for stage in trained.stages.stages if hasattr(stage, "coefficientMatrix"))
-    chances = trained.stages.transform(features.with_terms(test)).select(vector_to_array("probability").alias("p"))
+    model = trained.regression
+    chances = trained.stages.transform(test).select(vector_to_array("probability").alias("p"))
     total = F.aggregate("p", F.lit(0.0), lambda a, b: a + b)
     return chances.agg(
         F.lit(model.numClasses).cast("bigint").alias("classes"),
@@ -725,7 +727,7 @@ def predictions(spark, sf_dir):
         union all select 'random_state', '{schema.SEED}'
         union all select 'cv_folds', '{schema.CV_FOLDS}'
         union all select 'best_params', 'in the grid'
-        union all select 'best_cv_f1_weighted', 'between 0 and 1'
+        union all select 'best_cv_f1_weighted', 'at least {LEAST_F1}'
         """,
         "clean",
         splits=_SPLIT,
@@ -747,28 +749,45 @@ def training_record(spark, sf_dir):
     return record.withColumn(
         "value",
         F.when((F.col("setting") == "best_params") & F.col("value").isin(grid), "in the grid")
-        .when((F.col("setting") == "best_cv_f1_weighted") & score.between(0, 1), "between 0 and 1")
+        .when((F.col("setting") == "best_cv_f1_weighted") & score.between(LEAST_F1, 1), f"at least {LEAST_F1}")
         .otherwise(F.col("value")),
     )
 
 
 @query(
     "ml6_grid_search",
-    f"""
-    select f.fold, a.alpha, w.class_weight, true as scored
-    from (select unnest({list(range(schema.CV_FOLDS))}) as fold) f
-    cross join (select unnest({list(schema.GRID_ALPHAS)})::double as alpha) a
-    cross join (select unnest(['none', 'balanced']) as class_weight) w
-    """,
+    with_views(
+        f"""
+        select a.alpha, w.class_weight, t.rows, t.classes, true as above_least, true as best_is_kept
+        from (select unnest({list(schema.GRID_ALPHAS)})::double as alpha) a
+        cross join (select unnest(['none', 'balanced']) as class_weight) w
+        cross join (select count(*) as rows, count(distinct label) as classes from splits where split = 'train') t
+        """,
+        "clean",
+        splits=_SPLIT,
+    ),
 )
 def grid_search(spark, sf_dir):
-    """Every setting on every fold of the whole grid, with a weighted F1 that is a share."""
+    """Every setting of the grid with the rows and classes of the final fit, whether its mean weighted F1
+    reaches the least one, and whether the setting kept is the one of the greatest mean."""
     train, _ = _split_parts(spark, sf_dir)
-    results = classifier.cross_validate(train)
+    searched = classifier.search(train)
+    kept, documents = searched.trained.config, searched.trained.vectoriser.documents
+    best = max(row["f1_weighted"] for row in searched.scores)
     rows = [
-        (r["fold"], r["alpha"], r["class_weight"] or "none", 0.0 < r["f1_weighted"] <= 1.0) for r in results
+        (
+            row["alpha"],
+            row["class_weight"] or "none",
+            documents,
+            kept["n_classes"],
+            bool(row["f1_weighted"] >= LEAST_F1),
+            bool(kept["best_cv_f1_weighted"] == best),
+        )
+        for row in searched.scores
     ]
-    return spark.createDataFrame(rows, "fold int, alpha double, class_weight string, scored boolean")
+    return spark.createDataFrame(
+        rows, "alpha double, class_weight string, rows bigint, classes bigint, above_least boolean, best_is_kept boolean"
+    )
 
 
 @query(

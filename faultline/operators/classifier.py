@@ -1,29 +1,37 @@
-"""The label classifier: class weights, grid search over stratified folds, prediction."""
+"""The label classifier: class weights, grid search over stratified folds, prediction.
+
+The whole classifier is one pipeline of two estimators, the vectoriser and the regression, so the
+search over folds is Spark's own and a saved pipeline is all that predicting needs.
+"""
 
 from __future__ import annotations
 
-import itertools
 import json
-from collections.abc import Sequence
+import threading
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import IndexToString, StringIndexer
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline import schema
 from faultline.operators.cleaning import label_counts
 from faultline.operators.evaluation import pair_counts, weighted_f1
-from faultline.operators.features import TfidfModel, fit_tfidf, with_terms
+from faultline.operators.features import Tfidf, TfidfModel
 from faultline.operators.split import folds
 from faultline.session import materialise
 
 
-# Fits of one fold that run side by side; each is a chain of small jobs.
+# Settings of one fold that are fitted side by side; each is a chain of small jobs.
 PARALLEL_FITS = 6
+UNWEIGHTED = "none"
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
@@ -40,92 +48,136 @@ def with_class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(materialise(weights, "class-weights"), label)
 
 
+class _Fits(Iterator):
+    """Models of settings 0..count-1, each fitted by the thread that asks for it; `close` follows the last."""
+
+    def __init__(self, fit_one: Callable, count: int, close: Callable[[], object]):
+        self._fit_one, self._close = fit_one, close
+        self._numbers, self._open = iter(range(count)), count
+        self._lock = threading.Lock()
+
+    def __next__(self) -> tuple:
+        with self._lock:
+            number = next(self._numbers)
+        try:
+            return number, self._fit_one(number)
+        finally:
+            with self._lock:
+                self._open -= 1
+                last = self._open == 0
+            if last:
+                self._close()
+
+
+class LabelRegression(Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    """Multinomial logistic regression of `label` on `features`; its model adds `predicted_label`.
+
+    `alpha` is the L2 strength on the mean loss. Labels are numbered and rows weighted by what the rows
+    of the fit hold, once for all settings that are fitted on them.
+    """
+
+    alpha = Param(Params._dummy(), "alpha", "L2 strength", TypeConverters.toFloat)
+    classWeight = Param(Params._dummy(), "classWeight", "none or balanced", TypeConverters.toString)
+    maxIter = Param(Params._dummy(), "maxIter", "most iterations", TypeConverters.toInt)
+
+    def __init__(self, alpha: float = 1e-4, class_weight: str | None = "balanced", max_iter: int = schema.MAX_ITER):
+        super().__init__()
+        self._set(alpha=alpha, classWeight=class_weight or UNWEIGHTED, maxIter=max_iter)
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        return next(self.fitMultiple(dataset, [{}]))[1]
+
+    def fitMultiple(self, dataset: DataFrame, paramMaps: Sequence[dict]) -> Iterator:
+        indexer = StringIndexer(inputCol="label", outputCol="_label_no", stringOrderType="alphabetAsc").fit(dataset)
+        weighted = with_class_weights(dataset.select("features", "label"))
+        rows = indexer.transform(weighted).select("features", "_label_no", "weight").persist()
+        rows.count()  # one pass fills the cache before fits run side by side
+        to_name = IndexToString(
+            inputCol="_predicted_no", outputCol="predicted_label", labels=list(indexer.labels)
+        )
+
+        def fit_one(number: int) -> PipelineModel:
+            return PipelineModel([self.copy(paramMaps[number])._regression().fit(rows), to_name])
+
+        return _Fits(fit_one, len(paramMaps), rows.unpersist)
+
+    def _regression(self) -> LogisticRegression:
+        model = LogisticRegression(
+            featuresCol="features",
+            labelCol="_label_no",
+            predictionCol="_predicted_no",
+            family="multinomial",
+            regParam=self.getOrDefault(self.alpha),
+            elasticNetParam=0.0,
+            maxIter=self.getOrDefault(self.maxIter),
+            standardization=False,
+            tol=schema.TOLERANCE,
+        )
+        return model if self.getOrDefault(self.classWeight) == UNWEIGHTED else model.setWeightCol("weight")
+
+
+class SharedStart(Pipeline):
+    """A pipeline that fits its first stages once for all settings that concern only the last one."""
+
+    def fitMultiple(self, dataset: DataFrame, paramMaps: Sequence[dict]) -> Iterator:
+        *first, last = self.getStages()
+        if any(param.parent != last.uid for setting in paramMaps for param in setting):
+            return super().fitMultiple(dataset, paramMaps)
+        start = Pipeline(stages=first).fit(dataset)
+        fits = last.fitMultiple(start.transform(dataset), paramMaps)
+        return map(lambda fit: (fit[0], PipelineModel([*start.stages, fit[1]])), fits)
+
+
+class LabelF1(Evaluator):
+    """Weighted F1 of `predicted_label` against `label`; labels the fit did not see count as missed."""
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        return weighted_f1(pair_counts(dataset))
+
+    def isLargerBetter(self) -> bool:
+        return True
+
+
 @dataclass
 class TrainedModel:
-    """A fitted classifier with its vectoriser and the record of how it was trained."""
+    """A fitted classifier and the record of how it was trained."""
 
-    vectoriser: TfidfModel
     stages: PipelineModel
     config: dict = field(default_factory=dict)
 
+    @property
+    def vectoriser(self) -> TfidfModel:
+        return self.stages.stages[0]
+
+    @property
+    def regression(self) -> LogisticRegressionModel:
+        return self.stages.stages[1].stages[0]
+
     def predict(self, df: DataFrame, text: str = "processed_text") -> DataFrame:
         """Add `predicted_label` to rows with a normalised text."""
-        scored = self.stages.transform(with_terms(df, text))
+        scored = self.stages.transform(df, {self.vectoriser.inputCol: text})
         return scored.select(*df.columns, "predicted_label")
 
 
-def _fit(features: DataFrame, alpha: float, weighted: bool, max_iter: int):
-    """Multinomial logistic regression; `alpha` is the L2 strength on the mean loss."""
-    model = LogisticRegression(
-        featuresCol="features",
-        labelCol="_label_no",
-        predictionCol="_predicted_no",
-        family="multinomial",
-        regParam=alpha,
-        elasticNetParam=0.0,
-        maxIter=max_iter,
-        standardization=False,
-        tol=schema.TOLERANCE,
-    )
-    if weighted:
-        model = model.setWeightCol("weight")
-    return model.fit(features)
-
-
-def _indexer(df: DataFrame):
-    return StringIndexer(
-        inputCol="label", outputCol="_label_no", stringOrderType="alphabetAsc"
-    ).fit(df)
-
-
-def _predictions(model, names: Sequence[str], features: DataFrame) -> DataFrame:
-    to_name = IndexToString(inputCol="_predicted_no", outputCol="predicted_label", labels=list(names))
-    return to_name.transform(model.transform(features))
-
-
-def cross_validate(
-    train: DataFrame,
-    alphas: Sequence[float] = schema.GRID_ALPHAS,
-    weightings: Sequence[str | None] = schema.GRID_CLASS_WEIGHTS,
-    count: int = schema.CV_FOLDS,
+def text_classifier(
+    alpha: float = 1e-4,
+    class_weight: str | None = "balanced",
     max_features: int = schema.MAX_FEATURES,
     max_iter: int = schema.MAX_ITER,
-) -> list[dict]:
-    """Weighted F1 of every setting on every fold; the vectoriser is fitted anew per fold.
+) -> SharedStart:
+    return SharedStart(stages=[Tfidf(max_features), LabelRegression(alpha, class_weight, max_iter)])
 
-    `train` has incident_id, processed_text and label. One result per (fold, setting) returns.
-    """
-    spread_rows = materialise(folds(train, count).select("incident_id", "processed_text", "label", "fold"), "folds")
-    results = []
-    for fold in range(count):
-        fit_rows = with_class_weights(spread_rows.filter(F.col("fold") != fold))
-        indexer = _indexer(fit_rows)
-        vectoriser = fit_tfidf(fit_rows, max_features=max_features)
-        vectors = indexer.transform(vectoriser.transform(fit_rows)).select("features", "_label_no", "weight")
-        fit_features = vectors.persist()
-        held_out = vectoriser.transform(spread_rows.filter(F.col("fold") == fold)).select("label", "features").persist()
-
-        def score(setting: tuple, fold=fold, features=fit_features, rows=held_out, names=indexer.labels) -> dict:
-            alpha, weighting = setting
-            model = _fit(features, alpha, weighting == "balanced", max_iter)
-            pairs = pair_counts(_predictions(model, names, rows))
-            return {"fold": fold, "alpha": alpha, "class_weight": weighting, "f1_weighted": weighted_f1(pairs)}
-
-        fit_features.count()  # one pass fills the cache before fits run side by side
-        with ThreadPool(PARALLEL_FITS) as pool:
-            results += pool.map(score, itertools.product(alphas, weightings))
-        fit_features.unpersist()
-        held_out.unpersist()
-    return results
-
-
-def best_setting(results: list[dict]) -> dict:
-    """Setting with the highest mean over folds; the first tried wins a tie."""
-    scores: dict[tuple, list[float]] = {}
-    for row in results:
-        scores.setdefault((row["alpha"], row["class_weight"]), []).append(row["f1_weighted"])
-    (alpha, weighting), values = max(scores.items(), key=lambda item: sum(item[1]) / len(item[1]))
-    return {"alpha": alpha, "class_weight": weighting, "f1_weighted": sum(values) / len(values)}
+
+def _with_record(stages: PipelineModel, alpha: float, class_weight: str | None, max_features: int) -> TrainedModel:
+    trained = TrainedModel(stages)
+    trained.config = {
+        "best_params": {"alpha": alpha, "class_weight": class_weight},
+        "n_classes": trained.regression.numClasses,
+        "max_features": max_features,
+        "ngram_range": [1, 2],
+        "random_state": schema.SEED,
+    }
+    return trained
 
 
 def fit_classifier(
@@ -136,61 +188,79 @@ def fit_classifier(
     max_iter: int = schema.MAX_ITER,
 ) -> TrainedModel:
     """Fit one setting on (processed_text, label) rows."""
-    kept = train.filter("label is not null").select("processed_text", "label")
-    rows = materialise(with_class_weights(kept), "training-rows")
-    indexer = _indexer(rows)
-    vectoriser = fit_tfidf(rows, max_features=max_features)
-    vectors = indexer.transform(vectoriser.transform(rows)).select("features", "_label_no", "weight")
-    features = vectors.persist()
-    model = _fit(features, alpha, class_weight == "balanced", max_iter)
-    features.unpersist()
-    to_name = IndexToString(inputCol="_predicted_no", outputCol="predicted_label", labels=list(indexer.labels))
-    stages = PipelineModel([*vectoriser.stages.stages, model, to_name])
-    config = {
-        "best_params": {"alpha": alpha, "class_weight": class_weight},
-        "n_classes": len(indexer.labels),
-        "max_features": max_features,
-        "ngram_range": [1, 2],
-        "random_state": schema.SEED,
-    }
-    return TrainedModel(vectoriser, stages, config)
+    rows = materialise(train.filter("label is not null").select("processed_text", "label"), "training-rows")
+    stages = text_classifier(alpha, class_weight, max_features, max_iter).fit(rows)
+    return _with_record(stages, alpha, class_weight, max_features)
+
 
+@dataclass
+class Searched:
+    """The best setting fitted on all rows, and the mean and deviation of F1 over folds of every setting."""
+
+    trained: TrainedModel
+    scores: list[dict]
 
-def search_and_fit(
+
+def search(
     train: DataFrame,
     alphas: Sequence[float] = schema.GRID_ALPHAS,
     weightings: Sequence[str | None] = schema.GRID_CLASS_WEIGHTS,
     count: int = schema.CV_FOLDS,
     max_features: int = schema.MAX_FEATURES,
     max_iter: int = schema.MAX_ITER,
-) -> TrainedModel:
-    """Grid search on the training rows, then a fit of the best setting on all of them."""
-    best = best_setting(cross_validate(train, alphas, weightings, count, max_features, max_iter))
-    trained = fit_classifier(train, best["alpha"], best["class_weight"], max_features, max_iter)
+) -> Searched:
+    """Grid search over stratified folds, then a fit of the best setting; the first tried wins a tie.
+
+    `train` has incident_id, processed_text and label. The vectoriser is fitted anew per fold.
+    """
+    rows = materialise(folds(train, count).select("processed_text", "label", "fold"), "folds")
+    classifier = text_classifier(max_features=max_features, max_iter=max_iter)
+    regression = classifier.getStages()[-1]
+    grid = (
+        ParamGridBuilder()
+        .addGrid(regression.alpha, [float(alpha) for alpha in alphas])
+        .addGrid(regression.classWeight, [weighting or UNWEIGHTED for weighting in weightings])
+        .build()
+    )
+    fitted = CrossValidator(
+        estimator=classifier,
+        estimatorParamMaps=grid,
+        evaluator=LabelF1(),
+        numFolds=count,
+        foldCol="fold",
+        parallelism=PARALLEL_FITS,
+    ).fit(rows)
+    settings = [(setting[regression.alpha], setting[regression.classWeight]) for setting in grid]
+    scores = [
+        {
+            "alpha": alpha,
+            "class_weight": None if weighting == UNWEIGHTED else weighting,
+            "f1_weighted": float(mean),
+            "f1_deviation": float(deviation),
+        }
+        for (alpha, weighting), mean, deviation in zip(settings, fitted.avgMetrics, fitted.stdMetrics, strict=True)
+    ]
+    best = max(scores, key=lambda row: row["f1_weighted"])
+    trained = _with_record(fitted.bestModel, best["alpha"], best["class_weight"], max_features)
     trained.config |= {"best_cv_f1_weighted": best["f1_weighted"], "cv_folds": count}
-    return trained
+    return Searched(trained, scores)
+
+
+def search_and_fit(train: DataFrame, **grid) -> TrainedModel:
+    """The best setting of `search`, fitted on all training rows."""
+    return search(train, **grid).trained
 
 
 def save_model(trained: TrainedModel, spark: SparkSession, path: str) -> None:
-    """The fitted stages, the vocabulary with its weights, and the training record."""
+    """The fitted pipeline, its vocabulary among its stages, and the training record."""
     trained.stages.write().overwrite().save(f"{path}/stages")
-    vocab = trained.vectoriser.vocabulary_frame(spark).withColumn("documents", F.lit(trained.vectoriser.documents))
-    vocab.write.mode("overwrite").parquet(f"{path}/vocabulary")
     record = spark.createDataFrame([(json.dumps(trained.config),)], "value string")
     record.coalesce(1).write.mode("overwrite").text(f"{path}/config")
 
 
 def load_model(spark: SparkSession, path: str) -> TrainedModel:
-    stages = PipelineModel.load(f"{path}/stages")
-    rows = spark.read.parquet(f"{path}/vocabulary").orderBy("term_no").collect()
-    vectoriser = TfidfModel(
-        [row["term"] for row in rows],
-        [row["idf"] for row in rows],
-        rows[0]["documents"],
-        PipelineModel(stages.stages[:3]),
-    )
     config = json.loads(spark.read.text(f"{path}/config").first()["value"])
-    return TrainedModel(vectoriser, stages, config)
+    return TrainedModel(PipelineModel.load(f"{path}/stages"), config)
 
 
 def training_record(trained: TrainedModel, spark: SparkSession) -> DataFrame:

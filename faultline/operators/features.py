@@ -6,12 +6,24 @@ vectorising a table needs no shuffle; only counting the vocabulary does, behind
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import (
+    DefaultParamsReadable,
+    DefaultParamsReader,
+    DefaultParamsWritable,
+    DefaultParamsWriter,
+    MLReadable,
+    MLReader,
+    MLWritable,
+    MLWriter,
+)
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline import schema
@@ -74,40 +86,78 @@ def with_idf(vocab: DataFrame, documents: int) -> DataFrame:
     return vocab.withColumn("idf", F.log((1.0 + documents) / (1.0 + F.col("df"))) + 1.0)
 
 
-@dataclass
-class TfidfModel:
-    """A fitted vocabulary and the transformers that apply it."""
+class TfidfModel(Model, HasInputCol, HasOutputCol, MLWritable, MLReadable):
+    """A fitted vocabulary: a pipeline stage that adds unit vectors of weighted terms to normalised texts."""
 
-    terms: list[str]
-    idf: list[float]
-    documents: int
-    stages: PipelineModel
+    def __init__(self, terms: Sequence[str] = (), idf: Sequence[float] = (), documents: int = 0):
+        super().__init__()
+        self.terms, self.idf, self.documents = list(terms), list(idf), documents
+        self._setDefault(inputCol="processed_text", outputCol="features")
 
-    def transform(self, df: DataFrame, text: str = "processed_text") -> DataFrame:
-        return self.stages.transform(with_terms(df, text)).drop("terms", "_tf", "_tfidf")
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        counts = CountVectorizerModel.from_vocabulary(self.terms, inputCol="terms", outputCol="_tf")
+        weighted = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="_tf", outputCol="_tfidf")
+        unit = Normalizer(p=2.0, inputCol="_tfidf", outputCol=self.getOutputCol())
+        vectors = PipelineModel([counts, weighted, unit]).transform(with_terms(dataset, self.getInputCol()))
+        return vectors.drop("terms", "_tf", "_tfidf")
 
-    def vocabulary_frame(self, spark) -> DataFrame:
+    def vocabulary_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(i, term, weight) for i, (term, weight) in enumerate(zip(self.terms, self.idf))]
         return spark.createDataFrame(rows, "term_no int, term string, idf double")
 
+    def write(self) -> MLWriter:
+        return _TfidfWriter(self)
 
-def tfidf_stages(terms: list[str], idf: list[float]) -> list:
-    counts = CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="_tf")
-    weighted = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_tfidf")
-    return [counts, weighted, Normalizer(p=2.0, inputCol="_tfidf", outputCol="features")]
+    @classmethod
+    def read(cls) -> MLReader:
+        return _TfidfReader()
 
 
-def fit_tfidf(
-    df: DataFrame, text: str = "processed_text", max_features: int = schema.MAX_FEATURES
-) -> TfidfModel:
-    """Count the vocabulary of a normalised text column; at most `max_features` rows reach the driver."""
-    documents = df.count()
-    vocab = with_idf(vocabulary(with_terms(df.select(text), text), max_features), documents)
-    rows = vocab.select("term", "idf").collect()
-    if not rows:
-        raise ValueError("no term to build a vocabulary from")
-    terms, idf = [row["term"] for row in rows], [row["idf"] for row in rows]
-    return TfidfModel(terms, idf, documents, PipelineModel(tfidf_stages(terms, idf)))
+class _TfidfWriter(MLWriter):
+    """Parameters as of any stage, the vocabulary with its weights as a table beside them."""
+
+    def __init__(self, model: TfidfModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        spark = self.sparkSession
+        DefaultParamsWriter.saveMetadata(self.model, path, spark, {"documents": self.model.documents})
+        self.model.vocabulary_frame(spark).write.parquet(f"{path}/vocabulary")
+
+
+class _TfidfReader(MLReader):
+    def load(self, path: str) -> TfidfModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        rows = self.sparkSession.read.parquet(f"{path}/vocabulary").orderBy("term_no").collect()
+        model = TfidfModel([row["term"] for row in rows], [row["idf"] for row in rows], metadata["documents"])
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        return model
+
+
+class Tfidf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Counts the vocabulary of a normalised text column; at most `maxFeatures` rows reach the driver."""
+
+    maxFeatures = Param(Params._dummy(), "maxFeatures", "terms kept", TypeConverters.toInt)
+
+    def __init__(self, max_features: int = schema.MAX_FEATURES, text: str = "processed_text", out: str = "features"):
+        super().__init__()
+        self._set(maxFeatures=max_features, inputCol=text, outputCol=out)
+
+    def _fit(self, dataset: DataFrame) -> TfidfModel:
+        text = self.getInputCol()
+        documents = dataset.count()
+        counted = vocabulary(with_terms(dataset.select(text), text), self.getOrDefault(self.maxFeatures))
+        rows = with_idf(counted, documents).select("term", "idf").collect()
+        if not rows:
+            raise ValueError("no term to build a vocabulary from")
+        model = TfidfModel([row["term"] for row in rows], [row["idf"] for row in rows], documents)
+        return self._copyValues(model)
+
+
+def fit_tfidf(df: DataFrame, text: str = "processed_text", max_features: int = schema.MAX_FEATURES) -> TfidfModel:
+    return Tfidf(max_features, text).fit(df)
 
 
 def sparse_parts(df: DataFrame, features: str = "features") -> DataFrame:

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from faultline.catalog import q_model, views
@@ -201,18 +202,47 @@ def test_classifier(spark, sf, tmp_path):
     assert labels(loaded) == labels(trained)
 
 
-def test_best_setting():
-    results = [
-        {"fold": f, "alpha": a, "class_weight": w, "f1_weighted": s}
-        for a, w, scores in [(1, None, (0.5, 0.7)), (2, "balanced", (0.65, 0.65)), (3, None, (0.6, 0.6))]
-        for f, s in enumerate(scores)
-    ]
-    assert best_of(results) == (2, "balanced")
-
-
-def best_of(results):
-    best = classifier.best_setting(results)
-    return best["alpha"], best["class_weight"]
+def test_saved_pipeline_is_all_that_predicting_needs(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("fire in the engine", "fire"), ("engine fire", "fire"), ("ice on wing", "ice"), (None, "ice"), ("wing ice", "ice")],
+        "processed_text string, label string",
+    )
+    trained = classifier.fit_classifier(rows, 1e-4, None, max_features=5, max_iter=20)
+    trained.stages.write().save(str(tmp_path / "p"))
+    loaded = PipelineModel.load(str(tmp_path / "p"))
+    vectoriser = loaded.stages[0]
+    assert (vectoriser.terms, vectoriser.idf, vectoriser.documents) == (
+        trained.vectoriser.terms,
+        trained.vectoriser.idf,
+        5,
+    )
+    got = {r["processed_text"]: r["predicted_label"] for r in loaded.transform(rows).collect()}
+    assert got["engine fire"] == "fire" and got["wing ice"] == "ice" and None in got
+    other = trained.predict(rows.withColumnRenamed("processed_text", "words"), "words").collect()
+    assert {r["words"]: r["predicted_label"] for r in other} == got
+
+
+def test_vocabulary_of_every_fold_comes_from_its_own_rows(spark, monkeypatch):
+    texts = [(i, f"{'fire' if i % 2 else 'ice'} word{i}", "hot" if i % 2 else "cold") for i in range(12)]
+    rows = spark.createDataFrame([*texts, (90, "lone", "rare")], "incident_id long, processed_text string, label string")
+    fitted = []
+    plain = features.Tfidf._fit
+
+    def noted(self, dataset):
+        model = plain(self, dataset)
+        fitted.append((model.documents, set(model.terms)))
+        return model
+
+    monkeypatch.setattr(features.Tfidf, "_fit", noted)
+    found = classifier.search(rows, alphas=(1e-3, 1e-4), weightings=(None, "balanced"), count=3, max_iter=20)
+    assert len(found.scores) == 4 and all(0 < s["f1_weighted"] <= 1 for s in found.scores)
+    best = max(s["f1_weighted"] for s in found.scores)
+    first = next(s for s in found.scores if s["f1_weighted"] == best)
+    assert found.trained.config["best_params"] == {"alpha": first["alpha"], "class_weight": first["class_weight"]}
+    # Four settings, yet one vocabulary per fold and one of all rows.
+    assert len(fitted) == 4 and sorted(n for n, _ in fitted)[-1] == 13
+    assert sum(n for n, _ in fitted) == 13 * 3
+    assert all(len(terms) < len(fitted[-1][1]) for _, terms in fitted[:-1])
 
 
 def test_class_weights(spark):
