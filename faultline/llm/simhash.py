@@ -319,6 +319,8 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     `nodes` has fp and rank, edges a and b. Each round every node points at the least rank among
     its neighbours and itself; rounds end when nothing changes, about the log of the longest path.
+    The least of each node is written before it is joined, so a node with very many neighbours is a
+    skewed key of a plain join, which AQE splits over tasks.
     """
     ranked = nodes.select("fp", "rank")
     named = (
@@ -331,14 +333,11 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         # large star: neighbours above a node point at the least node around it
         both = current.union(current.select(F.col("v"), F.col("u")).toDF("u", "v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.join(least, "u").filter(F.col("v") > F.col("u"))
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
-        large = materialise(large, "large-star")
+        pointed = point_at(both.filter(F.col("v") > F.col("u")), materialise(least, "large-least"))
+        large = materialise(pointed.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
         # small star: neighbours below a node, and the node, point at the least of them
-        below = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        below = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "small-least")
+        small = point_at(large, below).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         after = materialise(small.union(below.select("u", F.col("m").alias("v"))).distinct(), "small-star")
         before, mark = mark, _mark(after)
         if mark == before:
@@ -347,6 +346,11 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return after
 
 
+def point_at(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """The edges of each node with the node `m` that its neighbours are to point at."""
+    return edges.join(least, "u")
+
+
 def _mark(edges: DataFrame):
     """Count and order-free hash of a set of edges: equal when a round changed nothing."""
     return edges.agg(

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from faultline.llm import simhash
 
@@ -97,6 +98,29 @@ def test_hot_group_of_near_copies(spark, monkeypatch):
     assert edges < 40 * len(set(fps))
 
 
+def test_hub_is_split_over_tasks(spark, tmp_path):
+    star = spark.range(40_000).selectExpr("if(id % 2 = 0, 0L, id) as u", "id + 1 as v").repartition(8)
+    star.write.parquet(str(tmp_path / "edges"))
+    edges = spark.read.parquet(str(tmp_path / "edges"))
+    least = simhash.materialise(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+    }
+    before = {key: spark.conf.get(key, None) for key in small}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        found = simhash.point_at(edges, least).select("v", "m").distinct()
+        assert {(r["v"], r["m"]) for r in found.collect() if r["v"] % 2} == {(v, 1) for v in range(1, 40_000, 2)}
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def test_plain_version_on_the_given_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r["doc_id"], plain_fingerprint(r["text"])) for r in docs.collect()]
