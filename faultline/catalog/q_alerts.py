@@ -9,8 +9,10 @@ from faultline.catalog.q_text import sql_suggestion
 from faultline.catalog.views import with_views
 from faultline.operators import alerts as ops
 from faultline.operators import audit
+from faultline.session import shared_folder
 from faultline.sources import alerts as log
 from faultline.sources import feeds
+from faultline.sources.dropfiles import CSV_WRITER
 
 _ACCIDENT_ROWS = """
     select 'ntsb-' || ev_id as key, 'ntsb-' || ev_id as incident_id, 'NTSB API' as source,
@@ -42,6 +44,23 @@ def fault_incidents(spark, sf_dir):
     return feeds.fault_incidents(views.faults(spark, sf_dir))
 
 
+def _landed(spark, records, kind):
+    """The records written as JSON lines and read back as a feed of their kind."""
+    path = shared_folder(spark, f"landed-{kind}")
+    records.write.json(path)
+    return feeds.read_feed(spark, path, kind)
+
+
+@query("src8_landed_accidents", with_views(_ACCIDENT_ROWS, "accidents"))
+def landed_accidents(spark, sf_dir):
+    return feeds.accident_incidents(_landed(spark, views.accidents(spark, sf_dir), "accident"))
+
+
+@query("src9_landed_faults", with_views(_FAULT_ROWS, "faults"))
+def landed_faults(spark, sf_dir):
+    return feeds.fault_incidents(_landed(spark, views.faults(spark, sf_dir), "fault"))
+
+
 @query(
     "str11_feed_rejects",
     with_views(
@@ -81,22 +100,17 @@ def _log_rows(spark, sf_dir):
     )
 
 
-@query(
-    "src10_alert_log",
-    with_views(
-        """
-        select incident_id,
-               case when incident_id % 50 = 7 then null else strftime(alert_ts, '%Y-%m-%d %H:%M:%S') end as alert_time,
-               source, risk_level, predicted_label, narrative,
-               case when incident_id % 10 = 3 then 0 else 1 end as evidence_items,
-               case when incident_id % 10 = 3 then null else predicted_label end as evidence_label
-        from alerts
-        """,
-        "alerts",
-    ),
-)
-def alert_log(spark, sf_dir):
-    parsed = log.parse_alert_log(_log_rows(spark, sf_dir))
+_LOG_ROWS = """
+    select incident_id,
+           case when incident_id % 50 = 7 then null else strftime(alert_ts, '%Y-%m-%d %H:%M:%S') end as alert_time,
+           source, risk_level, predicted_label, narrative,
+           case when incident_id % 10 = 3 then 0 else 1 end as evidence_items,
+           case when incident_id % 10 = 3 then null else predicted_label end as evidence_label
+    from alerts
+"""
+
+
+def _shown(parsed):
     return parsed.select(
         "incident_id",
         F.date_format("alert_ts", "yyyy-MM-dd HH:mm:ss").alias("alert_time"),
@@ -109,6 +123,19 @@ def alert_log(spark, sf_dir):
     )
 
 
+@query("src10_alert_log", with_views(_LOG_ROWS, "alerts"))
+def alert_log(spark, sf_dir):
+    return _shown(log.parse_alert_log(_log_rows(spark, sf_dir)))
+
+
+@query("src10_landed_log", with_views(_LOG_ROWS.replace("narrative,", "nullif(narrative, '') as narrative,"), "alerts"))
+def landed_log(spark, sf_dir):
+    """The same log written as CSV files, line breaks and all, and read back: an empty narrative is null."""
+    path = shared_folder(spark, "landed-log")
+    _log_rows(spark, sf_dir).write.options(**CSV_WRITER).csv(path)
+    return _shown(log.read_alert_log(spark, path).withColumn("incident_id", F.col("incident_id").cast("bigint")))
+
+
 @query(
     "snk2_alert_log_rows",
     with_views(

@@ -13,6 +13,7 @@ from faultline.operators import cleaning, requests
 from faultline.session import shared_folder
 from faultline.sources import incidents as src
 from faultline.sources import reports as rep
+from faultline.sources.dropfiles import CSV_WRITER
 
 
 @query(
@@ -30,6 +31,25 @@ def canonical_columns(spark, sf_dir):
     return src.normalise_columns(legacy, keep=("incident_id",))
 
 
+@query(
+    "src1_csv_incidents",
+    with_views(
+        "select nullif(narrative, '') as narrative, nullif(label_raw, '') as label, domain from incidents", "incidents"
+    ),
+)
+def csv_incidents(spark, sf_dir):
+    """Incidents written as CSV under old column names, line breaks and quotes in them, and loaded again."""
+    path = shared_folder(spark, "incidents-csv")
+    rows = views.incidents(spark, sf_dir).select(
+        F.col("narrative").alias("Narrative"),
+        F.col("label_raw").alias("human_factors_groundtruth"),
+        F.col("domain").alias("Domain"),
+        F.lit("x").alias("unused"),
+    )
+    rows.write.options(**CSV_WRITER).csv(path)
+    return src.load_incidents(spark, path, "csv")
+
+
 @query(
     "src2_source_rows",
     with_views(

@@ -9,6 +9,7 @@ from faultline.catalog.views import quoted, sql_any, sql_categories, sql_list, w
 from faultline.functions import lexicon, risk, suggest, text
 from faultline.functions.matching import any_match, with_lowered
 from faultline.operators.features import add_processed, lemmatise_by_table
+from faultline.session import materialise
 
 
 @query(
@@ -58,6 +59,7 @@ def lemma_table(spark, sf_dir):
     """The same texts with the lemmas looked up in a table of every word and its lemma."""
     rows = views.incidents(spark, sf_dir).filter("narrative is not null")
     words = rows.select("incident_id", text.normalise(F.col("narrative"), lemmas=False).alias("words"))
+    words = materialise(words, "plain-words")
     vocabulary = words.select(F.explode(F.split("words", " ")).alias("word")).distinct()
     lemmas = vocabulary.withColumn("lemma", F.expr(text.lemma_sql("word")))
     return lemmatise_by_table(words, lemmas, "incident_id")

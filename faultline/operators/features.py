@@ -23,7 +23,7 @@ from pyspark.ml.util import (
     MLWritable,
     MLWriter,
 )
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline import schema
@@ -32,6 +32,10 @@ from faultline.session import materialise
 
 # The vocabulary lives on the driver and in every task, so its size is a checked parameter.
 MAX_VOCABULARY = 20_000
+# A dictionary's look-up tables: bytes of words and lemmas in one, tables in one plan, slots of one.
+TABLE_BYTES = 8 << 20
+MOST_TABLES = 8
+SLOTS = 65_536
 
 
 def add_processed(df: DataFrame, text: str = "narrative", profile: str = "core") -> DataFrame:
@@ -39,16 +43,61 @@ def add_processed(df: DataFrame, text: str = "narrative", profile: str = "core")
 
 
 def lemmatise_by_table(words: DataFrame, lemmas: DataFrame, id_col: str, text: str = "words") -> DataFrame:
-    """(id, processed_text) with the nouns of a (word, lemma) dictionary, one row per word.
+    """(id, processed_text) with the nouns of a (word, lemma) dictionary too big for an expression.
 
-    For dictionaries too big for an expression. The words of one row meet again by its id, so a
-    group is never larger than one text.
+    Only entries that occur in the texts and change a word are kept. They lie in look-up tables of checked
+    size that every task holds, so the texts are not shuffled; beyond `MOST_TABLES` tables the words are
+    joined to the dictionary. A null text stays null; of several lemmas of one word the first in order is taken.
     """
-    placed = words.select(id_col, F.posexplode(F.split(text, " ")).alias("_at", "word"))
-    known = placed.join(materialise(lemmas.select("word", "lemma"), "lemmas"), "word", "left")
+    own = words.select(F.explode(F.split(text, " ")).alias("word")).distinct()
+    entries = lemmas.groupBy("word").agg(F.min("lemma").alias("lemma")).filter("word <> lemma")
+    used = materialise(entries.join(own, "word", "left_semi"), "lemmas")
+    size = used.agg(F.sum(F.octet_length("word") + F.octet_length("lemma"))).first()[0] or 0
+    count = -(-size // TABLE_BYTES)
+    if count > MOST_TABLES:
+        return _lemmatise_by_join(words, used, id_col, text)
+    tables = _lookup_tables(used, count) if count else None
+    held = words.select(id_col, F.split(text, " ").alias("_words"))
+    for i in range(count):
+        held = held.withColumn(f"_table{i}", tables.filter(F.col("number") == i).select("slots").scalar())
+
+    def lemma(word: Column) -> Column:
+        at = _slot(word, count)
+        found = [F.try_element_at(F.get(f"_table{i}", (at - i * SLOTS).cast("int")), word) for i in range(count)]
+        return F.coalesce(*found, word)
+
+    lemmatised = F.transform("_words", lemma) if count else F.col("_words")
+    return held.select(id_col, F.array_join(lemmatised, " ").alias("processed_text"))
+
+
+def _slot(word: Column, tables: int) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(tables * SLOTS))
+
+
+def _lookup_tables(entries: DataFrame, tables: int) -> DataFrame:
+    """(number, slots): each table is an array of small maps, a word lies in the slot of its hash."""
+    slot = _slot(F.col("word"), tables).alias("at")
+    filled = entries.groupBy(slot).agg(F.collect_list(F.struct("word", "lemma")).alias("entries"))
+    slots = entries.sparkSession.range(tables * SLOTS).toDF("at").join(filled, "at", "left")
+    rows = slots.groupBy(F.floor(F.col("at") / SLOTS).alias("number")).agg(
+        F.sort_array(F.collect_list(F.struct("at", "entries"))).alias("slots")
+    )
+    maps = F.transform("slots", lambda s: F.when(s["entries"].isNotNull(), F.map_from_entries(s["entries"])))
+    return materialise(rows.select("number", maps.alias("slots")), "lemma-tables")
+
+
+def _lemmatise_by_join(words: DataFrame, lemmas: DataFrame, id_col: str, text: str) -> DataFrame:
+    """The same with one row per word; the words of a row meet again under its number."""
+    numbered = materialise(words.select(id_col, text, F.monotonically_increasing_id().alias("_row")), "lemma-texts")
+    placed = numbered.select("_row", id_col, F.posexplode_outer(F.split(text, " ")).alias("_at", "word"))
     entry = F.struct("_at", F.coalesce("lemma", "word").alias("lemma"))
-    ordered = known.groupBy(id_col).agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
-    return ordered.select(id_col, F.array_join("_entries.lemma", " ").alias("processed_text"))
+    ordered = (
+        placed.join(lemmas, "word", "left")
+        .groupBy("_row")
+        .agg(F.first(id_col).alias(id_col), F.sort_array(F.collect_list(entry)).alias("_entries"))
+    )
+    known = F.get("_entries", 0)["lemma"].isNotNull()
+    return ordered.select(id_col, F.when(known, F.array_join("_entries.lemma", " ")).alias("processed_text"))
 
 
 def with_terms(df: DataFrame, text: str = "processed_text", out: str = "terms") -> DataFrame:

@@ -69,9 +69,7 @@ def build_incidents(
 
 def prepare(spark: SparkSession, incidents: DataFrame, root: str) -> DataFrame:
     """Normalised text and the train/test split, written once."""
-    write_version(features.add_processed(incidents), f"{root}/processed")
-    processed = read_latest(spark, f"{root}/processed")
-    write_version(split.train_test(processed), f"{root}/prepared")
+    write_version(features.add_processed(split.train_test(incidents)), f"{root}/prepared")
     return read_latest(spark, f"{root}/prepared")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline import schema
+from faultline.sources.dropfiles import read_csv
 
 
 def to_log_rows(alerts: DataFrame) -> DataFrame:
@@ -33,3 +34,8 @@ def parse_alert_log(rows: DataFrame) -> DataFrame:
         "narrative",
         F.coalesce(evidence, F.array().cast(schema.EVIDENCE)).alias("evidence"),
     )
+
+
+def read_alert_log(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of alert logs kept as CSV files with a header."""
+    return parse_alert_log(read_csv(spark, path).select(*schema.ALERT_LOG.fieldNames()))

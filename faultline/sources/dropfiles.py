@@ -8,12 +8,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultline.functions.text import strip
 from faultline.session import materialise
 
 CSV_GLOB = "*.[cC][sS][vV]"
 TXT_GLOB = "*.[tT][xX][tT]"
+# Options of Spark's writer for files that `read_csv` gives back as they were.
+CSV_WRITER = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 NARRATIVE_HEADERS = ("narrative", "text", "report")
 # Every field is preceded by a comma (one is put in front of the line): a quoted field and what
 # follows it up to the next comma, or anything without a comma.
@@ -149,6 +158,33 @@ def _before(rows: DataFrame, order, initial: Column, out: str, set_first: bool =
     return found.withColumn(out, F.pmod(state, F.lit(2)).cast("int")).drop("_sum", "_mark", "_last_mark", "_past")
 
 
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of CSV files under the header of the first one, all columns strings.
+
+    Quoted line breaks are kept, yet a big file is read by many tasks. As in Spark's reader blank lines
+    are left out and an empty field, quoted or not, is null.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    placed = lines.select(
+        F.col("value").alias("line"),
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_name").alias("file_name"),
+        F.col("_metadata.file_block_start").alias("block"),
+    )
+    records = join_records(number_lines(placed)).withColumn("line", F.regexp_replace("line", "\r$", ""))
+    records = materialise(records, "csv-records")
+    plain = F.regexp_replace("line", "^\ufeff", "")
+    header = records.filter("pos = 0").orderBy("file_path").select(csv_fields(plain).alias("names")).first()
+    given = header["names"] if header else []
+    names = [name if name and name not in given[:i] else f"_c{i}" for i, name in enumerate(given)]
+    if not names:
+        return spark.createDataFrame([], T.StructType())
+    layout = ", ".join("`" + name.replace("`", "``") + "` string" for name in names)
+    rows = records.filter(F.col("pos") > 0).filter(F.trim("line") != "")
+    fields = F.from_csv("line", layout, {"quote": '"', "escape": '"'})
+    return rows.select(fields.alias("_fields")).select("_fields.*")
+
+
 def csv_fields(line: Column) -> Column:
     """Fields of a CSV line, trimmed; a field may be quoted, doubled quotes inside it."""
     raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(FIELD), 1)

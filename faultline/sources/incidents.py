@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from faultline import schema
 from faultline.functions.text import strip
 from faultline.session import materialise, read_latest, write_version
+from faultline.sources.dropfiles import read_csv
 
 
 def normalise_columns(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -30,14 +31,14 @@ def load_incidents(
 ) -> DataFrame:
     """Read an incident table; raises FileNotFoundError when there is none.
 
-    A CSV whose narratives hold line breaks is read one task per file; without such breaks
-    `multiline=False` lets big files be split.
+    A CSV whose narratives may hold line breaks takes a pass over its lines to find its records;
+    `multiline=False` saves it where no field holds one. Big files are split either way.
     """
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.options(header=True, multiLine=multiline, quote='"', escape='"')
+        reader = reader.options(header=True, quote='"', escape='"')
     try:
-        return normalise_columns(reader.load(path))
+        return normalise_columns(read_csv(spark, path) if fmt == "csv" and multiline else reader.load(path))
     except AnalysisException as exc:
         if exc.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"no incident table at {path}") from exc

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from faultline import schema
 from faultline.operators import audit, cleaning, requests
+from faultline.sources import dropfiles
 from faultline.sources import incidents as src
 
 ROWS = "incident_id long, narrative string, label string"
@@ -167,6 +168,36 @@ def test_csv_with_old_column_names(spark, tmp_path):
         src.load_incidents(spark, str(tmp_path / "none"))
 
 
+def test_csv_split_over_tasks_reads_as_sparks_own_reader(spark, tmp_path):
+    rows = [("id", "text, more")] + [
+        (str(i), ["plain", "two\nlines", 'a "quoted, word"', " padded ", "", None, "cr\r\nlf", "open \" quote"][i % 8])
+        for i in range(400)
+    ]
+    frame = spark.createDataFrame(rows, "id string, `the text` string")
+    frame.repartition(3).write.options(**dropfiles.CSV_WRITER).csv(str(tmp_path / "c"))
+    whole = spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(str(tmp_path / "c"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 512)
+    try:
+        got = dropfiles.read_csv(spark, str(tmp_path / "c"))
+        assert got.columns == ["id", "the text"]
+        want = [(i, t or None) for i, t in rows]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    # Spark's reader gives the same, a file in one task.
+    assert sorted(map(tuple, whole.collect()), key=str) == sorted(want, key=str)
+
+
+def test_csv_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\ufeffid,,id\r\n1,x,y\r\n\r\n2\r\n")
+    got = dropfiles.read_csv(spark, str(tmp_path / "a.csv"))
+    assert got.columns == ["id", "_c1", "_c2"]
+    assert sorted(map(tuple, got.collect())) == [("1", "x", "y"), ("2", None, None)]
+    (tmp_path / "empty.csv").write_text("")
+    assert dropfiles.read_csv(spark, str(tmp_path / "empty.csv")).collect() == []
+    assert src.load_incidents(spark, str(tmp_path / "empty.csv"), "csv").columns == ["narrative", "label", "domain"]
+
+
 def test_source_rows_need_both_fields_and_keep_order(spark):
     rows = spark.createDataFrame(
         [(3, " c ", "l"), (1, "a", "l"), (2, "  ", "l"), (4, "d", None), (5, "e", "l")],

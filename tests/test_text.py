@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from faultline.functions import text
+from faultline.operators import features
 
 
 def one(spark, value, column):
@@ -98,3 +100,25 @@ def test_redaction(spark):
 def test_ids(spark):
     assert one(spark, "Power Grid - São/2", text.safe_file_id) == "Power_Grid_-_São_2"
     assert len(one(spark, "x", text.content_key)) == 16
+
+
+@pytest.mark.parametrize(("table_bytes", "most"), [(8 << 20, 8), (40, 8), (40, 0)])
+def test_lemmas_of_a_table(spark, monkeypatch, table_bytes, most):
+    monkeypatch.setattr(features, "TABLE_BYTES", table_bytes)
+    monkeypatch.setattr(features, "MOST_TABLES", most)
+    lemma = {f"word{i}s": f"word{i}" for i in range(30)} | {"same": "same", "unused": "x"}
+    # a lemma that is itself an entry is not looked up again
+    lemma |= {"word1": "word2s"}
+    lemmas = spark.createDataFrame([*lemma.items(), ("word3s", "zzz"), ("none", None)], "word string, lemma string")
+    texts = ["word0s word1s same word1", "", None, "other none word3s word29s", "word5s word5s", "word5s word5s"]
+    rows = [(i % 5, t) for i, t in enumerate(texts)]
+    words = spark.createDataFrame(rows, "id long, words string")
+    got = features.lemmatise_by_table(words, lemmas, "id")
+    want = [(i, None if t is None else " ".join(lemma.get(w, w) for w in t.split(" "))) for i, t in rows]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    if most:
+        # no shuffle, and no row carries a table
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert "AS _table" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert features.lemmatise_by_table(words, lemmas.limit(0), "id").count() == len(rows)
+    assert features.lemmatise_by_table(words.limit(0), lemmas, "id").count() == 0
