@@ -172,11 +172,10 @@ def changed_files(spark, sf_dir):
 def fault_stream_alerts(spark, sf_dir):
     """Orders streamed in as fault records, deduplicated, scored and logged."""
     root = shared_folder(spark, "faults")
-    layout = views.table(spark, sf_dir, "orders").schema
     customer = views.table(spark, sf_dir, "customer")
     feed = monitor.Feed(
         "faults",
-        lambda session: session.readStream.schema(layout).option("pathGlobFilter", "orders.parquet").parquet(sf_dir),
+        lambda session: views.table_stream(session, sf_dir, "orders"),
         lambda batch: feeds.fault_incidents(views.seed_faults(batch, customer)),
     )
     monitor.scan_once(spark, [feed], monitor.unlabelled_scorer, root)
@@ -198,11 +197,10 @@ def fault_stream_alerts(spark, sf_dir):
 def accident_stream_alerts(spark, sf_dir):
     """Parts streamed in as accident records."""
     root = shared_folder(spark, "accidents")
-    layout = views.table(spark, sf_dir, "part").schema
     nation = views.table(spark, sf_dir, "nation")
     feed = monitor.Feed(
         "accidents",
-        lambda session: session.readStream.schema(layout).option("pathGlobFilter", "part.parquet").parquet(sf_dir),
+        lambda session: views.table_stream(session, sf_dir, "part"),
         lambda batch: feeds.accident_incidents(views.seed_accidents(batch, nation)),
     )
     monitor.scan_once(spark, [feed], monitor.unlabelled_scorer, root)
@@ -223,11 +221,10 @@ def accident_stream_alerts(spark, sf_dir):
 def scan_counts(spark, sf_dir):
     """New incidents of two passes over the same feed: a second pass finds none."""
     root = shared_folder(spark, "scans")
-    layout = views.table(spark, sf_dir, "orders").schema
     customer = views.table(spark, sf_dir, "customer")
     feed = monitor.Feed(
         "faults",
-        lambda session: session.readStream.schema(layout).option("pathGlobFilter", "orders.parquet").parquet(sf_dir),
+        lambda session: views.table_stream(session, sf_dir, "orders"),
         lambda batch: feeds.fault_incidents(views.seed_faults(batch, customer)),
     )
     found = [monitor.scan_once(spark, [feed], monitor.unlabelled_scorer, root) for _ in range(2)]
@@ -251,21 +248,20 @@ def scan_counts(spark, sf_dir):
 def feed_cadence(spark, sf_dir):
     """Both feeds side by side, each on its own trigger, until what is there has been handled."""
     root = shared_folder(spark, "cadence")
-    parts, orders = (views.table(spark, sf_dir, name).schema for name in ("part", "orders"))
     nation, customer = (views.table(spark, sf_dir, name) for name in ("nation", "customer"))
 
-    def stream(layout, name):
-        return lambda session: session.readStream.schema(layout).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    def stream(name):
+        return lambda session: views.table_stream(session, sf_dir, name)
 
     accidents = monitor.Feed(
         "accidents",
-        stream(parts, "part"),
+        stream("part"),
         lambda batch: feeds.accident_incidents(views.seed_accidents(batch, nation)),
         schema.ACCIDENT_FEED_SECONDS,
     )
     faults = monitor.Feed(
         "faults",
-        stream(orders, "orders"),
+        stream("orders"),
         lambda batch: feeds.fault_incidents(views.seed_faults(batch, customer)),
         schema.FAULT_FEED_SECONDS,
     )
@@ -309,7 +305,6 @@ def feed_cadence(spark, sf_dir):
 def scored_stream_alerts(spark, sf_dir):
     """New reports streamed in; the nearest past incident's label is the prediction."""
     root = shared_folder(spark, "reports")
-    layout = views.table(spark, sf_dir, "benchmark").schema
     corpus = prepared(spark, sf_dir)
     model = features.fit_tfidf(corpus)
     retrieval.save_index(retrieval.build_index(corpus, model), f"{root}/index")
@@ -331,7 +326,7 @@ def scored_stream_alerts(spark, sf_dir):
 
     feed = monitor.Feed(
         "reports",
-        lambda session: session.readStream.schema(layout).option("pathGlobFilter", "benchmark.parquet").parquet(sf_dir),
+        lambda session: views.table_stream(session, sf_dir, "benchmark"),
         to_incidents,
     )
     monitor.scan_once(spark, [feed], score, root)
@@ -349,8 +344,7 @@ def scored_stream_alerts(spark, sf_dir):
 def stream_duplicates(spark, sf_dir):
     """Keys of a stream of texts with Spark's state dropping the ones seen before."""
     root = shared_folder(spark, "dedupe")
-    layout = views.table(spark, sf_dir, "documents").schema
-    docs = spark.readStream.schema(layout).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    docs = views.table_stream(spark, sf_dir, "documents")
     keyed = docs.select(F.left(F.sha1("text"), F.lit(16)).alias("key"))
     (
         monitor.drop_seen(keyed)
@@ -370,8 +364,7 @@ def stream_duplicates(spark, sf_dir):
 def watermarked_duplicates(spark, sf_dir):
     """Keys of the event stream with state that is let go once a key is a day old."""
     root = shared_folder(spark, "dedupe-within")
-    layout = views.table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(layout).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = views.table_stream(spark, sf_dir, "events")
     keyed = events.select(
         F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("key"),
         F.col("ts").cast("timestamp").alias("ts"),
@@ -420,8 +413,7 @@ def appended_rows(spark, sf_dir):
 def hourly_counts(spark, sf_dir):
     """Every hour of a finite stream: in complete mode no hour is held back and no late row left out."""
     root = shared_folder(spark, "hourly")
-    layout = views.table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(layout).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = views.table_stream(spark, sf_dir, "events")
     (
         monitor.hourly_counts(stream, "ts", "event_type")
         .writeStream.outputMode("complete")

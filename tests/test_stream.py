@@ -298,3 +298,19 @@ def test_ledger_opens_its_slots_and_is_merged(spark, folders):
     assert ledger.claim(spark.createDataFrame([("k8-1",), ("k7-1",)], "key string"), root, "f", 8).count() == 1
     plan = ledger.known_keys(spark, root, [3, 5], "f", 9)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"PartitionFilters: \[[^\]]*slot#\d+ IN", plan)) == 2
+
+
+def test_table_of_part_files_streams(spark, tmp_path):
+    """A table may be one file or a folder of part files; the stream gives all rows of either."""
+    from faultline.catalog.q_stream import stream_duplicates
+
+    texts = [(i, f"text {i % 7}" if i % 5 else None, "en", "s1", 6) for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, lang string, source string, n_chars int")
+    docs.repartition(3).write.parquet(f"{tmp_path}/parts/documents.parquet")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/landed")
+    (tmp_path / "one").mkdir()
+    part = next((tmp_path / "landed").glob("part-*.parquet"))
+    part.rename(tmp_path / "one" / "documents.parquet")
+    for sf_dir in (f"{tmp_path}/parts", f"{tmp_path}/one"):
+        keys = [r["key"] for r in stream_duplicates(spark, sf_dir).collect()]
+        assert len(keys) == 8 and len(set(keys)) == 8
