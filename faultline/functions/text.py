@@ -1,4 +1,4 @@
-"""Text normalisation as Column expressions.
+"""Text normalisation as Column expressions; `normalise` runs on Arrow batches (`wordwork`).
 
 Every step works inside one row, so none of it shuffles. The patterns use only constructs that
 mean the same in Java and RE2 expressions (no look-around).
@@ -9,10 +9,11 @@ from __future__ import annotations
 import functools
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from faultline.functions import lexicon
+from faultline.functions import lexicon, wordwork
 from faultline.functions.matching import in_words, quoted
 
 SPACES = r"[\p{Z}\s]+"
@@ -91,21 +92,29 @@ def core_tokens(text: Column) -> Column:
     return _each("filter", F.split(spaced, " "), wanted)
 
 
-def api_tokens(text: Column) -> Column:
-    """Words for interactive look-ups: ASCII letters only, more than two of them."""
-    letters = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+", " ")
-    letters = split_joined(letters)
-    return _each("filter", F.split(letters, " "), f"length(w) > 2 AND NOT {in_words('w', lexicon.STOPWORDS)}")
-
-
-PROFILES = {"core": core_tokens, "api": api_tokens}
+PROFILES = ("core", "api")
 
 
 def normalise(text: Column, profile: str = "core", lemmas: bool = True) -> Column:
     """Normalised text of one profile: lower-case words, stopwords out, nouns singular."""
-    if not lemmas:
-        return F.array_join(PROFILES[profile](text), " ")
-    return F.array_join(_each("transform", PROFILES[profile](text), lemma_sql("w")), " ")
+    if profile not in PROFILES:
+        raise ValueError(f"no text profile {profile}")
+    wordwork.travel_with_tasks()
+    rules = wordwork.Normaliser(
+        profile=profile,
+        separators=SEPARATORS,
+        comma_or_colon=COMMA_OR_COLON,
+        closing=CLOSING,
+        word=WORD,
+        joined=JOINED,
+        stopwords=frozenset(lexicon.STOPWORDS),
+        irregular=lexicon.IRREGULAR_NOUNS if lemmas else None,
+    )
+
+    def normalised(lowered: pa.Array) -> pa.Array:
+        return rules(lowered)
+
+    return F.arrow_udf(normalised, "string")(F.lower(text))
 
 
 def vector_words(processed: Column) -> Column:

@@ -1,16 +1,17 @@
 """Term vectors: normalised text, vocabulary with counts, smoothed-idf weights of unit length.
 
-Vectors are computed row by row with the vocabulary and its weights held by JVM transformers, so
-vectorising a table needs no shuffle; only counting the vocabulary does, behind a partial count.
+Vectors are computed on Arrow batches (`termwork`) with the vocabulary and its weights sent along, so
+vectorising a table needs no shuffle; only counting the vocabulary does, behind a count per piece of text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Estimator, Model, PipelineModel
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors
+import numpy as np
+import pyarrow as pa
+from pyspark.ml import Estimator, Model
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import (
@@ -27,7 +28,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline import schema
+from faultline.functions import lexicon
 from faultline.functions.text import normalise, vector_words, with_bigrams
+from faultline.operators import termwork
 from faultline.session import materialise
 
 # The vocabulary lives on the driver and in every task, so its size is a checked parameter.
@@ -106,29 +109,35 @@ def with_terms(df: DataFrame, text: str = "processed_text", out: str = "terms")
     return words.withColumn(out, with_bigrams(F.col("_words"))).drop("_words")
 
 
-def vocabulary(with_term_arrays: DataFrame, max_features: int = schema.MAX_FEATURES, terms: str = "terms") -> DataFrame:
-    """The most frequent terms: occurrences `cf`, documents `df`, ties by term.
+def _ignored() -> frozenset[str]:
+    return frozenset(lexicon.STOPWORDS + lexicon.VECTOR_STOPWORDS)
 
-    Sorting each row's terms marks the first of equal ones, which gives both counts in one
-    aggregate without a distinct over (document, term).
+
+def vocabulary(docs: DataFrame, max_features: int = schema.MAX_FEATURES, text: str = "processed_text") -> DataFrame:
+    """The most frequent terms of normalised texts: occurrences `cf`, documents `df`, ties by term.
+
+    Terms are surveyed first: occurrences by hash bucket, and a lower bound on the count the last term kept has, from
+    what the commonest terms of every piece of the corpus add up to. Only terms in buckets that reach the bound are
+    then counted by name, so neither the table of distinct terms nor its shuffle grows with the rare ones.
     """
     if max_features > MAX_VOCABULARY:
         raise ValueError(f"a vocabulary may hold at most {MAX_VOCABULARY} terms")
-    ordered = with_term_arrays.select(F.sort_array(terms).alias("_sorted"))
-    flagged = F.transform(
-        "_sorted",
-        lambda term, i: F.struct(
-            term.alias("term"),
-            F.when((i == 0) | (F.get("_sorted", i - 1) != term), 1).otherwise(0).alias("first"),
-        ),
-    )
-    return (
-        ordered.select(F.inline(flagged))
-        .groupBy("term")
-        .agg(F.count("*").alias("cf"), F.sum("first").alias("df"))
-        .orderBy(F.desc("cf"), "term")
-        .limit(max_features)
-    )
+    termwork.travel_with_tasks()
+    ignored, survey, counts, leaders = _ignored(), termwork.survey, termwork.counts, 2 * max_features
+    texts = docs.select(F.col(text).cast("string"))
+    found = texts.mapInArrow(lambda batches: survey(batches, ignored, leaders), "bucket int, term string, n bigint")
+    found = materialise(found, "term-survey")
+    common = found.filter("term is not null").groupBy("term").agg(F.sum("n").alias("n"))
+    rows, least = common.orderBy(F.desc("n")).limit(max_features).agg(F.count("*"), F.min("n")).first()
+    buckets = found.filter("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n"))
+    reached = buckets.filter(F.col("n") >= (least if rows == max_features else 0)).select("bucket")
+    # At most termwork.BUCKETS numbers, whatever the corpus holds.
+    marks = np.zeros(termwork.BUCKETS, dtype=bool)
+    marks[[row["bucket"] for row in reached.collect()]] = True
+    wanted = np.packbits(marks).tobytes()
+    counted = texts.mapInArrow(lambda batches: counts(batches, ignored, wanted), "term string, cf bigint, df bigint")
+    totals = counted.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+    return totals.orderBy(F.desc("cf"), "term").limit(max_features)
 
 
 def with_idf(vocab: DataFrame, documents: int) -> DataFrame:
@@ -144,11 +153,14 @@ class TfidfModel(Model, HasInputCol, HasOutputCol, MLWritable, MLReadable):
         self._setDefault(inputCol="processed_text", outputCol="features")
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        counts = CountVectorizerModel.from_vocabulary(self.terms, inputCol="terms", outputCol="_tf")
-        weighted = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="_tf", outputCol="_tfidf")
-        unit = Normalizer(p=2.0, inputCol="_tfidf", outputCol=self.getOutputCol())
-        vectors = PipelineModel([counts, weighted, unit]).transform(with_terms(dataset, self.getInputCol()))
-        return vectors.drop("terms", "_tf", "_tfidf")
+        termwork.travel_with_tasks()
+        held = termwork.Vocabulary(self.terms, self.idf, _ignored())
+
+        def vectors(texts: pa.Array) -> pa.Array:
+            return held.column(texts)
+
+        unit = F.arrow_udf(vectors, VectorUDT())
+        return dataset.withColumn(self.getOutputCol(), unit(F.col(self.getInputCol()).cast("string")))
 
     def vocabulary_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(i, term, weight) for i, (term, weight) in enumerate(zip(self.terms, self.idf))]
@@ -197,7 +209,7 @@ class Tfidf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, Default
     def _fit(self, dataset: DataFrame) -> TfidfModel:
         text = self.getInputCol()
         documents = dataset.count()
-        counted = vocabulary(with_terms(dataset.select(text), text), self.getOrDefault(self.maxFeatures))
+        counted = vocabulary(dataset, self.getOrDefault(self.maxFeatures), text)
         rows = with_idf(counted, documents).select("term", "idf").collect()
         if not rows:
             raise ValueError("no term to build a vocabulary from")

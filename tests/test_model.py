@@ -1,15 +1,17 @@
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from faultline.catalog import q_model, views
 from faultline.functions import lexicon
-from faultline.operators import classifier, evaluation, features, postings, retrieval, split
+from faultline.operators import classifier, evaluation, features, postings, retrieval, split, termwork
 
 WORDS = "valve pump rotor blade relay feeder breaker gauge rudder flap".split()
 
@@ -253,3 +255,44 @@ def test_class_weights(spark):
 
 def test_views_agree_on_row_counts(spark, sf):
     assert views.incidents(spark, sf).count() == 200
+
+
+def test_vocabulary_counts_rare_terms_by_bucket_only(spark, monkeypatch):
+    """Terms of buckets that stay below the bound are not counted by name; those kept have exact counts."""
+    rng = random.Random(7)
+    texts = [" ".join(f"w{min(rng.randint(1, 400), rng.randint(1, 400))}" for _ in range(60)) for _ in range(80)] + [None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "processed_text string").repartition(3)
+    cf, df = Counter(), Counter()
+    for words in ((t or "").split() for t in texts):
+        terms = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        cf.update(terms)
+        df.update(set(terms))
+    want = sorted(((-n, term, df[term]) for term, n in cf.items()))[:20]
+    kept = features.vocabulary(docs, 20)
+    assert [(-r["cf"], r["term"], r["df"]) for r in kept.collect()] == want
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["t"])
+    marks = np.zeros(termwork.BUCKETS, dtype=bool)
+    marks[termwork.bucket(np.array([zlib.crc32(b"w1")], np.uint64))] = True
+    named = list(termwork.counts([batch], frozenset(), np.packbits(marks).tobytes()))[0].to_pydict()
+    assert named == {"term": ["w1"], "cf": [cf["w1"]], "df": [df["w1"]]}
+
+
+def test_frame_of_vectors_is_scored_like_an_index(spark):
+    """Both ways of finding evidence give the same rows, ties and queries without a known term among them."""
+    rng = random.Random(3)
+
+    def vector(terms):
+        weights = {t: rng.choice([0.5, 1.0, 2.0]) for t in terms}
+        norm = sum(w * w for w in weights.values()) ** 0.5
+        return sorted(weights), [weights[t] / norm for t in sorted(weights)]
+
+    docs = [(i, *vector(rng.sample(range(30), rng.randint(0, 5))), f"l{i % 3}", "d", f"s{i}") for i in range(150)]
+    layout = "incident_id bigint, indices array<int>, values array<double>, label string, domain string, snippet string"
+    index = spark.createDataFrame(docs, layout)
+    rows = [(i, *vector(rng.sample(range(40), rng.randint(0, 4)))) for i in range(25)] + [(99, [], [])]
+    asked = spark.createDataFrame(rows, "query_id bigint, indices array<int>, values array<double>")
+    by_index = retrieval.top_evidence(asked, retrieval.indexed(index))
+    by_frame = retrieval.top_evidence(asked, index)
+    order = lambda frame: sorted((r["query_id"], r["rank"], r["incident_id"], r["similarity"], r["snippet"]) for r in frame.collect())
+    assert order(by_frame) == order(by_index)
+    assert "evidence-lists" not in by_frame._jdf.queryExecution().toString()
