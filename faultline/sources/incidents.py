@@ -62,7 +62,11 @@ def source_rows(
 
 
 def with_fallback(fresh: DataFrame | None, cached: DataFrame | None) -> DataFrame:
-    """Fresh rows, and the cached rows of every domain that has no fresh row."""
+    """Fresh rows, and the cached rows of every domain that has no fresh row.
+
+    The delivered domains are written out: few and of known size, they go to the cached rows, which would
+    otherwise meet in one task per domain.
+    """
     if fresh is None and cached is None:
         raise RuntimeError("no source delivered rows and there is no cached table")
     if fresh is None:
@@ -70,7 +74,7 @@ def with_fallback(fresh: DataFrame | None, cached: DataFrame | None) -> DataFram
     if cached is None:
         return fresh
     fresh = materialise(fresh, "fresh-rows")
-    delivered = fresh.select(F.col("domain").alias("_delivered")).distinct()
+    delivered = materialise(fresh.select(F.col("domain").alias("_delivered")).distinct(), "delivered-domains")
     missing = cached.join(delivered, F.col("domain").eqNullSafe(F.col("_delivered")), "left_anti")
     return fresh.unionByName(missing)
 

@@ -229,3 +229,19 @@ def test_requests(spark):
     requests.check_parameters(cv_folds=3, test_size=0.2)
     with pytest.raises(ValueError):
         requests.check_parameters(cv_folds=11)
+
+
+def test_fallback_does_not_gather_a_domain_in_one_task(spark):
+    from faultline.sources.incidents import with_fallback
+
+    layout = "incident_id bigint, narrative string, label string, domain string"
+    fresh = spark.range(20000).selectExpr("id as incident_id", "sha2(cast(id as string), 256) as narrative", "'l' as label", "'A' as domain")
+    cached = spark.createDataFrame([(1, "a", "l", "A"), (2, "b", "l", "B"), (3, "c", "l", None)], layout)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 4000)
+    try:
+        rows = with_fallback(fresh, cached)
+        plan = rows._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(r["incident_id"] for r in rows.filter("domain is null or domain <> 'A'").collect()) == [2, 3]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
