@@ -296,3 +296,11 @@ def test_frame_of_vectors_is_scored_like_an_index(spark):
     order = lambda frame: sorted((r["query_id"], r["rank"], r["incident_id"], r["similarity"], r["snippet"]) for r in frame.collect())
     assert order(by_frame) == order(by_index)
     assert "evidence-lists" not in by_frame._jdf.queryExecution().toString()
+
+
+def test_dense_queries_are_the_rows_divisible_by_twenty(spark, tmp_path):
+    rows = [(i, [math.cos(i), math.sin(i), 0.1], i % 3) for i in range(50)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = q_model.dense_neighbours(spark, str(tmp_path)).collect()
+    assert sorted({r["query_id"] for r in found}) == [0, 20, 40] and len(found) == 9
+    assert all(r["incident_id"] == r["query_id"] for r in found if r["rank"] == 1)
