@@ -1,6 +1,6 @@
 """Drop-folder files: forgiving CSV (unquoted commas stay in the narrative) and one-report TXT.
 
-A CSV is read line by line, so a huge file is split over many tasks. The line number inside its
+A CSV is read line by line, so a huge file is split over many tasks. The number of a record inside its
 file comes from the position in the task and one small count per file block.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from faultline.functions.text import strip
 from faultline.session import materialise
+from faultline.sources import linework
 
 CSV_GLOB = "*.[cC][sS][vV]"
 TXT_GLOB = "*.[tT][xX][tT]"
@@ -68,90 +69,84 @@ def read_texts(
     return _wanted(texts.select("value", F.col("_metadata.file_name").alias("file_name")))
 
 
-def number_lines(lines: DataFrame) -> DataFrame:
-    """(file_path, file_name, block, pos, line) with `pos` counting the lines of a file from 0."""
-    marked = materialise(lines.withColumn("_at", F.monotonically_increasing_id()), "drop-lines")
-    blocks = marked.groupBy("file_path", "block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    in_file = Window.partitionBy("file_path").orderBy("block")
-    offsets = materialise(
-        blocks.select(
-            "file_path", "block", "_first", (F.sum("_n").over(in_file) - F.col("_n")).alias("_offset")
-        ),
-        "drop-blocks",
-    )
-    return marked.join(offsets, ["file_path", "block"]).select(
-        "file_path", "file_name", "block", (F.col("_at") - F.col("_first") + F.col("_offset")).alias("pos"), "line"
-    )
-
-
 def _ends_inside(line: Column) -> Column:
     """Whether a line that starts outside a quoted field ends inside one."""
     fields = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(f",({CLOSED}[^,]*|[^,]*)"), 1)
     return F.exists(fields, lambda f: f.startswith('"') & ~f.rlike(f"^{CLOSED}"))
 
 
-def join_records(numbered: DataFrame) -> DataFrame:
-    """(file_path, file_name, pos, line) of whole records: a line break inside quotes does not end one.
-
-    A line either leaves the state as it is, flips it, or ends in one state whatever came before.
-    So the state before a line is that of the last such ending and the flips since. This is found
-    within each block of a file first, then over the blocks, and only lines of records with breaks
-    are brought together.
-    """
+def _line_states(lines: DataFrame) -> DataFrame:
+    """Lines with their place in a run of a file block and their state for either state the run may start in; written."""
+    linework.travel_with_tasks()
+    states = linework.with_states
+    quote = F.contains("line", F.lit('"'))
     opened, closed = _ends_inside(F.col("line")), _ends_inside(F.concat(F.lit('"'), "line"))
-    marked = numbered.withColumns(
-        {
-            "_flip": (opened & ~closed).cast("int"),
-            "_set": F.when(opened == closed, opened.cast("int")),
-        }
-    )
-    blocks = marked.groupBy("file_path", "block").agg(
-        F.sum("_flip").alias("_flips"),
-        F.max(F.when(F.col("_set").isNotNull(), F.struct("pos", "_set"))).alias("_last"),
-    )
-    flips_after = (
-        marked.join(blocks.select("file_path", "block", "_last"), ["file_path", "block"])
-        .filter(F.col("_last").isNull() | (F.col("pos") > F.col("_last.pos")))
-        .groupBy("file_path", "block")
-        .agg(F.sum("_flip").alias("_flips"))
+    # The two bits of a change: linework.OUTSIDE, SAME, FLIP, INSIDE. A line without a quote leaves the state as it is.
+    change = F.when(~quote, linework.SAME).otherwise(opened.cast("int") * 2 + closed.cast("int"))
+    placed = lines.select(
+        "file_path", "file_name", "block", "line", F.monotonically_increasing_id().alias("_at"), change.alias("_change")
     )
-    ends = blocks.drop("_flips").join(flips_after, ["file_path", "block"], "left").select(
-        "file_path", "block", F.col("_last._set").alias("_set"), F.coalesce("_flips", F.lit(0)).alias("_flip")
+    layout = f"file_path string, file_name string, block bigint, line string, {linework.STATES}"
+    return materialise(placed.mapInArrow(lambda batches: states(batches), layout), "drop-lines")
+
+
+def whole_records(lines: DataFrame) -> DataFrame:
+    """(file_path, file_name, pos, line) of the records of files: a line break inside quotes does not end one; written.
+
+    A line either leaves the state as it is, flips it, or ends in one state whatever came before. So a run of
+    lines has one end for each state it may start in, which a task finds as it reads the run. The few runs of a
+    file are then put in order, which gives the state each one starts in and the records before it. Lines of one
+    record are put together where they lie; only records that go on in another run are brought together.
+    """
+    states = _line_states(lines)
+    # Numbers alone, the last line's states in the lowest bits of its place: a hash aggregate, without a sort.
+    ends = states.groupBy("file_path", "block", "run").agg(
+        F.max(F.col("pos") * 4 + F.col("out0") * 2 + F.col("out1")).alias("_last"),
+        F.max("starts0").alias("starts0"),
+        F.max("starts1").alias("starts1"),
     )
-    by_block = Window.partitionBy("file_path").orderBy("block")
-    entry = _before(ends, by_block, F.lit(0), "_entry", set_first=True).select("file_path", "block", "_entry")
-    in_block = Window.partitionBy("file_path", "block").orderBy("pos")
-    states = _before(marked.join(entry, ["file_path", "block"]), in_block, F.col("_entry"), "_inside")
-    starts = states.withColumn("_start", 1 - F.col("_inside"))
-    counts = starts.groupBy("file_path", "block").agg(F.sum("_start").alias("_starts"))
-    earlier = counts.select(
-        "file_path", "block", (F.sum("_starts").over(by_block) - F.col("_starts")).alias("_earlier")
+    end = F.col("_last") % 4
+    ends = ends.withColumns({"_set": F.when(end == 0, 0).when(end == 3, 1), "_flip": (end == 2).cast("int")})
+    in_file = Window.partitionBy("file_path").orderBy("block", "run")
+    runs = _before(ends, in_file, F.lit(0), "_entry")
+    starts = F.when(F.col("_entry") == 1, F.col("starts1")).otherwise(F.col("starts0"))
+    runs = materialise(runs.select("run", "_entry", (F.sum(starts).over(in_file) - starts).alias("_earlier")), "drop-runs")
+
+    def known(name: str) -> Column:
+        return F.when(F.col("_entry") == 1, F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
+
+    placed = states.join(runs, "run").select(
+        "file_path",
+        "file_name",
+        "run",
+        "pos",
+        (F.col("_earlier") + known("starts") - 1).alias("record"),
+        known("in").alias("inside"),
+        known("out").alias("goes_on"),
+        "line",
     )
-    record = F.col("_earlier") + F.sum("_start").over(in_block.rowsBetween(Window.unboundedPreceding, 0)) - 1
-    placed = starts.join(earlier, ["file_path", "block"]).withColumn("_record", record)
-    goes_on = F.when(F.col("_inside") == 1, closed).otherwise(opened)
-    parts = (F.col("_inside") == 1) | goes_on
-    single = placed.filter(~parts).select("file_path", "file_name", F.col("_record").alias("pos"), "line")
-    entry_ = F.array_sort(F.collect_list(F.struct("pos", "line")))
-    joined = (
-        placed.filter(parts)
-        .groupBy("file_path", "file_name", "_record")
-        .agg(F.array_join(F.transform(entry_, lambda e: e["line"]), "\n").alias("line"))
-        .select("file_path", "file_name", F.col("_record").alias("pos"), "line")
+    together = linework.joined
+    layout = "file_path string, file_name string, run bigint, pos bigint, record bigint, whole boolean, line string"
+    parts = materialise(placed.mapInArrow(lambda batches: together(batches), layout), "drop-records")
+    entry = F.array_sort(F.collect_list(F.struct("run", "pos", "line")))
+    split = (
+        parts.filter("not whole")
+        .groupBy("file_path", "file_name", "record")
+        .agg(F.array_join(F.transform(entry, lambda e: e["line"]), "\n").alias("line"))
     )
-    return single.unionByName(joined)
+    columns = ["file_path", "file_name", F.col("record").alias("pos"), "line"]
+    return parts.filter("whole").select(*columns).unionByName(split.select(*columns))
 
 
-def _before(rows: DataFrame, order, initial: Column, out: str, set_first: bool = False) -> DataFrame:
+def _before(rows: DataFrame, order, initial: Column, out: str) -> DataFrame:
     """State before each row (0 outside, 1 inside a quoted field) from `_set` and `_flip` of the rows before.
 
-    With `set_first` a row's flips come after its setting, else a row has only one of them.
+    A row has only one of them.
     """
     up_to = order.rowsBetween(Window.unboundedPreceding, 0)
     past = order.rowsBetween(Window.unboundedPreceding, -1)
     flips = rows.withColumn("_sum", F.sum("_flip").over(up_to))
-    at_setting = F.col("_sum") - (F.col("_flip") if set_first else F.lit(0))
-    marks = flips.withColumn("_mark", F.when(F.col("_set").isNotNull(), F.struct("_set", at_setting.alias("_at"))))
+    marks = flips.withColumn("_mark", F.when(F.col("_set").isNotNull(), F.struct("_set", F.col("_sum").alias("_at"))))
     last = F.last("_mark", ignorenulls=True).over(past)
     found = marks.withColumns({"_last_mark": last, "_past": F.coalesce(F.sum("_flip").over(past), F.lit(0))})
     state = F.coalesce(F.col("_last_mark._set"), initial) + F.col("_past") - F.coalesce("_last_mark._at", F.lit(0))
@@ -171,8 +166,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_block_start").alias("block"),
     )
-    records = join_records(number_lines(placed)).withColumn("line", F.regexp_replace("line", "\r$", ""))
-    records = materialise(records, "csv-records")
+    records = whole_records(placed).withColumn("line", F.regexp_replace("line", "\r$", ""))
     plain = F.regexp_replace("line", "^\ufeff", "")
     header = records.filter("pos = 0").orderBy("file_path").select(csv_fields(plain).alias("names")).first()
     given = header["names"] if header else []
@@ -244,7 +238,7 @@ def _as_incident(df: DataFrame, arrival: Column) -> DataFrame:
 
 def csv_incidents(lines: DataFrame) -> DataFrame:
     arrival = F.concat_ws("|", "file_name", F.lpad(F.col("pos").cast("string"), 19, "0"))
-    return _as_incident(parse_lines(join_records(number_lines(lines))), arrival)
+    return _as_incident(parse_lines(whole_records(lines)), arrival)
 
 
 def txt_incidents(texts: DataFrame) -> DataFrame:

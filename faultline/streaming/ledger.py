@@ -53,15 +53,15 @@ def known_keys(spark: SparkSession, root: str, slots: list[int], feed: str, batc
 def unseen(incidents: DataFrame, seen: DataFrame) -> DataFrame:
     """Incidents whose key is not in the ledger.
 
-    The ledger outgrows a batch, so it is reduced to the batch's keys first; the batch is a
-    written table, small ones Catalyst broadcasts.
+    The ledger outgrows a batch, so it is reduced to the batch's keys first. These are written, so that
+    few of them go to the incidents and the texts stay where they lie.
     """
     known = seen.select("key").join(incidents.select("key"), "key", "left_semi").distinct()
-    return incidents.join(known, "key", "left_anti")
+    return incidents.join(materialise(known, "known-keys"), "key", "left_anti")
 
 
 def claim(incidents: DataFrame, root: str, feed: str, batch_id: int) -> DataFrame:
-    """Incidents of a batch (a written table, one row per key) that no other batch took on; now this one has."""
+    """Incidents of a batch (written tables, one row per key) that no other batch took on; now this one has."""
     spark = incidents.sparkSession
     placed = incidents.withColumn("slot", slot_of(F.col("key")))
     slots = [r["slot"] for r in placed.select("slot").distinct().collect()]  # SLOTS numbers at most

@@ -113,12 +113,21 @@ def unlabelled_scorer(new: DataFrame) -> DataFrame:
 
 
 def first_of_each_key(incidents: DataFrame) -> DataFrame:
-    """One incident per key, the first to arrive; a missing key is made of the content."""
+    """One incident per key, the first to arrive; a missing key is made of the content.
+
+    Keys are counted without their texts; only incidents whose key occurs more than once are brought together.
+    """
     if "arrival" not in incidents.columns:
         incidents = incidents.withColumn("arrival", F.lit(""))
     key = F.coalesce(F.nullif("key", F.lit("")), content_key(F.col("narrative")))
-    keyed = incidents.withColumn("key", key)
-    return keep_first(keyed, "key", ["arrival", "narrative"]).drop("arrival")
+    keyed = materialise(incidents.withColumn("key", key), "keyed-incidents")
+    counted = keyed.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1")
+    repeated = materialise(counted.select(F.col("key").alias("_key")), "repeated-keys")
+    # A null key, of an incident without narrative, is one key.
+    same = F.col("key").eqNullSafe(F.col("_key"))
+    copies = keep_first(keyed.join(repeated, same, "left_semi"), "key", ["arrival", "narrative"])
+    single = keyed.join(repeated, same, "left_anti")
+    return single.unionByName(materialise(copies, "first-incidents")).drop("arrival")
 
 
 def drop_seen(stream: DataFrame, key: str = "key", time_col: str | None = None, within: str | None = None) -> DataFrame:
@@ -166,8 +175,7 @@ def handle_batch(batch: DataFrame, batch_id: int, feed: Feed, scorer: Scorer, ro
     place = f"feed={feed.name}/batch={batch_id}"
     counted = Observation()
     with scratch(spark):
-        first = materialise(first_of_each_key(feed.to_incidents(batch)), "new-incidents")
-        new = ledger.claim(first, root, feed.name, batch_id)
+        new = ledger.claim(first_of_each_key(feed.to_incidents(batch)), root, feed.name, batch_id)
         scored = materialise(score_incidents(new, scorer).observe(counted, F.count(F.lit(1)).alias("n")), "scored-incidents")
         to_log_rows(scored.filter("is_alert")).write.mode("overwrite").parquet(f"{root}/alerts/{place}")
         scored.select("key", "risk_level", "is_alert").write.mode("overwrite").parquet(f"{root}/seen/{place}")

@@ -314,3 +314,39 @@ def test_table_of_part_files_streams(spark, tmp_path):
     for sf_dir in (f"{tmp_path}/parts", f"{tmp_path}/one"):
         keys = [r["key"] for r in stream_duplicates(spark, sf_dir).collect()]
         assert len(keys) == 8 and len(set(keys)) == 8
+
+
+def test_records_over_batches_and_runs(spark, tmp_path):
+    """Records and runs go on over Arrow batches of a few lines; only records cut by a run's end are shuffled."""
+    folder = tmp_path / "small-batches"
+    folder.mkdir()
+    rng, want = random.Random(5), {}
+    parts = ["fire", 'a "quoted" word', "x, y", "line\nbreak", "two\n\nbreaks", "calm"] + ["\n".join(f"l{i}" for i in range(30))]
+    for f in range(3):
+        rows = [(f"f{f}r{i}", " ".join(rng.choice(parts) for _ in range(rng.randint(1, 5)))) for i in range(80)]
+        with open(folder / f"f{f}.csv", "w", newline="") as out:
+            csv.writer(out, lineterminator="\n").writerows([("id", "narrative"), *rows])
+        want |= dict(rows)
+    (folder / "open.csv").write_text('id,narrative\nA,"never closed\nfire')
+    want |= {"A": '"never closed\nfire'}
+    for block, batch in ((700, 3), (1 << 20, 7)):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            lines = dropfiles.read_lines(spark, str(folder))
+            assert {r["incident_id"]: r["narrative"] for r in dropfiles.csv_incidents(lines).collect()} == want
+            plan = dropfiles.whole_records(lines)._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+
+
+def test_first_of_a_key_leaves_texts_where_they_lie(spark):
+    layout = "key string, arrival string, narrative string"
+    rows = [("a", "2", "late"), ("a", "1", "z"), ("a", "1", "early"), ("b", "1", "one"), ("", "1", "t"), (None, "0", "t")]
+    rows += [(None, "3", None), (None, "2", None)]
+    first = monitor.first_of_each_key(spark.createDataFrame(rows, layout))
+    found = sorted((r["key"] or "", r["narrative"]) for r in first.collect())
+    assert found == [("", None), ("8efd86fb78a56a51", "t"), ("a", "early"), ("b", "one")]
+    assert "Exchange hashpartitioning" not in first._jdf.queryExecution().executedPlan().toString()
