@@ -139,7 +139,7 @@ def changed_files(spark, sf_dir):
     """
     root = shared_folder(spark, "grown")
     rows = views.incidents(spark, sf_dir).select(F.concat(F.lit("INC-"), "incident_id").alias("id"), "narrative", "incident_id")
-    rows = materialise(rows.repartition(4, "incident_id"), "grown-rows")
+    rows = materialise(rows.repartition("incident_id"), "grown-rows")
     noise = rows.limit(1).select(F.lit("INC-noise").alias("id"), F.lit("engine fire and collision").alias("narrative"))
     feed = monitor.watch_feed(f"{root}/drop", changed_files=True)
 

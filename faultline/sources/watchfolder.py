@@ -14,6 +14,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -22,6 +23,9 @@ LAYOUT = "line string, value string, file_path string, file_name string, block b
 ENDINGS = (".csv", ".txt")
 BLOCK_BYTES = 64 << 20
 READ_BYTES = 1 << 20
+# Lines and characters of a batch a task passes on.
+BATCH_LINES = 8192
+BATCH_CHARS = 16 << 20
 
 
 def is_report(name: str) -> bool:
@@ -64,10 +68,11 @@ def lines_of(stream, start: int, end: int, size: int) -> Iterator[str]:
         whole = rest[:-1] if rest.endswith(b"\r") and at < size else rest
         parts = whole.replace(b"\r\n", b"\n").replace(b"\r", b"\n").split(b"\n")
         tail = parts.pop() + rest[len(whole) :]
-        begins = at - len(rest)
+        begins, cut = at - len(rest), 0
         for part in parts:
-            length = len(part) + (2 if rest[len(part) : len(part) + 2] == b"\r\n" else 1)
-            rest = rest[length:]
+            ended = cut + len(part)
+            length = len(part) + (2 if rest[ended : ended + 2] == b"\r\n" else 1)
+            cut += length
             if skipping:
                 skipping = False
             elif begins >= end:
@@ -82,6 +87,33 @@ def lines_of(stream, start: int, end: int, size: int) -> Iterator[str]:
         yield rest.rstrip(b"\r").decode("utf-8", "replace")
 
 
+def portions(lines: Iterator[str]) -> Iterator[list[str]]:
+    """Lines in lists of bounded length; the last one may be empty, so there is one in any case."""
+    held, chars = [], 0
+    for line in lines:
+        held.append(line)
+        chars += len(line)
+        if len(held) >= BATCH_LINES or chars >= BATCH_CHARS:
+            yield held
+            held, chars = [], 0
+    yield held
+
+
+def _batch(lines: list, values: list, path: str | None, name: str, block: int | None) -> pa.RecordBatch:
+    """Rows of LAYOUT from one block of one file."""
+    rows = len(lines)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(lines, pa.string()),
+            pa.array(values, pa.string()),
+            pa.array([path] * rows, pa.string()),
+            pa.array([name] * rows, pa.string()),
+            pa.array([block] * rows, pa.int64()),
+        ],
+        names=["line", "value", "file_path", "file_name", "block"],
+    )
+
+
 class FolderReader(DataSourceStreamReader):
     def __init__(self, options: dict) -> None:
         self.folder = options["path"]
@@ -106,16 +138,16 @@ class FolderReader(DataSourceStreamReader):
             blocks += [Block(path, at, min(at + step, size), size) for at in range(0, size, step)]
         return blocks
 
-    def read(self, partition: Block) -> Iterator[tuple]:
+    def read(self, partition: Block) -> Iterator[pa.RecordBatch]:
         path, start, end, size = partition.value
         system, _ = opened(self.folder)
         name = path.rsplit("/", 1)[-1]
         with system.open_input_file(path) as stream:
             if name.lower().endswith(".txt"):
-                yield None, stream.read(size).decode("utf-8", "replace"), None, name, None
+                yield _batch([None], [stream.read(size).decode("utf-8", "replace")], None, name, None)
                 return
-            for line in lines_of(stream, start, end, size):
-                yield line, None, path, name, start
+            for lines in portions(lines_of(stream, start, end, size)):
+                yield _batch(lines, [None] * len(lines), path, name, start)
 
 
 class WatchedFolder(DataSource):

@@ -350,3 +350,21 @@ def test_first_of_a_key_leaves_texts_where_they_lie(spark):
     found = sorted((r["key"] or "", r["narrative"]) for r in first.collect())
     assert found == [("", None), ("8efd86fb78a56a51", "t"), ("a", "early"), ("b", "one")]
     assert "Exchange hashpartitioning" not in first._jdf.queryExecution().executedPlan().toString()
+
+
+def test_watched_files_come_in_batches(tmp_path):
+    import pyarrow as pa
+
+    from faultline.sources import watchfolder
+
+    ends = ["\n", "\r\n", "\r"]
+    text = "".join(f"line {i} é{ends[i % 3]}" for i in range(500)) + "last"
+    (tmp_path / "a.csv").write_bytes(text.encode())
+    size = len(text.encode())
+    reader = watchfolder.FolderReader({"path": str(tmp_path), "blockBytes": "97"})
+    found = []
+    for block in reader.partitions({}, {str(tmp_path / "a.csv"): [size, 0]}):
+        for batch in reader.read(block):
+            assert isinstance(batch, pa.RecordBatch)
+            found += batch.column("line").to_pylist()
+    assert found == [f"line {i} é" for i in range(500)] + ["last"]
