@@ -304,3 +304,19 @@ def test_dense_queries_are_the_rows_divisible_by_twenty(spark, tmp_path):
     found = q_model.dense_neighbours(spark, str(tmp_path)).collect()
     assert sorted({r["query_id"] for r in found}) == [0, 20, 40] and len(found) == 9
     assert all(r["incident_id"] == r["query_id"] for r in found if r["rank"] == 1)
+
+
+def test_winners_go_to_the_rows_they_show(spark):
+    """Of a corpus beyond the broadcast threshold the narratives are not shuffled to the few rows found."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        rows = [(i, f"pump {i % 9} leaked fuel near valve {i} " + "x" * (i % 50), "Fuel", "Aviation") for i in range(3000)]
+        corpus = spark.createDataFrame(rows, "incident_id long, narrative string, label string, domain string")
+        model = features.fit_tfidf(features.add_processed(corpus))
+        asked = spark.createDataFrame([(1, "valve 2107 leaked")], "query_id long, narrative string")
+        index = retrieval.build_index(corpus, model, snippet_chars=None)
+        ranked = retrieval.top_evidence(retrieval.query_vectors(asked, model), index, 1)
+        assert [r["snippet"] for r in ranked.collect()] == [rows[2107][1]]
+        assert "Exchange hashpartitioning" not in ranked._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
