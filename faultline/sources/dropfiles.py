@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.functions.text import strip
-from faultline.session import materialise
+from faultline.session import materialise, scratch, shared_folder
 from faultline.sources import linework
 
 CSV_GLOB = "*.[cC][sS][vV]"
@@ -30,6 +30,7 @@ NARRATIVE_HEADERS = ("narrative", "text", "report")
 FIELD = r',("[^"]*(?:""[^"]*)*"[^,]*|[^,]*)'
 # A quoted part that is closed on its line; doubled quotes are never taken for the closing one.
 CLOSED = r'"[^"]*+(?:""[^"]*+)*+"'
+PARTS = "file_path string, file_name string, run bigint, pos bigint, record bigint, whole boolean, line string"
 QUOTED_FIELD = r'^"([^"]*(?:""[^"]*)*)"(.*)$'
 
 
@@ -90,14 +91,8 @@ def _line_states(lines: DataFrame) -> DataFrame:
     return materialise(placed.mapInArrow(lambda batches: states(batches), layout), "drop-lines")
 
 
-def whole_records(lines: DataFrame) -> DataFrame:
-    """(file_path, file_name, pos, line) of the records of files: a line break inside quotes does not end one; written.
-
-    A line either leaves the state as it is, flips it, or ends in one state whatever came before. So a run of
-    lines has one end for each state it may start in, which a task finds as it reads the run. The few runs of a
-    file are then put in order, which gives the state each one starts in and the records before it. Lines of one
-    record are put together where they lie; only records that go on in another run are brought together.
-    """
+def _record_parts(lines: DataFrame) -> DataFrame:
+    """Records, or what of them lies in one run of lines, in the columns PARTS."""
     states = _line_states(lines)
     # Numbers alone, the last line's states in the lowest bits of its place: a hash aggregate, without a sort.
     ends = states.groupBy("file_path", "block", "run").agg(
@@ -126,8 +121,22 @@ def whole_records(lines: DataFrame) -> DataFrame:
         "line",
     )
     together = linework.joined
-    layout = "file_path string, file_name string, run bigint, pos bigint, record bigint, whole boolean, line string"
-    parts = materialise(placed.mapInArrow(lambda batches: together(batches), layout), "drop-records")
+    return placed.mapInArrow(lambda batches: together(batches), PARTS)
+
+
+def whole_records(lines: DataFrame) -> DataFrame:
+    """(file_path, file_name, pos, line) of the records of files: a line break inside quotes does not end one; written.
+
+    A line either leaves the state as it is, flips it, or ends in one state whatever came before. So a run of
+    lines has one end for each state it may start in, which a task finds as it reads the run. The few runs of a
+    file are then put in order, which gives the state each one starts in and the records before it. Lines of one
+    record are put together where they lie; only records that go on in another run are brought together.
+    """
+    spark, path = lines.sparkSession, shared_folder(lines.sparkSession, "drop-records")
+    with scratch(spark):
+        # The lines and their states go when the records are written.
+        _record_parts(lines).write.parquet(path)
+    parts = spark.read.schema(PARTS).parquet(path)
     entry = F.array_sort(F.collect_list(F.struct("run", "pos", "line")))
     split = (
         parts.filter("not whole")

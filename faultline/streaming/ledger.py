@@ -66,7 +66,8 @@ def claim(incidents: DataFrame, root: str, feed: str, batch_id: int) -> DataFram
     placed = incidents.withColumn("slot", slot_of(F.col("key")))
     slots = [r["slot"] for r in placed.select("slot").distinct().collect()]  # SLOTS numbers at most
     with _locks[root]:
-        new = materialise(unseen(placed, known_keys(spark, root, slots, feed, batch_id)), "unseen-incidents")
+        # What was known by now is written, so the frame stays the same after the new keys are entered.
+        new = unseen(placed, known_keys(spark, root, slots, feed, batch_id))
         keys = new.select("key", "slot").repartition("slot")
         keys.write.mode("overwrite").partitionBy("slot").parquet(f"{root}/claims/feed={feed}/batch={batch_id}")
     return new.drop("slot")
