@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from faultline.catalog import q_model, views
 from faultline.functions import lexicon
-from faultline.operators import classifier, evaluation, features, postings, retrieval, split, termwork
+from faultline.operators import classifier, evaluation, features, postings, retrieval, scoring, split, termwork
 
 WORDS = "valve pump rotor blade relay feeder breaker gauge rudder flap".split()
 
@@ -298,14 +298,49 @@ def test_frame_of_vectors_is_scored_like_an_index(spark):
     assert "evidence-lists" not in by_frame._jdf.queryExecution().toString()
 
 
-def test_dense_queries_are_the_rows_divisible_by_twenty(spark, tmp_path):
+def test_dense_queries_are_all_rows(spark, tmp_path):
     rows = [(i, [math.cos(i), math.sin(i), 0.1], i % 3) for i in range(50)]
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     found = q_model.dense_neighbours(spark, str(tmp_path)).collect()
-    assert sorted({r["query_id"] for r in found}) == [0, 20, 40] and len(found) == 9
+    assert sorted({r["query_id"] for r in found}) == list(range(50)) and len(found) == 150
     assert all(r["incident_id"] == r["query_id"] for r in found if r["rank"] == 1)
 
 
+def test_dense_vectors_without_direction_rank_last(spark, monkeypatch):
+    """A null vector has no similarity and a zero vector that of 0; groups, pieces and runs end anywhere."""
+    monkeypatch.setattr(retrieval, "DENSE_QUERIES", 3)
+    monkeypatch.setattr(retrieval, "DENSE_ROWS", 5)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(40)] + [(40, None), (41, [0.0] * 4), (42, None)]
+    frame = spark.createDataFrame(rows, "incident_id long, embedding array<float>").repartition(3)
+    ranked = retrieval.top_dense(frame.withColumnRenamed("incident_id", "query_id"), frame, 4).collect()
+    unit = {i: None if v is None else np.array(v) / (np.linalg.norm(v) or 1.0) for i, v in rows}
+
+    def best(query):
+        sims = {i: None if v is None or unit[query] is None else round(float(unit[query] @ v), 9) + 0.0 for i, v in unit.items()}
+        return sorted(sims.items(), key=lambda x: (x[1] is None, -(x[1] or 0.0), x[0]))[:4]
+
+    found = {}
+    for r in sorted(ranked, key=lambda r: (r["query_id"], r["rank"])):
+        found.setdefault(r["query_id"], []).append((r["incident_id"], r["similarity"]))
+    assert found == {i: best(i) for i, _ in rows}
+
+
+def test_best_places_in_pieces():
+    """Ties within rounding go to the lower place, wherever pieces and runs are cut."""
+    rng = np.random.default_rng(5)
+    sims = rng.integers(0, 6, (7, 500)) / 5 + rng.normal(size=(7, 500)) * 1e-11
+    sims[3], sims[4, ::2], sims[5] = np.nan, np.nan, 0.5
+    for width in (500, 130, 64, 7):
+        best = scoring.Best(7, 3)
+        for first in range(0, 500, width):
+            best.add(sims[:, first : first + width], first)
+        row, place, _ = best.result()
+        for i in range(7):
+            want = sorted(range(500), key=lambda j: (np.isnan(sims[i, j]), -np.round(np.nan_to_num(sims[i, j]), 9), j))[:3]
+            assert place[row == i].tolist() == want
+
+
 def test_winners_go_to_the_rows_they_show(spark):
     """Of a corpus beyond the broadcast threshold the narratives are not shuffled to the few rows found."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
