@@ -298,6 +298,47 @@ def test_frame_of_vectors_is_scored_like_an_index(spark):
     assert "evidence-lists" not in by_frame._jdf.queryExecution().toString()
 
 
+def test_documents_by_term_against_groups_of_queries(monkeypatch):
+    """Blocks and groups cut anywhere give the best of each block; only common terms are laid out for every document."""
+    monkeypatch.setattr(scoring, "MOST_ELEMENTS", 200)
+    monkeypatch.setattr(scoring, "SPARSE_TILE", 3)
+    rng = np.random.default_rng(4)
+
+    def batches(n, width, ids):
+        rows = [np.flatnonzero(rng.random(width) < rng.random() * np.linspace(1, 0.02, width)) for _ in range(n)]
+        values = [rng.choice([0.25, 0.5, 1.0], len(r)) for r in rows]
+        arrays = [pa.array(ids), pa.array([r.tolist() for r in rows], pa.list_(pa.int32())), pa.array([v.tolist() for v in values], pa.list_(pa.float64()))]
+        whole = pa.RecordBatch.from_arrays(arrays, names=list("abc"))
+        matrix = np.zeros((n, 60))
+        for i, (r, v) in enumerate(zip(rows, values)):
+            matrix[i, r] = v
+        return [whole.slice(at, 7) for at in range(0, n, 7)], matrix
+
+    ids = rng.permutation(90).tolist()
+    documents, rows = batches(90, 50, ids)
+    queries, asked = batches(20, 60, list(range(100, 120)))
+    blocks = list(scoring.packed_postings(documents, 32))
+    groups = list(scoring.packed_queries(queries, 8))
+    listed = [i for block in blocks for i in block.column(0)[0].as_py()]
+    assert len(blocks) > 3 and sorted(listed) == sorted(ids) and len(groups) >= 3
+    at = {i: n for n, i in enumerate(ids)}
+    for block in blocks:
+        inside = block.column(0)[0].as_py()
+        assert inside == sorted(inside)
+        for group in groups:
+            cell = pa.RecordBatch.from_arrays(group.columns + block.columns, names=list("abcdefgh"))
+            found = {}
+            for batch in scoring.grid_top_k([cell], 3):
+                for q, i, sim in zip(*(column.to_pylist() for column in batch.columns)):
+                    found.setdefault(q, []).append((i, sim))
+            for q in group.column(0)[0].as_py():
+                sims = {i: round(float(asked[q - 100] @ rows[at[i]]), 9) for i in inside}
+                assert found[q] == sorted(sims.items(), key=lambda x: (-x[1], x[0]))[:3]
+    starts, places, weights = (scoring._held(blocks[0].column(c)[0], kind) for c, kind in ((1, np.int64), (2, np.int32), (3, float)))
+    held = scoring.Block(len(blocks[0].column(0)[0].values), starts, places, weights)
+    assert len(held.common) == (np.diff(starts) * scoring.COMMON_SHARE >= held.rows).sum() < len(held.counts)
+
+
 def test_dense_queries_are_all_rows(spark, tmp_path):
     rows = [(i, [math.cos(i), math.sin(i), 0.1], i % 3) for i in range(50)]
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
